@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import quality, simhash
+from quarry.llm import bpe, embeddings, quality, secrets, simhash, warc
 from quarry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,11 +19,16 @@ def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op2_quality_rules": _over("documents", quality.query),
+        "op3_byte_bpe": _over("documents", bpe.query),
         "op4_simhash_near_dedup": _over("documents", simhash.query),
+        "op5_secret_scan": _over("documents", secrets.query),
+        "op9_warc": _over("pages", warc.query),
+        "op10_embedding_near_dedup": _over("embeddings", embeddings.query),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": quality.ORACLE_SQL,
+        "op9_warc": warc.ORACLE_SQL,
     }
