@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, embeddings, quality, secrets, simhash, warc
+from quarry.llm import bpe, chat, embeddings, lm, mixing, quality, secrets, simhash, warc
 from quarry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,9 @@ def queries() -> dict[str, Query]:
         "op3_byte_bpe": _over("documents", bpe.query),
         "op4_simhash_near_dedup": _over("documents", simhash.query),
         "op5_secret_scan": _over("documents", secrets.query),
+        "op6_chat_format": _over("conversations", chat.query),
+        "op7_lm_score": _over("documents", lm.query),
+        "op8_source_mix": _over("documents", mixing.query),
         "op9_warc": _over("pages", warc.query),
         "op10_embedding_near_dedup": _over("embeddings", embeddings.query),
     }
