@@ -179,8 +179,8 @@ def _encoder(tables, pattern: str, key: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids array<int>, decoded binary): ids of each whole text and the bytes they stand for."""
+def tokenize(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, kept columns, ids array<int>, decoded binary): ids of each whole text, and their bytes."""
     spark = docs.sparkSession
     tables = spark.sparkContext.broadcast(Tables(read_ranks(path)))
     key = f"{path} {pattern}"
@@ -191,7 +191,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 offsets, values, decoded = [0], [], []
-                for text in part.column(1):
+                for text in part.column(part.num_columns - 1):
                     ids = enc.encode(text.as_py())
                     values.append(np.array(ids, np.int32))
                     offsets.append(offsets[-1] + len(ids))
@@ -199,15 +199,16 @@ def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 flat = np.concatenate(values) if values else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0),
+                        *part.columns[:-1],
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32())),
                         pa.array(decoded, pa.binary()),
                     ],
-                    ["doc_id", "ids", "decoded"],
+                    ["doc_id", *keep, "ids", "decoded"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(
-        run, "doc_id long, ids array<int>, decoded binary"
+    kept = "".join(f"`{c}` {dict(docs.dtypes)[c]}, " for c in keep)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text")).mapInArrow(
+        run, f"doc_id long, {kept}ids array<int>, decoded binary"
     )
 
 

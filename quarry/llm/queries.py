@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, chat, embeddings, lm, mixing, quality, secrets, simhash, warc
+from quarry.llm import bpe, chat, embeddings, lm, mixing, quality, secrets, simhash, suffix_dedup, warc
 from quarry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_suffix_dedup": _over("documents", suffix_dedup.query),
         "op2_quality_rules": _over("documents", quality.query),
         "op3_byte_bpe": _over("documents", bpe.query),
         "op4_simhash_near_dedup": _over("documents", simhash.query),

@@ -163,10 +163,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with the columns of ``docs``."""
+    """One document of each group, the one with the smallest doc_id, with the columns of ``docs``.
+
+    Of rows that repeat an id one stays; rows without an id cannot be chosen or rejected, and stay.
+    """
     least = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(least, "doc_id", "left_semi")
-    return out.dropDuplicates(["doc_id"]).select(*docs.columns)
+    out = docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return out.unionAll(docs.where("doc_id IS NULL"))
 
 
 def query(docs: DataFrame) -> DataFrame:
