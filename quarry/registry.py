@@ -24,7 +24,8 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    pass
+    """Imports the modules that register queries."""
+    from quarry.plans import graphs, retrieval, tables  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

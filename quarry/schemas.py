@@ -1,0 +1,38 @@
+"""Explicit schemas of the model tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+
+def _schema(**fields: str) -> T.StructType:
+    kinds = {"l": T.LongType(), "s": T.StringType(), "d": T.DoubleType(), "b": T.BooleanType()}
+    kinds["v"] = T.ArrayType(T.FloatType())
+    kinds["a"] = T.ArrayType(T.StringType())
+    return T.StructType([T.StructField(k, kinds[v], True) for k, v in fields.items()])
+
+
+FILES = _schema(
+    id="l", relative_path="s", mtime_ms="l", content_hash="s", size_bytes="l", language="s", indexed_at="l"
+)
+SYMBOLS = _schema(
+    id="l", file_id="l", name="s", kind="s", line="l", column_num="l", start_byte="l", end_byte="l",
+    signature="s", name_path="s", parent_id="l",
+)
+IMPORTS = _schema(source_file_id="l", target_path="s", raw_import="s")
+CALLS = _schema(caller_file="s", caller_name="s", callee_name="s", line="l")
+INDEX_FAILURES = _schema(
+    file_path="s", error_type="s", error_message="s", failed_at="l", retry_count="l"
+)
+EMBEDDINGS = _schema(id="l", file_path="s", symbol_name="s", kind="s", line="l", text="s", embedding="v")
+AUDIT_LOG = _schema(
+    id="l", operation_id="s", timestamp_ms="l", principal="s", tool="s", args_hash="s", apply_status="s",
+    state_from="s", state_to="s", error_message="s", session_metadata="s",
+)
+AGENTS = _schema(session_id="s", agent_name="s", branch="s", worktree="s", intent="s", expires_at="l")
+CLAIMS = _schema(session_id="s", paths="a", reason="s", expires_at="l")
+
+SYMBOL_KINDS = (
+    "file", "class", "interface", "enum", "module", "method", "function", "property", "variable",
+    "type_alias", "unknown",
+)

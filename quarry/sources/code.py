@@ -1,0 +1,118 @@
+"""Sources and sinks: a project's files, Python symbols and calls, JSON lines, partitioned model tables."""
+
+from __future__ import annotations
+
+import ast
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+EXCLUDED = (
+    ".git", ".venv", "__pycache__", "build", "dist", "node_modules", "target", "vendor",
+)
+
+
+def project_files(spark: SparkSession, root: str, max_bytes: int = 10 << 20) -> DataFrame:
+    """(relative_path, content, size_bytes, mtime_ms): a recursive listing without excluded folders.
+
+    Listing and reading are Spark's: any storage it can read will do.
+    """
+    path = F.regexp_replace("path", "^file:/+", "/")
+    base = root.removeprefix("file://").rstrip("/") + "/"
+    rel = F.when(path.startswith(base), F.substring(path, len(base) + 1, 1 << 20)).otherwise(path)
+    skip = "(^|/)(" + "|".join(x.replace(".", r"\.") for x in EXCLUDED) + ")/"
+    return (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .load(root)
+        .where(F.col("length") <= max_bytes)
+        .select(
+            rel.alias("relative_path"),
+            F.decode("content", "UTF-8").alias("content"),
+            F.col("length").alias("size_bytes"),
+            F.unix_millis("modificationTime").alias("mtime_ms"),
+        )
+        .where(~F.col("relative_path").rlike(skip))
+        .withColumn("content_hash", F.sha2("content", 256))
+    )
+
+
+def _python_rows(path: str, text: str) -> Iterator[tuple]:
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError):
+        return
+    out = []
+
+    def walk(node, owner: str, in_class: bool):
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                is_class = isinstance(child, ast.ClassDef)
+                kind = "class" if is_class else "method" if in_class else "function"
+                name_path = f"{owner}/{child.name}" if owner else child.name
+                first = text.splitlines()[child.lineno - 1].strip()[:200]
+                out.append((path, "symbol", child.name, kind, name_path, child.lineno, child.end_lineno, first))
+                walk(child, name_path, is_class)
+            else:
+                if isinstance(child, ast.Call):
+                    f = child.func
+                    callee = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
+                    if callee:
+                        out.append((path, "call", callee, "", owner or "<module>", child.lineno, child.lineno, ""))
+                elif isinstance(child, ast.Import):
+                    for a in child.names:
+                        out.append((path, "import", a.name, "", owner, child.lineno, child.lineno, ""))
+                elif isinstance(child, ast.ImportFrom):
+                    name = "." * child.level + (child.module or "")
+                    out.append((path, "import", name, "", owner, child.lineno, child.lineno, ""))
+                walk(child, owner, in_class and not isinstance(child, ast.expr))
+
+    walk(tree, "", False)
+    yield from out
+
+
+_COLUMNS = ["file_path", "row", "name", "kind", "name_path", "line", "end_line", "signature"]
+
+
+def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = [r for p, t in zip(frame["relative_path"], frame["content"], strict=True) for r in _python_rows(p, t or "")]
+        yield pd.DataFrame(rows, columns=_COLUMNS)
+
+
+def parse_python(files: DataFrame) -> DataFrame:
+    """Symbols, calls and imports of Python files, one Arrow pass; files that do not parse give nothing.
+
+    For calls ``name_path`` is the enclosing definition, ``<module>`` outside one.
+    """
+    return files.select("relative_path", "content").mapInPandas(
+        _parse, "file_path string, row string, name string, kind string, name_path string, line long, end_line long, signature string"
+    )
+
+
+def write_model(rows: DataFrame, folder: str, buckets: int = 64, key: str = "file_path") -> None:
+    """A model table in hash buckets of its key: a refresh rewrites only the buckets it touches."""
+    (
+        rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        .repartition("bucket")
+        .sortWithinPartitions(key)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("bucket")
+        .parquet(folder)
+    )
+
+
+def write_jsonl(rows: DataFrame, folder: str) -> None:
+    rows.write.mode("append").json(folder)
+
+
+def federated(projects: dict[str, DataFrame]) -> DataFrame:
+    """Rows of several projects with a project column."""
+    out = None
+    for name, df in projects.items():
+        df = df.withColumn("project", F.lit(name))
+        out = df if out is None else out.unionByName(df)
+    return out
