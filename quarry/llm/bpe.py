@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_MEMO = 400_000
+MAX_MEMO = 100_000
 LONGEST_MEMO = 64
 
 
@@ -85,7 +85,6 @@ class Encoder:
         self.shorter = tables.shorter.tolist()
         self.size = [len(t) for t in self.tokens]
         self.whole = {t.decode("latin-1"): i for i, t in enumerate(self.tokens) if t}
-        self.names = [str(i) for i in range(len(self.tokens))]
         self.automaton = ahocorasick.Automaton()
         for i, t in enumerate(self.tokens):
             if t and tables.reachable[i]:
