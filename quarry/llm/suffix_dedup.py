@@ -445,7 +445,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     packed = found.select(
         "h", "uid", (F.col("p") * 65536 + (F.col("p") - F.col("a")) * 256 + (F.col("p") - F.col("b"))).alias("x")
     )
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # a table of its own: adaptive execution can then split the join's hot keys
+    often = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "suffix-often")
     p = F.shiftright("x", 16)
     dup = packed.join(often, "h").select(
         "uid",
@@ -468,7 +469,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         ),
         "suffix-kinds",
     )
-    several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    several = written(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "suffix-several")
     wanted = kinds.join(several, "h").select(
         "rep.uid", "h", "rep.p", "rep.a", "rep.b", (F.col("m") > MAX_BLOCKS).cast("int").alias("many")
     )
