@@ -248,3 +248,16 @@ def jaccard(a: Column, b: Column) -> Column:
     """Of two token sets; null if both are empty."""
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union)
+
+
+def file_tier(path: Column) -> Column:
+    """Whether a file without importers may still be used by shape: request, schema and type files."""
+    near = F.regexp_extract(F.lower(path), "([^/]*/)?[^/]*$", 0)
+    shaped = near.rlike("request|schema|types|contract|interface|model|dto")
+    return F.when(extension(path).isin("ts", "tsx") & shaped, "needs_structural_evidence").otherwise("high")
+
+
+def markup_penalty(path: Column, query: Column) -> Column:
+    """Configuration and markup count .55, unless the query is about it."""
+    asked = F.lower(query).rlike("config|yaml|yml|json|toml|markdown|readme|settings")
+    return F.when(extension(path).isin(*STRUCTURED_TYPES) & ~asked, 0.55).otherwise(1.0)

@@ -261,3 +261,85 @@ def phantom_modules(files: DataFrame) -> DataFrame:
         F.explode(F.split(F.regexp_replace("relative_path", r"\.[^./]*$", ""), "/")).alias("module")
     ).distinct()
     return declared.where(~F.col("module").rlike("^tests?$|_tests?$")).join(stems, "module", "left_anti")
+
+
+def word_at(files: DataFrame, points: DataFrame) -> DataFrame:
+    """(id, line_no, column, word): the identifier at each point (id, line_no, column from 1), if there is one."""
+    rows = lines(files).join(points, ["id", "line_no"])
+    head = F.regexp_extract(F.substring(F.col("line"), F.lit(1), F.col("column") - 1), "[A-Za-z0-9_]*$", 0)
+    tail = F.regexp_extract(F.substring(F.col("line"), F.col("column"), F.length("line")), "^[A-Za-z0-9_]*", 0)
+    return rows.select("id", "line_no", "column", F.concat(head, tail).alias("word")).where("word <> ''")
+
+
+def text_references(files: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
+    """(id, line_no, matches, is_declaration): occurrences of a name; a line that declares it is marked.
+
+    ``symbols``: (id of the file, name, line).  Files that declare a name of their own while not being the
+    first that does shadow it, and are left out.
+    """
+    decl = symbols.where(F.col("name") == name).select("id", F.col("line").alias("line_no"), F.lit(True).alias("d")).distinct()
+    first = decl.agg(F.min("id").alias("first"))
+    shadow = decl.crossJoin(F.broadcast(first)).where("id <> first").select("id").distinct()  # one row
+    hits = word_matches(files, name).join(shadow, "id", "left_anti")
+    return hits.join(decl, ["id", "line_no"], "left").select("id", "line_no", "matches", F.coalesce("d", F.lit(False)).alias("is_declaration"))
+
+
+def decorated(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(id, line_no): symbol lines (id, line_no) whose nearest line above that is not blank starts with @."""
+    by = Window.partitionBy("id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines(files).withColumn("above", F.last(F.when(F.trim("line") != "", F.trim("line")), ignorenulls=True).over(by))
+    return rows.where(F.col("above").startswith("@")).select("id", "line_no").join(symbols, ["id", "line_no"], "left_semi")
+
+
+def nested(symbols: DataFrame) -> DataFrame:
+    """(file_path, id, parent_id): the smallest other symbol of the file whose byte range contains a symbol's."""
+    outer = symbols.select("file_path", F.col("id").alias("parent_id"), F.col("start_byte").alias("ps"), F.col("end_byte").alias("pe"))
+    hit = symbols.join(outer, "file_path").where(
+        "id <> parent_id AND ps <= start_byte AND pe >= end_byte AND (ps < start_byte OR pe > end_byte)"
+    )
+    best = hit.groupBy("file_path", "id").agg(F.min(F.struct((F.col("pe") - F.col("ps")).alias("w"), F.col("parent_id"))).alias("m"))
+    return symbols.select("file_path", "id").join(best, ["file_path", "id"], "left").select("file_path", "id", F.col("m.parent_id").alias("parent_id"))
+
+
+def name_paths(tree: DataFrame, names: DataFrame, depth: int = 16) -> DataFrame:
+    """(id, name_path) from (id, parent_id) and (id, name): one join a level, up to the deepest."""
+    at = tree.select("id", "parent_id").join(names, "id").select("id", F.col("name").alias("name_path"), F.col("parent_id").alias("up"))
+    up = tree.select(F.col("id").alias("up"), F.col("parent_id").alias("above")).join(
+        names.select(F.col("id").alias("up"), F.col("name").alias("n")), "up"
+    )
+    for _ in range(depth):
+        if at.where("up IS NOT NULL").isEmpty():
+            break
+        at = at.join(up, "up", "left").select(
+            "id", F.when(F.col("n").isNotNull(), F.concat("n", F.lit("/"), "name_path")).otherwise(F.col("name_path")).alias("name_path"), F.col("above").alias("up")
+        )
+    return at.select("id", "name_path")
+
+
+def fingerprint(rows: DataFrame, order: list[str]) -> DataFrame:
+    """(rows, fingerprint) of a listing: a cursor made for another listing is told by it."""
+    return rows.agg(
+        F.count(F.lit(1)).alias("rows"), F.hex(F.bit_xor(F.xxhash64(*order))).alias("fingerprint")
+    )
+
+
+def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row per key, the last by an order: what a replacing insert leaves."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("m"))
+    return best.select(*keys, "m.*")
+
+
+def hashed_vectors(rows: DataFrame, size: int = 64) -> DataFrame:
+    """(id, embedding): a unit vector of signed hashed tokens; stands in where no model is at hand."""
+    h = F.transform(T.tokens(F.col("text")), lambda t: F.xxhash64(t))
+    place = F.transform("h", lambda x: F.pmod(x, F.lit(size)))
+    sign = F.transform("h", lambda x: F.when(x < 0, -1.0).otherwise(1.0))
+    rows = rows.select("id", h.alias("h")).select("id", place.alias("p"), sign.alias("s"))
+    raw = F.transform(
+        F.sequence(F.lit(0), F.lit(size - 1)),
+        lambda i: F.aggregate(F.zip_with("p", "s", lambda a, b: F.when(a == i, b).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x),
+    )
+    rows = rows.select("id", raw.alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    return rows.select("id", F.transform("v", lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float")).alias("embedding"))

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from quarry import adapters as A
 from quarry.functions import text as T
-from quarry.operators import edits, evaluation, graph, lookup, types
+from quarry.operators import edits, evaluation, graph, lookup, reports, types
 from quarry.registry import register
 
 E = f"e AS ({A.edges_sql(16)})"
@@ -411,3 +411,94 @@ SELECT DISTINCT src, 'update_import' FROM imp JOIN h ON h.file_path = imp.dst"""
 )
 def move_symbol_plan(spark, d):
     return edits.move(A.symbols(spark, d), _file_imports(spark, d), "small_ring", "src/rings.rs")
+
+
+# --- compositions ----------------------------------------------------------------------------------
+
+
+def _onboard_sql() -> str:
+    steps = _pagerank_sql().replace(f"WITH {E}, {N}", f"WITH RECURSIVE sy AS ({A.SYMBOLS_SQL}), e AS ({A.edges_sql(32)}), {N}", 1)
+    return steps + f""", t(a, b) AS (SELECT src, dst FROM e UNION SELECT t.a, e.dst FROM t JOIN e ON e.src = t.b),
+cy AS (SELECT a AS node, least(a, min(b)) AS component FROM (SELECT x.a, x.b FROM t x JOIN t y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b) GROUP BY a)
+SELECT * FROM (SELECT 'directory' AS section, regexp_extract(file_path, '^(.*/)', 1) AS item, CAST(count(*) AS VARCHAR) AS value FROM sy GROUP BY 2 ORDER BY count(*) DESC, 2 LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'important', CAST(node AS VARCHAR), printf('%.4f', score) FROM r{graph.ROUNDS} ORDER BY round(score, 9) DESC, node LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'cycle', CAST(component AS VARCHAR), CAST(count(*) AS VARCHAR) FROM cy GROUP BY component ORDER BY count(*) DESC, component LIMIT 10)"""
+
+
+@register("onboard_project", _onboard_sql())
+def onboard_project(spark, d):
+    return reports.onboard(A.symbols(spark, d), A.edges(spark, d, 32))
+
+
+@register(
+    "dead_code_report",
+    f"""WITH {_CALLS_SQL}, dd AS (SELECT id, name, file_path FROM sy WHERE kind IN ('function', 'method') AND name NOT IN (SELECT callee_name FROM calls WHERE call_id % 2 = 0)),
+t AS (SELECT * FROM dd WHERE contains(file_path, 'brand1') ORDER BY file_path, name, id LIMIT 10), l AS (SELECT name, count(*) AS n FROM sy WHERE id NOT IN (SELECT id FROM dd) GROUP BY 1)
+SELECT id, t.name, file_path, coalesce(n, 0) AS similar_live FROM t LEFT JOIN l USING (name)""",
+)
+def dead_code_report(spark, d):
+    s = A.symbols(spark, d)
+    dead = graph.dead_symbols(s, _calls(spark, d).where("call_id % 2 = 0")).select("id", "name", "file_path")
+    return reports.dead_code_report(dead, s, "brand1")
+
+
+@register(
+    "change_readiness",
+    f"""WITH {_CALLS_SQL}, ch AS (SELECT DISTINCT name FROM sy WHERE line % 5 = 0), r AS (SELECT callee_name AS name, count(*) AS n FROM calls GROUP BY 1), t AS (SELECT DISTINCT callee_name AS name FROM calls WHERE caller_name LIKE 'small%')
+SELECT ch.name AS subject, CASE WHEN coalesce(r.n, 0) > 3 AND t.name IS NULL THEN 'blocked' WHEN coalesce(r.n, 0) > 3 OR t.name IS NULL THEN 'caution' ELSE 'ready' END AS status
+FROM ch LEFT JOIN r USING (name) LEFT JOIN t USING (name)""",
+)
+def change_readiness(spark, d):
+    calls = _calls(spark, d)
+    name = F.col("callee_name").alias("subject")
+    changed = A.symbols(spark, d).where("line % 5 = 0").select(F.col("name").alias("subject"))
+    return reports.readiness(calls.select(name), calls.where("caller_name LIKE 'small%'").select(name), changed)
+
+
+@register(
+    "unresolved_references",
+    f"""WITH {_CALLS_SQL}, u AS (SELECT callee_name AS name, count(*) AS uses FROM calls GROUP BY 1 UNION ALL SELECT 'ghost_fn', 1),
+d AS (SELECT name, count(*) AS n FROM sy GROUP BY 1)
+SELECT u.name, uses, coalesce(n, 0) AS exact, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS status FROM u LEFT JOIN d USING (name)""",
+)
+def unresolved_references(spark, d):
+    uses = _calls(spark, d).select(F.col("callee_name").alias("name")).unionAll(spark.createDataFrame([("ghost_fn",)], "name string"))
+    return reports.unresolved(uses, A.symbols(spark, d))
+
+
+@register(
+    "index_definitions",
+    f"""WITH {_CALLS_SQL}, o AS (SELECT DISTINCT caller_file AS file, callee_name AS symbol FROM calls)
+SELECT DISTINCT o.file, CAST(length(o.symbol) AS BIGINT) AS line, o.symbol, sy.file_path AS def_file, sy.line AS def_line FROM o JOIN sy ON sy.name = o.symbol WHERE o.file = 'src/brand1/small.rs'""",
+)
+def index_definitions(spark, d):
+    s = A.symbols(spark, d)
+    uses = _calls(spark, d).select(F.col("caller_file").alias("file"), F.col("callee_name").alias("symbol")).distinct()
+    uses = uses.where("file = 'src/brand1/small.rs'").withColumn("line", F.length("symbol").cast("long"))
+    occ = uses.withColumn("role", F.lit("reference")).unionByName(
+        s.select(F.col("file_path").alias("file"), F.col("name").alias("symbol"), F.col("line"), F.lit("definition").alias("role"))
+    )
+    at = occ.where("role = 'reference'")
+    return reports.occurrences_at(occ, at.select("file", "line").distinct()).join(at.select("file", "line", "symbol"), ["file", "line", "symbol"]).select(
+        "file", "line", "symbol", "def_file", "def_line"
+    ).distinct()
+
+
+@register(
+    "analysis_artifacts",
+    "SELECT event_id AS id, value FROM events WHERE epoch_us(ts) // 1000 > 1705000000000 - 21600000 AND event_type = 'purchase' ORDER BY ts DESC, event_id LIMIT 50",
+)
+def analysis_artifacts(spark, d):
+    rows = A.tool_calls(spark, d).where("tool = 'purchase'").select(
+        F.col("call_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("created"), F.col("elapsed_ms").alias("value")
+    )
+    return reports.artifacts(rows, 1705000000000999, 21600000000, 50).select("id", "value")
+
+
+@register(
+    "workspace_packages",
+    "SELECT * FROM (VALUES ('crates/a/', 'rust'), ('web/', 'javascript'), ('.', 'python')) t(root, kind)",
+)
+def workspace_packages(spark, d):
+    paths = ["crates/a/Cargo.toml", "crates/a/src/lib.rs", "web/package.json", "pyproject.toml", "web/x/y.ts"]
+    return reports.workspaces(spark.createDataFrame([(p,) for p in paths], "relative_path string"))

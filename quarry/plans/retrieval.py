@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry import adapters as A
 from quarry.functions import text as T
-from quarry.operators import evaluation, rank, vector
+from quarry.operators import evaluation, rank, reports, vector
 from quarry.registry import register
 
 Q = A.QUERIES
@@ -429,3 +429,94 @@ def user_context_lane(spark, d):
         (F.col("elapsed_ms") / 1000).alias("similarity"),
     )
     return rank.user_lane(rows.where("position < 5")).select("query_id", "position", F.round("score", 6).alias("score"))
+
+
+# --- compositions ----------------------------------------------------------------------------------
+
+
+@register(
+    "query_analysis",
+    f"""WITH q AS ({A.queries_sql(Q)}), x AS (SELECT *, len(list_filter(regexp_split_to_array(trim(query), '\\s+'), lambda w: w <> '')) AS n,
+  len(list_distinct(list_filter(regexp_split_to_array(lower(query), '[^a-z0-9]+'), lambda w: length(w) >= 3))) AS t FROM q)
+SELECT query_id, CASE WHEN n >= 4 THEN 'sentence' WHEN n = 1 THEN 'identifier' ELSE 'phrase' END AS class,
+  n = 1 AND regexp_matches(query, '^[A-Za-z0-9_]+$') AS lexical_only, t BETWEEN 2 AND 4 AS prefer_sparse FROM x""",
+)
+def query_analysis(spark, d):
+    return reports.analyzed(A.queries_frame(spark, Q))
+
+
+@register(
+    "query_expansion",
+    f"""WITH q AS ({A.queries_sql(Q)}), w AS (SELECT query_id, list_filter(regexp_split_to_array(lower(query), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM q),
+g AS (SELECT query_id, w[i:i + n - 1] AS g FROM (SELECT query_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT unnest([2, 3]) AS n) WHERE len(w) >= n))
+SELECT DISTINCT query_id, unnest([array_to_string(g, '_'), array_to_string(list_transform(g, lambda x: concat(upper(x[1]), x[2:])), '')]) AS term FROM g""",
+)
+def query_expansion(spark, d):
+    return reports.expanded(A.queries_frame(spark, Q))
+
+
+@register(
+    "query_bridges",
+    f"""WITH q AS ({A.queries_sql(Q)}), b AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in reports.BRIDGES)}) b(word, term))
+SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query), '[^a-z0-9]+')) AS word FROM q) JOIN b USING (word)""",
+)
+def query_bridges(spark, d):
+    return reports.bridged(A.queries_frame(spark, Q))
+
+
+@register(
+    "sparse_coverage_bonus",
+    f"""WITH {BASE}, x AS (SELECT query_id, id, list_distinct(list_filter(regexp_split_to_array(lower(query), '[^a-z0-9]+'), lambda t: length(t) >= 3)) AS toks, lower(name) AS n FROM symbols, q),
+s AS (SELECT query_id, id, len(list_filter(toks, lambda t: regexp_matches(n, concat('(^|[^0-9a-z])', t, '([^0-9a-z]|$)')))) / len(toks) AS share FROM x WHERE len(toks) >= 2)
+SELECT query_id, id, round((share - 0.6) / 0.4 * 20, 4) AS bonus FROM s WHERE share >= 0.6""",
+)
+def sparse_coverage_bonus(spark, d):
+    rows = A.symbols(spark, d).crossJoin(F.broadcast(A.queries_frame(spark, Q)))  # corpus x five queries
+    toks = T.query_tokens(F.col("query"))
+    share = F.size(F.filter("toks", lambda t: T.has_word(F.col("name"), t))) / F.size("toks")
+    rows = rows.select("query_id", "id", "name", toks.alias("toks")).where("size(toks) >= 2").withColumn("share", share)
+    return rows.where("share >= 0.6").select("query_id", "id", F.round(reports.coverage_bonus(F.col("share")), 4).alias("bonus"))
+
+
+@register(
+    "candidate_pool",
+    f"""WITH {BASE}, e AS ({A.edges_sql(64)}), imp AS (SELECT DISTINCT a.file_path AS src, b.file_path AS dst FROM e JOIN symbols a ON a.id = e.src JOIN symbols b ON b.id = e.dst),
+tk AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(query), '[^a-z0-9]+'), lambda t: length(t) >= 3 AND t NOT IN ('find'))) AS token FROM q
+  UNION SELECT query_id, 'find' FROM q WHERE query LIKE '%find%'),
+h AS (SELECT query_id, file_path, count(*) AS hits FROM (SELECT DISTINCT file_path FROM symbols) JOIN tk ON contains(lower(file_path), token) GROUP BY 1, 2),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, file_path) AS r FROM h QUALIFY r <= 10),
+few AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM top) WHERE n <= 5 AND r <= 3),
+m AS (SELECT query_id, id FROM (SELECT query_id, token, id, row_number() OVER (PARTITION BY query_id, token ORDER BY length(name), id) AS r FROM symbols JOIN tk ON contains(lower(name), token)) WHERE r <= 10),
+l AS (SELECT query_id, id, 0 AS lane FROM top JOIN symbols USING (file_path) UNION ALL SELECT query_id, id, 1 FROM m
+  UNION ALL SELECT query_id, id, 2 FROM (SELECT DISTINCT query_id, src FROM few JOIN imp ON imp.dst = few.file_path) x JOIN symbols ON symbols.file_path = x.src)
+SELECT query_id, id, min(lane) AS lane FROM l GROUP BY 1, 2""",
+)
+def candidate_pool(spark, d):
+    s = A.symbols(spark, d)
+    a, b = (s.select(F.col("id").alias(k), F.col("file_path").alias(v)) for k, v in (("src", "sf"), ("dst", "df")))
+    imports = A.edges(spark, d, 64).join(a, "src").join(b, "dst").select(F.col("sf").alias("src"), F.col("df").alias("dst")).distinct()
+    return reports.candidate_pool(s, imports, A.queries_frame(spark, Q))
+
+
+@register(
+    "semantic_search",
+    f"""WITH {BASE}, {LEX}, dn AS (SELECT query_id, id, (id % 97) / 97.0 AS score FROM symbols, q WHERE id % 7 = 3),
+b AS (SELECT coalesce(dn.query_id, l.query_id) AS query_id, coalesce(dn.id, l.id) AS id,
+  round(CASE WHEN dn.score IS NULL THEN l.score / 100 * 0.35 ELSE dn.score + CASE WHEN l.score IS NOT NULL THEN 0.06 ELSE 0 END END, 6) AS score
+  FROM dn FULL JOIN (SELECT * FROM lx WHERE rank <= 50) l ON l.query_id = dn.query_id AND l.id = dn.id)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b) WHERE rank <= 20""",
+)
+def semantic_search(spark, d):
+    s, q = A.symbols(spark, d), A.queries_frame(spark, Q)
+    # stands in for a dense lane: the adapter defines which symbols it returns and their scores
+    dense = s.where("id % 7 = 3").crossJoin(F.broadcast(q)).select("query_id", "id", ((F.col("id") % 97) / 97.0).alias("score"))
+    return reports.semantic_search(dense, rank.lexical(s, q, 50), 20)
+
+
+@register(
+    "semantic_code_review",
+    f"""WITH {_VQ}, c AS (SELECT id AS cid, embedding AS vector FROM v WHERE file_path IN ('f1', 'f2')), s AS (SELECT cid AS id, id AS twin, {cos_sql("embedding", "vector")} AS score FROM v, c WHERE v.id <> cid)
+SELECT id, twin, score FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, twin) <= 3""",
+)
+def semantic_code_review(spark, d):
+    return reports.code_review(A.vectors(spark, d), spark.createDataFrame([("f1",), ("f2",)], "file_path string"))

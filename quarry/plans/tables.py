@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry import adapters as A
 from quarry.functions import text as T
-from quarry.operators import edits, lookup, telemetry
+from quarry.operators import edits, fuzzy, lookup, telemetry
 from quarry.registry import register
 from quarry.streaming import ingest
 
@@ -704,3 +704,122 @@ _EVENTS = [
 )
 def file_event_normalization(spark, d):
     return ingest.normalize(spark.createDataFrame(_EVENTS, "batch int, path string, kind string"))
+
+
+# --- more lookups ----------------------------------------------------------------------------------
+
+
+@register(
+    "fuzzy_symbol_search",
+    f"""WITH {SY}, q AS ({A.queries_sql(A.QUERIES)}), n AS (SELECT DISTINCT name FROM sy),
+s AS (SELECT query_id, name, round(jaro_winkler_similarity(lower(name), lower(query)) * 100, 4) AS score FROM n JOIN q ON contains(lower(name), lower(query)[1:2]))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS rank FROM s WHERE score >= 80) WHERE rank <= 10""",
+)
+def fuzzy_symbol_search(spark, d):
+    return fuzzy.fuzzy(A.symbols(spark, d), A.queries_frame(spark, A.QUERIES))
+
+
+@register(
+    "word_at_position",
+    f"""WITH {FI}, l AS (SELECT id, string_split(content, chr(10))[1] AS line FROM fi)
+SELECT id, CAST(1 AS BIGINT) AS line_no, regexp_extract(line[1:4], '[A-Za-z0-9_]*$') || regexp_extract(line[5:], '^[A-Za-z0-9_]*') AS word FROM l
+WHERE regexp_extract(line[1:4], '[A-Za-z0-9_]*$') || regexp_extract(line[5:], '^[A-Za-z0-9_]*') <> ''""",
+)
+def word_at_position(spark, d):
+    f = A.files(spark, d)
+    points = f.select("id", F.lit(1).cast("long").alias("line_no"), F.lit(5).alias("column"))
+    return lookup.word_at(f, points).select("id", "line_no", "word")
+
+
+@register(
+    "text_references",
+    f"""WITH {FI}, l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM fi),
+m AS (SELECT id, line_no, CAST(len(regexp_extract_all(regexp_replace(line, '(//|#).*$', ''), '\\bhand\\b')) AS BIGINT) AS matches FROM l)
+SELECT id, line_no, matches, id = 3 AND line_no = 1 AS is_declaration FROM m WHERE matches > 0 AND id <> 5""",
+)
+def text_references(spark, d):
+    decl = spark.createDataFrame([(3, "hand", 1), (5, "hand", 1)], "id long, name string, line long")
+    return lookup.text_references(A.files(spark, d), decl, "hand")
+
+
+@register("decorated_symbols", "SELECT CAST(7 AS BIGINT) AS id, CAST(x AS BIGINT) AS line_no FROM (SELECT unnest([3, 6]) AS x)")
+def decorated_symbols(spark, d):
+    f = spark.createDataFrame([(7, "@a\n\ndef f():\n  pass\n@b\nclass C:\n  x\ndef g():")], "id long, content string")
+    return lookup.decorated(f, spark.createDataFrame([(7, 3), (7, 6), (7, 8)], "id long, line_no long"))
+
+
+_RANGES = "rg AS (SELECT CAST(p_partkey AS BIGINT) AS id, concat(p_brand, p_type) AS file_path, p_size * 10 AS s, p_size * 10 + 5 + (p_partkey % 7) * 40 AS e FROM part)"
+
+
+@register(
+    "symbol_nesting",
+    f"""WITH {_RANGES} SELECT a.file_path, a.id, arg_min(b.id, (b.e - b.s) * 10000000 + b.id) AS parent_id FROM rg a
+LEFT JOIN rg b ON a.file_path = b.file_path AND a.id <> b.id AND b.s <= a.s AND b.e >= a.e AND (b.s < a.s OR b.e > a.e) GROUP BY 1, 2""",
+)
+def symbol_nesting(spark, d):
+    p = A.table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.concat("p_brand", "p_type").alias("file_path"), (F.col("p_size") * 10).alias("start_byte"),
+        (F.col("p_size") * 10 + 5 + (F.col("p_partkey") % 7) * 40).alias("end_byte"),
+    )
+    return lookup.nested(p)
+
+
+@register(
+    "nested_name_paths",
+    "SELECT * FROM (VALUES (1, 'A'), (2, 'A/b'), (3, 'A/b/c'), (4, 'd')) t(id, name_path)",
+)
+def nested_name_paths(spark, d):
+    tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, None)], "id int, parent_id int")
+    names = spark.createDataFrame([(1, "A"), (2, "b"), (3, "c"), (4, "d")], "id int, name string")
+    return lookup.name_paths(tree, names)
+
+
+@register(
+    "import_upsert",
+    "SELECT l_orderkey, l_suppkey, arg_max(l_partkey, l_linenumber * 1000000 + l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2",
+)
+def import_upsert(spark, d):
+    rows = A.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("o"))
+    return lookup.last_wins(rows, ["l_orderkey", "l_suppkey"], "o").select("l_orderkey", "l_suppkey", "l_partkey")
+
+
+@register("listing_cursor", f"WITH {SY} SELECT count(*) AS rows, true AS stable FROM sy")
+def listing_cursor(spark, d):
+    s = A.symbols(spark, d)
+    a, b = lookup.fingerprint(s, ["id", "name"]), lookup.fingerprint(s.orderBy(F.col("name").desc()), ["id", "name"])
+    return a.join(b, "rows").select("rows", (a["fingerprint"] == b["fingerprint"]).alias("stable"))
+
+
+@register("hashed_embeddings", f"WITH {SY} SELECT id, CAST(64 AS BIGINT) AS dims, CAST(1.0 AS DOUBLE) AS norm FROM sy")
+def hashed_embeddings(spark, d):
+    v = lookup.hashed_vectors(A.symbols(spark, d).select("id", F.concat_ws(" ", "name", "signature").alias("text")))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return v.select("id", F.size("embedding").cast("long").alias("dims"), F.round(norm, 4).alias("norm"))
+
+
+@register(
+    "memory_notes",
+    "SELECT * FROM (VALUES ('a', 'title: x', 'body'), ('b', '', 'plain')) t(note, header, body)",
+)
+def memory_notes(spark, d):
+    rows = spark.createDataFrame([("a", "---\ntitle: x\n---\nbody"), ("b", "plain")], "note string, text string")
+    return rows.select("note", T.frontmatter(F.col("text")).alias("f")).select("note", "f.header", "f.body")
+
+
+@register(
+    "call_arg_hashes",
+    """SELECT event_type AS tool, count(DISTINCT props) AS distinct_args FROM events GROUP BY 1""",
+)
+def call_arg_hashes(spark, d):
+    rows = A.tool_calls(spark, d).withColumn("h", F.xxhash64(F.to_json(F.from_json("args", "map<string,string>"))))
+    return rows.groupBy("tool").agg(F.countDistinct("h").alias("distinct_args"))
+
+
+@register(
+    "file_confidence",
+    "SELECT * FROM (VALUES ('a/request.ts', 'needs_structural_evidence', 1.0::DOUBLE), ('dto/x.tsx', 'needs_structural_evidence', 1.0::DOUBLE), ('a/x.ts', 'high', 1.0::DOUBLE), ('a/request.rs', 'high', 1.0::DOUBLE), ('ci.yml', 'high', 0.55::DOUBLE)) t(path, tier, penalty)",
+)
+def file_confidence(spark, d):
+    paths = ["a/request.ts", "dto/x.tsx", "a/x.ts", "a/request.rs", "ci.yml"]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    return rows.select("path", T.file_tier(F.col("path")).alias("tier"), T.markup_penalty(F.col("path"), F.lit("query")).alias("penalty"))

@@ -116,3 +116,42 @@ def federated(projects: dict[str, DataFrame]) -> DataFrame:
         df = df.withColumn("project", F.lit(name))
         out = df if out is None else out.unionByName(df)
     return out
+
+
+def _reference_rows(path: str, text: str) -> Iterator[tuple]:
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError):
+        return
+    out = []
+
+    def walk(node, scope: str):
+        for child in ast.iter_child_nodes(node):
+            inner = scope
+            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                out.append((path, child.name, child.lineno, "definition", scope))
+                inner = f"{scope}/{child.name}" if scope else child.name
+            elif isinstance(child, ast.Name):
+                kind = "read" if isinstance(child.ctx, ast.Load) else "write"
+                out.append((path, child.id, child.lineno, kind, scope))
+            elif isinstance(child, ast.arg):
+                out.append((path, child.arg, child.lineno, "definition", scope))
+            elif isinstance(child, ast.alias):
+                out.append((path, (child.asname or child.name).split(".")[0], child.lineno, "import", scope))
+            walk(child, inner)
+
+    walk(tree, "")
+    yield from out
+
+
+def _references(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = [r for p, t in zip(frame["relative_path"], frame["content"], strict=True) for r in _reference_rows(p, t or "")]
+        yield pd.DataFrame(rows, columns=["file_path", "name", "line", "kind", "scope"])
+
+
+def scoped_references(files: DataFrame) -> DataFrame:
+    """(file_path, name, line, kind, scope) in Python files: definitions, reads, writes and imports."""
+    return files.select("relative_path", "content").mapInPandas(
+        _references, "file_path string, name string, line long, kind string, scope string"
+    )
