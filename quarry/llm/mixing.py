@@ -112,11 +112,12 @@ def placed(
 ) -> DataFrame:
     """``docs`` with stream, weight, block, release, deadline, slot and place (its order in the block).
 
-    Sorted by slot and place they are the mix.
+    Sorted by slot and place they are the mix.  Columns of these names are replaced.
     """
     spark = docs.sparkSession
     found = streams(docs, weights, period)
     extra = "stream string, weight double, block long, release long, deadline long, slot long, place int"
+    docs = docs.drop(*[x.split()[0] for x in extra.split(", ")])
     if not found:
         return docs.select("*", *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in extra.split(", ")])
     known = spark.createDataFrame(

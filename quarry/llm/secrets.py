@@ -156,7 +156,10 @@ def _has(text: Column, parts: tuple[str, ...]) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``base`` and ``spans``: arrays of (start, kind as an index of KINDS, stop)."""
+    """``docs`` with ``base`` and ``spans``: arrays of (start, kind as an index of KINDS, stop).
+
+    Columns of these names are replaced.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     long_value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)) >= 6
     assign = F.when(
@@ -175,7 +178,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         )
         return F.struct(x["base"].alias("base"), F.sort_array(F.concat(x["base"], fresh)).alias("spans"))
 
-    return docs.select("*", let(found, joined).alias("_found")).select("*", "_found.base", "_found.spans").drop("_found")
+    out = docs.withColumn("_found", let(found, joined))
+    return out.withColumns({"base": F.col("_found.base"), "spans": F.col("_found.spans")}).drop("_found")
 
 
 def listed(spans: Column) -> Column:

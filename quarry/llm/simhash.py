@@ -168,7 +168,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of rows that repeat an id one stays; rows without an id cannot be chosen or rejected, and stay.
     """
     least = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    out = docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*[f"`{c}`" for c in docs.columns])
     return out.unionAll(docs.where("doc_id IS NULL"))
 
 
