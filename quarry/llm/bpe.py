@@ -7,9 +7,10 @@ fits are marked and never tried again, which bounds the walk by the piece's leng
 merging their bytes by rank would end with exactly these two: that is decided by undoing merges at the
 seam, and memoised.  The result is the one that merging by rank gives.
 
-Each match of the split pattern is a piece of its own.  Pieces repeat, so their ids are memoised too, in
-a table that is emptied when it is full.  A vocabulary is a bounded parameter: it is read on the driver
-and broadcast.
+Each match of the split pattern is a piece of its own.  Pieces repeat, so their ids are memoised too, as
+packed bytes, in two generations: when the younger is full it becomes the older, whose pieces come back
+when they are used.  Memo tables last for a task.  A vocabulary is a bounded parameter: it is read on the
+driver and broadcast.
 
 Defined cases: a null or empty text has no tokens and decodes to no bytes; repeated rows are encoded one
 by one; an empty table gives no rows; extra columns are ignored.
@@ -18,7 +19,7 @@ by one; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import base64
-from itertools import chain
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -27,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_MEMO = 100_000
+MAX_MEMO = 200_000
 LONGEST_MEMO = 64
 
 
@@ -85,10 +86,11 @@ class Encoder:
         self.shorter = tables.shorter.tolist()
         self.size = [len(t) for t in self.tokens]
         self.whole = {t.decode("latin-1"): i for i, t in enumerate(self.tokens) if t}
-        self.automaton = ahocorasick.Automaton()
+        self.single = {t.decode("latin-1"): i for i, t in enumerate(self.tokens) if len(t) == 1}
+        self.automaton = ahocorasick.Automaton()  # single bytes need no search
         for i, t in enumerate(self.tokens):
-            if t and tables.reachable[i]:
-                self.automaton.add_word(t.decode("latin-1"), i)
+            if len(t) > 1 and tables.reachable[i]:
+                self.automaton.add_word(t.decode("latin-1"), (i, len(t) - 1))
         self.automaton.make_automaton()
         shift = self.shift = len(self.tokens).bit_length()
         self.joined = {
@@ -97,7 +99,11 @@ class Encoder:
             if a != i and self.size[i] > 1
         }
         self.pieces = regex.compile(pattern).findall
-        self.memo: dict[str, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.fits: dict[int, bool] = {}
 
     def _fit(self, a: int, b: int) -> bool:
@@ -118,10 +124,10 @@ class Encoder:
         """Ids of one piece, given as bytes in Latin-1."""
         if (i := self.whole.get(data)) is not None:
             return [i]
-        size, fits, shift, n = self.size, self.fits, self.shift, len(data)
-        longest = [0] * n
-        for end, i in self.automaton.iter(data):  # ends ascend: the last one for a start is the longest
-            longest[end - size[i] + 1] = i
+        size, fits, shift, n, single = self.size, self.fits, self.shift, len(data), self.single
+        longest = [single[c] for c in data]
+        for end, (i, back) in self.automaton.iter(data):  # ends ascend: the last one for a start is the longest
+            longest[end - back] = i
         out: list[int] = []
         dead = bytearray(n + 1)
         at, token = 0, longest[0]
@@ -150,22 +156,26 @@ class Encoder:
                 token = out.pop()
                 at -= size[token]
 
-    def _learn(self, piece: str) -> list[int]:
-        ids = self.piece(piece.encode().decode("latin-1"))
+    def _learn(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("i", self.piece(piece.encode().decode("latin-1"))).tobytes()
         if len(piece) <= LONGEST_MEMO:
             if len(self.memo) >= MAX_MEMO:
-                self.memo.clear()
+                self.memo, self.older = {}, self.memo
             self.memo[piece] = ids
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids of a text as int32."""
         if not text:
-            return []
-        get, learn = self.memo.get, self._learn
-        return list(chain.from_iterable([get(p) or learn(p) for p in self.pieces(text)]))
+            return np.zeros(0, np.int32)
+        memo, learn = self.memo, self._learn
+        packed = [memo.get(p) or learn(p) for p in self.pieces(text)]
+        return np.frombuffer(b"".join(packed), np.int32)
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 _ENCODERS: dict[object, Encoder] = {}
@@ -186,13 +196,14 @@ def tokenize(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = (
 
     def run(batches):
         enc = _encoder(tables, pattern, key)
+        enc.forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 offsets, values, decoded = [0], [], []
                 for text in part.column(part.num_columns - 1):
                     ids = enc.encode(text.as_py())
-                    values.append(np.array(ids, np.int32))
+                    values.append(ids)
                     offsets.append(offsets[-1] + len(ids))
                     decoded.append(enc.decode(ids))
                 flat = np.concatenate(values) if values else np.zeros(0, np.int32)
@@ -204,6 +215,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = (
                     ],
                     ["doc_id", *keep, "ids", "decoded"],
                 )
+        enc.forget()  # an idle worker holds no memo
 
     kept = "".join(f"`{c}` {dict(docs.dtypes)[c]}, " for c in keep)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text")).mapInArrow(
