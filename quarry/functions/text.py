@@ -48,6 +48,11 @@ STRUCTURED_TYPES = ("yml", "yaml", "json", "toml", "lock", "md", "cfg", "ini")
 TAGS = ("TODO", "FIXME", "HACK", "DEPRECATED", "XXX", "NOTE")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also inside higher-order functions."""
+    return F.transform(F.array(value), body)[0]
+
+
 def symbol_id(path: Column, kind: Column, name_path: Column) -> Column:
     return F.concat(path, F.lit("#"), kind, F.lit(":"), name_path)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.functions import text as T
 from quarry.operators.telemetry import ratio
 
 
@@ -61,12 +62,13 @@ def contamination(items: DataFrame, corpus: DataFrame, size: int = 12) -> DataFr
     """
 
     def runs(df: DataFrame, key: str) -> DataFrame:
-        w = F.split(normalized(F.col("text")), " ")
-        n = F.size(w)
-        shingle = F.transform(
-            F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " "))
-        )
-        return df.where(n >= size).select(key, F.explode(F.array_distinct(shingle)).alias("h"))
+        def shingles(w):
+            at = F.sequence(F.lit(1), F.size(w) - size + 1)
+            each = F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " ")))
+            return F.when(F.size(w) >= size, F.array_distinct(each))
+
+        found = T.let(F.split(normalized(F.col("text")), " "), shingles)
+        return df.select(key, F.explode(found).alias("h"))
 
     hits = runs(corpus, "doc_id").join(runs(items, "item_id"), "h").select("item_id", "doc_id").distinct()
     return hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))

@@ -41,7 +41,8 @@ def pagerank(edges: DataFrame, indexed: DataFrame | None = None, rounds: int = R
     if not n:
         return known.select("node", F.lit(0.0).alias("score"))
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    laid = edges.join(degree, "src").join(known.select(F.col("node").alias("dst")), "dst", "left_semi").checkpoint()
+    laid = edges.join(degree, "src").join(known.select(F.col("node").alias("dst")), "dst", "left_semi")
+    laid = laid.repartition("src").checkpoint()
     base = (1 - DAMPING) / n
     rank = known.select("node", F.lit(1.0 / n).alias("score"))
     for i in range(rounds):
