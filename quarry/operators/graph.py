@@ -33,7 +33,7 @@ def pagerank(edges: DataFrame, indexed: DataFrame | None = None, rounds: int = R
 
     Out-degrees count edges to targets that are not indexed; what leaves that way, or from nodes without
     edges, is lost and not handed out again.  Each round is one join on the edge's source and one
-    partially combined sum; the edge table is laid out by source once.
+    partially combined sum, over an edge table that is made once, with its out-degrees.
     """
     _shared(edges.sparkSession)
     known = (indexed if indexed is not None else nodes(edges)).select("node").distinct().checkpoint()
@@ -41,8 +41,7 @@ def pagerank(edges: DataFrame, indexed: DataFrame | None = None, rounds: int = R
     if not n:
         return known.select("node", F.lit(0.0).alias("score"))
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    laid = edges.join(degree, "src").join(known.select(F.col("node").alias("dst")), "dst", "left_semi")
-    laid = laid.repartition("src").checkpoint()
+    laid = edges.join(degree, "src").join(known.select(F.col("node").alias("dst")), "dst", "left_semi").checkpoint()
     base = (1 - DAMPING) / n
     rank = known.select("node", F.lit(1.0 / n).alias("score"))
     for i in range(rounds):
