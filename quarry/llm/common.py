@@ -25,15 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     a folder of its own; a cluster without it is a configuration error.
     """
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = sc.getCheckpointDir()
-        if folder is None:
-            folder = "file://" + tempfile.mkdtemp(prefix="quarry-")
-            sc.setCheckpointDir(folder)
-    elif sc.getCheckpointDir() is None:
+        folder = "file://" + tempfile.mkdtemp(prefix="quarry-")
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 

@@ -235,3 +235,17 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
 
 def query(vectors: DataFrame) -> DataFrame:
     return near_duplicates(vectors)
+
+
+#: All pairs by brute force, for small tables.
+ORACLE_SQL = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS uid, CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+ok AS (SELECT uid, vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+l AS (SELECT a.uid AS a, b.uid AS b, a.vec_id AS ia, b.vec_id AS ib FROM ok a JOIN ok b ON a.uid <> b.uid AND len(a.e) = len(b.e) AND a.n > 0 AND b.n > 0
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= {LIMIT}),
+r(a, b) AS (SELECT ia, ib FROM l UNION SELECT r.a, l.ib FROM r JOIN l ON l.ia = r.b),
+c AS (SELECT a, min(b) AS m FROM r GROUP BY a), k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, least(vec_id, coalesce(c.m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c.m, vec_id)) AS kept
+FROM v LEFT JOIN k ON k.a = v.uid LEFT JOIN c ON c.a = v.vec_id
+"""

@@ -247,3 +247,42 @@ def query(docs: DataFrame) -> DataFrame:
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )
+
+
+# Written apart from the above: patterns as specified, entropies by counting each window anew.
+_FIND = """
+  SELECT uid, '{kind}' AS kind, {at} AS k, m, CAST(sum(gap) OVER w + coalesce(sum(length(m)) OVER v, 0) AS BIGINT) AS s
+  FROM (SELECT uid, i, f[i] AS m, length(g[i]) AS gap FROM (SELECT uid, f, g, unnest(range(1, len(f) + 1)) AS i FROM (
+    SELECT uid, regexp_extract_all(t, '{pat}') AS f, regexp_split_to_array(t, '{pat}') AS g FROM d)))
+  WINDOW w AS (PARTITION BY uid ORDER BY i ROWS UNBOUNDED PRECEDING),
+    v AS (PARTITION BY uid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+_WINDOWS = f"range(1, length(m) - {WINDOW - 2})"
+_NEEDS = {"mixed": ("[a-z]", "[A-Z]", "[0-9]"), "upper": ("[A-Z]", "[0-9]")}
+_CANDIDATES = {"mixed": "[A-Za-z0-9+/_-]{20,}", "upper": "[A-Z0-9]{20,}"}
+
+
+def _entropy_sql(name: str) -> str:
+    needs = " AND ".join(f"regexp_matches(m, '{n}')" for n in _NEEDS[name])
+    counted = "list_sum(list_transform(map_values(list_aggregate(string_split(m[i:i + 19], ''), 'histogram')), lambda c: c * log2(c)))"
+    return f"""SELECT uid, kind, k, m, s FROM ({_FIND.format(kind="entropy", at=3, pat=_CANDIDATES[name])}) WHERE {needs}
+  AND NOT regexp_matches(m, '(?i)example|sample|dummy|placeholder|changeme|abcdefgh|qwerty|12345678')
+  AND NOT list_bool_or(list_transform(range(1, length(m) - 4), lambda i: len(list_distinct(string_split(m[i:i + 5], ''))) = 1))
+  AND list_max(list_transform({_WINDOWS}, lambda i: log2({WINDOW}) - {counted} / {WINDOW})) >= {CLASSES[name][2]}"""
+
+
+_ASSIGN_SQL = ASSIGN.replace("'", "''")
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS t FROM documents),
+a AS (SELECT * FROM ({_FIND.format(kind="assign", at=0, pat=_ASSIGN_SQL)}) WHERE length(regexp_extract(m, '{_ASSIGN_SQL}', 1)) >= 6),
+c AS (SELECT * FROM ({_FIND.format(kind="access", at=1, pat="AKIA[A-Z0-9]+")}) WHERE length(m) >= 20),
+h AS (SELECT * FROM ({_FIND.format(kind="hex", at=2, pat="[0-9a-f]+")}) WHERE length(m) >= 24),
+base AS (SELECT uid, kind, k, s, s + length(m) AS e FROM (SELECT * FROM a UNION ALL SELECT * FROM c UNION ALL SELECT * FROM h)),
+more AS (SELECT DISTINCT uid, kind, k, s, s + length(m) AS e FROM ({_entropy_sql("mixed")} UNION ALL {_entropy_sql("upper")})),
+fresh AS (SELECT * FROM more WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.uid = more.uid AND base.s < more.e AND more.s < base.e)),
+b AS (SELECT uid, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2,
+  string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, k, e) AS l FROM base GROUP BY uid),
+x AS (SELECT uid, string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, k, e) AS l FROM (SELECT * FROM base UNION ALL SELECT * FROM fresh) GROUP BY uid)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
+  sha256(coalesce(b.l, '')) AS base_sha256, coalesce(x.l, '') AS spans
+FROM d LEFT JOIN b USING (uid) LEFT JOIN x USING (uid)
+"""
