@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import text as T
+from quarry.operators.sizes import batch, small
 
 FIELD_WEIGHTS = {"name_path": 5.0, "name": 4.0, "signature": 2.5, "file_path": 1.5}
 K1, B = 1.2, 0.75
@@ -49,20 +50,20 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, fields: dict[str, flo
     asked = queries.select(
         "query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term")
     )
-    wanted = F.broadcast(asked)  # a batch of queries, given by the caller
-    hits = terms.join(F.broadcast(asked.select("term").distinct()), "term")
+    wanted = small(asked)
+    hits = terms.join(small(asked.select("term").distinct()), "term")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     count = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
     tf = F.col("tf_w") * (K1 + 1) / (F.col("tf_w") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     scored = (
-        hits.join(F.broadcast(df), "term")  # one row per query term
+        hits.join(df, "term")  # one row per query term: the planner sees its size
         .join(wanted, "term")
         .join(lengths, "id")
         .crossJoin(F.broadcast(stats))  # one row
         .groupBy("query_id", "id")
         .agg(F.sum(idf * tf).alias("score"), F.count(F.lit(1)).alias("matched"))
-        .join(F.broadcast(count), "query_id")
+        .join(small(count), "query_id")
         .withColumn(
             "score", F.when(F.col("matched") / F.col("n_terms") >= 0.8, F.col("score") * 1.1).otherwise(F.col("score"))
         )
@@ -96,7 +97,7 @@ def fts_prefix(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asked = queries.select(
         "query_id", F.explode(F.filter(F.split(F.lower("query"), r"[\s_-]+"), lambda x: x != "")).alias("prefix")
     )
-    hits = have.join(F.broadcast(asked), F.col("token").startswith(F.col("prefix")))
+    hits = have.join(batch(asked), F.col("token").startswith(F.col("prefix")))
     counted = hits.groupBy("query_id", "id").agg(F.countDistinct("prefix").alias("score"))
     return top_k(counted, k, "score", "id")
 
@@ -139,7 +140,7 @@ def lexical_score(query: Column, name: Column, signature: Column, name_path: Col
 def lexical(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Top k of each query by the ladder."""
     c = F.col
-    rows = docs.crossJoin(F.broadcast(queries)).select(  # corpus x a small batch, no pair is kept without a hit
+    rows = docs.crossJoin(batch(queries)).select(  # a stated query set against all rows
         "query_id", "id", lexical_score(c("query"), c("name"), c("signature"), c("name_path"), c("file_path"), c("kind")).alias("score")
     )
     return top_k(rows.where("score IS NOT NULL"), k, "score", "id")
@@ -225,7 +226,7 @@ def budget(rows: DataFrame, size: str, limit: int) -> DataFrame:
 
 def hybrid(docs: DataFrame, queries: DataFrame, importance: DataFrame, k: int = 10) -> DataFrame:
     """Exact names first, then prefix hits, plus up to 5 for importance; one row a symbol, diverse by file."""
-    exact = docs.join(F.broadcast(queries), F.lower("name") == F.lower("query")).select(
+    exact = docs.join(small(queries), F.lower("name") == F.lower("query")).select(
         "query_id", "id", F.lit(100.0).alias("score"), F.lit(0).alias("lane")
     )
     hits = fts_prefix(docs, queries, 50).select(

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions import text as T
 from quarry.operators import graph, lookup, rank, vector
+from quarry.operators.sizes import batch, small
 
 
 def onboard(symbols: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
@@ -32,12 +33,12 @@ def candidate_pool(symbols: DataFrame, importers: DataFrame, queries: DataFrame,
     """
     toks = queries.select("query_id", F.explode(T.query_tokens(F.col("query"))).alias("token"))
     paths = symbols.select("file_path").distinct()
-    hit = paths.join(F.broadcast(toks), F.contains(F.lower("file_path"), F.col("token")))
+    hit = paths.join(batch(toks), F.contains(F.lower("file_path"), F.col("token")))
     scored = hit.groupBy("query_id", "file_path").agg(F.count(F.lit(1)).alias("hits"))
     top = rank.top_k(scored, files, "hits", "file_path")
     few = top.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).where("n <= 5 AND rank <= 3")
     near = few.join(importers.select(F.col("dst").alias("file_path"), F.col("src").alias("user")), "file_path").select("query_id", F.col("user").alias("file_path"))
-    match = symbols.join(F.broadcast(toks), F.contains(F.lower("name"), F.col("token"))).select("query_id", "token", "id", F.length("name").alias("len"))
+    match = symbols.join(batch(toks), F.contains(F.lower("name"), F.col("token"))).select("query_id", "token", "id", F.length("name").alias("len"))
     by = Window.partitionBy("query_id", "token").orderBy("len", "id")
     match = match.withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_token)
     lanes = [
@@ -72,7 +73,7 @@ def dead_code_report(dead: DataFrame, symbols: DataFrame, scope: str, k: int = 1
 
 def code_review(rows: DataFrame, changed: DataFrame, k: int = 3) -> DataFrame:
     """(id, twin, score): for the rows of changed files, similar ones elsewhere."""
-    inside = rows.join(F.broadcast(changed), "file_path", "left_semi").select("id")
+    inside = rows.join(small(changed), "file_path", "left_semi").select("id")
     near = vector.similar(rows, inside, k)
     return near.select(F.col("query_id").alias("id"), F.col("id").alias("twin"), "score")
 

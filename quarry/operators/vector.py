@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import text as T
+from quarry.operators.sizes import batch, small
 
 #: Query batches up to this number are sent to every task; larger ones are refused.
 MAX_QUERIES = 10_000
@@ -21,9 +22,7 @@ def knn(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine"
 
     ``within`` names a column that must agree: candidates are then an equi-join on it.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in a batch")
-    q = F.broadcast(queries)
+    q = batch(queries, MAX_QUERIES)
     both = rows.join(q, within) if within else rows.crossJoin(q)  # queries against all rows
     score = T.cosine(F.col("embedding"), F.col("vector"))
     if metric == "l2":
@@ -35,7 +34,7 @@ def knn(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine"
 
 def similar(rows: DataFrame, targets: DataFrame, k: int = 5) -> DataFrame:
     """Nearest rows of given rows, without themselves: oversampled, then cut."""
-    q = rows.join(F.broadcast(targets), "id").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    q = rows.join(small(targets), "id").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
     near = knn(rows, q, k + 8).where("id <> query_id")
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return near.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)
@@ -72,7 +71,7 @@ def file_means(rows: DataFrame) -> DataFrame:
 
 def classify(rows: DataFrame, categories: DataFrame) -> DataFrame:
     """(id, category, score): the best category of each row; categories are a small table."""
-    both = rows.crossJoin(F.broadcast(categories)).select(
+    both = rows.crossJoin(batch(categories)).select(
         "id", "category", F.round(T.cosine(F.col("embedding"), F.col("vector")), 6).alias("score")
     )
     best = both.groupBy("id").agg(F.max(F.struct(F.col("score"), F.col("category"))).alias("m"))
