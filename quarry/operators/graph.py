@@ -202,14 +202,18 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> D
     """Where each call goes: the first stage of a cascade that fits, with its confidence.
 
     Same file .90, an imported file .95, the only definition of the name .65, the nearest by common
-    directories .50, unresolved .25.  Every stage is an equi-join on the callee's name; per call one
-    candidate is kept by a partially combined minimum.
+    directories .50, unresolved .25.  Calls of the same name from the same file go the same way, so that
+    such a site is resolved once.  Every stage is an equi-join on the callee's name; per site one candidate
+    is kept by a partially combined minimum.
     """
+    site = ["caller_file", "callee_name"]
     per_name = symbols.groupBy("name").agg(F.countDistinct("file_path").alias("defs"))
     defs = symbols.select(F.col("name").alias("callee_name"), F.col("file_path").alias("target")).distinct()
     linked = imports.select(F.col("src").alias("caller_file"), F.col("dst").alias("target"), F.lit(1).alias("imported"))
     cand = (
-        calls.join(defs, "callee_name")
+        calls.select(*site)
+        .distinct()
+        .join(defs, "callee_name")
         .join(per_name.withColumnRenamed("name", "callee_name"), "callee_name")
         .join(linked.distinct(), ["caller_file", "target"], "left")
     )
@@ -230,13 +234,13 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> D
     )
     best = (
         cand.withColumn("pick", F.struct(stage.alias("stage"), (-common).alias("near"), F.col("target")))
-        .groupBy("call_id")
+        .groupBy(*site)
         .agg(F.min("pick").alias("p"))
     )
     names = F.array(*[F.lit(x) for x in ("same_file", "import_map", "unique_name", "path_proximity", "unresolved")])
     confidence = F.array(*[F.lit(x) for x in (0.90, 0.95, 0.65, 0.50, 0.25)])
     at = F.coalesce("p.stage", F.lit(4))
-    return calls.join(best, "call_id", "left").select(
+    return calls.join(best, site, "left").select(
         *calls.columns,
         F.when(at < 4, F.col("p.target")).alias("resolved_file"),
         F.get(names, at).alias("strategy"),
