@@ -27,7 +27,7 @@ RULES: dict[str, str] = {
     "symbols": "10 * n_symbols > n_words",
     "duplicate_lines": "100 * n_dup_lines > 40 * n_lines",
     "word_length": "word_chars > 12 * n_words OR word_chars < 2 * n_words",
-    "few_letters": "100 * n_alpha_words < 70 * n_words",
+    "few_letters": "100 * n_alpha_words < 60 * n_words",
     "upper_case": "100 * n_upper > 50 * word_chars",
 }
 #: version -> enforced rules.
