@@ -3,12 +3,14 @@
 Training documents are those whose crc32(doc_id as text) mod 7 is not 2.  One Arrow pass over them counts
 words and byte 6-grams; both counts are summed by Spark over the whole corpus.
 
-The trie's nodes are contexts of up to ``ORDER`` bytes.  A node stays if it was seen at least once in
-``MAX_CONTEXTS`` training bytes, so that there are at most that many of each length, at any corpus size.
-A node with total T and D distinct successors gives a seen byte c / (T + D) and escapes with D / (T + D)
+The model's nodes are all contexts of up to ``ORDER`` bytes that the training text has.  A node with total T and D distinct successors gives a seen byte c / (T + D) and escapes with D / (T + D)
 (method C); after an escape the bytes seen there are excluded from the shorter context, and so on down to
-a uniform choice among the bytes not excluded.  As the contexts' counts are nested, each node's whole
-distribution can be worked out beforehand: scoring walks the trie and looks one number up.  A text is
+a uniform choice among the bytes not excluded.  A byte's probability depends on it and the ORDER bytes
+before only, so that a text's score is a sum over its grams, in three parts.  Contexts seen at least once
+in ``MAX_CONTEXTS`` training bytes, at most that many of each length, are a trie that is broadcast; as the
+counts are nested, each node's whole distribution is worked out beforehand.  Of the grams of all other
+contexts the most frequent ``MAX_GRAMS`` at most are broadcast with their probabilities.  The rest, and
+grams never seen, are counted per text and joined by key to the counts of the whole corpus.  A text is
 its ASCII-lower-cased UTF-8 bytes and an end mark; the byte 0xFF, which UTF-8 never uses, is the mark,
 and also stands before each text.
 
@@ -28,12 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.llm.common import written
 
 ORDER = 5
 MAX_CONTEXTS = 1 << 16
 MAX_WORDS = 1 << 20
+MAX_GRAMS = 1 << 22
 MARK = 0xFF
 END = b"\xff"
 _STEP = 1 << 20
@@ -171,9 +175,12 @@ class Trie:
             rows = shorter[k][rows]
             k -= 1
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text and its end."""
+    def score(self, texts: list[bytes], grams: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, list, list]:
+        """log10 probability of each text and its end, without the grams that neither the trie nor ``grams``
+        (sorted, with their ``logs``) has; and for each text those grams, and how often it has them."""
         out = np.zeros(len(texts))
+        rare: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+        times: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
         at = 0
         while at < len(texts):
             to, size = at, 0
@@ -185,6 +192,7 @@ class Trie:
             sizes = np.array([len(t) + 1 for t in texts[at:to]])
             # positions to predict: each text and the first mark after it
             starts = np.cumsum(np.concatenate([[ORDER], sizes[:-1] + ORDER - 1]))
+            left: list[tuple[np.ndarray, np.ndarray]] = []
             for s in range(0, int(sizes.sum()), _STEP):
                 n = np.arange(s, min(s + _STEP, int(sizes.sum())))
                 ends = np.cumsum(sizes)
@@ -196,16 +204,39 @@ class Trie:
                     to_node = self.child[node, data[pos - back]]
                     alive &= to_node >= 0
                     node = np.where(alive, to_node, node)
-                out[at:to] += np.bincount(which, self.logp[node, data[pos]], to - at)
+                out[at:to] += np.bincount(which[alive], self.logp[node[alive], data[pos[alive]]], to - at)
+                which, pos = which[~alive], pos[~alive]
+                key = np.zeros(len(pos), np.int64)
+                for back in range(ORDER, -1, -1):
+                    key = key << 8 | data[pos - back]
+                if len(grams):
+                    row = np.minimum(np.searchsorted(grams, key), len(grams) - 1)
+                    hit = grams[row] == key
+                    out[at:to] += np.bincount(which[hit], logs[row[hit]], to - at)
+                    which, key = which[~hit], key[~hit]
+                left.append((which, key))
+            which, key = (np.concatenate(x) for x in zip(*left, strict=True))
+            order = np.argsort(which, kind="stable")
+            cuts = np.searchsorted(which[order], np.arange(to - at + 1))
+            for i in np.flatnonzero(np.diff(cuts)):
+                rare[at + i], times[at + i] = np.unique(key[order[cuts[i] : cuts[i + 1]]], return_counts=True)
             at = to
-        return out
+        return out, rare, times
 
 
-def learn(docs: DataFrame) -> tuple[DataFrame, Trie]:
-    """(table of word counts, trie) from the training documents."""
+def counted(docs: DataFrame) -> DataFrame:
+    """(word, gram, n): counts of all words, and of all byte grams where word is null, in training documents."""
     train = docs.where(~held_out(F.col("doc_id")))
     parts = train.select("text").mapInArrow(_count, "word binary, gram long, n long")
-    both = written(parts.groupBy("word", "gram").agg(F.sum("n").alias("n")), "lm-counts")
+    return written(parts.groupBy("word", "gram").agg(F.sum("n").alias("n")), "lm-counts")
+
+
+def learn(docs: DataFrame) -> tuple[DataFrame, Trie]:
+    """(table of word counts, trie of the frequent contexts) from the training documents."""
+    return _frequent(counted(docs))
+
+
+def _frequent(both: DataFrame) -> tuple[DataFrame, Trie]:
     words = both.where("word IS NOT NULL").select("word", F.col("n").alias("c"))
     grams = both.where("gram IS NOT NULL")
     grams = grams.select("gram", "n")
@@ -224,10 +255,85 @@ def learn(docs: DataFrame) -> tuple[DataFrame, Trie]:
     return words, Trie(counts)
 
 
+def _low(gram: str, n: int) -> Column:
+    """The latest n bytes."""
+    return F.col(gram).bitwiseAND(F.lit((1 << 8 * n) - 1).cast("long"))
+
+
+def _seen(grams: DataFrame, total: int) -> DataFrame:
+    """(gram, n, logp) of all grams whose context is not in the trie."""
+    node = Window.partitionBy(F.shiftright("gram", 8))  # at most 256 rows
+    rows = grams.select("gram", "n", F.sum("n").over(node).alias("t"), F.count(F.lit(1)).over(node).alias("d"))
+    return rows.where(F.col("t") * MAX_CONTEXTS < F.lit(total)).select(
+        "gram", "n", F.log10(F.col("n") / (F.col("t") + F.col("d"))).alias("logp")
+    )
+
+
+def _common_from(seen: DataFrame) -> int:
+    """The smallest count such that at most MAX_GRAMS grams have it or more."""
+    top = 1 << 16
+    sizes = seen.groupBy(F.least("n", F.lit(top)).alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    held, at = 0, 1 << 62
+    for n, rows in sorted(map(tuple, sizes), reverse=True):
+        held += rows
+        if held > MAX_GRAMS:
+            break
+        at = n
+    return at
+
+
+def _never_seen(novel: DataFrame, grams: DataFrame, total: int) -> DataFrame:
+    """(gram, logp) of grams that the training text does not have, by escapes to shorter contexts.
+
+    What a context has seen its suffix has seen too.  A context's ``s`` is the sum of its suffix's counts
+    of the bytes that it has seen itself, all of which are excluded there.
+    """
+    kinds = grams.select(_low("gram", 1)).distinct().count()
+    x = novel
+    for k in range(ORDER, 0, -1):
+        m = grams.groupBy(_low("gram", k + 1).alias("g")).agg(F.sum("n").alias("n"))
+        m = m.withColumn("p", F.sum("n").over(Window.partitionBy(_low("g", k))))  # at most 256 rows
+        nodes = m.groupBy(F.shiftright("g", 8).alias("ctx")).agg(
+            F.sum("n").alias("t"),
+            F.count(F.lit(1)).alias("d"),
+            F.sum("p").alias("s"),
+            F.map_from_entries(F.collect_list(F.struct(_low("g", 1).alias("b"), "n"))).alias("m"),
+        )
+        nodes = F.broadcast(nodes) if k <= 2 else nodes  # at most 65,536 contexts
+        x = x.withColumn("ctx", F.shiftright(_low("gram", k + 1), 8)).join(nodes, "ctx", "left")
+        x = x.withColumn("c", F.col("m")[_low("gram", 1)]).drop("ctx", "m")
+        x = x.withColumnsRenamed({name: f"{name}{k}" for name in "tdsc"})
+    bytes_ = grams.groupBy(_low("gram", 1).alias("b")).agg(F.sum("n").alias("c0"))
+    x = x.withColumn("b", _low("gram", 1)).join(F.broadcast(bytes_), "b", "left")
+    x = x.withColumn("t0", F.lit(total).cast("long")).withColumn("d0", F.lit(kinds).cast("long"))
+    steps = []
+    for k in range(ORDER, -1, -1):
+        zero = F.lit(0).cast("long")
+        t = F.col(f"t{k}") - (F.coalesce(f"s{k + 1}", zero) if k < ORDER else zero)
+        d = F.col(f"d{k}") - (F.coalesce(f"d{k + 1}", zero) if k < ORDER else zero)
+        steps.append(F.when(t > 0, F.log10(d / (t + d))).otherwise(F.lit(0.0)).alias(f"e{k}"))
+        steps.append(F.log10(F.col(f"c{k}") / (t + d)).alias(f"q{k}"))
+    x = x.select("gram", *steps)
+    found, left = [], F.lit(0.0)
+    for k in range(ORDER, -1, -1):
+        found.append(left + F.col(f"q{k}"))
+        left = left + F.col(f"e{k}")
+    return x.select("gram", F.coalesce(*found, left - F.log10(F.lit(256.0 - kinds))).alias("logp"))
+
+
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per document."""
     spark = docs.sparkSession
-    words, trie = learn(docs)
+    both = counted(docs)
+    words, trie = _frequent(both)
+    grams = both.where("gram IS NOT NULL").select("gram", "n")
+    positions = grams.agg(F.sum("n")).first()[0] or 0
+    seen_grams = written(_seen(grams, positions), "lm-grams")
+    at_least = _common_from(seen_grams)
+    held = seen_grams.where(F.col("n") >= at_least).select("gram", F.col("logp").cast("float")).toArrow()
+    keys = held.column("gram").to_numpy()
+    sort = np.argsort(keys)
+    held = (keys[sort], held.column("logp").to_numpy()[sort])
     # each training text ends once
     ends = docs.where(~held_out(F.col("doc_id"))).count()
     seen, distinct = words.agg(F.sum("c"), F.count(F.lit(1))).first()
@@ -237,10 +343,10 @@ def score(docs: DataFrame) -> DataFrame:
     common = words.where(often).toArrow()
     logs = np.log10((common.column("c").to_numpy() + 1) / under)
     known = dict(zip(common.column("word").to_pylist(), logs.tolist(), strict=True))
-    model = spark.sparkContext.broadcast((known, trie, np.log10((ends + 1) / under)))
+    model = spark.sparkContext.broadcast((known, trie, held, np.log10((ends + 1) / under)))
 
     def run(batches):
-        table, trie, end = model.value
+        table, trie, held, end = model.value
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -262,6 +368,7 @@ def score(docs: DataFrame) -> DataFrame:
                     base.append(s)
                     rare.append(r)
                     times.append(o)
+                scores, grams, gram_times = trie.score(texts, *held)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -270,11 +377,16 @@ def score(docs: DataFrame) -> DataFrame:
                         pa.array(tokens, pa.int64()),
                         pa.array(hits, pa.int64()),
                         pa.array(base, pa.float64()),
-                        pa.array(trie.score(texts), pa.float64()),
+                        pa.array(scores, pa.float64()),
                         pa.array(rare, pa.list_(pa.binary())),
                         pa.array(times, pa.list_(pa.int32())),
+                        pa.array(grams, pa.list_(pa.int64())),
+                        pa.array(gram_times, pa.list_(pa.int64())),
+                    ],
+                    [
+                        "uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score",
+                        "rare", "times", "grams", "gram_times",
                     ],
-                    ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times"],
                 )
 
     rows = docs.select(
@@ -285,7 +397,7 @@ def score(docs: DataFrame) -> DataFrame:
     ).mapInArrow(
         run,
         "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
-        "rare array<binary>, times array<int>",
+        "rare array<binary>, times array<int>, grams array<long>, gram_times array<long>",
     )
     rows = written(rows, "lm-rows")
     pairs = rows.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
@@ -296,14 +408,22 @@ def score(docs: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("k"),
         F.sum(F.col("m") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(under))).alias("s"),
     )
-    return rows.drop("rare", "times").join(tails, "uid", "left").select(
+    met = rows.select("uid", F.explode(F.arrays_zip("grams", "gram_times")).alias("x")).select(
+        "uid", F.col("x.grams").alias("gram"), F.col("x.gram_times").alias("m")
+    )
+    seldom = seen_grams.where(F.col("n") < at_least).select("gram", "logp")
+    novel = written(met.select("gram").distinct().join(seldom, "gram", "left_anti"), "lm-novel")
+    logs = seldom.unionAll(_never_seen(novel, grams, positions))
+    sums = met.join(logs, "gram").groupBy("uid").agg(F.sum(F.col("m") * F.col("logp")).alias("g"))
+    rows = rows.drop("rare", "times", "grams", "gram_times").join(tails, "uid", "left").join(sums, "uid", "left")
+    return rows.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("s", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("g", F.lit(0.0))).alias("score"),
     )
 
 

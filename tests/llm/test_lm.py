@@ -95,3 +95,14 @@ def test_held_out_text_of_the_same_kind_scores_above_noise(spark):
     kind = [r.score for r in got if r.held_out and r.doc_id < 60]
     noise = [r.score for r in got if r.doc_id == 1002]
     assert kind and min(kind) > 5 * max(noise) / 2 and min(kind) > max(noise)
+
+
+@pytest.mark.parametrize("most_grams", [lm.MAX_GRAMS, 8])
+def test_rare_contexts_count_in_full(spark, monkeypatch, most_grams):
+    monkeypatch.setattr(lm, "MAX_CONTEXTS", 4)
+    monkeypatch.setattr(lm, "MAX_GRAMS", most_grams)  # 8: nearly all grams take the join
+    rows = [(i, t) for i, t in enumerate(TEXTS * 4)] + [(100 + i, f"the rat {i} zzq\x00ab catalog é" * (i % 3)) for i in range(30)]
+    got = {r.doc_id: r.score for r in lm.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute([(i, (t or "").encode().lower()) for i, t in rows], most=1 << 60)
+    for (i, _), w in zip(rows, want, strict=True):
+        assert math.isclose(got[i], w[-1], rel_tol=1e-5, abs_tol=1e-5)
