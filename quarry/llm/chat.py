@@ -4,8 +4,9 @@ Each message is cut into runs of lines of the same quote level (the number of le
 level 1 and deeper are quoted passages; they are normalised (ASCII lower case, white space runs as one
 space) and hashed.  The same is done to what a message says itself: its whole body, its paragraphs and
 its lines.  A quoted passage belongs to the first message of its conversation that says it, earlier than
-the quoting one; a passage that matches as a whole goes before one that matches by its first line.  The
-message linked by the first such passage is the parent.  Roots and depths come from pointer doubling.
+the quoting one.  Of a message's passages those at the lowest quote level, which the answered message said
+itself, go before deeper ones, which it quoted; of one level, a passage that matches as a whole goes before
+one that matches by its first line.  The message linked by the first such passage is the parent.  Roots and depths come from pointer doubling.
 
 The result is one row a message, without quotes: sorted by (root_turn, depth, turn) a conversation is in
 reply order, each message after the one it answers.  Conversations are not collected into arrays, so that
@@ -101,13 +102,14 @@ def parents(rows: DataFrame) -> DataFrame:
     keys = quoted.select(
         "conv_id",
         "turn",
+        "q.level",
         F.explode(
             F.array(
                 F.struct(F.lit(0).alias("by"), F.col("at"), normal(F.col("q.text")).alias("t")),
                 F.struct(F.lit(1).alias("by"), F.col("at"), normal(first).alias("t")),
             )
         ).alias("k"),
-    ).select("conv_id", "turn", "k.by", "k.at", F.md5("k.t").alias("h"), "k.t").where("t <> ''").drop("t")
+    ).select("conv_id", "turn", "level", "k.by", "k.at", F.md5("k.t").alias("h"), "k.t").where("t <> ''").drop("t")
     body = F.col("body")
     said = F.concat(F.array(body), F.split(body, r"\n[\x20\t]*\n"), F.split(body, "\n"))
     talks = keys.select("conv_id").distinct()
@@ -122,7 +124,7 @@ def parents(rows: DataFrame) -> DataFrame:
         keys.join(first_said, ["conv_id", "h"])
         .where("parent < turn")
         .groupBy("conv_id", "turn")
-        .agg(F.min(F.struct("by", "at", "parent")).alias("m"))
+        .agg(F.min(F.struct("level", "by", "at", "parent")).alias("m"))
         .select("conv_id", "turn", F.col("m.parent").alias("parent"))
     )
 

@@ -58,3 +58,15 @@ def test_defined_cases(spark):
     assert [r.body for r in got if r.turn == 0] == [""]
     assert chat.query(df.limit(0)).count() == 0
     assert out.where(F.col("depth") > 0).count() == 0
+
+
+def test_lowest_quote_level_is_the_parent(spark):
+    got = result(
+        spark,
+        (1, 0, "u", "oldest"),
+        (1, 1, "a", "> oldest\nolder"),
+        (1, 2, "u", ">> oldest\n> older\nnewer"),
+        (1, 3, "a", ">>> oldest\n>> older\n> newer\n> and a line nobody said\nlast"),
+        (1, 4, "u", ">> older\n> nobody said this\ndeeper only"),
+    )
+    assert [(got[1, i].parent_turn, got[1, i].depth) for i in range(5)] == [(None, 0), (0, 1), (1, 2), (2, 3), (1, 2)]
