@@ -7,7 +7,8 @@ and read again as the next one's docs.  All but the last return the columns of d
 - simhash_near_dedup keeps the document with the smallest doc_id of each group.
 - secret_scan replaces the secrets in texts, and keeps every document.
 - source_mix puts the documents in the order of the mix, and keeps every one.
-- byte_bpe returns (doc_id, source, n_tokens, ids, decoded_sha256).
+- byte_bpe returns (position, doc_id, source, n_tokens, ids, decoded_sha256): position is the document's place
+  in the mix, as the files of its predecessor have it.
 """
 
 from __future__ import annotations
@@ -38,8 +39,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    rows = bpe.tokenize(docs, path, public_tokenizers.PATTERN, keep=("source",))
+    rows = bpe.tokenize(mixing.positioned(docs), path, public_tokenizers.PATTERN, keep=("source", "position"))
     return rows.select(
+        "position",
         "doc_id",
         "source",
         F.size("ids").cast("long").alias("n_tokens"),

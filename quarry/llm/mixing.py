@@ -186,6 +186,23 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows:
     return rows.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
+def positioned(docs: DataFrame) -> DataFrame:
+    """``docs``, as read from the Parquet files that ``mixed`` was written to, with each row's position in the mix.
+
+    Files are numbered by partition, and rows by their place in a file, whatever split reads them.
+    """
+    name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    rows = docs.select("*", name.alias("_file"), row.alias("_row"))
+    sizes = docs.groupBy(name.alias("_file")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a file
+    base, at = [], 0
+    for file, n in sorted((tuple(r) for r in sizes), key=lambda x: (int(x[0].split("-")[1]), x[0])):
+        base.append((file, at))
+        at += n
+    bases = docs.sparkSession.createDataFrame(base, "_file string, _base long")
+    rows = rows.join(F.broadcast(bases), "_file")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c != "position"], (F.col("_base") + F.col("_row")).alias("position"))
+
+
 def _slots(docs: DataFrame, weights: dict[str, float] | None, block_rows: int, period: int = PERIOD) -> int:
     found = streams(docs, weights, period)
     return max((-(-(-(-n // block_rows)) // w) * period for _, _, w, n in found), default=0)

@@ -8,7 +8,8 @@ from test_quality import brute as measure
 from test_secrets import base
 from test_simhash import groups, slow_fingerprint
 
-from quarry.llm import bpe
+from quarry.llm import bpe, mixing
+from quarry.llm.common import written
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -55,3 +56,19 @@ def test_stages_keep_the_columns_of_documents(spark):
         docs = stage(spark, docs, "")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() == 1
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "secret_scan", "source_mix", "byte_bpe"]
+
+
+def test_the_mix_takes_effect_in_the_result(spark):
+    rows = [(i, f"text {i} " * (i % 50), "en", "hot" if i % 5 else "s", 5) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = written(corpus_pipeline.source_mix(spark, docs, ""), "test-mix")
+    got = sorted(corpus_pipeline.byte_bpe(spark, kept, "").collect(), key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(600))
+    want = sorted(mixing.query(docs).collect(), key=lambda r: (r.slot, r.place))
+    assert [r.doc_id for r in got] == [r.doc_id for r in want]
+    share = {r.source: r.weight for r in want}
+    last = min(max(i for i, r in enumerate(got) if r.source == s) for s in share) // mixing.BLOCK_ROWS
+    for t in range(1, last):
+        for s, w in share.items():
+            n = sum(r.source == s for r in got[: t * mixing.BLOCK_ROWS])
+            assert abs(n / mixing.BLOCK_ROWS - w * t) < 1
