@@ -8,7 +8,8 @@ Reading splits each file into chunks.  Every chunk's task looks for the magic at
 too, reads the header there and emits the offset with that of its successor, carried on within the chunk
 to the first offset beyond it.  A pointer that starts at a file's first byte is then doubled over these
 offsets: only what it reaches is a record, so that a whole fake record inside a payload is never taken
-for one.  Each chunk that the chain enters is read again from that entry, record by record.
+for one, and a file whose chain does not reach its end is an error.  Each chunk that the chain enters is
+read again from that entry, record by record.  Headers, which hold the url, may have any length.
 
 Defined cases: a null html is an empty payload; a null url leaves its header out and line breaks in one
 are percent-encoded; a null page_id leaves its number out and is read back as null; rows that repeat the
@@ -31,7 +32,10 @@ MAGIC = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
 MIN_REVISIT = 1000
 CHUNK = 8 << 20
-MAX_HEADER = 64 << 10
+#: What is read for a header at first; the window doubles until the header ends.
+HEADER = 64 << 10
+#: Says that the data end before the header does.
+MORE = "more"
 #: Equal payloads up to this number are sent to every task (about 60 bytes each); beyond, rows are shuffled.
 MAX_BROADCAST = 100_000
 
@@ -108,34 +112,38 @@ def open_file(path: str):
     return store.open_input_file(inner)
 
 
-def parse_header(data: bytes, at: int = 0) -> tuple[dict[str, str], int] | None:
-    """The header that starts at an offset, and the offset of its block; None if there is none."""
+def parse_header(data: bytes, at: int = 0) -> tuple[dict[str, str], int] | str | None:
+    """The header that starts at an offset, and the offset of its block; None if there is none, or MORE."""
     if data[at : at + len(MAGIC)] != MAGIC:
         return None
-    stop = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
-    if stop < 0:
-        return None
     header = {}
-    for line in data[at + len(MAGIC) : stop].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
+    at += len(MAGIC)
+    while (stop := data.find(b"\r\n", at)) != at:
+        if stop < 0:
+            return MORE
+        name, colon, value = data[at:stop].partition(b":")
         if not colon:
             return None
         header[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+        at = stop + 2
     if not header.get("content-length", "").isdigit():
         return None
-    return header, stop + 4
+    return header, at + 2
 
 
-def candidates(data: bytes, base: int, stop: int, length: int) -> list[tuple[int, int]]:
+def candidates(data: bytes, base: int, stop: int, length: int) -> list[tuple[int, int]] | str:
     """(offset, first offset at or beyond ``stop`` that its chain reaches) in file offsets.
 
-    ``data`` starts at ``base`` and goes on beyond ``stop`` by a header.  A chain that leaves the file
-    or meets no magic is dropped; one that ends with the file has the file's length.
+    ``data`` starts at ``base`` and goes on beyond ``stop`` by a header; MORE if that is too little for one.
+    A chain that leaves the file or meets no magic is dropped; one that ends with the file has its length.
     """
     nxt: dict[int, int] = {}
     i = data.find(MAGIC)
     while i >= 0 and base + i < stop:
-        if head := parse_header(data, i):
+        head = parse_header(data, i)
+        if head == MORE and base + len(data) < length:
+            return MORE
+        if head and head != MORE:
             to = base + head[1] + int(head[0]["content-length"]) + len(END)
             if to <= length:
                 nxt[base + i] = to
@@ -154,8 +162,11 @@ def _scan(frames):
     for frame in frames:
         for path, start, stop, length in frame.itertuples(index=False):
             with open_file(path) as f:
-                data = f.read_at(min(stop + MAX_HEADER, length) - start, start)
-            pairs = candidates(data, start, stop, length)
+                window, pairs = HEADER, MORE
+                while pairs == MORE:
+                    data = f.read_at(min(stop + window, length) - start, start)
+                    pairs = candidates(data, start, stop, length)
+                    window *= 2
             yield pd.DataFrame({"path": path, "off": [a for a, _ in pairs], "to": [b for _, b in pairs]}).astype(
                 {"path": object, "off": "int64", "to": "int64"}
             )
@@ -186,6 +197,9 @@ def entries(chunks: DataFrame) -> DataFrame:
         reached = more
         ahead = jumps.select("path", F.col("off").alias("to"), F.col("to").alias("far"))
         jumps = jumps.join(ahead, ["path", "to"]).select("path", "off", F.col("far").alias("to")).checkpoint()
+    ends = chunks.select("path", F.col("length").alias("off")).distinct()
+    if broken := ends.join(reached, ["path", "off"], "left_anti").first():
+        raise ValueError(f"the records of {broken.path} do not lead to its end")
     return reached.select("path", F.col("off").alias("entry"))
 
 
@@ -197,7 +211,13 @@ def _records(with_payload: bool):
                 with open_file(path) as f:
                     at = entry
                     while at < stop:
-                        header, block = parse_header(head := f.read_at(MAX_HEADER, at))
+                        window, found = HEADER, MORE
+                        while found == MORE and window < 2 * (HEADER + f.size()):
+                            found = parse_header(head := f.read_at(window, at))
+                            window *= 2
+                        if not found or found == MORE:
+                            raise ValueError(f"no record in {path} at {at}")
+                        header, block = found
                         size = int(header["content-length"])
                         body = head[block : block + size] if block + size <= len(head) else f.read_at(size, at + block)
                         at += block + size + len(END)

@@ -54,3 +54,21 @@ def test_candidates_inside_payloads_do_not_reach_the_end():
     data = (record("a" + inner + "b") + record("c")).encode()
     found = dict(warc.candidates(data, 0, len(data), len(data)))
     assert 0 in found and data.index(b"WARC", 1) not in found and found[0] == len(data)
+
+
+@pytest.mark.parametrize("chunk", [warc.CHUNK, 70_000])
+def test_headers_of_any_length(spark, monkeypatch, chunk):
+    monkeypatch.setattr(warc, "CHUNK", chunk)
+    long = "http://a/" + "x" * 100_000
+    pages = [(1, "u", "first"), (2, long, "second"), (3, "u", "third" + "WARC/1.1\r\na: b" * 9), (4, long + "y" * 200_000, BIG)]
+    folder = common.new_folder(spark, "warc-test")
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), folder)
+    got = {r.page_id: (r.url, r.payload) for r in warc.read(spark, folder).collect()}
+    assert got == {i: (u, h) for i, u, h in pages}
+
+
+def test_a_broken_chain_is_an_error(spark, tmp_path):
+    record = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes((record + "cut").encode())
+    with pytest.raises(ValueError):
+        warc.read(spark, f"file://{tmp_path}").collect()
