@@ -46,6 +46,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """(doc: a row of ``docs`` as a struct, file, row): the numbers tell it from all others in every later reading.
+
+    They are the hash of its file's path and its place in the file.  A frame that is not just a reading of
+    Parquet files is written first, so that its rows cannot change between two readings.
+    """
+    plain = docs._jdf.queryExecution().analyzed().nodeName().startswith("LogicalRelation")
+    if not (plain and all(f.endswith(".parquet") for f in docs.inputFiles())):
+        docs = written(docs, "rows")
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.xxhash64(F.col("_metadata.file_path")).alias("file"),
+        F.col("_metadata.row_index").alias("row"),
+    )
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once.
 

@@ -12,8 +12,9 @@ and all that meet there are within 2 bits, so that each links to the smallest.
 size of the key, at most 41 rows a fingerprint, exact, and keys spread evenly.
 
 Defined cases: null, empty and blank texts have fingerprint zero and are linked like any other; texts of
-one or two words are one shingle; an empty table gives no rows; repeated rows come back as often; extra
-columns are ignored.  The component id is the smallest doc_id reachable.
+one or two words are one shingle; very long texts are counted in stretches of 65,536 shingles; a bit that
+exactly half the hashes have is 0; an empty table gives no rows; repeated rows come back as often; extra
+columns are ignored.  The component id is the smallest doc_id reachable, and null if all are null.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, written
+from quarry.llm.common import components, located, written
 
 SEGMENTS = (13, 13, 13, 13, 12)
 MAX_DIFF = 2
@@ -63,15 +64,16 @@ def fingerprint(text: str | None) -> int:
 
 def _batches(batches):
     for b in batches:
-        fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+        fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(b.num_columns - 1)), np.uint64, b.num_rows)
+        names = b.schema.names[:-1]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], [*names, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long): one Arrow pass over the whole texts."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _batches, "doc_id long, fp long"
-    )
+def fingerprints(docs: DataFrame, *also: Column) -> DataFrame:
+    """(doc_id, long columns ``also``, fp long): one Arrow pass over the whole texts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *also, "text")
+    schema = ", ".join(f"{c} long" for c in rows.columns[:-1])
+    return rows.mapInArrow(_batches, f"{schema}, fp long")
 
 
 def _seg(x: Column, i: int) -> Column:
@@ -163,13 +165,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with the columns of ``docs``.
+    """One row of each group of linked texts, with the columns of ``docs``.
 
-    Of rows that repeat an id one stays; rows without an id cannot be chosen or rejected, and stay.
+    The row with the smallest doc_id stays, rows without an id last; of several with that id the one with
+    the least hash of its text, and of equal texts any one.  Rows are told by their place in the files, so
+    that texts which are no duplicates never stand for each other, whatever their ids.  Texts are shuffled
+    once, to meet the numbers of the rows that stay.
     """
-    least = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*[f"`{c}`" for c in docs.columns])
-    return out.unionAll(docs.where("doc_id IS NULL"))
+    rows = located(docs)
+    told = rows.select("doc.doc_id", "doc.text", F.xxhash64("doc.text").alias("h"), "file", "row")
+    fps = written(fingerprints(told, F.col("h"), F.col("file"), F.col("row")), "simhash-fps")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "file", "row")
+    groups = written(fps.groupBy("fp").agg(F.min(order).alias("first")), "simhash-groups")
+    comps = components(links(groups.select("fp"))).withColumnRenamed("node", "fp")
+    firsts = groups.join(comps, "fp", "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("first").alias("first"))
+    kept = firsts.select("first.file", "first.row").hint("shuffle_hash")  # two numbers a row
+    return rows.join(kept, ["file", "row"], "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -69,5 +69,19 @@ def test_query_defined_cases(spark):
     assert {r.fingerprint for r in got if r.component_id == 3} == {"0" * 16}
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 2, 3, 8]
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [2, 3, 8]
     assert simhash.query(docs.limit(0)).count() == 0
+
+
+def test_keep_one_goes_by_row_and_not_by_id(spark, tmp_path):
+    one, two = "a first text with words of its own " * 3, "quite another story is told by this one " * 4
+    rows = [(1, one, 5), (1, two, 6), (1, one, 5), (None, "no id and no copy of it anywhere here", 7), (None, two, 8), (4, None, 9), (3, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    want = sorted([(1, one), (1, two), (None, rows[3][1]), (3, "")], key=str)
+    assert sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=str) == want
+    docs.repartition(3).write.parquet(f"{tmp_path}/docs.parquet")
+    kept = simhash.keep_one(spark.read.parquet(f"{tmp_path}/docs.parquet"))
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == want
+    assert {r.row for r in kept.where("doc_id = 1").collect()} == {5, 6}
+    assert simhash.keep_one(docs.limit(0)).count() == 0
