@@ -1,51 +1,93 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-Each source is a stream of blocks of ``block_rows`` documents.  With a weight of w slots in a period of P,
-block k of a stream is released at slot floor(k P / w) and due at slot ceil((k + 1) P / w).  Earliest
-deadline first, among the released blocks, meets every deadline, because the weights add up to P: after
-any number of slots each source has had its share to within less than one block.  The schedule repeats
-after P slots, so that it is made once, for P slots, whatever the number of documents.
-
-Documents take their place within a source by the MD5 of their id.  Ranks are counted in parallel: a
-stream is cut into buckets of about ``BUCKET_ROWS`` rows by ranges of that hash, rows are numbered inside
-a bucket, and buckets are offset by running totals, so that a hot source is many tasks.  Every document
-keeps a place; once a source is used up, its slots stay empty.
-
-Only sources with a share of at least one slot have a stream of their own, at most P; smaller ones share
-one.  That bounds what the driver sees and what is broadcast.
-
-Defined cases: a null source is a source of its own; null or repeated ids get places of their own, in any
-order among equals; texts, and extra columns, are not looked at; an empty table gives no rows.
+Each source is a stream of blocks of ``block_rows`` documents.  Slots are dealt to the sources that have
+blocks left in proportion to their weights, whole numbers without rounding: this fluid schedule fixes when
+each block would start and end.  A block is released at the slot in which it starts and due by the one in
+which it ends; earliest deadline first, among the released blocks, meets every deadline, because the blocks
+that lie within any stretch of slots fill it at most once.  So at every slot, down to the last one, each
+source has had its fluid share to within less than one block, and what a used-up source leaves is shared by
+the others.  Sources of weight zero, or without a given weight, follow when all others are used up, in equal
+shares.
+
+In a round each source that is not used up has as many blocks as its weight.  Rounds with the same blocks
+have the same schedule, so that the driver makes one per change of the sources at hand, whatever the number
+of documents.  What it sees and sends out are a row a source and at most two rounds of blocks a source;
+``MAX_SOURCES`` and ``MAX_PLAN`` bound both, beyond them an error asks for coarser weights or larger blocks.
+
+Documents take their place within a source by a hash of their id, ties by their place in the files.  They are
+ranked in a table sorted by source and hash that is dealt by ranges, so that a hot source, and a hot id too,
+is many tasks.  For the mix in full, each row finds its part of the result from the first keys of the parts,
+and texts are shuffled once.
+
+Defined cases: a null source is a source of its own; null or repeated ids get places of their own; texts of
+any length, and extra columns, are not looked at, and columns of the result's names are replaced; an empty
+table gives no rows; a table none of whose sources has a weight is an error.
 """
 
 from __future__ import annotations
 
 import heapq
+from dataclasses import dataclass
 from fractions import Fraction
-from math import ceil, floor
+from math import gcd, lcm, sqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.llm.common import located, written
+
+#: Sum of the weights, about, where none are given.
 PERIOD = 1000
 BLOCK_ROWS = 16
-BUCKET_ROWS = 4096
-TEMPER = 0.5
-#: Stands for a null source, and for all sources too small for a slot.
-NULL, REST = "\x00null", "\x00rest"
-
-
-def schedule(weights: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(stream, k, release, deadline, slot) of the blocks of one period of sum(weights) slots."""
-    period = sum(weights.values())
-    jobs = sorted(
-        (floor(Fraction(k * period, w)), ceil(Fraction((k + 1) * period, w)), s, k)
-        for s, w in weights.items()
-        for k in range(w)
-    )
+MAX_SOURCES = 100_000
+MAX_PLAN = 1 << 20
+#: First keys of the parts up to this number are sent to every task.
+MAX_BOUNDS = 100_000
+#: Stands for a null source.
+NULL = "\x00null"
+
+
+def whole(weights: dict) -> dict[str, int]:
+    """Weights (whole numbers, fractions, decimals) as whole numbers in exactly the same proportions."""
+    exact = {s: Fraction(str(w)) if isinstance(w, float) else Fraction(w) for s, w in weights.items()}
+    if any(w < 0 for w in exact.values()):
+        raise ValueError("a weight is negative")
+    scale = lcm(*[w.denominator for w in exact.values()])
+    out = {s: int(w * scale) for s, w in exact.items()}
+    common = gcd(*out.values()) or 1
+    return {s: w // common for s, w in out.items()}
+
+
+def tempered(rows: dict[str, int], period: int = PERIOD) -> dict[str, int]:
+    """Weights that go with the square root of the sources' numbers of rows; one at least."""
+    total = sum(map(sqrt, rows.values()))
+    return {s: max(1, round(period * sqrt(n) / total)) for s, n in rows.items()}
+
+
+def windows(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple[int, int, str, int]]:
+    """(release, deadline, source, k) of a round in which a source has so many blocks, at most its weight."""
+    ends = sorted((Fraction(n, weights[s]), weights[s], n) for s, n in blocks.items())
+    out = []
+    for s, n in blocks.items():
+        w, at, gone, live = weights[s], 0, 0, sum(x for _, x, _ in ends)
+
+        def fluid(k):  # slots dealt when the source is at its block k; k does not go back
+            nonlocal at, gone, live
+            while at < len(ends) and ends[at][0] * w <= k:
+                gone, live, at = gone + ends[at][2], live - ends[at][1], at + 1
+            return Fraction(k * live, w) + gone
+
+        starts = [fluid(k) for k in range(n + 1)]
+        out += [(a.__floor__(), b.__ceil__(), s, k) for k, (a, b) in enumerate(zip(starts, starts[1:]))]
+    return out
+
+
+def edf(jobs: list[tuple[int, int, str, int]]) -> list[tuple[str, int, int, int, int]]:
+    """(source, k, release, deadline, slot): the released block with the earliest deadline goes first."""
+    jobs = sorted(jobs)
     out, ready, at = [], [], 0
-    for slot in range(period):
+    for slot in range(len(jobs)):
         while at < len(jobs) and jobs[at][0] <= slot:
             release, due, s, k = jobs[at]
             heapq.heappush(ready, (due, s, k, release))
@@ -57,133 +99,146 @@ def schedule(weights: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
-def slots_of(shares: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole slots in proportion to shares, by largest remainder, one at least."""
-    total = sum(shares.values())
-    exact = {s: period * v / total for s, v in shares.items()}
-    slots = {s: max(1, floor(v)) for s, v in exact.items()}
-    order = sorted(slots, key=lambda s: (exact[s] - floor(exact[s]), s), reverse=True)
-    i = 0
-    while (left := period - sum(slots.values())) != 0:
-        s = order[i % len(order)]
-        if left > 0:
-            slots[s] += 1
-        elif slots[s] > 1:
-            slots[s] -= 1
-        i += 1
-    return slots
+@dataclass
+class Plan:
+    """Rounds with the same blocks are one stretch; ``cuts`` has the first rounds of the stretches of each tier."""
 
+    sources: list[tuple[str, int, int, float]]  # source, tier, weight, share
+    cuts: list[list[int]]
+    rows: list[tuple[int, int, str, int, int, int, int]]  # tier, stretch, source, k, release, deadline, slot
+    stretches: list[tuple[int, int, int, int, int]]  # tier, stretch, first round, blocks in a round, first slot
+    slots: int
 
-def _named(source: Column) -> Column:
-    return F.coalesce(source.cast("string"), F.lit(NULL))
 
+def planned(blocks: dict[str, int], weights: dict[str, int]) -> Plan:
+    """The schedule of sources with so many blocks; those without a weight are a tier of their own."""
+    plan = Plan([], [], [], [], 0)
+    first = {s: weights[s] for s in blocks if weights.get(s)}
+    if blocks and not first:
+        raise ValueError("no source of the table has a weight")
+    for tier, tier_weights in enumerate((first, {s: 1 for s in blocks if s not in first})):
+        total = sum(tier_weights.values())
+        plan.sources += [(s, tier, w, w / total if not tier else 0.0) for s, w in tier_weights.items()]
+        cuts = {0}
+        for s, w in tier_weights.items():
+            cuts |= {blocks[s] // w, -(-blocks[s] // w)}
+        cuts = sorted(cuts)
+        plan.cuts.append(cuts)
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            here = {s: min(w, blocks[s] - a * w) for s, w in tier_weights.items() if blocks[s] > a * w}
+            size = sum(here.values())
+            if len(plan.rows) + size > MAX_PLAN:
+                raise ValueError("the weights need too long a schedule: take coarser ones, or larger blocks")
+            plan.rows += [(tier, i, *job) for job in edf(windows(here, tier_weights))]
+            plan.stretches.append((tier, i, a, size, plan.slots))
+            plan.slots += size * (b - a)
+    return plan
 
-def streams(docs: DataFrame, weights: dict[str, float] | None, period: int) -> list[tuple[str, str, int, int]]:
-    """(source, stream, slots, rows) of the sources with a stream of their own, then of the rest.
 
-    Without weights a source's share goes with the square root of its number of documents.
-    """
-    counts = docs.groupBy(_named(F.col("source")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
-    if weights is None:
-        counts = counts.withColumn("share", F.pow(F.col("n").cast("double"), F.lit(TEMPER)))
-    else:
-        given = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
-        counts = counts.withColumn("share", F.coalesce(given[F.col("source")], F.lit(0.0)))
-    total, rows = counts.agg(F.sum("share"), F.sum("n")).first()
-    if not rows:
-        return []
-    if not total:
-        raise ValueError("no source of the table has a weight")
-    large = [tuple(r) for r in counts.where(F.col("share") * period >= F.lit(float(total))).collect()]
-    rest_n, rest_share = rows - sum(n for _, n, _ in large), max(0.0, total - sum(v for _, _, v in large))
-    shares = {s: v for s, _, v in large}
-    if rest_n:
-        shares[REST] = max(rest_share, total / period)
-    slots = slots_of(shares, period)
-    out = [(s, s, slots[s], n) for s, n, _ in large]
-    return out + ([(REST, REST, slots[REST], rest_n)] if rest_n else [])
-
-
-def placed(
-    docs: DataFrame,
-    weights: dict[str, float] | None = None,
-    block_rows: int = BLOCK_ROWS,
-    period: int = PERIOD,
-) -> DataFrame:
-    """``docs`` with stream, weight, block, release, deadline, slot and place (its order in the block).
-
-    Sorted by slot and place they are the mix.  Columns of these names are replaced.
+def _named(source: str) -> Column:
+    return F.coalesce(F.col(source).cast("string"), F.lit(NULL))
+
+
+def _keys(rows: DataFrame) -> list[Column]:
+    """What a located row is ranked by: its source, the hash of its id, and a hash of its place."""
+    return [_named("doc.source").alias("s"), F.xxhash64("doc.doc_id").alias("k"), F.xxhash64("file", "row").alias("t")]
+
+
+class Schedule:
+    """The plan of a table, and the places of its rows."""
+
+    def __init__(self, rows: DataFrame, weights: dict | None, block_rows: int):
+        self.spark: SparkSession = rows.sparkSession
+        self.block_rows = block_rows
+        # sorted by ranges of (source, hash): numbered in order, and a hot source is many partitions
+        self.ordered = written(
+            rows.select(*_keys(rows), F.col("doc.doc_id").alias("id"), F.col("doc.source").alias("source"))
+            .repartitionByRange("s", "k", "t")
+            .sortWithinPartitions("s", "k", "t")
+            .withColumn("m", F.monotonically_increasing_id()),
+            "mix-order",
+        )
+        part = F.shiftright("m", 33).alias("p")
+        counts = self.ordered.groupBy("s", part).agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("low"))
+        self.counts = written(counts, "mix-counts")  # a row a source, and one more a partition, at most
+        found = self.counts.groupBy("s").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
+        if len(found) > MAX_SOURCES:
+            raise ValueError(f"more than {MAX_SOURCES} sources")
+        have = dict(sorted(map(tuple, found)))
+        given = tempered(have) if weights is None else whole({NULL if s is None else s: w for s, w in weights.items()})
+        self.plan = planned({s: -(-n // block_rows) for s, n in have.items()}, given)
+
+    def ranked(self) -> DataFrame:
+        """(s, k, t, id, source, rank): all rows, with their rank within the source."""
+        before = Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+        base = self.counts.select(
+            "s", "p", (F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")) - F.col("low")).alias("base")
+        )
+        rows = self.ordered.withColumn("p", F.shiftright("m", 33)).join(F.broadcast(base), ["s", "p"])
+        return rows.withColumn("rank", F.col("base") + F.col("m")).drop("p", "m", "base")
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``s`` and ``rank`` and their weight, block, release, deadline, slot and place in the block."""
+        plan, spark = self.plan, self.spark
+        known = spark.createDataFrame(plan.sources, "s string, _tier int, _w long, weight double")
+        tiers = [F.lit(c).cast("array<long>") for c in plan.cuts]
+        stretches = {(a, b): x for a, b, *x in plan.stretches}
+        jobs = spark.createDataFrame(
+            [(t, i, s, k, r, d, at, *stretches[t, i]) for t, i, s, k, r, d, at in plan.rows],
+            "_tier int, _i int, s string, _k long, _r long, _d long, _at long, _first long, _size long, _from long",
+        )
+        rows = rows.join(F.broadcast(known), "s")  # at most MAX_SOURCES rows
+        block = F.floor(F.col("rank") / self.block_rows).cast("long")
+        rows = rows.withColumn("block", block).withColumn("place", (F.col("rank") % self.block_rows).cast("int"))
+        rows = rows.withColumn("_round", F.floor(F.col("block") / F.col("_w")).cast("long"))
+        cuts = F.when(F.col("_tier") == 0, tiers[0]).otherwise(tiers[1])
+        rows = rows.withColumn("_i", F.size(F.filter(cuts, lambda c: c <= F.col("_round"))) - 1)
+        rows = rows.withColumn("_k", F.col("block") % F.col("_w"))
+        rows = rows.join(F.broadcast(jobs), ["_tier", "_i", "s", "_k"])  # at most MAX_PLAN rows
+        start = F.col("_from") + (F.col("_round") - F.col("_first")) * F.col("_size")
+        for name, at in (("release", "_r"), ("deadline", "_d"), ("slot", "_at")):
+            rows = rows.withColumn(name, start + F.col(at))
+        return rows.drop("_tier", "_i", "_k", "_w", "_round", "_r", "_d", "_at", "_first", "_size", "_from")
+
+
+_PLACE = ("weight", "block", "release", "deadline", "slot", "place")
+
+
+def places(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(doc_id, source, weight, block, release, deadline, slot, place): sorted by slot and place, the mix.
+
+    ``weight`` is the source's share of the slots before any source is used up; zero for those that follow.
     """
-    spark = docs.sparkSession
-    found = streams(docs, weights, period)
-    extra = "stream string, weight double, block long, release long, deadline long, slot long, place int"
-    docs = docs.drop(*[x.split()[0] for x in extra.split(", ")])
-    if not found:
-        return docs.select("*", *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in extra.split(", ")])
-    known = spark.createDataFrame(
-        [(s, t, w, max(1, -(-n // BUCKET_ROWS))) for s, t, w, n in found],
-        "_source string, stream string, _w int, _buckets long",
-    )
-    plan = spark.createDataFrame(
-        schedule({t: w for _, t, w, _ in found}), "stream string, _k long, _r long, _d long, _slot long"
-    )
-    names = [s for s, _, _, _ in found if s != REST]
-    source = _named(F.col("source"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = docs.select(
-        row.alias("_row"),
-        F.when(source.isin(names), source).otherwise(F.lit(REST)).alias("_source"),
-        key.alias("_key"),
-        F.col("doc_id").alias("_id"),
-    ).join(F.broadcast(known), "_source")  # at most PERIOD + 1 rows
-    part = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * F.col("_buckets")
-    rows = rows.withColumn("_bucket", F.shiftright(part, 32))
-    inside = Window.partitionBy("stream", "_bucket").orderBy("_key", "_id")
-    rows = rows.withColumn("_n", F.row_number().over(inside) - 1)
-    # the same source expression without the row: ids only are read for the totals
-    sizes = (
-        docs.select(F.when(source.isin(names), source).otherwise(F.lit(REST)).alias("_source"), key.alias("_key"))
-        .join(F.broadcast(known), "_source")
-        .withColumn("_bucket", F.shiftright(part, 32))
-        .groupBy("stream", "_bucket")
-        .agg(F.count(F.lit(1)).alias("_size"))
-    )
-    before = Window.partitionBy("stream").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("stream", "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
-    rows = rows.join(offsets, ["stream", "_bucket"])
-    index = F.col("_base") + F.col("_n")
-    rows = rows.withColumn("block", F.floor(index / block_rows).cast("long")).withColumn(
-        "place", (index % block_rows).cast("int")
-    )
-    rows = rows.withColumn("_k", F.col("block") % F.col("_w")).withColumn(
-        "_cycle", F.floor(F.col("block") / F.col("_w")).cast("long") * period
-    )
-    rows = rows.join(F.broadcast(plan), ["stream", "_k"])  # PERIOD rows
-    return rows.select(
-        "_row.*",
-        F.col("stream"),
-        (F.col("_w") / period).alias("weight"),
-        "block",
-        (F.col("_cycle") + F.col("_r")).alias("release"),
-        (F.col("_cycle") + F.col("_d")).alias("deadline"),
-        (F.col("_cycle") + F.col("_slot")).alias("slot"),
-        "place",
-    )
+    rows = located(docs.select("doc_id", "source"))
+    plan = Schedule(rows, weights, block_rows)
+    return plan.placed(plan.ranked()).select(F.col("id").alias("doc_id"), "source", *_PLACE)
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All documents in the order of the mix: partition by partition, and in order within each.
 
-    The slots are known to be dense, so a row's partition follows from its slot without sampling.
+    A part of the result is a range of slots, and of each source a range of ranks: the first key of each such
+    range tells a row its part, and its rank follows from the order within the part.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    rows = placed(docs.select(whole, "source", "doc_id"), weights, block_rows)
+    rows = located(docs)
+    plan = Schedule(rows, weights, block_rows)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slots = max(1, _slots(docs, weights, block_rows))
-    part = F.least(F.floor(F.col("slot") * parts / slots), F.lit(parts - 1)).cast("int")
-    rows = rows.repartitionById(parts, F.coalesce(part, F.lit(0))).sortWithinPartitions("slot", "place")
-    return rows.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+    part = F.floor(F.col("slot") * F.lit(parts) / F.lit(max(1, plan.plan.slots))).cast("int").alias("part")
+    firsts = written(
+        plan.placed(plan.ranked()).groupBy("s", part).agg(F.min(F.struct("k", "t")).alias("key"), F.min("rank").alias("base")),
+        "mix-parts",
+    )
+    bounds = firsts.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("key", "part", "base"))).alias("b"))  # a row a part
+    if firsts.limit(MAX_BOUNDS + 1).count() <= MAX_BOUNDS:
+        bounds = F.broadcast(bounds)
+    keyed = rows.select("doc", *_keys(rows)).join(bounds, "s")
+    key = F.struct("k", "t")
+    keyed = keyed.withColumn("b", F.element_at(F.filter("b", lambda x: x["key"] <= key), -1))
+    keyed = keyed.select("doc", "s", "k", "t", "b.part", "b.base").repartitionById(parts, F.col("part"))
+    inside = Window.partitionBy("part", "s").orderBy("k", "t")
+    ranked = keyed.withColumn("rank", F.col("base") + F.row_number().over(inside) - 1)
+    out = plan.placed(ranked.drop("k", "t", "base")).sortWithinPartitions("slot", "place")
+    return out.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def positioned(docs: DataFrame) -> DataFrame:
@@ -203,11 +258,5 @@ def positioned(docs: DataFrame) -> DataFrame:
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c != "position"], (F.col("_base") + F.col("_row")).alias("position"))
 
 
-def _slots(docs: DataFrame, weights: dict[str, float] | None, block_rows: int, period: int = PERIOD) -> int:
-    found = streams(docs, weights, period)
-    return max((-(-(-(-n // block_rows)) // w) * period for _, _, w, n in found), default=0)
-
-
 def query(docs: DataFrame) -> DataFrame:
-    rows = placed(docs.select("doc_id", "source"))
-    return rows.select("doc_id", "source", "weight", "block", "release", "deadline", "slot", "place")
+    return places(docs)

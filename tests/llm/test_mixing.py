@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 from fractions import Fraction
 
@@ -6,62 +7,140 @@ import pytest
 from quarry.llm import mixing
 
 
-@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 3, "b": 7}, {"a": 1, "b": 1, "c": 98}, {f"s{i}": i + 1 for i in range(30)}])
-def test_schedule_is_within_one_block_at_all_times(weights):
-    plan = mixing.schedule(weights)
-    period, seen = sum(weights.values()), Counter()
-    for t, (s, k, release, due, slot) in enumerate(plan):
-        assert slot == t and release <= t < due and k == seen[s]
+def fluid(blocks, weights, slots):
+    """Blocks that each source has had after so many slots, if slots could be divided."""
+    have = dict.fromkeys(blocks, Fraction(0))
+    left = Fraction(slots)
+    while left > 0:
+        live = {s: weights[s] for s in blocks if have[s] < blocks[s]}
+        total = sum(live.values())
+        step = min([left] + [(blocks[s] - have[s]) * Fraction(total, w) for s, w in live.items()])
+        for s, w in live.items():
+            have[s] += step * w / total
+        left -= step
+    return have
+
+
+def order(plan, blocks):
+    """Sources by slot, from the plan's stretches."""
+    tiers = {s: (tier, w) for s, tier, w, _ in plan.sources}
+    jobs = {(t, i, s, k): (r, d, at) for t, i, s, k, r, d, at in plan.rows}
+    where = {(t, i): x for t, i, *x in plan.stretches}
+    out = {}
+    for s, n in blocks.items():
+        tier, w = tiers[s]
+        for b in range(n):
+            i = sum(c <= b // w for c in plan.cuts[tier]) - 1
+            first, size, start = where[tier, i]
+            release, due, at = (x + start + (b // w - first) * size for x in jobs[tier, i, s, b % w])
+            assert release <= at < due
+            assert at not in out
+            out[at] = s
+    assert sorted(out) == list(range(sum(blocks.values())))
+    return [out[t] for t in range(len(out))]
+
+
+CASES = [
+    ({"a": 5}, {"a": 1}),
+    ({"a": 30, "b": 70}, {"a": 3, "b": 7}),
+    ({"a": 9, "b": 4, "c": 200}, {"a": 1, "b": 1, "c": 98}),
+    ({f"s{i}": 3 + i * i % 17 for i in range(30)}, {f"s{i}": i + 1 for i in range(30)}),
+    ({"big": 500, "s0": 3, "s1": 40}, {"big": 9996, "s0": 4, "s1": 17}),
+]
+
+
+@pytest.mark.parametrize("case", range(len(CASES) + 20))
+def test_shares_hold_to_within_a_block_down_to_the_last_slot(case):
+    if case < len(CASES):
+        blocks, weights = CASES[case]
+    else:
+        rnd = random.Random(case)
+        names = [f"s{i}" for i in range(rnd.randint(2, 9))]
+        blocks = {s: rnd.randint(1, 60) for s in names}
+        weights = {s: rnd.choice([1, 2, 3, 7, 50]) for s in names}
+    seen = Counter()
+    for t, s in enumerate(order(mixing.planned(blocks, weights), blocks), 1):
         seen[s] += 1
-        for x, w in weights.items():
-            assert abs(seen[x] - Fraction(w * (t + 1), period)) < 1
-    assert seen == weights
+        want = fluid(blocks, weights, t)
+        assert all(abs(seen[x] - want[x]) < 1 for x in blocks)
+    assert seen == blocks
 
 
-def test_slots_add_up():
-    assert sum(mixing.slots_of({"a": 1e-9, "b": 1, "c": 2 / 3}, 100).values()) == 100
+def test_sources_without_a_weight_come_last():
+    blocks = {"a": 10, "b": 20, "x": 3, "y": 6}
+    got = order(mixing.planned(blocks, {"a": 1, "b": 3, "x": 0, "z": 5}), blocks)
+    assert set(got[:30]) == {"a", "b"} and Counter(got[30:36]) == {"x": 3, "y": 3} and got[36:] == ["y"] * 3
+    with pytest.raises(ValueError):
+        mixing.planned({"a": 1}, {"z": 1})
+    with pytest.raises(ValueError):
+        mixing.planned({"a": 10**7, "b": 10**7}, {"a": 1, "b": 10**7})
 
 
-def test_every_row_has_a_place_and_hot_sources_are_cut(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
-    rows = [(i, "t", "hot" if i % 3 else f"s{i % 7}", 1) for i in range(2000)] + [(1, "t", "hot", 2), (None, "t", None, 3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, slot int")
+def test_weights_are_exact():
+    assert mixing.whole({"a": 0.9996, "b": 0.0004}) == {"a": 2499, "b": 1}
+    assert mixing.whole({"a": Fraction(1, 3), "b": "0.5", "c": 2}) == {"a": 2, "b": 3, "c": 12}
+    assert mixing.whole({"a": 0, "b": 4}) == {"a": 0, "b": 1}
+    with pytest.raises(ValueError):
+        mixing.whole({"a": -1})
+    assert mixing.tempered({"a": 1, "b": 10**8})["a"] == 1
+
+
+def check(rows, weights):
+    """Places are whole blocks in an order whose shares hold to within a block."""
+    blocks, sizes = {}, Counter()
+    for r in rows:
+        sizes[r.source, r.block] += 1
+        blocks[r.source] = max(blocks.get(r.source, 0), r.block + 1)
+    assert len({(r.slot, r.place) for r in rows}) == len(rows) and all(r.release <= r.slot < r.deadline for r in rows)
+    for s, n in blocks.items():
+        assert all(sizes[s, b] == mixing.BLOCK_ROWS for b in range(n - 1)) and 1 <= sizes[s, n - 1] <= mixing.BLOCK_ROWS
+    at = {r.slot: r.source for r in rows}
+    assert sorted(at) == list(range(sum(blocks.values())))
+    seen = Counter()
+    for t in range(len(at)):
+        seen[at[t]] += 1
+        want = fluid(blocks, weights, t + 1)
+        assert all(abs(seen[x] - want[x]) < 1 for x in blocks)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, "t", "hot" if i % 3 else f"s{i % 7}", 1, "x") for i in range(2000)]
+    rows += [(1, "t", "hot", 2, "x")] * 40 + [(None, "t", None, 3, "x")] * 200 + [(None, "t", "tiny", 3, "x")]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, slot int, s string")
+
+
+def test_every_row_has_a_place(docs):
     got = mixing.query(docs).collect()
-    assert len(got) == len(rows) and len({(r.slot, r.place) for r in got}) == len(rows)
-    assert all(r.release <= r.slot < r.deadline for r in got)
-    per_block = Counter((r.source, r.block) for r in got)
-    blocks = {}
-    for (s, b), n in per_block.items():
-        blocks.setdefault(s, {})[b] = n
-    for found in blocks.values():
-        assert sorted(found) == list(range(len(found)))
-        assert all(found[b] == mixing.BLOCK_ROWS for b in range(len(found) - 1))
-    # until the first source is used up its share of blocks is within one of its weight
-    ends = min(max(r.slot for r in got if r.source == s) for s in blocks)
-    weight = {r.source: Fraction(r.weight).limit_denominator(mixing.PERIOD) for r in got}
-    slots = {(r.source, r.slot) for r in got}
-    for t in range(0, ends, 37):
-        for s in blocks:
-            assert abs(sum(x == s and at < t for x, at in slots) - weight[s] * t) < 1
-
-
-def test_given_weights_and_the_rest(spark):
-    docs = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(300)], "doc_id long, source string")
-    got = mixing.placed(docs, {"a": 1, "b": 3}).collect()
-    assert {r.source: r.stream for r in got}["c"] == mixing.REST
-    assert {r.stream: r.weight for r in got}["b"] > 0.74
+    assert Counter((r.doc_id, r.source) for r in got) == Counter((r.doc_id, r.source) for r in docs.collect())
+    counts = Counter(r.source for r in got)
+    check(got, {s: max(1, round(1000 * n**0.5 / sum(x**0.5 for x in counts.values()))) for s, n in counts.items()})
+
+
+def test_given_weights(docs):
+    weights = {"hot": Fraction(2, 3), "s0": 0.0004, None: "0.25", "tiny": 1, "s1": 1, "s2": 1, "s3": 1, "s4": 1, "s5": 1, "s6": 2}
+    got = mixing.places(docs, weights).collect()
+    check(got, {s: Fraction(str(w)) for s, w in weights.items()})
     with pytest.raises(ValueError):
-        mixing.placed(docs, {"z": 1})
+        mixing.places(docs, {"z": 1})
 
 
-def test_mixed_keeps_all_rows_in_order(spark):
-    rows = [(i, f"text {i}", "en", "hot" if i % 3 else "s", 7) for i in range(500)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    place = {r.doc_id: (r.slot, r.place) for r in mixing.query(docs).collect()}
+def test_mixed_is_the_same_order_and_keeps_all_rows(spark, docs, tmp_path):
+    docs.repartition(5).write.parquet(f"{tmp_path}/docs.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/docs.parquet")
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
-    ids = [r.doc_id for r in out.collect()]
-    assert sorted(ids) == list(range(500)) and ids == sorted(ids, key=place.get)
+    got = [tuple(r) for r in out.collect()]
+    assert Counter(got) == Counter(tuple(r) for r in docs.collect())
+    place = sorted(mixing.places(docs).collect(), key=lambda r: (r.slot, r.place))
+    assert [g[2] for g in got] == [r.source for r in place]
+    unique = [(g[0], g[2]) for g in got if g[0] and g[0] != 1]
+    assert unique == [(r.doc_id, r.source) for r in place if r.doc_id and r.doc_id != 1]
+    out.write.parquet(f"{tmp_path}/mixed")
+    back = mixing.positioned(spark.read.parquet(f"{tmp_path}/mixed")).orderBy("position").collect()
+    assert [r.position for r in back] == list(range(len(got))) and [tuple(r)[:-1] for r in back] == got
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange SinglePartition") == 0 and plan.count("REPARTITION_BY_NUM") + plan.count("ShufflePartitionId") >= 1
 
 
 def test_empty_table(spark):
