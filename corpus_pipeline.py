@@ -17,6 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry import storage
 from quarry.llm import bpe, mixing, quality, secrets, simhash
 from quarry.llm.common import table, written
 
@@ -63,7 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; what the stages before left in the shared folder is removed on the way."""
+    docs, start = table(spark, sf_dir, "documents"), storage.mark()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        storage.drop(start, keep=storage.last())
     return docs

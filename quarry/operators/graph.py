@@ -6,22 +6,12 @@ Loops run on the driver, but only counts come back to it; each round's table is
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DAMPING, ROUNDS = 0.85, 20
-
+from quarry.storage import shared_dir, written
 
-def _shared(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the cluster names; only a local session gets one of its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarry-graph-"))
+DAMPING, ROUNDS = 0.85, 20
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -35,7 +25,7 @@ def pagerank(edges: DataFrame, indexed: DataFrame | None = None, rounds: int = R
     edges, is lost and not handed out again.  Each round is one join on the edge's source and one
     partially combined sum, over an edge table that is made once, with its out-degrees.
     """
-    _shared(edges.sparkSession)
+    shared_dir(edges.sparkSession)
     known = (indexed if indexed is not None else nodes(edges)).select("node").distinct().checkpoint()
     n = known.count()
     if not n:
@@ -60,7 +50,7 @@ def pagerank(edges: DataFrame, indexed: DataFrame | None = None, rounds: int = R
 
 def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(root, node, depth): nodes reached from each root against the import direction, at least depth."""
-    _shared(edges.sparkSession)
+    shared_dir(edges.sparkSession)
     back = edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
     seen = start.select("root", F.col("root").alias("node"), F.lit(0).cast("long").alias("depth")).checkpoint()
     front = seen
@@ -91,7 +81,7 @@ def cycles(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     component; it is removed, and the rest goes on.
     """
     spark = edges.sparkSession
-    _shared(spark)
+    shared_dir(spark)
     e = edges.where("src <> dst").distinct().checkpoint()
     found = None
     for _ in range(max_rounds):
