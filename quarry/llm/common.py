@@ -1,13 +1,12 @@
-"""Helpers shared by the training-data operators: tables, shared storage, text prep, components."""
+"""Helpers shared by the training-data operators: tables, row numbers, text prep, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.storage import new_folder, shared_dir, written  # noqa: F401 - the operators take them from here
+
 #: White space that separates words, as a regular-expression class (kept ASCII-only on purpose).
 SPACE = r"[\x20\x09-\x0D]"
 #: A word.
@@ -18,34 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``.  Only a local session without that setting gets
-    a folder of its own; a cluster without it is a configuration error.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="quarry-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, lineage cut, any executor may be lost."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def located(docs: DataFrame) -> DataFrame:
     """(doc: a row of ``docs`` as a struct, file, row): the numbers tell it from all others in every later reading.
 
