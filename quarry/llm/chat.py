@@ -8,19 +8,23 @@ the quoting one.  Of a message's passages those at the lowest quote level, which
 itself, go before deeper ones, which it quoted; of one level, a passage that matches as a whole goes before
 one that matches by its first line.  The message linked by the first such passage is the parent.  Roots and depths come from pointer doubling.
 
-The result is one row a message, without quotes: sorted by (root_turn, depth, turn) a conversation is in
-reply order, each message after the one it answers.  Conversations are not collected into arrays, so that
-one of any length needs no task of its own.
+The result is one row a message, without quotes, with its text in role markup and its position: the rows
+are sorted by ranges of (conversation, root turn, depth, turn), each message after the one it answers, and
+numbered over the whole table.  A conversation of any length needs no task of its own; ``rendered`` joins the
+texts of neighbouring messages, at most so many a row.
 
 Defined cases: null and blank texts have an empty body and no quotes; messages with a null conv_id or
 turn are formatted but not linked; rows that repeat (conv_id, turn) share a parent, chosen over all of
-them; blank passages link to nothing; an empty table gives no rows; extra columns are ignored.
+them, and are put in order by role and body; a passage said by several messages belongs to the first; blank
+passages link to nothing; a null role is written as unknown; very long texts are cut into lines in their own
+row; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.llm.common import let, lower_ascii, shared_dir, written
 
@@ -150,25 +154,83 @@ def rooted(links: DataFrame) -> DataFrame:
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    """One row a message, without quotes and with its place in the reply order."""
+    """One row a message, without quotes, in role markup and with its position in the reply order."""
     rows = parsed(messages)
     links = written(parents(rows), "chat-links")
     if links.isEmpty():
         tree = links.select("conv_id", "turn", "parent", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth"))
     else:
         tree = rooted(links)
-    return rows.join(tree, ["conv_id", "turn"], "left").select(
+    rows = rows.join(tree, ["conv_id", "turn"], "left").select(
         "conv_id",
         "turn",
         "role",
         "body",
+        F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), "body", F.lit("\n")).alias("formatted"),
         F.size("quotes").cast("long").alias("n_quotes"),
         F.coalesce(F.array_max(F.transform("quotes", lambda q: q["level"])), F.lit(0)).cast("long").alias("max_level"),
         F.col("parent").alias("parent_turn"),
         F.coalesce("root", "turn").alias("root_turn"),
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
     )
+    return numbered(rows, "conv_id", "root_turn", "depth", "turn", "role", "body")
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``position``, their number from 0 in an order; sorted by ranges, not in one task."""
+    sorted_ = written(
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), "chat-order"
+    )
+    part = F.shiftright("_m", 33).alias("_p")
+    counts = sorted_.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    base = counts.select("_p", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("_base"))
+    inside = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
+    return (
+        sorted_.withColumn("_p", F.shiftright("_m", 33))
+        .join(F.broadcast(base), "_p")
+        .withColumn("position", F.col("_base") + inside)
+        .drop("_p", "_m", "_base")
+    )
+
+
+def rendered(rows: DataFrame, most: int = 200) -> DataFrame:
+    """(conv_id, part, n_messages, text): conversations in reply order, in texts of at most ``most`` messages."""
+    part = F.floor(F.col("position") / most).alias("part")
+    texts = F.sort_array(F.collect_list(F.struct("position", "formatted")))  # at most ``most``
+    return rows.groupBy("conv_id", part).agg(
+        F.count(F.lit(1)).alias("n_messages"), F.array_join(F.transform(texts, lambda x: x["formatted"]), "").alias("text")
+    )
 
 
 def query(messages: DataFrame) -> DataFrame:
     return conversations(messages)
+
+
+_SPACE = r"[\x20\x09-\x0D]"
+_NORMAL = rf"trim(regexp_replace(translate({{}}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}+', ' ', 'g'))"
+ORACLE_SQL = rf"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS uid, conv_id, turn, role, coalesce(text, '') AS t FROM conversations),
+ln AS (SELECT uid, i, s[i] AS line FROM (SELECT uid, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT uid, regexp_split_to_array(t, '\r?\n') AS s FROM m))),
+lv AS (SELECT uid, i, length(regexp_replace(regexp_extract(line, '^[ \t]*>[> \t]*'), '[^>]', '', 'g')) AS level, regexp_replace(line, '^[ \t]*>[> \t]*', '') AS txt FROM ln),
+nx AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY uid ORDER BY i), 0) AS next_level, coalesce(lag(level) OVER (PARTITION BY uid ORDER BY i), -1) AS last_level FROM lv),
+own AS (SELECT uid, string_agg(txt, chr(10) ORDER BY i) AS b FROM nx
+  WHERE level = 0 AND NOT (regexp_matches(txt, '^[ \t]*On .{{1,200}} wrote:[ \t]*$') AND next_level > 0) GROUP BY uid),
+body AS (SELECT uid, conv_id, turn, role, regexp_replace(regexp_replace(coalesce(b, ''), '^([ \t]*\n)+', ''), '{_SPACE}+$', '') AS body FROM m LEFT JOIN own USING (uid)),
+rn AS (SELECT *, sum(CASE WHEN level <> last_level THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY i) AS run FROM nx),
+qu AS (SELECT uid, run, any_value(level) AS level, string_agg(txt, chr(10) ORDER BY i) AS q, arg_min(txt, i) AS q1 FROM rn WHERE level > 0 GROUP BY uid, run),
+k0 AS (SELECT uid, level, run, 0 AS part, {_NORMAL.format("q")} AS h FROM qu UNION ALL SELECT uid, level, run, 1, {_NORMAL.format("q1")} FROM qu),
+keys AS (SELECT conv_id, turn, level, run, part, h FROM k0 JOIN m USING (uid) WHERE h <> ''),
+s0 AS (SELECT conv_id, turn, unnest(list_concat([body], list_concat(regexp_split_to_array(body, '\n[ \t]*\n'), string_split(body, chr(10))))) AS x FROM body),
+said AS (SELECT conv_id, {_NORMAL.format("x")} AS h, min(turn) AS parent FROM s0 GROUP BY 1, 2),
+cand AS (SELECT k.conv_id, k.turn, parent, level, part, run FROM keys k JOIN said USING (conv_id, h) WHERE parent < k.turn),
+links AS (SELECT conv_id, turn, parent FROM cand QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, part, run, parent) = 1),
+up AS (SELECT conv_id, turn, parent AS root, CAST(1 AS BIGINT) AS depth FROM links
+  UNION ALL SELECT up.conv_id, up.turn, l.parent, depth + 1 FROM up JOIN links l ON l.conv_id = up.conv_id AND l.turn = up.root),
+tree AS (SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM up GROUP BY 1, 2),
+nq AS (SELECT uid, count(*) AS n, max(level) AS deepest FROM qu GROUP BY uid),
+res AS (SELECT b.conv_id, b.turn, b.role, b.body, concat('<|', coalesce(b.role, 'unknown'), '|>', chr(10), b.body, chr(10)) AS formatted,
+  coalesce(n, 0) AS n_quotes, CAST(coalesce(deepest, 0) AS BIGINT) AS max_level, l.parent AS parent_turn, coalesce(tree.root, b.turn) AS root_turn, coalesce(tree.depth, 0) AS depth
+  FROM body b LEFT JOIN nq USING (uid) LEFT JOIN links l ON l.conv_id = b.conv_id AND l.turn = b.turn LEFT JOIN tree ON tree.conv_id = b.conv_id AND tree.turn = b.turn)
+SELECT *, row_number() OVER (ORDER BY conv_id NULLS FIRST, root_turn NULLS FIRST, depth, turn NULLS FIRST, role NULLS FIRST, body) - 1 AS position FROM res
+"""

@@ -35,6 +35,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": quality.ORACLE_SQL,
         "op5_secret_scan": secrets.ORACLE_SQL,
+        "op6_chat_format": chat.ORACLE_SQL,
         "op9_warc": warc.ORACLE_SQL,
         "op10_embedding_near_dedup": embeddings.ORACLE_SQL,
     }

@@ -1,3 +1,8 @@
+import random
+import re
+
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import chat
@@ -26,7 +31,7 @@ def test_nested_quotes_link_to_the_messages_that_said_them(spark):
     )
     link = {k: (r.parent_turn, r.root_turn, r.depth) for k, r in got.items()}
     assert link == {
-        (1, 0): (None, 0, 0), (1, 1): (0, 0, 1), (1, 2): (0, 0, 1), (1, 3): (2, 0, 2), (1, 4): (None, 4, 0), (2, 0): (None, 0, 0),
+        (1, 0): (None, 0, 0), (1, 1): (0, 0, 1), (1, 2): (1, 0, 2), (1, 3): (2, 0, 3), (1, 4): (None, 4, 0), (2, 0): (None, 0, 0),
     }
     assert got[1, 2].body == "Good." and got[1, 2].max_level == 2 and got[1, 2].n_quotes == 2
     assert got[1, 1].body == "Fine, and you?" and got[1, 0].body == "Hello there.\n\nHow are you?"
@@ -70,3 +75,111 @@ def test_lowest_quote_level_is_the_parent(spark):
         (1, 4, "u", ">> older\n> nobody said this\ndeeper only"),
     )
     assert [(got[1, i].parent_turn, got[1, i].depth) for i in range(5)] == [(None, 0), (0, 1), (1, 2), (2, 3), (1, 2)]
+
+
+WORDS = "yes no maybe please Thanks again when why the plan ship test MERGE fix review later today".split()
+
+
+def talk(seed, conversations, turns):
+    """Threads in which messages quote earlier ones, with their quotes, at several levels and in parts."""
+    rnd, out = random.Random(seed), []
+    for c in range(conversations):
+        said = []
+        for t in range(turns):
+            own = "\n".join(" ".join(rnd.choices(WORDS, k=rnd.randint(1, 4))) + f" {rnd.randint(0, 60)}" for _ in range(rnd.randint(1, 3)))
+            if rnd.random() < 0.2:
+                own = own.replace("\n", "\n\n")
+            lines = []
+            if said and rnd.random() < 0.75:
+                quoted = rnd.choice(said).split("\n")
+                quoted = quoted[: rnd.randint(1, len(quoted))]
+                if rnd.random() < 0.4:
+                    lines.append("On Monday X wrote:")
+                lines += [rnd.choice(["> ", ">", " > "]) + x.upper() if rnd.random() < 0.1 else "> " + x for x in quoted]
+                if rnd.random() < 0.2:
+                    lines.append("> never said by anyone")
+            text = "\n".join([*lines, own, ""][: rnd.choice([-1, None])])
+            if rnd.random() < 0.1:
+                text = text.replace("\n", "\r\n")
+            said.append(text.replace("\r\n", "\n").rstrip("\n"))
+            out.append((c, t, rnd.choice(["user", "assistant", None]), text))
+    return out
+
+
+def brute(messages):
+    """(conv, turn) -> (body, quoted passages, deepest level, parent, root, depth), by plain loops."""
+    parsed = {}
+    for c, t, _, text in messages:
+        own, quotes, last = [], [], 0
+        lines = (text or "").replace("\r\n", "\n").split("\n")
+        marks = [re.match(r"[ \t]*>[> \t]*", x) for x in lines]
+        levels = [m.group().count(">") if m else 0 for m in marks]
+        for i, (x, m, n) in enumerate(zip(lines, marks, levels, strict=True)):
+            if not n:
+                if not (re.fullmatch(r"[ \t]*On .{1,200} wrote:[ \t]*", x) and i + 1 < len(lines) and levels[i + 1]):
+                    own.append(x)
+            elif n == last:
+                quotes[-1][1].append(x[m.end() :])
+            else:
+                quotes.append((n, [x[m.end() :]]))
+            last = n
+        while own and not own[0].strip(" \t"):
+            own.pop(0)
+        parsed[c, t] = ("\n".join(own).rstrip(), quotes)
+    normal = lambda x: " ".join(x.lower().split())
+    found = {}
+    for (c, t), (_, quotes) in parsed.items():
+        best = None
+        for at, (n, q) in enumerate(quotes):
+            for by, passage in enumerate(("\n".join(q), q[0])):
+                sayers = []
+                for (c2, t2), (body, _) in parsed.items():
+                    parts = [body, *re.split(r"\n[ \t]*\n", body), *body.split("\n")]
+                    if c2 == c and normal(passage) and normal(passage) in map(normal, parts):
+                        sayers.append(t2)
+                if sayers and min(sayers) < t and (best is None or (n, by, at) < best[0]):
+                    best = ((n, by, at), min(sayers))
+        found[c, t] = best and best[1]
+    out = {}
+    for (c, t), (body, quotes) in parsed.items():
+        root, depth = t, 0
+        while found[c, root] is not None:
+            root, depth = found[c, root], depth + 1
+        out[c, t] = (body, len(quotes), max([n for n, _ in quotes], default=0), found[c, t], root, depth)
+    return out
+
+
+def test_random_threads_match_brute_force(spark):
+    messages = talk(11, 30, 25)
+    want = brute(messages)
+    got = chat.query(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): (r.body, r.n_quotes, r.max_level, r.parent_turn, r.root_turn, r.depth) for r in got} == want
+    assert sum(w[3] is not None for w in want.values()) > 300 and max(w[2] for w in want.values()) > 3
+    order = sorted(got, key=lambda r: r.position)
+    assert [r.position for r in order] == list(range(len(messages)))
+    place = {(r.conv_id, r.turn): r.position for r in order}
+    assert all(place[r.conv_id, r.parent_turn] < r.position for r in got if r.parent_turn is not None)
+    assert [r.conv_id for r in order] == sorted(r.conv_id for r in got)
+
+
+def test_ten_thousand_messages_match_sql(spark, tmp_path):
+    messages = talk(5, 200, 50) + [(500, i, "user", f"> m{i - 1}\nm{i}") for i in range(300)] + [(None, 1, None, "> x\ny"), (501, None, "u", "> x"), (502, 0, "u", None)]
+    df = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
+    df.repartition(5).write.parquet(f"{tmp_path}/c")
+    got = chat.query(spark.read.parquet(f"{tmp_path}/c")).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    cur = con.execute(chat.ORACLE_SQL)
+    names = [c[0] for c in cur.description]
+    assert sorted(names) == sorted(got[0].asDict())
+    assert sorted((tuple(r[n] for n in names) for r in got), key=str) == sorted(cur.fetchall(), key=str)
+    assert sum(r.parent_turn is not None for r in got) > 5000 and max(r.depth for r in got) == 299
+
+
+@pytest.mark.parametrize("most", [200, 2])
+def test_rendered_texts_are_the_messages_in_order(spark, most):
+    messages = [(1, 0, "user", "a"), (1, 1, "assistant", "> a\nb"), (1, 2, "user", "> b\nc"), (2, 0, None, "d")]
+    rows = chat.conversations(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string"))
+    got = sorted((r.conv_id, r.part, r.text, r.n_messages) for r in chat.rendered(rows, most).collect())
+    assert "".join(t for c, _, t, _ in got if c == 1) == "<|user|>\na\n<|assistant|>\nb\n<|user|>\nc\n"
+    assert [t for c, _, t, _ in got if c == 2] == ["<|unknown|>\nd\n"] and max(n for *_, n in got) <= most
