@@ -29,9 +29,10 @@ def clusters(seed, groups, size, noise):
     return out
 
 
-@pytest.mark.parametrize("block", [embeddings.BLOCK, 8])
-def test_links_and_components(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, tile", [(embeddings.BLOCK, embeddings.TILE), (8, 3), (1000, 5)])
+def test_links_and_components(spark, monkeypatch, block, tile):
     monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "TILE", tile)
     monkeypatch.setattr(embeddings, "RECALL", 0.9999)
     vectors = clusters(1, 12, 14, 0.25) + [[1.0] + [0.0] * 15] * 9
     rows = [(1000 - i, v) for i, v in enumerate(vectors)]
@@ -60,3 +61,29 @@ def test_defined_cases(spark):
 def test_more_vectors_get_more_bits_and_tables():
     assert embeddings.plan(100)[0] < embeddings.plan(10**6)[0] < embeddings.plan(10**9)[0]
     assert embeddings.plan(10**4)[1] < embeddings.plan(10**7)[1]
+
+
+def test_vectors_without_an_id_link(spark):
+    rows = [(None, [1.0, 0.0]), (5, [1.0, 0.01]), (None, [0.0, 1.0]), (None, [0.01, 1.0]), (None, None), (None, [-1.0, 0.0]), (3, [1.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], SCHEMA)
+    got = sorted((tuple(r) for r in embeddings.query(df).collect()), key=str)
+    assert got == sorted([(None, 2, 3, False), (5, 2, 3, False), (3, 2, 3, True), (None, 1, None, True), (None, 1, None, True),
+                          (None, 0, None, True), (None, 0, None, True)], key=str)
+
+
+def test_recall_with_production_parameters(spark):
+    """Pairs with cosines from 0.9 up, most of them near it, among unrelated vectors; brute force has them all."""
+    rng = np.random.default_rng(8)
+    a = rng.standard_normal((3000, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.standard_normal((3000, 32))
+    side -= (side * a).sum(1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = 0.9 + 0.1 * rng.random((3000, 1)) ** 2
+    x = np.concatenate([a, cos * a + np.sqrt(1 - cos**2) * side]).astype("float32").astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    there = (unit @ unit.T >= embeddings.LIMIT).sum(1) - 1
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in enumerate(x.tolist())], SCHEMA)
+    got = {r.vec_id: r.n_links for r in embeddings.query(df).collect()}
+    assert all(got[i] <= n for i, n in enumerate(there))
+    assert sum(got.values()) >= 0.97 * there.sum() and there.sum() >= 5900
