@@ -3,23 +3,24 @@
 Training documents are those whose crc32(doc_id as text) mod 7 is not 2.  One Arrow pass over them counts
 words and byte 6-grams; both counts are summed by Spark over the whole corpus.
 
-The model's nodes are all contexts of up to ``ORDER`` bytes that the training text has.  A node with total T and D distinct successors gives a seen byte c / (T + D) and escapes with D / (T + D)
-(method C); after an escape the bytes seen there are excluded from the shorter context, and so on down to
-a uniform choice among the bytes not excluded.  A byte's probability depends on it and the ORDER bytes
-before only, so that a text's score is a sum over its grams, in three parts.  Contexts seen at least once
-in ``MAX_CONTEXTS`` training bytes, at most that many of each length, are a trie that is broadcast; as the
-counts are nested, each node's whole distribution is worked out beforehand.  Of the grams of all other
-contexts the most frequent ``MAX_GRAMS`` at most are broadcast with their probabilities.  The rest, and
-grams never seen, are counted per text and joined by key to the counts of the whole corpus.  A text is
-its ASCII-lower-cased UTF-8 bytes and an end mark; the byte 0xFF, which UTF-8 never uses, is the mark,
-and also stands before each text.
-
-The base sums log10((c + 1) / (N + V + 1)) over words and one end.  Words seen at least once in
-``MAX_WORDS`` tokens, at most that many, are broadcast; the others are joined by key.
-
-Defined cases: a null text is empty and scores as the end alone; a null doc_id counts as empty text for
-the split; repeated rows are learnt from and scored one by one; without training documents all bytes are
-uniform; an empty table gives no rows; extra columns are ignored.
+The model's nodes are all contexts of up to ``ORDER`` bytes that the training text has; nothing is pruned.
+The trie is a table of (context, byte, count), dealt by context.  A node with total T and D distinct
+successors gives a seen byte c / (T + D) and escapes with D / (T + D) (method C); after an escape the bytes
+seen there are excluded from the shorter context, and so on down to a uniform choice among the bytes not
+excluded.  A byte's probability depends on it and the ORDER bytes before only, so that a text's score is a
+sum over its grams.  The probabilities of the ``MAX_GRAMS`` most frequent grams at most are sent to all
+tasks (16 bytes each); the other grams of a text are counted in its row and joined by key, those that the
+training text has with their probabilities, those that it has not with the nodes that they escape through.
+A text is its ASCII-lower-cased UTF-8 bytes and an end mark; the byte 0xFF, which UTF-8 never uses, is the
+mark, and also stands before each text.
+
+The base sums log10((c + 1) / (N + V + 1)) over words and one end.  Words of up to ``LONG_WORD`` bytes seen at
+least once in ``MAX_WORDS`` tokens, at most that many, are broadcast; the others are joined by key.
+
+Defined cases: a null text is empty and scores as the end alone; a very long text is scored in stretches; a
+null doc_id counts as empty text for the split; repeated rows are learnt from and scored one by one; grams of
+equal counts go either way, with the same result; without training documents all bytes are uniform; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,13 +36,14 @@ from pyspark.sql.window import Window
 from quarry.llm.common import written
 
 ORDER = 5
-MAX_CONTEXTS = 1 << 16
 MAX_WORDS = 1 << 20
+LONG_WORD = 64
 MAX_GRAMS = 1 << 22
 MARK = 0xFF
 END = b"\xff"
 _STEP = 1 << 20
 _FLUSH = 250_000
+_EMPTY = -1
 
 
 def held_out(doc_id: Column) -> Column:
@@ -52,19 +54,26 @@ def prepared(text: str | None) -> bytes:
     return (text or "").encode().lower()
 
 
-def _grams(data: bytes) -> np.ndarray:
+def _grams(data: bytes | np.ndarray) -> np.ndarray:
     """Keys of all bytes with the ORDER before each; ``data`` starts with ORDER bytes of context."""
-    b = np.frombuffer(data, np.uint8).astype(np.int64)
+    b = np.frombuffer(data, np.uint8)
     key = np.zeros(max(0, len(b) - ORDER), np.int64)
     for i in range(ORDER + 1):
-        key = key << 8 | b[i : len(b) - ORDER + i]
+        key <<= 8
+        key |= b[i : len(b) - ORDER + i]
     return key
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often each is there; sorts in place."""
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
 def _count(batches):
     """Rows (word, gram, n): partial counts of words, or of byte grams where word is null."""
     words: Counter = Counter()
-    keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
     buffer: list[bytes] = []
     size = empty = 0
 
@@ -82,24 +91,19 @@ def _count(batches):
                 ["word", "gram", "n"],
             )
 
-    def emit_grams():
-        for at in range(0, len(keys), 100_000):
-            k = keys[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(k), pa.binary()), pa.array(k), pa.array(sums[at : at + 100_000])],
-                ["word", "gram", "n"],
-            )
-
-    def add(texts: list[bytes]):
-        """Counts texts; a mark after a mark is the end of an empty one, and is counted on its own."""
-        nonlocal keys, sums
+    def emit_grams(texts: list[bytes]):
+        """A mark after a mark is the end of an empty text, and is counted on its own."""
         marks = END * ORDER
         data = marks + marks.join(texts) + END
-        for at in range(0, len(data) - ORDER, 4 * _STEP):
-            k, n = np.unique(_grams(data[at : at + 4 * _STEP + ORDER]), return_counts=True)
-            real = k & 0xFFFF != MARK << 8 | MARK
-            keys, where = np.unique(np.concatenate([keys, k[real]]), return_inverse=True)
-            sums = np.bincount(where, np.concatenate([sums, n[real]]), len(keys)).astype(np.int64)
+        for at in range(0, len(data) - ORDER, 16 * _STEP):
+            keys, n = _runs(_grams(data[at : at + 16 * _STEP + ORDER]))
+            real = keys & 0xFFFF != MARK << 8 | MARK
+            keys, n = keys[real], n[real]
+            for i in range(0, len(keys), 100_000):
+                k = keys[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(len(k), pa.binary()), pa.array(k), pa.array(n[i : i + 100_000])], ["word", "gram", "n"]
+                )
 
     for batch in batches:
         for t in batch.column(0):
@@ -110,118 +114,88 @@ def _count(batches):
                 continue
             buffer.append(data)
             size += len(data)
-            if size > 4 * _STEP:
-                add(buffer)
+            if size > 16 * _STEP:
+                yield from emit_grams(buffer)
                 buffer, size = [], 0
             if len(words) > _FLUSH:
                 yield from emit_words()
-            if len(keys) > 8 * _FLUSH:
-                yield from emit_grams()
-                keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if buffer:
-        add(buffer)
+        yield from emit_grams(buffer)
     if empty:
-        keys = np.append(keys, (1 << 8 * (ORDER + 1)) - 1)
-        sums = np.append(sums, empty)
+        whole = pa.array([(1 << 8 * (ORDER + 1)) - 1], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), whole, pa.array([empty], pa.int64())], ["word", "gram", "n"])
     yield from emit_words()
-    yield from emit_grams()
-
-
-class Trie:
-    """Children and log10 probabilities of all nodes; node 0 is the empty context."""
-
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """``counts``: for each length of context, arrays of context, next byte and count."""
-        dense: list[np.ndarray] = []
-        contexts: list[np.ndarray] = []
-        for k, (ctx, byte, n) in enumerate(counts):
-            known = np.unique(ctx) if k else np.zeros(1, np.int64)
-            table = np.zeros((len(known), 256))
-            np.add.at(table, (np.searchsorted(known, ctx), byte), n)
-            contexts.append(known)
-            dense.append(table)
-        first = np.cumsum([0] + [len(c) for c in contexts])
-        self.child = np.full((first[-1], 256), -1, np.int32)
-        self.logp = np.empty((first[-1], 256), np.float32)
-        shorter: list[np.ndarray] = [np.zeros(1, np.int64)]
-        for k in range(1, len(contexts)):
-            ctx = contexts[k]
-            tail = ctx & ((1 << 8 * (k - 1)) - 1)  # the latest k - 1 bytes
-            row = np.searchsorted(contexts[k - 1], tail)
-            shorter.append(row)
-            self.child[first[k - 1] + row, ctx >> 8 * (k - 1)] = first[k] + np.arange(len(ctx))
-        for k, table in enumerate(dense):
-            for at in range(0, len(table), 1024):
-                rows = np.arange(at, min(at + 1024, len(table)))
-                self.logp[first[k] + rows] = np.log10(self._distribution(dense, shorter, k, rows))
-
-    @staticmethod
-    def _distribution(dense, shorter, k: int, rows: np.ndarray) -> np.ndarray:
-        p = np.zeros((len(rows), 256))
-        out = np.zeros((len(rows), 256), bool)  # excluded
-        left = np.ones((len(rows), 1))
-        while True:
-            c = np.where(out, 0, dense[k][rows])
-            seen = c > 0
-            t, d = c.sum(1, keepdims=True), seen.sum(1, keepdims=True)
-            out |= seen
-            ends = out.all(1, keepdims=True)  # nothing to escape to
-            under = np.maximum(t + np.where(ends, 0, d), 1)
-            p += np.where(seen, left * c / under, 0)
-            left = np.where(ends, 0, np.where(t > 0, left * d / under, left))
-            if k == 0:
-                free = (~out).sum(1, keepdims=True)
-                return p + np.where(out, 0, left / np.maximum(free, 1))
-            rows = shorter[k][rows]
-            k -= 1
-
-    def score(self, texts: list[bytes], grams: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, list, list]:
-        """log10 probability of each text and its end, without the grams that neither the trie nor ``grams``
-        (sorted, with their ``logs``) has; and for each text those grams, and how often it has them."""
-        out = np.zeros(len(texts))
-        rare: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
-        times: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
-        at = 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) < _STEP):
-                size += len(texts[to])
-                to += 1
-            lead = END * ORDER
-            data = np.frombuffer(b"".join(lead + t for t in texts[at:to]) + lead, np.uint8)
-            sizes = np.array([len(t) + 1 for t in texts[at:to]])
-            # positions to predict: each text and the first mark after it
-            starts = np.cumsum(np.concatenate([[ORDER], sizes[:-1] + ORDER - 1]))
-            left: list[tuple[np.ndarray, np.ndarray]] = []
-            for s in range(0, int(sizes.sum()), _STEP):
-                n = np.arange(s, min(s + _STEP, int(sizes.sum())))
-                ends = np.cumsum(sizes)
-                which = np.searchsorted(ends, n, "right")
-                pos = starts[which] + (n - (ends - sizes)[which])
-                node = np.zeros(len(pos), np.int32)
-                alive = np.ones(len(pos), bool)
-                for back in range(1, ORDER + 1):
-                    to_node = self.child[node, data[pos - back]]
-                    alive &= to_node >= 0
-                    node = np.where(alive, to_node, node)
-                out[at:to] += np.bincount(which[alive], self.logp[node[alive], data[pos[alive]]], to - at)
-                which, pos = which[~alive], pos[~alive]
-                key = np.zeros(len(pos), np.int64)
-                for back in range(ORDER, -1, -1):
-                    key = key << 8 | data[pos - back]
-                if len(grams):
-                    row = np.minimum(np.searchsorted(grams, key), len(grams) - 1)
-                    hit = grams[row] == key
-                    out[at:to] += np.bincount(which[hit], logs[row[hit]], to - at)
-                    which, key = which[~hit], key[~hit]
-                left.append((which, key))
-            which, key = (np.concatenate(x) for x in zip(*left, strict=True))
-            order = np.argsort(which, kind="stable")
-            cuts = np.searchsorted(which[order], np.arange(to - at + 1))
-            for i in np.flatnonzero(np.diff(cuts)):
-                rare[at + i], times[at + i] = np.unique(key[order[cuts[i] : cuts[i + 1]]], return_counts=True)
-            at = to
-        return out, rare, times
+
+
+class Lookup:
+    """Values of distinct keys that are not negative, in an open-addressing table: one or two reads a key."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, _EMPTY, np.int64)
+        self.values = np.zeros(1 << self.bits)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            slot = at[left]
+            free = np.flatnonzero(self.keys[slot] == _EMPTY)
+            slots, first = np.unique(slot[free], return_index=True)
+            won = left[free[first]]
+            self.keys[slots], self.values[slots] = keys[won], values[won]
+            left = left[self.keys[slot] != keys[left]]
+            at[left] = at[left] + 1 & (1 << self.bits) - 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a key is there, its value or 0)."""
+        at = self._slot(keys)
+        there = self.keys[at]
+        left = np.flatnonzero((there != keys) & (there != _EMPTY))
+        while len(left):
+            at[left] = at[left] + 1 & (1 << self.bits) - 1
+            now = self.keys[at[left]]
+            there[left] = now
+            left = left[(now != keys[left]) & (now != _EMPTY)]
+        found = there == keys
+        return found, np.where(found, self.values[at], 0.0)
+
+
+def score_texts(texts: list[bytes], table: Lookup) -> tuple[np.ndarray, list, list]:
+    """log10 probability of each text and its end, over the grams that the table has; and for each text its
+    other grams, and how often it has them."""
+    out = np.zeros(len(texts))
+    rare: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+    times: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+    lead = END * ORDER
+    first = 0
+    while first < len(texts):
+        last, size = first, 0
+        while last < len(texts) and (last == first or size + len(texts[last]) < _STEP):
+            size += len(texts[last])
+            last += 1
+        data = np.frombuffer(b"".join(lead + t for t in texts[first:last]) + lead, np.uint8)
+        lengths = np.fromiter(map(len, texts[first:last]), np.int64, last - first)
+        starts = np.cumsum(lengths + ORDER) - lengths  # of the bytes to predict: a text and the mark after it
+        left: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(ORDER, len(data) - ORDER + 1, _STEP):
+            to = min(at + _STEP, len(data) - ORDER + 1)
+            here = np.arange(at, to)
+            which = np.searchsorted(starts, here, "right") - 1
+            real = here - starts[which] <= lengths[which]
+            which, keys = which[real], _grams(data[at - ORDER : to])[real]
+            found, logs = table.get(keys)
+            out[first:last] += np.bincount(which, logs, last - first)
+            left.append((which[~found], keys[~found]))
+        which, keys = (np.concatenate(x) for x in zip(*left, strict=True))
+        order = np.argsort(which, kind="stable")
+        which, keys = which[order], keys[order]
+        cuts = np.searchsorted(which, np.arange(last - first + 1))
+        for i in np.flatnonzero(np.diff(cuts)):
+            rare[first + i], times[first + i] = _runs(keys[cuts[i] : cuts[i + 1]])
+        first = last
+    return out, rare, times
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -231,42 +205,16 @@ def counted(docs: DataFrame) -> DataFrame:
     return written(parts.groupBy("word", "gram").agg(F.sum("n").alias("n")), "lm-counts")
 
 
-def learn(docs: DataFrame) -> tuple[DataFrame, Trie]:
-    """(table of word counts, trie of the frequent contexts) from the training documents."""
-    return _frequent(counted(docs))
-
-
-def _frequent(both: DataFrame) -> tuple[DataFrame, Trie]:
-    words = both.where("word IS NOT NULL").select("word", F.col("n").alias("c"))
-    grams = both.where("gram IS NOT NULL")
-    grams = grams.select("gram", "n")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    counts = []
-    for k in range(ORDER + 1):
-        m = grams.groupBy(
-            F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long")).alias("ctx"),
-            F.col("gram").bitwiseAND(F.lit(255).cast("long")).alias("byte"),
-        ).agg(F.sum("n").alias("n"))
-        if k:
-            often = m.groupBy("ctx").agg(F.sum("n").alias("t")).where(F.col("t") * MAX_CONTEXTS >= total)
-            m = m.join(F.broadcast(often.select("ctx")), "ctx")  # at most MAX_CONTEXTS rows
-        got = m.toArrow()  # at most 256 rows a context
-        counts.append(tuple(got.column(c).to_numpy().astype(np.int64) for c in ("ctx", "byte", "n")))
-    return words, Trie(counts)
-
-
 def _low(gram: str, n: int) -> Column:
     """The latest n bytes."""
     return F.col(gram).bitwiseAND(F.lit((1 << 8 * n) - 1).cast("long"))
 
 
-def _seen(grams: DataFrame, total: int) -> DataFrame:
-    """(gram, n, logp) of all grams whose context is not in the trie."""
+def _seen(grams: DataFrame) -> DataFrame:
+    """(gram, n, logp) of all grams of the training text."""
     node = Window.partitionBy(F.shiftright("gram", 8))  # at most 256 rows
     rows = grams.select("gram", "n", F.sum("n").over(node).alias("t"), F.count(F.lit(1)).over(node).alias("d"))
-    return rows.where(F.col("t") * MAX_CONTEXTS < F.lit(total)).select(
-        "gram", "n", F.log10(F.col("n") / (F.col("t") + F.col("d"))).alias("logp")
-    )
+    return rows.select("gram", "n", F.log10(F.col("n") / (F.col("t") + F.col("d"))).alias("logp"))
 
 
 def _common_from(seen: DataFrame) -> int:
@@ -286,20 +234,24 @@ def _never_seen(novel: DataFrame, grams: DataFrame, total: int) -> DataFrame:
     """(gram, logp) of grams that the training text does not have, by escapes to shorter contexts.
 
     What a context has seen its suffix has seen too.  A context's ``s`` is the sum of its suffix's counts
-    of the bytes that it has seen itself, all of which are excluded there.
+    of the bytes that it has seen itself, all of which are excluded there.  Only nodes that a gram escapes
+    through are put together.
     """
     kinds = grams.select(_low("gram", 1)).distinct().count()
     x = novel
     for k in range(ORDER, 0, -1):
         m = grams.groupBy(_low("gram", k + 1).alias("g")).agg(F.sum("n").alias("n"))
         m = m.withColumn("p", F.sum("n").over(Window.partitionBy(_low("g", k))))  # at most 256 rows
-        nodes = m.groupBy(F.shiftright("g", 8).alias("ctx")).agg(
+        m = m.withColumn("ctx", F.shiftright("g", 8))
+        if k > 2:  # no more than 65,536 contexts otherwise
+            m = m.join(novel.select(F.shiftright(_low("gram", k + 1), 8).alias("ctx")).distinct(), "ctx", "left_semi")
+        nodes = m.groupBy("ctx").agg(
             F.sum("n").alias("t"),
             F.count(F.lit(1)).alias("d"),
             F.sum("p").alias("s"),
             F.map_from_entries(F.collect_list(F.struct(_low("g", 1).alias("b"), "n"))).alias("m"),
         )
-        nodes = F.broadcast(nodes) if k <= 2 else nodes  # at most 65,536 contexts
+        nodes = F.broadcast(nodes) if k <= 2 else nodes
         x = x.withColumn("ctx", F.shiftright(_low("gram", k + 1), 8)).join(nodes, "ctx", "left")
         x = x.withColumn("c", F.col("m")[_low("gram", 1)]).drop("ctx", "m")
         x = x.withColumnsRenamed({name: f"{name}{k}" for name in "tdsc"})
@@ -321,32 +273,41 @@ def _never_seen(novel: DataFrame, grams: DataFrame, total: int) -> DataFrame:
     return x.select("gram", F.coalesce(*found, left - F.log10(F.lit(256.0 - kinds))).alias("logp"))
 
 
+_made: list = []
+
+
+def _lookup(held: tuple[np.ndarray, np.ndarray]) -> Lookup:
+    """The table of a broadcast model, made once in a worker."""
+    if not _made or _made[0] is not held:
+        _made[:] = [held, Lookup(*held)]
+    return _made[1]
+
+
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per document."""
     spark = docs.sparkSession
     both = counted(docs)
-    words, trie = _frequent(both)
+    words = both.where("word IS NOT NULL").select("word", F.col("n").alias("c"))
     grams = both.where("gram IS NOT NULL").select("gram", "n")
     positions = grams.agg(F.sum("n")).first()[0] or 0
-    seen_grams = written(_seen(grams, positions), "lm-grams")
+    seen_grams = written(_seen(grams), "lm-grams")
     at_least = _common_from(seen_grams)
-    held = seen_grams.where(F.col("n") >= at_least).select("gram", F.col("logp").cast("float")).toArrow()
-    keys = held.column("gram").to_numpy()
-    sort = np.argsort(keys)
-    held = (keys[sort], held.column("logp").to_numpy()[sort])
+    held = seen_grams.where(F.col("n") >= at_least).select("gram", "logp").toArrow()  # at most MAX_GRAMS rows
+    held = (held.column("gram").to_numpy(), held.column("logp").to_numpy())
     # each training text ends once
     ends = docs.where(~held_out(F.col("doc_id"))).count()
     seen, distinct = words.agg(F.sum("c"), F.count(F.lit(1))).first()
     total, kinds = (seen or 0) + ends, distinct + (ends > 0)
     under = float(total + kinds + 1)
-    often = F.col("c") * MAX_WORDS >= F.lit(total)
-    common = words.where(often).toArrow()
+    often = (F.col("c") * MAX_WORDS >= F.lit(total)) & (F.length("word") <= LONG_WORD)
+    common = words.where(often).toArrow()  # at most MAX_WORDS rows
     logs = np.log10((common.column("c").to_numpy() + 1) / under)
     known = dict(zip(common.column("word").to_pylist(), logs.tolist(), strict=True))
-    model = spark.sparkContext.broadcast((known, trie, held, np.log10((ends + 1) / under)))
+    model = spark.sparkContext.broadcast((known, held, np.log10((ends + 1) / under)))
 
     def run(batches):
-        table, trie, held, end = model.value
+        table, held, end = model.value
+        lookup = _lookup(held)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -368,7 +329,7 @@ def score(docs: DataFrame) -> DataFrame:
                     base.append(s)
                     rare.append(r)
                     times.append(o)
-                scores, grams, gram_times = trie.score(texts, *held)
+                scores, grams, gram_times = score_texts(texts, lookup)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),

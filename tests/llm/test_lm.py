@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quarry.llm import lm
@@ -9,7 +10,7 @@ from quarry.llm import lm
 TEXTS = [None, "", "the cat sat on the mat", "The CAT sat", "é日本 the", "zzz unseen words qqq", "the cat sat on the mat", "a" * 3000, "\n \t"]
 
 
-def brute(rows, most=lm.MAX_CONTEXTS):
+def brute(rows):
     """(base, score) by the definitions, with dictionaries."""
     train = [b for i, b in rows if zlib.crc32(str(i).encode()) % 7 != 2]
     words = Counter()
@@ -20,9 +21,6 @@ def brute(rows, most=lm.MAX_CONTEXTS):
         for i in range(lm.ORDER, len(x)):
             for k in range(lm.ORDER + 1):
                 counts[k].setdefault(x[i - k : i], Counter())[x[i]] += 1
-    total = sum(counts[0].get(b"", Counter()).values())
-    for k in range(1, lm.ORDER + 1):
-        counts[k] = {c: m for c, m in counts[k].items() if sum(m.values()) * most >= total}
     n, v = sum(words.values()) + len(train), len(words) + bool(train)
 
     def step(context, symbol):
@@ -64,21 +62,7 @@ def test_scores_match_brute_force(spark, monkeypatch, most_words):
         r = got[i]
         assert r.held_out == (zlib.crc32(str(i).encode()) % 7 == 2)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
-        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-5, abs_tol=1e-5)
-
-
-def test_probabilities_of_each_node_add_up(spark):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS * 3)], "doc_id long, text string")
-    _, trie = lm.learn(docs)
-    total = (10 ** trie.logp.astype("float64")).sum(axis=1)
-    assert abs(total - 1).max() < 1e-4
-
-
-def test_pruned_contexts_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(lm, "MAX_CONTEXTS", 4)
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS * 3)], "doc_id long, text string")
-    _, trie = lm.learn(docs)
-    assert len(trie.logp) <= 1 + 4 * lm.ORDER
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9, abs_tol=1e-9)
 
 
 def test_empty_and_untrained(spark):
@@ -97,12 +81,35 @@ def test_held_out_text_of_the_same_kind_scores_above_noise(spark):
     assert kind and min(kind) > 5 * max(noise) / 2 and min(kind) > max(noise)
 
 
-@pytest.mark.parametrize("most_grams", [lm.MAX_GRAMS, 8])
+@pytest.mark.parametrize("most_grams", [lm.MAX_GRAMS, 8, 0])
 def test_rare_contexts_count_in_full(spark, monkeypatch, most_grams):
-    monkeypatch.setattr(lm, "MAX_CONTEXTS", 4)
-    monkeypatch.setattr(lm, "MAX_GRAMS", most_grams)  # 8: nearly all grams take the join
+    monkeypatch.setattr(lm, "MAX_GRAMS", most_grams)  # nearly all grams take the join
     rows = [(i, t) for i, t in enumerate(TEXTS * 4)] + [(100 + i, f"the rat {i} zzq\x00ab catalog é" * (i % 3)) for i in range(30)]
+    rows += [(200, "a long text of many words " * 4000), (201, "b" * 300_000 + "a long text")]
     got = {r.doc_id: r.score for r in lm.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = brute([(i, (t or "").encode().lower()) for i, t in rows], most=1 << 60)
+    want = brute([(i, (t or "").encode().lower()) for i, t in rows])
     for (i, _), w in zip(rows, want, strict=True):
-        assert math.isclose(got[i], w[-1], rel_tol=1e-5, abs_tol=1e-5)
+        assert math.isclose(got[i], w[-1], rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_probabilities_of_a_context_add_up(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS * 3)], "doc_id long, text string")
+    grams = lm.counted(docs).where("gram IS NOT NULL").select("gram", "n")
+    total = grams.agg({"n": "sum"}).first()[0]
+    for context in (b"e cat", b"he ca", b"\xff" * 5, b"qqqqq", b"zz at", b"aaaaa"):
+        base = int.from_bytes(context, "big") << 8
+        asked = spark.createDataFrame([(base + b,) for b in range(256)], "gram long")
+        seen = lm._seen(grams).join(asked, "gram", "left_semi").select("gram", "logp")
+        novel = lm._never_seen(asked.join(seen, "gram", "left_anti"), grams, total)
+        logs = [r.logp for r in seen.unionAll(novel).collect()]
+        assert len(logs) == 256 and math.isclose(sum(10**x for x in logs), 1, rel_tol=1e-9)
+
+
+def test_lookup_finds_all_keys_and_no_others():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 1 << 48, 20_000))
+    table = lm.Lookup(keys, np.arange(len(keys), dtype=float))
+    found, values = table.get(keys)
+    assert found.all() and (values == np.arange(len(keys))).all()
+    other = np.setdiff1d(rng.integers(0, 1 << 48, 20_000), keys)
+    assert not table.get(other)[0].any() and not lm.Lookup(keys[:0], values[:0]).get(keys)[0].any()
