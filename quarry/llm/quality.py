@@ -4,7 +4,11 @@
 A policy is a version name with the mask of the bits it enforces: ``apply_policy`` and ``ablation``
 read the ledger alone, so that a new policy never reads the texts again.
 
-Defined cases: a null or blank text has no words, fails ``few_words`` and is rejected; repeated rows
+Limits are shares that prose stays clear of.  The one on words with letters (60 %) is between the two labels of
+the sf0.1 test data: of labelled documents of ten words or more, no good one of any language has a lower share,
+while poor ones go down to 49 %, and a twentieth of these have 51 % or less.
+
+Defined cases: very long texts are measured whole, in their own row; a null or blank text has no words, fails ``few_words`` and is rejected; repeated rows
 are judged one by one and stay; an empty table gives an empty ledger; other columns of the input are
 ignored.  Equal 5-word windows are found by 64-bit hashes of their words.  All rules compare integers,
 so ties (a share that is exactly at its limit) pass.
@@ -119,31 +123,42 @@ def apply_policy(rows: DataFrame, version: str = "web-1") -> DataFrame:
     )
 
 
+def sole(rows: DataFrame, version: str = "web-1") -> Column:
+    """The bit of the one enforced rule that a row fails; 0 if there is none, or more than one."""
+    live = F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[version])))
+    return F.when(F.bit_count(live) == 1, live).otherwise(F.lit(0)).cast("long")
+
+
 def ablation(rows: DataFrame, version: str = "web-1") -> DataFrame:
-    """Per rule of a policy: documents that fail it, and those that only this rule rejects.
+    """Per rule of a policy: documents that fail it, that only it rejects, and that stay without it.
 
-    One aggregation with a counter per rule; the ledger is reduced map-side to a single row.
+    The ledger is counted by its bits, map-side first, and all else is worked out from these counts with
+    masks: at most 2 to the number of rules, whatever the number of documents.
     """
-    enforced = POLICIES[version]
-    live = F.col("fail_bits").bitwiseAND(F.lit(mask(enforced)))
-    counts = [F.count(F.lit(1)).alias("docs"), F.sum((live != 0).cast("long")).alias("rejected")]
-    for r in enforced:
-        counts.append(F.sum((live.bitwiseAND(F.lit(mask([r]))) != 0).cast("long")).alias(f"f_{r}"))
-        counts.append(F.sum((live == mask([r])).cast("long")).alias(f"o_{r}"))
-    one = rows.agg(*counts)
-    per = F.array(
-        *[
-            F.struct(
-                F.lit(r).alias("rule"),
-                F.coalesce(F.col(f"f_{r}"), F.lit(0)).alias("failed"),
-                F.coalesce(F.col(f"o_{r}"), F.lit(0)).alias("only_this_rule"),
-            )
-            for r in enforced
-        ]
-    )
-    return one.select("docs", F.coalesce("rejected", F.lit(0)).alias("rejected"), F.explode(per).alias("x")).select(
-        F.lit(version).alias("policy"), "x.*", "docs", "rejected"
-    )
+    every = mask(POLICIES[version])
+    counts = rows.groupBy("fail_bits").agg(F.count(F.lit(1)).alias("n"))
+    one = counts.agg(F.collect_list(F.struct("fail_bits", "n")).alias("c"))
+
+    def total(condition) -> Column:
+        return F.aggregate(
+            F.filter("c", lambda x: condition(x["fail_bits"])), F.lit(0).cast("long"), lambda acc, x: acc + x["n"]
+        )
+
+    def anded(m: int):
+        return lambda bits: bits.bitwiseAND(F.lit(m).cast("long"))
+
+    per = [
+        F.struct(
+            F.lit(r).alias("rule"),
+            total(lambda x, r=r: anded(mask([r]))(x) != 0).alias("failed"),
+            total(lambda x, r=r: anded(every)(x) == mask([r])).alias("only_this_rule"),
+            total(lambda x, r=r: anded(every & ~mask([r]))(x) == 0).alias("kept_without"),
+        )
+        for r in POLICIES[version]
+    ]
+    return one.select(
+        total(lambda x: F.lit(True)).alias("docs"), total(lambda x: anded(every)(x) != 0).alias("rejected"), F.explode(F.array(*per)).alias("x")
+    ).select(F.lit(version).alias("policy"), "x.*", "docs", "rejected")
 
 
 def keep(docs: DataFrame, version: str = "web-1") -> DataFrame:
@@ -162,7 +177,7 @@ def query(docs: DataFrame) -> DataFrame:
     base = F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES["base-1"]))) != 0
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), "kept", "fail_bits",
+        base.alias("base_failed"), "kept", "fail_bits", sole(rows).alias("sole_bit"),
     )
 
 
@@ -186,12 +201,15 @@ a AS (
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_alpha_words,
     length(regexp_replace(joined, '[^A-Z]+', '', 'g')) AS n_upper, coalesce(cov.n, 0) AS n_repeat_words
   FROM m LEFT JOIN cov ON m.doc_id = cov.doc_id),
-b AS (
-  SELECT *, {" + ".join(f"CASE WHEN {r} THEN {1 << i} ELSE 0 END" for i, r in enumerate(RULES.values()))} AS fail_bits
+f AS (
+  SELECT *, n_words < 10 AS f0, n_repeat_words * 5 > n_words AS f1, n_symbols * 10 > n_words AS f2, n_dup_lines * 5 > n_lines * 2 AS f3,
+    word_chars > n_words * 12 OR word_chars < n_words * 2 AS f4, n_alpha_words * 5 < n_words * 3 AS f5, n_upper * 2 > word_chars AS f6
   FROM a)
 SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
-  CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, (fail_bits & {mask(POLICIES["base-1"])}) <> 0 AS base_failed,
-  (fail_bits & {mask(POLICIES["web-1"])}) = 0 AS kept, CAST(fail_bits AS BIGINT) AS fail_bits
-FROM b
+  CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  f0 OR f1 AS base_failed, NOT (f0 OR f1 OR f2 OR f3 OR f4 OR f5 OR f6) AS kept,
+  CAST(if(f0, 1, 0) + if(f1, 2, 0) + if(f2, 4, 0) + if(f3, 8, 0) + if(f4, 16, 0) + if(f5, 32, 0) + if(f6, 64, 0) AS BIGINT) AS fail_bits,
+  CAST(CASE list_count(list_filter([f0, f1, f2, f3, f4, f5, f6], lambda x: x)) WHEN 1 THEN
+    CASE WHEN f0 THEN 1 WHEN f1 THEN 2 WHEN f2 THEN 4 WHEN f3 THEN 8 WHEN f4 THEN 16 WHEN f5 THEN 32 ELSE 64 END ELSE 0 END AS BIGINT) AS sole_bit
+FROM f
 """

@@ -42,7 +42,10 @@ def test_policies_and_ablation(spark):
         bit = quality.mask([r.rule])
         assert r.failed == sum(1 for b in bits.values() if b & bit)
         assert r.only_this_rule == sum(1 for b in bits.values() if b == bit)
+        assert r.kept_without == sum(1 for b in bits.values() if not b & ~bit)
         assert r.rejected == sum(1 for b in bits.values() if b) and r.docs == len(TEXTS)
+    alone = {r.doc_id: r.sole_bit for r in quality.query(docs).collect()}
+    assert alone == {i: b if b.bit_count() == 1 else 0 for i, b in bits.items()}
 
 
 def test_keep_returns_the_rows_as_they_are(spark):
