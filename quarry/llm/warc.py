@@ -9,9 +9,9 @@ too, reads the header there and emits the offset with that of its successor, car
 to the first offset beyond it.  A pointer that starts at a file's first byte is then doubled over these
 offsets: only what it reaches is a record, so that a whole fake record inside a payload is never taken
 for one, and a file whose chain does not reach its end is an error.  Each chunk that the chain enters is
-read again from that entry, record by record.  Headers, which hold the url, may have any length.
+read again from that entry, as a stream.  Headers, which hold the url, may have any length.
 
-Defined cases: a null html is an empty payload; a null url leaves its header out and line breaks in one
+Defined cases: a null html is an empty payload; payloads and urls may have any length; a null url leaves its header out and line breaks in one
 are percent-encoded; a null page_id leaves its number out and is read back as null; rows that repeat the
 largest page_id of equal payloads are all responses; an empty table makes archives without records;
 columns other than page_id, url and html are ignored.
@@ -34,6 +34,8 @@ MIN_REVISIT = 1000
 CHUNK = 8 << 20
 #: What is read for a header at first; the window doubles until the header ends.
 HEADER = 64 << 10
+#: What is read ahead at least, so that a chunk is read as a stream.
+AHEAD = 1 << 20
 #: Says that the data end before the header does.
 MORE = "more"
 #: Equal payloads up to this number are sent to every task (about 60 bytes each); beyond, rows are shuffled.
@@ -203,23 +205,42 @@ def entries(chunks: DataFrame) -> DataFrame:
     return reached.select("path", F.col("off").alias("entry"))
 
 
+class Stream:
+    """A file read forward: every byte once, in reads of AHEAD bytes or more."""
+
+    def __init__(self, file):
+        self.file, self.size, self.at, self.data = file, file.size(), 0, b""
+
+    def need(self, at: int, n: int) -> int:
+        """Has n bytes from ``at`` on, or all that the file has, in ``data``; returns the place of the first."""
+        if not self.at <= at <= self.at + len(self.data):
+            self.at, self.data = at, b""
+        have = self.at + len(self.data) - at
+        if have < min(n, self.size - at):
+            more = self.file.read_at(min(max(n - have, AHEAD), self.size - at - have), at + have)
+            self.at, self.data = at, self.data[at - self.at :] + more
+        return at - self.at
+
+
 def _records(with_payload: bool):
     def run(frames):
         for frame in frames:
             for path, entry, stop in frame.itertuples(index=False):
                 rows, held = [], 0
                 with open_file(path) as f:
-                    at = entry
+                    at, stream = entry, Stream(f)
                     while at < stop:
-                        window, found = HEADER, MORE
-                        while found == MORE and window < 2 * (HEADER + f.size()):
-                            found = parse_header(head := f.read_at(window, at))
+                        window, found = HEADER // 16, MORE
+                        while found == MORE and window < 2 * (HEADER + stream.size):
+                            start = stream.need(at, window)
+                            found = parse_header(stream.data, start)
                             window *= 2
                         if not found or found == MORE:
                             raise ValueError(f"no record in {path} at {at}")
-                        header, block = found
+                        header, block = found[0], found[1] - start
                         size = int(header["content-length"])
-                        body = head[block : block + size] if block + size <= len(head) else f.read_at(size, at + block)
+                        start = stream.need(at + block, size)
+                        body = stream.data[start : start + size]
                         at += block + size + len(END)
                         payload = body[body.find(b"\r\n\r\n") + 4 :]
                         told = header.get("warc-payload-digest", "").removeprefix("sha1:")

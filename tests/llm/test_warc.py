@@ -60,15 +60,42 @@ def test_candidates_inside_payloads_do_not_reach_the_end():
 def test_headers_of_any_length(spark, monkeypatch, chunk):
     monkeypatch.setattr(warc, "CHUNK", chunk)
     long = "http://a/" + "x" * 100_000
-    pages = [(1, "u", "first"), (2, long, "second"), (3, "u", "third" + "WARC/1.1\r\na: b" * 9), (4, long + "y" * 200_000, BIG)]
+    pages = [(1, "u", "first"), (2, long, "second"), (3, "u", "third" + "WARC/1.1\r\na: b" * 9), (4, long + "y" * 1_000_000, BIG), (5, "u" * 70_000, "5")]
     folder = common.new_folder(spark, "warc-test")
     warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), folder)
     got = {r.page_id: (r.url, r.payload) for r in warc.read(spark, folder).collect()}
     assert got == {i: (u, h) for i, u, h in pages}
 
 
-def test_a_broken_chain_is_an_error(spark, tmp_path):
+@pytest.mark.parametrize("tail", ["cut", "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 900\r\n\r\ntruncated", "WARC/1.1\r\nno end of header"])
+def test_a_broken_chain_is_an_error(spark, tmp_path, tail):
     record = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
-    (tmp_path / "a.warc").write_bytes((record + "cut").encode())
+    (tmp_path / "a.warc").write_bytes((record + tail).encode())
     with pytest.raises(ValueError):
         warc.read(spark, f"file://{tmp_path}").collect()
+
+
+def test_a_file_is_read_forward_once(tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "AHEAD", 100)
+    data = bytes(range(256)) * 20
+    (tmp_path / "f").write_bytes(data)
+    reads = []
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def size(self):
+            return self.f.size()
+
+        def read_at(self, n, at):
+            reads.append((at, n))
+            return self.f.read_at(n, at)
+
+    with warc.open_file(str(tmp_path / "f")) as f:
+        s, at = warc.Stream(Counted(f)), 7
+        while at < len(data):
+            start = s.need(at, 37)
+            assert s.data[start : start + 37] == data[at : at + 37]
+            at += 37
+    assert all(a + n == b for (a, n), (b, _) in zip(reads, reads[1:])) and sum(n for _, n in reads) == len(data) - 7
