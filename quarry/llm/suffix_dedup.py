@@ -3,7 +3,10 @@
 A byte goes if some string of ``LENGTH`` bytes over it also starts anywhere else.  Whether a string occurs
 twice is decided between suffixes: prefix polynomial hashes and binary search give the common extension of
 two suffixes in a logarithmic number of steps, a merge sort orders suffixes with it, and neighbours in that
-order share the longest extensions.  What the hashes call equal is compared byte by byte afterwards.
+order share the longest extensions.  What these hashes call equal is compared byte by byte afterwards.
+
+Three shortcuts go by long digests alone, without a comparison of bytes: whole texts are equal if their
+SHA-256 is, equal blocks (below) and the strings of overfull groups by 128 bits of XXH3.
 
 Suffixes that cannot have a twin never meet.  Of the grams of ``GRAM`` bytes in a string the one with the
 least hash is its anchor: equal strings have equal anchors at equal places, and only about one position in
@@ -18,13 +21,16 @@ least hash is its anchor: equal strings have equal anchors at equal places, and
    blocks of a task at once, without looking at pairs.
 
 Grams with more than ``MAX_BLOCKS`` different blocks are dealt by the bytes around the anchor as well, in
-three classes of o, each by the bytes that all its strings contain; strings that are equal still meet.
+three classes of o, each by the bytes that all its strings contain; strings that are equal still meet.  Where
+even such a group has more than ``MAX_GROUP`` blocks, its strings are counted one by one by their digests, so
+that no task has to hold a group beyond these bounds.  Blocks that make up a thousandth of all or more are at
+most a thousand, and are sent to all tasks, so that the rows of a hot one stay where they are.
 
 Whole texts that are equal are looked at once.  The texts are written to the shared folder once, each
 partition with a number, and what is found is written by that number, so that a later pass over a
 partition reads just its part and no text is ever shuffled.
 
-Defined cases: a null text is empty; texts of fewer than ``LENGTH`` bytes stay whole; repeated rows are
+Defined cases: a null text is empty; a very long text is looked at in stretches; texts of fewer than ``LENGTH`` bytes stay whole; repeated rows are
 copies of each other; null or repeated doc_ids are carried along; an empty table gives no rows; extra
 columns are ignored.
 """
@@ -44,6 +50,9 @@ from quarry.llm.common import new_folder, written
 LENGTH = 200
 GRAM = 64
 MAX_BLOCKS = 20_000
+MAX_GROUP = 20_000
+#: Blocks at least this often, as a share of all, are hot.
+HOT = 1_000
 #: Windows are looked at in stretches of so many starts; a longer text is several stretches.
 STRETCH = 1 << 20
 #: Least distances of a string's start from its anchor, per class of a gram with too many blocks.
@@ -303,11 +312,68 @@ def _block_pass(dup: str):
     return run
 
 
+def _share(p: int, a: int, b: int, c: int) -> tuple[int, int]:
+    """Least and most distance before its anchor of the strings of a block in a class; all without one (-1)."""
+    low, high = (0, LENGTH) if c < 0 else (CLASSES[c], (CLASSES + (LENGTH,))[c + 1] - 1)
+    return max(p - b, low), min(p - a, high)
+
+
+def _class_pass(many: str):
+    """(h, sub, c, uid, p, a, b): the classes of each block, ``sub`` from the bytes that its strings share."""
+    names = ["h", "sub", "c", "p", "a", "b"]
+
+    def run(batches):
+        known = Found(many, ("h", "p", "a", "b"))
+        for batch in batches:
+            parts, uids = [], []
+            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if (x := known.of(uid)) is None:
+                    continue
+                data, out = text.as_py(), []
+                for h, p, a, b in zip(*(v.tolist() for v in x), strict=True):
+                    for c, low in enumerate(CLASSES):
+                        least, most = _share(p, a, b, c)
+                        if least <= most:
+                            high = (CLASSES + (LENGTH,))[c + 1] - 1
+                            out.append((h, xxhash.xxh3_64_intdigest(data[p - low : p + LENGTH - high], c + 1) >> 1, c, p, a, b))
+                if out:
+                    parts.append(tuple(np.array(v, np.int64) for v in zip(*out, strict=True)))
+                    uids.append(uid)
+            if parts:
+                yield _rows(parts, uids, names)
+
+    return run
+
+
+def _string_pass(overfull: str):
+    """(uid, s, k1, k2): each string of the classes of overfull groups."""
+
+    def run(batches):
+        known = Found(overfull, ("c", "p", "a", "b"))
+        for batch in batches:
+            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if (x := known.of(uid)) is None:
+                    continue
+                data = text.as_py()
+                starts = []
+                for c, p, a, b in zip(*(v.tolist() for v in x), strict=True):
+                    least, most = _share(p, a, b, c)
+                    starts.append(np.arange(p - most, p - least + 1))
+                starts = np.unique(np.concatenate(starts))
+                for at in range(0, len(starts), 1 << 16):
+                    s = starts[at : at + (1 << 16)]
+                    keys = b"".join([xxhash.xxh3_128_digest(data[i : i + LENGTH]) for i in s.tolist()])
+                    two = np.frombuffer(keys, np.int64).reshape(-1, 2)
+                    yield _rows([(s, two[:, 0], two[:, 1])], [uid], ["s", "k1", "k2"])
+
+    return run
+
+
 def _content_pass(wanted: str):
     names = ["h", "sub", "uid", "p", "a", "least", "most", "block"]
 
     def run(batches):
-        known = Found(wanted, ("h", "p", "a", "b", "many"))
+        known = Found(wanted, ("h", "sub", "c", "p", "a", "b"))
         for batch in batches:
             out: list[list] = [[] for _ in names]
             held = 0
@@ -315,19 +381,11 @@ def _content_pass(wanted: str):
                 if (x := known.of(uid)) is None:
                     continue
                 data = text.as_py()
-                for h, p, a, b, many in zip(*(v.tolist() for v in x), strict=True):
+                for h, sub, c, p, a, b in zip(*(v.tolist() for v in x), strict=True):
                     block = data[a : b + LENGTH]
                     held += len(block)
-                    for c, low in enumerate(CLASSES if many else CLASSES[:1]):
-                        high = (CLASSES + (LENGTH,))[c + 1] - 1 if many else LENGTH
-                        least, most = max(p - b, low), min(p - a, high)
-                        if least > most:
-                            continue
-                        sub = 0
-                        if many:  # the bytes that all strings of the class contain
-                            sub = xxhash.xxh3_64_intdigest(data[p - low : p + LENGTH - high], c + 1) >> 1
-                        for o, v in zip(out, (h, sub, uid, p, a, least, most, block), strict=True):
-                            o.append(v)
+                    for o, v in zip(out, (h, sub, uid, p, a, *_share(p, a, b, c), block), strict=True):
+                        o.append(v)
                 if held > 8 << 20:
                     yield _content(out, names)
                     out, held = [[] for _ in names], 0
@@ -420,6 +478,17 @@ def _result_pass(copies: str, removed: str):
     return run
 
 
+def _several(rows: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """Written rows whose key occurs more than once; ``counts`` has the keys and n, if they are counted already."""
+    if counts is None:
+        counts = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "suffix-counts")
+    counts = counts.where("n > 1").select(*keys, "n")
+    total = rows.count()
+    hot = F.broadcast(counts.where(F.col("n") * HOT >= F.lit(total)).drop("n"))  # at most HOT rows, as they add up to all
+    rest = counts.where(F.col("n") * HOT < F.lit(total)).drop("n")
+    return rows.join(hot, keys, "left_semi").unionAll(rows.join(hot, keys, "left_anti").join(rest, keys, "left_semi"))
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, spans removed as [start, end), kept bytes, their SHA-256): one row per document."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -470,23 +539,40 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         "suffix-kinds",
     )
     several = written(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "suffix-several")
-    wanted = kinds.join(several, "h").select(
-        "rep.uid", "h", "rep.p", "rep.a", "rep.b", (F.col("m") > MAX_BLOCKS).cast("int").alias("many")
-    )
-    wanted_folder = _stored(wanted, "suffix-wanted")
+    rivals = kinds.join(several, "h").select("rep.uid", "h", "rep.p", "rep.a", "rep.b", "m")
+    zero = F.lit(0).cast("long")
+    wanted = rivals.where(F.col("m") <= MAX_BLOCKS).select("uid", "h", zero.alias("sub"), (zero - 1).alias("c"), "p", "a", "b")
+    many = rivals.where(F.col("m") > MAX_BLOCKS).drop("m")
+    pieces = []
+    if not several.where(F.col("m") > MAX_BLOCKS).isEmpty():
+        classes = written(
+            texts.select("uid", "data").mapInArrow(
+                _class_pass(_stored(many, "suffix-many")), "uid long, h long, sub long, c long, p long, a long, b long"
+            ),
+            "suffix-classes",
+        )
+        sizes = written(classes.groupBy("h", "sub").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-groups")
+        wanted = wanted.unionByName(classes.join(sizes.where(F.col("n") <= MAX_GROUP).drop("n"), ["h", "sub"]).select(*wanted.columns))
+        overfull = sizes.where(F.col("n") > MAX_GROUP).select("h", "sub")
+        if not overfull.isEmpty():
+            folder = _stored(classes.join(overfull, ["h", "sub"]).select("uid", "c", "p", "a", "b"), "suffix-overfull")
+            strings = written(
+                texts.select("uid", "data").mapInArrow(_string_pass(folder), "uid long, s long, k1 long, k2 long"), "suffix-strings"
+            )
+            pieces.append(_several(strings, ["k1", "k2"]).select("uid", "s", (F.col("s") + LENGTH).alias("e")))
     content = texts.select("uid", "data").mapInArrow(
-        _content_pass(wanted_folder),
+        _content_pass(_stored(wanted, "suffix-wanted")),
         "h long, sub long, uid long, p long, a long, least long, most long, block binary",
     )
     partial = (
-        content.repartition("h", "sub")
+        content.repartition("h", "sub")  # at most MAX_BLOCKS or MAX_GROUP rows a key
         .sortWithinPartitions("h", "sub")
         .mapInArrow(_twin_pass, "uid long, s long, e long")
     )
-    whole = blocks.join(kinds.where("n > 1").select("h", "b1", "b2"), ["h", "b1", "b2"]).select(
-        "uid", F.col("a").alias("s"), (F.col("b") + LENGTH).alias("e")
-    )
-    removed = _stored(partial.unionAll(whole), "suffix-removed")
+    whole = _several(blocks, ["h", "b1", "b2"], kinds).select("uid", F.col("a").alias("s"), (F.col("b") + LENGTH).alias("e"))
+    for piece in (whole, *pieces):
+        partial = partial.unionAll(piece)
+    removed = _stored(partial, "suffix-removed")
     return texts.select("uid", "doc_id", "data").mapInArrow(
         _result_pass(copies, removed),
         "doc_id long, n_bytes long, spans array<array<long>>, kept binary, kept_sha256 string",

@@ -34,9 +34,14 @@ def brute(texts):
     return out
 
 
-@pytest.mark.parametrize(("most", "stretch"), [(sd.MAX_BLOCKS, sd.STRETCH), (0, sd.STRETCH), (0, 512)])
-def test_matches_brute_force(spark, monkeypatch, most, stretch):
+@pytest.mark.parametrize(
+    ("most", "group", "hot", "stretch"),
+    [(sd.MAX_BLOCKS, sd.MAX_GROUP, sd.HOT, sd.STRETCH), (0, sd.MAX_GROUP, 1, sd.STRETCH), (0, sd.MAX_GROUP, 5, 512), (0, 0, 5, 512), (2, 3, 0, 512)],
+)
+def test_matches_brute_force(spark, monkeypatch, most, group, hot, stretch):
     monkeypatch.setattr(sd, "MAX_BLOCKS", most)
+    monkeypatch.setattr(sd, "MAX_GROUP", group)
+    monkeypatch.setattr(sd, "HOT", hot)
     monkeypatch.setattr(sd, "STRETCH", stretch)
     rows = [(i if i != 5 else None, t, "clash", i) for i, t in enumerate(TEXTS)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, uid int")
