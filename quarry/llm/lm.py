@@ -44,6 +44,8 @@ END = b"\xff"
 _STEP = 1 << 20
 _FLUSH = 250_000
 _EMPTY = -1
+#: The broadcast grams that a worker has a table of, and the table.
+_made: list = []
 
 
 def held_out(doc_id: Column) -> Column:
@@ -73,6 +75,7 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches):
     """Rows (word, gram, n): partial counts of words, or of byte grams where word is null."""
+    _made.clear()  # the table of an earlier model
     words: Counter = Counter()
     buffer: list[bytes] = []
     size = empty = 0
@@ -95,8 +98,8 @@ def _count(batches):
         """A mark after a mark is the end of an empty text, and is counted on its own."""
         marks = END * ORDER
         data = marks + marks.join(texts) + END
-        for at in range(0, len(data) - ORDER, 16 * _STEP):
-            keys, n = _runs(_grams(data[at : at + 16 * _STEP + ORDER]))
+        for at in range(0, len(data) - ORDER, 8 * _STEP):
+            keys, n = _runs(_grams(data[at : at + 8 * _STEP + ORDER]))
             real = keys & 0xFFFF != MARK << 8 | MARK
             keys, n = keys[real], n[real]
             for i in range(0, len(keys), 100_000):
@@ -114,7 +117,7 @@ def _count(batches):
                 continue
             buffer.append(data)
             size += len(data)
-            if size > 16 * _STEP:
+            if size > 8 * _STEP:
                 yield from emit_grams(buffer)
                 buffer, size = [], 0
             if len(words) > _FLUSH:
@@ -131,7 +134,7 @@ class Lookup:
     """Values of distinct keys that are not negative, in an open-addressing table: one or two reads a key."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.bits = max(4, (2 * len(keys) - 1).bit_length())
         self.keys = np.full(1 << self.bits, _EMPTY, np.int64)
         self.values = np.zeros(1 << self.bits)
         at, left = self._slot(keys), np.arange(len(keys))
@@ -273,9 +276,6 @@ def _never_seen(novel: DataFrame, grams: DataFrame, total: int) -> DataFrame:
     return x.select("gram", F.coalesce(*found, left - F.log10(F.lit(256.0 - kinds))).alias("logp"))
 
 
-_made: list = []
-
-
 def _lookup(held: tuple[np.ndarray, np.ndarray]) -> Lookup:
     """The table of a broadcast model, made once in a worker."""
     if not _made or _made[0] is not held:
@@ -361,6 +361,7 @@ def score(docs: DataFrame) -> DataFrame:
         "rare array<binary>, times array<int>, grams array<long>, gram_times array<long>",
     )
     rows = written(rows, "lm-rows")
+    model.destroy()  # its rows are stored
     pairs = rows.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
         "uid", F.col("x.rare").alias("word"), F.col("x.times").alias("m")
     )
