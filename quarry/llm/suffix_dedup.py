@@ -24,7 +24,8 @@ Grams with more than ``MAX_BLOCKS`` different blocks are dealt by the bytes arou
 three classes of o, each by the bytes that all its strings contain; strings that are equal still meet.  Where
 even such a group has more than ``MAX_GROUP`` blocks, its strings are counted one by one by their digests, so
 that no task has to hold a group beyond these bounds.  Blocks that make up a thousandth of all or more are at
-most a thousand, and are sent to all tasks, so that the rows of a hot one stay where they are.
+most a thousand, and are sent to all tasks, so that the rows of a hot one stay where they are; so are texts
+that are as often equal.
 
 Whole texts that are equal are looked at once.  The texts are written to the shared folder once, each
 partition with a number, and what is found is written by that number, so that a later pass over a
@@ -479,14 +480,14 @@ def _result_pass(copies: str, removed: str):
 
 
 def _several(rows: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame:
-    """Written rows whose key occurs more than once; ``counts`` has the keys and n, if they are counted already."""
+    """Written rows whose key occurs more than once, with the other columns of ``counts`` (keys, n, ...), if it is given."""
     if counts is None:
         counts = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "suffix-counts")
-    counts = counts.where("n > 1").select(*keys, "n")
+    counts = counts.where("n > 1")
     total = rows.count()
     hot = F.broadcast(counts.where(F.col("n") * HOT >= F.lit(total)).drop("n"))  # at most HOT rows, as they add up to all
     rest = counts.where(F.col("n") * HOT < F.lit(total)).drop("n")
-    return rows.join(hot, keys, "left_semi").unionAll(rows.join(hot, keys, "left_anti").join(rest, keys, "left_semi"))
+    return rows.join(hot, keys).unionAll(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -507,8 +508,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     texts = spark.read.schema("uid long, doc_id long, data binary, sha binary").parquet(path)
 
     marks = texts.select("uid", "sha")
-    same = marks.groupBy("sha").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = _stored(marks.join(same.drop("n"), "sha").select("uid", "rep"), "suffix-copies")
+    same = written(marks.groupBy("sha").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-same")
+    copies = _stored(_several(marks, ["sha"], same).select("uid", "rep"), "suffix-copies")
 
     found = texts.select("uid", "data").mapInArrow(_anchor_pass(copies), "uid long, h long, p long, a long, b long")
     packed = found.select(
@@ -569,7 +570,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         .sortWithinPartitions("h", "sub")
         .mapInArrow(_twin_pass, "uid long, s long, e long")
     )
-    whole = _several(blocks, ["h", "b1", "b2"], kinds).select("uid", F.col("a").alias("s"), (F.col("b") + LENGTH).alias("e"))
+    whole = _several(blocks, ["h", "b1", "b2"], kinds.drop("rep")).select("uid", F.col("a").alias("s"), (F.col("b") + LENGTH).alias("e"))
     for piece in (whole, *pieces):
         partial = partial.unionAll(piece)
     removed = _stored(partial, "suffix-removed")
