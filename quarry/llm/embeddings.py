@@ -31,7 +31,7 @@ from quarry.llm.common import components, written
 LIMIT = 0.9
 RECALL = 0.97
 BUCKET = 64
-BLOCK = 4096
+BLOCK = 1024
 #: Vectors whose cosines are worked out at once, squared.
 TILE = 1024
 SEED = 20_240_601
