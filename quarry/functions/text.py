@@ -141,28 +141,29 @@ def is_generated_path(path: Column) -> Column:
     return F.lower(path).rlike(r"(^|/)(generated|target|dist|build)/|\.generated\.|\.pb\.")
 
 
+# Roles of paths, the first rule that holds; of the folder after the last src, the file's name, and the package before src.
+TEST_PATH = r"/tests/|/tests\.|_tests\.rs$|/integration_tests/|/test_helpers"
+BENCHMARK_PATH = "^(benchmarks|scripts|models)/"
+TOOL_FOLDERS = ("tools",)
+SURFACE_FOLDERS, SURFACE_FILES, SURFACE_PACKAGES = ("ui", "tui", "cli", "app"), ("ui.rs", "tui.rs", "cli.rs", "app.rs"), "[-_](ui|tui|cli|app)$"
+INFRASTRUCTURE_FOLDERS = ("dispatch", "server", "runtime", "transport")
+INFRASTRUCTURE_FILES, INFRASTRUCTURE_PACKAGES = ("protocol.rs", "transport.rs", "runtime.rs"), "[-_]mcp$"
+
+
 def provenance(path: Column) -> Column:
-    """Role of a path: test, benchmark, tool, surface, infrastructure or core, by its last src segment."""
+    """Role of a path: test, benchmark, tool, surface, infrastructure or core."""
     p = F.replace(path, F.lit("\\"), F.lit("/"))
     after = F.regexp_extract(p, "^(?:.*/)?src/([^/]+)", 1)
     package = F.regexp_extract(p, "^(?:.*/)?([^/]+)/src/", 1)
     name = F.element_at(F.split(p, "/"), -1)
+    surface = after.isin(*SURFACE_FOLDERS) | name.isin(*SURFACE_FILES) | package.rlike(SURFACE_PACKAGES)
+    inner = after.isin(*INFRASTRUCTURE_FOLDERS) | name.isin(*INFRASTRUCTURE_FILES) | package.rlike(INFRASTRUCTURE_PACKAGES)
     return (
-        F.when(p.rlike(r"/tests/|/tests\.|_tests\.rs$|/integration_tests/|/test_helpers"), "test")
-        .when(p.rlike("^(benchmarks|scripts|models)/"), "benchmark")
-        .when(after == "tools", "tool")
-        .when(
-            after.isin("ui", "tui", "cli", "app")
-            | name.isin("ui.rs", "tui.rs", "cli.rs", "app.rs")
-            | package.rlike("[-_](ui|tui|cli|app)$"),
-            "surface",
-        )
-        .when(
-            after.isin("dispatch", "server", "runtime", "transport")
-            | name.isin("protocol.rs", "transport.rs", "runtime.rs")
-            | package.rlike("[-_]mcp$"),
-            "infrastructure",
-        )
+        F.when(p.rlike(TEST_PATH), "test")
+        .when(p.rlike(BENCHMARK_PATH), "benchmark")
+        .when(after.isin(*TOOL_FOLDERS), "tool")
+        .when(surface, "surface")
+        .when(inner, "infrastructure")
         .otherwise("core")
     )
 
@@ -178,23 +179,21 @@ def is_noise_callee(name: Column, language: Column) -> Column:
     return name.isin(*NOISE_CALLEES) & ~((language == "rs") & (name == "new"))
 
 
+# Files in which unlike symbols are normal, by name and folder.
+TEST_ROLE = r"(^|/)tests\.rs$|_tests?\.rs$|(^|/)tests?(/|$)"
+ENTRY_ROLE = r"(^|/)(mod|lib)\.rs$|(^|/)(main|index)\.[^/]*$"
+HANDLER_ROLE = r"(^|/)handlers\.rs$|_handlers?\.rs$"
+
+
 def role_boost(path: Column) -> Column:
     """Structural role of a file: tests and entry points .15, handlers .10."""
     p = F.lower(path)
-    return (
-        F.when(is_test_path(path) | p.rlike(r"(^|/)(main|lib|mod|index)\.[a-z]+$"), F.lit(0.15))
-        .when(p.rlike("handler"), F.lit(0.10))
-        .otherwise(F.lit(0.0))
-    )
+    return F.when(p.rlike(TEST_ROLE) | p.rlike(ENTRY_ROLE), F.lit(0.15)).when(p.rlike(HANDLER_ROLE), F.lit(0.10)).otherwise(F.lit(0.0))
 
 
 def change_kind(status: Column, deletions: Column) -> Column:
-    return (
-        F.when(status.isin("A"), "additive")
-        .when(status.isin("D", "R"), "breaking")
-        .when(deletions == 0, "additive")
-        .otherwise("mixed")
-    )
+    """New files add, deleted ones break; all others, renamed ones too, add if they delete no line."""
+    return F.when(status.isin("A", "?"), "additive").when(status == "D", "breaking").when(deletions == 0, "additive").otherwise("mixed")
 
 
 def confidence(coverage: Column, hit: Column, terms: Column) -> Column:

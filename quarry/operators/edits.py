@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from quarry.operators.lookup import lines
 
 def rename(files: DataFrame, old: str, new: str) -> DataFrame:
     """(id, line_no, before, after) of each line with the identifier."""
-    word = rf"\b{old}\b"
+    word = rf"\b{re.escape(old)}\b"
+    new = new.replace("\\", "\\\\").replace("$", "\\$")
     rows = lines(files.where(F.col("content").rlike(word))).where(F.col("line").rlike(word))
     return rows.select("id", "line_no", F.col("line").alias("before"), F.regexp_replace("line", word, new).alias("after"))
 
@@ -40,8 +43,11 @@ def move(symbols: DataFrame, importers: DataFrame, name: str, target: str) -> Da
     )
 
 
-def safe_delete(calls: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, callers, safe): a symbol may go if nothing calls it."""
+def safe_delete(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """(name, callers, importers, safe): a name may go if nothing calls it and no other file imports one of its files."""
     n = calls.groupBy(F.col("callee_name").alias("name")).agg(F.countDistinct("caller_name").alias("n"))
-    callers = F.coalesce("n", F.lit(0)).cast("long")
-    return names.select("name").distinct().join(n, "name", "left").select("name", callers.alias("callers"), (callers == 0).alias("safe"))
+    files = symbols.select("name", F.col("file_path").alias("dst")).distinct()
+    users = imports.where("src <> dst").join(files, "dst").groupBy("name").agg(F.countDistinct("src").alias("m"))
+    callers, importers = (F.coalesce(c, F.lit(0)).cast("long") for c in ("n", "m"))
+    rows = symbols.select("name").distinct().join(n, "name", "left").join(users, "name", "left")
+    return rows.select("name", callers.alias("callers"), importers.alias("importers"), (callers + importers == 0).alias("safe"))

@@ -6,7 +6,11 @@ Loops run on the driver, but only counts come back to it; each round's table is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.storage import shared_dir, written
@@ -49,45 +53,99 @@ def pagerank(edges: DataFrame, indexed: DataFrame | None = None, rounds: int = R
 
 
 def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(root, node, depth): nodes reached from each root against the import direction, at least depth."""
-    shared_dir(edges.sparkSession)
+    """(root, node, depth): nodes reached from each root against the import direction, at least depth.
+
+    A round is a table of its own, so that nodes reached before are read but never written again.
+    """
     back = edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
-    seen = start.select("root", F.col("root").alias("node"), F.lit(0).cast("long").alias("depth")).checkpoint()
-    front = seen
+    rounds = [written(start.select("root", F.col("root").alias("node"), F.lit(0).cast("long").alias("depth")).distinct(), "reach")]
     for d in range(1, depth + 1):
-        new = (
-            front.join(back, "node")
+        seen = reduce(DataFrame.unionAll, rounds).select("root", "node")
+        new = written(
+            rounds[-1]
+            .join(back, "node")
             .select("root", F.col("next").alias("node"))
             .distinct()
-            .join(seen.select("root", "node"), ["root", "node"], "left_anti")
-            .withColumn("depth", F.lit(d).cast("long"))
-            .checkpoint()
+            .join(seen, ["root", "node"], "left_anti")
+            .withColumn("depth", F.lit(d).cast("long")),
+            "reach",
         )
         if new.isEmpty():
             break
-        seen, front = seen.unionAll(new).checkpoint(), new
-    return seen.where("depth > 0")
+        rounds.append(new)
+    return reduce(DataFrame.unionAll, rounds).where("depth > 0")
 
 
 def flip(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def cycles(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+#: A graph of at most so many edges (16 bytes each) is taken by one task.
+RESIDUE = 4_000_000
+
+
+def _strong(batches):
+    """(node, component) of a whole edge list: depth-first search with low links, without recursion."""
+    parts = list(batches)
+    if not parts:
+        return
+    table = pa.Table.from_batches(parts)
+    names, ends = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("src", "dst")]), return_inverse=True)
+    src, dst = ends[: table.num_rows], ends[table.num_rows :]
+    order = np.argsort(src, kind="stable")
+    next_, first = dst[order].tolist(), np.searchsorted(src[order], np.arange(len(names) + 1)).tolist()
+    seen, low, at = [0] * len(names), [0] * len(names), first[:-1].copy()
+    open_, held, clock, found = [], [False] * len(names), 0, ([], [])
+    for root in range(len(names)):
+        path = [] if seen[root] else [root]
+        while path:
+            n = path[-1]
+            if not seen[n]:
+                clock += 1
+                seen[n] = low[n] = clock
+                open_.append(n)
+                held[n] = True
+            if at[n] < first[n + 1]:
+                m = next_[at[n]]
+                at[n] += 1
+                if not seen[m]:
+                    path.append(m)
+                elif held[m]:
+                    low[n] = min(low[n], seen[m])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[n])
+            if low[n] == seen[n]:
+                group = []
+                while not group or group[-1] != n:
+                    group.append(open_.pop())
+                    held[group[-1]] = False
+                if len(group) > 1:
+                    found[0].extend(group)
+                    found[1].extend([min(group)] * len(group))
+    kind = table.schema.field("src").type
+    yield pa.RecordBatch.from_arrays([pa.array(names[np.array(x, np.int64)], kind) for x in found], ["node", "component"])
+
+
+def cycles(edges: DataFrame, residue: int = RESIDUE, max_rounds: int = 1000) -> DataFrame:
     """(node, component): strongly connected components of two nodes or more, named by their least node.
 
-    Nodes without an edge in or out are trimmed until none is left.  Then rounds of colouring: the least
-    ancestor is propagated forward, and within a colour what reaches that ancestor backward is its
-    component; it is removed, and the rest goes on.
+    A graph that fits the bound is one task's depth-first search.  A larger one is cut down by rounds: nodes
+    without an edge in or out are trimmed, the least ancestor is propagated forward, and within a colour what
+    reaches that ancestor backward is its component; it is removed, edges between colours are dropped, and the
+    rest goes on until it fits.  If it does not in so many rounds, that is an error.
     """
     spark = edges.sparkSession
     shared_dir(spark)
-    e = edges.where("src <> dst").distinct().checkpoint()
+    e = written(edges.select("src", "dst").where("src <> dst").distinct(), "cycle-edges")
+    kind = dict(e.dtypes)["src"]
     found = None
     for _ in range(max_rounds):
+        if e.count() <= residue:
+            rest = e.repartition(1).mapInArrow(_strong, f"node {kind}, component {kind}")
+            return rest if found is None else found.unionAll(rest)
         e = _trim(e)
-        if e.isEmpty():
-            break
         colour = _propagate(e, nodes(e).select("node", F.col("node").alias("c")))
         same = (
             e.join(colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src")
@@ -111,23 +169,22 @@ def cycles(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
             if new.isEmpty():
                 break
             part, front = part.unionAll(new).checkpoint(), new
+        part = part.select("node", F.col("c").alias("component"))
         found = part if found is None else found.unionAll(part)
         gone = part.select("node").unionAll(colour.where("node = c").select("node")).distinct()
         e = (
-            e.join(gone.select(F.col("node").alias("src")), "src", "left_anti")
+            same.select("src", "dst")
+            .join(gone.select(F.col("node").alias("src")), "src", "left_anti")
             .join(gone.select(F.col("node").alias("dst")), "dst", "left_anti")
             .checkpoint()
         )
-    if found is None:
-        kind = dict(edges.dtypes)["src"]
-        return spark.createDataFrame([], f"node {kind}, component {kind}")
-    sized = found.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return found.join(sized, "c").select("node", F.col("c").alias("component"))
+    raise RuntimeError(f"the graph is still too large after {max_rounds} rounds")
 
 
-def _trim(e: DataFrame) -> DataFrame:
+def _trim(e: DataFrame, most: int = 8) -> DataFrame:
+    """Drops edges from nodes without an edge in, and to nodes without one out, in a few passes."""
     n = e.count()
-    while True:
+    for _ in range(most):
         e = (
             e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
             .join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
@@ -135,8 +192,9 @@ def _trim(e: DataFrame) -> DataFrame:
         )
         left = e.count()
         if left == n:
-            return e
+            break
         n = left
+    return e
 
 
 def _propagate(e: DataFrame, colour: DataFrame) -> DataFrame:
@@ -169,89 +227,83 @@ def adjacency(edges: DataFrame, indexed: DataFrame) -> DataFrame:
     )
 
 
+#: Files of one commit that are paired in one task.
+COMMIT_BLOCK = 256
+
+
 def coupling(commits: DataFrame, min_commits: int = 3, min_strength: float = 0.0, limit: int = 0) -> DataFrame:
     """File pairs that change together: co-changes over the larger of their totals.
 
-    Pairs are made per commit, as the definition asks, and only for files with enough commits.
+    Pairs are made per commit, as the definition asks, and only of files with enough commits.  A commit of more
+    than ``COMMIT_BLOCK`` files is cut into blocks, each two of which meet under a key of their own.
     """
     once = commits.select("commit_id", "file").distinct()
     totals = once.groupBy("file").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= min_commits)
     often = once.join(totals, "file")
-    a = often.select("commit_id", F.col("file").alias("file_a"), F.col("total").alias("total_a"))
-    b = often.select("commit_id", F.col("file").alias("file_b"), F.col("total").alias("total_b"))
-    pairs = a.join(b, "commit_id").where("file_a < file_b")
+    blocks = often.groupBy("commit_id").agg(F.ceil(F.count(F.lit(1)) / COMMIT_BLOCK).cast("int").alias("g"))
+    often = often.join(blocks.where("g > 1"), "commit_id", "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    often = often.withColumn("b", F.pmod(F.xxhash64("file"), F.col("g")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    a = often.select("commit_id", F.col("b").alias("i"), other.alias("j"), F.col("file").alias("file_a"), F.col("total").alias("total_a"))
+    b = often.select("commit_id", other.alias("i"), F.col("b").alias("j"), F.col("file").alias("file_b"), F.col("total").alias("total_b"))
+    pairs = a.join(b, ["commit_id", "i", "j"]).where("file_a < file_b")
     counted = pairs.groupBy("file_a", "file_b", "total_a", "total_b").agg(F.count(F.lit(1)).alias("co_changes"))
     out = counted.withColumn(
         "strength", F.col("co_changes") / F.greatest("total_a", "total_b").cast("double")
     ).where((F.col("co_changes") >= min_commits) & (F.col("strength") >= min_strength))
-    ordered = out.orderBy(F.col("strength").desc(), "file_a", "file_b")
-    return ordered.limit(limit) if limit else ordered
+    return out.orderBy(F.col("strength").desc(), "file_a", "file_b").limit(limit) if limit else out
 
 
-def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """Where each call goes: the first stage of a cascade that fits, with its confidence.
+def trace(edges: DataFrame, root: str, depth: int = 3, limit: int = 20) -> DataFrame:
+    """(side, node, depth): callers and callees of a function, the nearest ``limit`` of each side."""
+    start = edges.sparkSession.createDataFrame([(root,)], "root string")
+
+    def side(name: str, e: DataFrame) -> DataFrame:
+        near = reach(e, start, depth).orderBy("depth", "node").limit(limit)
+        return near.select(F.lit(name).alias("side"), "node", "depth")
+
+    return side("callers", edges).unionAll(side("callees", flip(edges)))
 
-    Same file .90, an imported file .95, the only definition of the name .65, the nearest by common
-    directories .50, unresolved .25.  Calls of the same name from the same file go the same way, so that
-    such a site is resolved once.  Every stage is an equi-join on the callee's name; per site one candidate
-    is kept by a partially combined minimum.
-    """
-    site = ["caller_file", "callee_name"]
-    per_name = symbols.groupBy("name").agg(F.countDistinct("file_path").alias("defs"))
-    defs = symbols.select(F.col("name").alias("callee_name"), F.col("file_path").alias("target")).distinct()
-    linked = imports.select(F.col("src").alias("caller_file"), F.col("dst").alias("target"), F.lit(1).alias("imported"))
-    cand = (
-        calls.select(*site)
-        .distinct()
-        .join(defs, "callee_name")
-        .join(per_name.withColumnRenamed("name", "callee_name"), "callee_name")
-        .join(linked.distinct(), ["caller_file", "target"], "left")
-    )
-    here, there = F.split("caller_file", "/"), F.split("target", "/")
-    common = F.size(
-        F.filter(
-            F.sequence(F.lit(1), F.least(F.size(here), F.size(there)) - 1),
-            lambda n: F.slice(here, 1, n) == F.slice(there, 1, n),
-        )
-    )
-    common = F.when(F.least(F.size(here), F.size(there)) > 1, common).otherwise(0)
-    stage = (
-        F.when(F.col("caller_file") == F.col("target"), 0)
-        .when(F.col("imported") == 1, 1)
-        .when(F.col("defs") == 1, 2)
-        .when(common > 0, 3)
-        .otherwise(4)
-    )
-    best = (
-        cand.withColumn("pick", F.struct(stage.alias("stage"), (-common).alias("near"), F.col("target")))
-        .groupBy(*site)
-        .agg(F.min("pick").alias("p"))
-    )
-    names = F.array(*[F.lit(x) for x in ("same_file", "import_map", "unique_name", "path_proximity", "unresolved")])
-    confidence = F.array(*[F.lit(x) for x in (0.90, 0.95, 0.65, 0.50, 0.25)])
-    at = F.coalesce("p.stage", F.lit(4))
-    return calls.join(best, site, "left").select(
-        *calls.columns,
-        F.when(at < 4, F.col("p.target")).alias("resolved_file"),
-        F.get(names, at).alias("strategy"),
-        F.get(confidence, at).alias("confidence"),
-    )
+
+# Files and symbols that something outside the code calls.
+ENTRY_FILES = ("__init__.py", "mod.rs", "lib.rs", "main.rs", "index.ts", "index.js", "index.tsx", "index.jsx")
+ENTRY_SYMBOLS = ("main", "__init__", "setUp", "tearDown", "<module>")
+CONFIG_FILES = r"\.(toml|yml|yaml|json)$"
+
+
+def is_entry_file(path) -> Column:
+    return F.element_at(F.split(path, "/"), -1).isin(*ENTRY_FILES)
 
 
 def dead_files(edges: DataFrame, files: DataFrame) -> DataFrame:
     """Files that nothing imports, but entry points and configuration."""
     alone = files.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
-    name = F.element_at(F.split("path", "/"), -1)
-    entry = name.isin("__init__.py", "mod.rs", "lib.rs", "main.rs", "index.ts", "index.js", "index.tsx", "index.jsx")
-    config = F.lower("path").rlike(r"\.(toml|yml|yaml|json)$")
-    return alone.where(~entry & ~config)
+    return alone.where(~is_entry_file(F.col("path")) & ~F.lower("path").rlike(CONFIG_FILES))
 
 
-def dead_symbols(symbols: DataFrame, calls: DataFrame) -> DataFrame:
-    """Functions and methods that no call names, but entry points."""
+def dead_symbols(symbols: DataFrame, calls: DataFrame, skip: DataFrame | None = None) -> DataFrame:
+    """Functions and methods that no call names, but entry points, tests and decorated ones.
+
+    ``skip`` has files (file_path) that are dead as a whole; their symbols, and those of entry files, are left out.
+    """
     called = calls.select(F.col("callee_name").alias("name")).distinct()
-    entry = F.col("name").isin("main", "__init__", "setUp", "tearDown", "<module>") | F.col("name").rlike("^(test_|Test)")
-    return symbols.where(F.col("kind").isin("function", "method") & ~entry).join(called, "name", "left_anti")
+    entry = F.col("name").isin(*ENTRY_SYMBOLS) | F.col("name").rlike("^(test_|Test)") | is_entry_file(F.col("file_path"))
+    if "decorated" in symbols.columns:
+        entry = entry | F.coalesce("decorated", F.lit(False))
+    rows = symbols.where(F.col("kind").isin("function", "method") & ~entry)
+    if skip is not None:
+        rows = rows.join(skip.select("file_path").distinct(), "file_path", "left_anti")
+    return rows.join(called, "name", "left_anti")
+
+
+def dead_code(symbols: DataFrame, calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(pass, file, symbol): files that nothing imports, then symbols of the others that nothing calls."""
+    files = symbols.select(F.col("file_path").alias("node"), F.col("file_path").alias("path")).distinct()
+    lone = dead_files(edges, files).select(F.col("path").alias("file_path"))
+    two = dead_symbols(symbols, calls, lone)
+    return lone.select(F.lit(1).cast("long").alias("pass"), F.col("file_path").alias("file"), F.lit(None).cast("string").alias("symbol")).unionAll(
+        two.select(F.lit(2).cast("long"), "file_path", "name")
+    )
 
 
 def module_edges(edges: DataFrame, modules: DataFrame) -> DataFrame:

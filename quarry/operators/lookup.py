@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import text as T
+from quarry.operators.sizes import small
+from quarry.storage import written
 
 
 def exact(symbols: DataFrame, names: list[str], path: str | None = None) -> DataFrame:
@@ -31,9 +35,18 @@ def under(rows: DataFrame, scope: str, path: str = "file_path") -> DataFrame:
 
 
 def prefix_range(rows: DataFrame, prefix: str, path: str = "file_path") -> DataFrame:
-    """Paths with a prefix as a range, which file and row-group statistics can prune."""
-    upper = prefix[:-1] + chr(ord(prefix[-1]) + 1)
-    return rows.where((F.col(path) >= prefix) & (F.col(path) < upper))
+    """Paths with a prefix as a range, which file and row-group statistics can prune; an empty one is everything."""
+    head = prefix.rstrip(chr(0x10FFFF))
+    rows = rows.where(F.col(path) >= prefix) if prefix else rows
+    if not head:
+        return rows
+    after = ord(head[-1]) + 1
+    return rows.where(F.col(path) < head[:-1] + chr(0xE000 if 0xD800 <= after < 0xE000 else after))
+
+
+def symbols_in(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Symbols of a set of files (file_path), in the order of file and position."""
+    return symbols.join(small(files.select("file_path").distinct()), "file_path", "left_semi").orderBy("file_path", "line", "id")
 
 
 def overview(symbols: DataFrame) -> DataFrame:
@@ -104,14 +117,36 @@ def grep(files: DataFrame, pattern: str, context: int = 1) -> DataFrame:
     )
 
 
+def substring_with_path(symbols: DataFrame, query: str, scope: str, limit: int = 0) -> DataFrame:
+    """Names that contain a query, in a file or below a directory."""
+    return substring(under(symbols, scope), query, limit)
+
+
+#: Text that is no code: quoted strings first, as they may hold comment marks, then line comments.
+QUOTED = r""""(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'"""
+
+
+def code_only(line: Column) -> Column:
+    """A line without what its strings hold and without its line comment."""
+    return F.regexp_replace(F.regexp_replace(line, QUOTED, '""'), "(//|#).*$", "")
+
+
 def word_matches(files: DataFrame, word: str) -> DataFrame:
-    """Per line the number of whole-word occurrences of an identifier, outside line comments."""
+    """Per line the number of whole-word occurrences of an identifier, outside strings and line comments."""
     rows = lines(files.where(F.contains(F.col("content"), F.lit(word))))
-    code = F.regexp_replace("line", "(//|#).*$", "")
-    n = F.regexp_count(code, F.lit(rf"\b{word}\b")).cast("long")
+    n = F.regexp_count(code_only(F.col("line")), F.lit(rf"\b{re.escape(word)}\b")).cast("long")
     return rows.select("id", "line_no", n.alias("matches")).where("matches > 0")
 
 
+#: Lines that start a test, in several languages.
+TESTS = r"^\s*(?:(?:async )?def test_|(?:pub )?fn test_|#\[(?:tokio::)?test\]|(?:it|test|describe)\(|func Test)"
+
+
+def find_tests(files: DataFrame) -> DataFrame:
+    """(id, line_no, line): lines that start a test or carry its mark."""
+    return lines(files.where(F.col("content").rlike("(?m)" + TESTS))).where(F.col("line").rlike(TESTS))
+
+
 def annotations(files: DataFrame) -> DataFrame:
     """(id, line_no, tag, message): a line appears once for each tag that it holds."""
     any_tag = rf"\b({'|'.join(T.TAGS)})\b"
@@ -135,37 +170,49 @@ def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
     return points.join(best, "point_id", "left").select(*points.columns, F.col("m.span_id").alias("span_id"))
 
 
-def complexity(files: DataFrame) -> DataFrame:
-    """1 + branch words and operators of each file."""
+def complexity(files: DataFrame, spans: DataFrame | None = None, most: int = 50) -> DataFrame:
+    """1 + branch words and operators: of each file, or of each symbol's lines (id, span_id, start, stop), at most ``most``."""
     words = r"\b(if|elif|for|while|catch|except|case|and|or)\b"
-    n = F.regexp_count("content", F.lit(words)) + F.regexp_count("content", F.lit(r"&&|\|\|"))
-    return files.select("id", (n + 1).cast("long").alias("complexity"))
+    body, keys = F.col("content"), ["id"]
+    if spans is not None:
+        files, keys = files.join(spans, "id"), ["id", "span_id"]
+        size = F.least(F.col("stop") - F.col("start") + 1, F.lit(most)).cast("int")
+        body = F.array_join(F.slice(F.split("content", "\n"), F.col("start").cast("int"), size), "\n")
+    n = F.regexp_count(body, F.lit(words)) + F.regexp_count(body, F.lit(r"&&|\|\|"))
+    return files.select(*keys, (n + 1).cast("long").alias("complexity"))
+
+
+# Languages by extension, and what makes a path a test or generated, or a symbol exported.
+LANGUAGES = {
+    "rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript",
+    "py": "python", "go": "go", "java": "java", "rb": "ruby", "swift": "swift", "kt": "kotlin",
+    "kts": "kotlin", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "c": "c", "h": "c",
+}
+TEST_FOLDERS = "(/tests?/)|(^tests?/)|(/integration_tests/)"
+TEST_FILES = r"(_test\.rs|\.test\.tsx?|\.spec\.ts|_spec\.rb|_test\.go)$"
+GENERATED_FOLDERS = r"/generated/|\.generated\.|/build/|/target/"
+GENERATED_FILES = r"(\.g\.rs|\.pb\.rs|\.pb\.go)$"
+EXPORTED = r"^(pub |pub\(|export |public )"
+EXPORTED_KINDS = ("interface", "type_alias", "enum")
+
+
+def properties(path: Column, signature: Column, kind: Column) -> dict[str, Column]:
+    """What a path and a signature say: language, module, test, generated, exported."""
+    p = F.lower(path)
+    known = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
+    return {
+        "language": F.coalesce(known[T.extension(path)], F.lit("other")),
+        "module_path": F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"\.[^.]*$", ""), "^.*?/src/", ""), "/", "::"),
+        "is_test": p.rlike(TEST_FOLDERS) | p.rlike(TEST_FILES),
+        "is_generated": p.rlike(GENERATED_FOLDERS) | p.rlike(GENERATED_FILES),
+        "exported": F.trim(signature).rlike(EXPORTED) | kind.isin(*EXPORTED_KINDS),
+    }
 
 
 def described(symbols: DataFrame) -> DataFrame:
-    """What a path and a signature say: language, module, test, generated, exported."""
-    p = F.lower("file_path")
-    ext = T.extension(F.col("file_path"))
-    names = {
-        "rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript",
-        "py": "python", "go": "go", "java": "java", "rb": "ruby", "swift": "swift", "kt": "kotlin",
-        "kts": "kotlin", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "c": "c", "h": "c",
-    }
-    language = F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[ext], F.lit("other"))
-    stem = F.regexp_replace("file_path", r"\.[^.]*$", "")
-    module = F.regexp_replace(F.regexp_replace(stem, "^.*?/src/", ""), "/", "::")
-    test = (
-        p.rlike("(/tests?/)|(^tests?/)|(/integration_tests/)")
-        | p.rlike(r"(_test\.rs|\.test\.tsx?|\.spec\.ts|_spec\.rb|_test\.go)$")
-    )
-    generated = p.rlike(r"/generated/|\.generated\.|/build/|/target/") | p.rlike(r"(\.g\.rs|\.pb\.rs|\.pb\.go)$")
-    exported = F.trim("signature").rlike(r"^(pub |pub\(|export |public )") | F.col("kind").isin(
-        "interface", "type_alias", "enum"
-    )
-    return symbols.select(
-        "id", language.alias("language"), module.alias("module_path"), test.alias("is_test"),
-        generated.alias("is_generated"), exported.alias("exported"),
-    )
+    """The properties of each symbol (id, file_path, signature, kind)."""
+    found = properties(F.col("file_path"), F.col("signature"), F.col("kind"))
+    return symbols.select("id", *[c.alias(name) for name, c in found.items()])
 
 
 def first_wins(rows: DataFrame, key: str, priority: str) -> DataFrame:
@@ -179,6 +226,42 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def keep_children(children: DataFrame, old: DataFrame, new: DataFrame, key: str, hash: str) -> DataFrame:
+    """Children whose parent is as it was: those of parents that are gone or have another hash go, with a replaced file's rows.
+
+    Children of parents that the old state does not know have nothing to be deleted with, and stay.
+    """
+    same = new.select(key, hash)
+    gone = old.select(key, hash).join(same, [key, hash], "left_anti").select(key)
+    return children.join(gone, key, "left_anti")
+
+
+def failures(events: DataFrame) -> DataFrame:
+    """(file, failed_at, retries): files whose last failure (ts, failed) is not cleared by a later success (ts, done)."""
+    rows = events.groupBy("file").agg(
+        F.max(F.when(F.col("failed"), F.col("ts"))).alias("failed_at"),
+        F.count_if("failed").alias("retries"),
+        F.max(F.when(F.col("done"), F.col("ts"))).alias("cleared_at"),
+    )
+    return rows.where((F.col("retries") > 0) & (F.col("cleared_at").isNull() | (F.col("cleared_at") < F.col("failed_at")))).drop("cleared_at")
+
+
+def failure_summary(log: DataFrame, since: Column, often: int = 3) -> DataFrame:
+    """How many files have failed: in all, since a moment, so many times, and neither."""
+    recent, many = F.col("failed_at") >= since, F.col("retries") >= often
+    return log.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(recent).alias("recent"), F.count_if(many).alias("persistent"), F.count_if(~recent & ~many).alias("stale")
+    )
+
+
+def one_sided(defined: DataFrame, dispatched: DataFrame, key: str) -> DataFrame:
+    """(side, key): names that only one of two surfaces has."""
+    a, b = defined.select(key).distinct(), dispatched.select(key).distinct()
+    return a.join(b, key, "left_anti").select(F.lit("only_defined").alias("side"), key).unionAll(
+        b.join(a, key, "left_anti").select(F.lit("only_dispatched").alias("side"), key)
+    )
+
+
 def coverage(indexed: DataFrame, wanted: DataFrame) -> DataFrame:
     """Files by readiness (key, hash on both sides): ready, stale, missing or extra, with a percentage."""
     both = wanted.select("key", F.col("hash").alias("w")).join(indexed.select("key", F.col("hash").alias("i")), "key", "full")
@@ -194,62 +277,13 @@ def coverage(indexed: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def redundant_wrappers(files: DataFrame) -> DataFrame:
-    """One-line functions that only forward to another, in several languages' shapes."""
-    pattern = r"(?m)^[ \t]*(?:pub +)?(?:fn|def|function) +(\w+)\([^)\n]*\)[^{:\n]*[{:][ \t]*(?:return +)?(?:self\.)?(\w+)\([^)\n]*\);?[ \t]*}?[ \t]*$"
-    hits = files.where(F.col("content").rlike(pattern)).select(
-        "id",
-        F.explode(
-            F.arrays_zip(
-                F.regexp_extract_all("content", F.lit(pattern), 1).alias("name"),
-                F.regexp_extract_all("content", F.lit(pattern), 2).alias("target"),
-            )
-        ).alias("x"),
-    )
-    return hits.select("id", "x.name", "x.target").where("name <> target")
-
-
-IMPORTS = {
-    "python": r"(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))",
-    "javascript": r"""(?:from|require\(|import)\s*\(?["']([^"']+)["']""",
-    "rust": r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)",
-    "go": r'(?m)^\s*(?:import\s+)?(?:\w+\s+)?"([^"]+)"',
-    "java": r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)",
-    "c": r'(?m)^\s*#\s*include\s+[<"]([^>"]+)[>"]',
-    "ruby": r"""(?m)^\s*require(?:_relative)?\s+["']([^"']+)["']""",
-    "php": r"(?m)^\s*use\s+([\w\\]+)",
-    "csharp": r"(?m)^\s*using\s+([\w.]+)\s*;",
-    "dart": r"""(?m)^\s*import\s+["']([^"']+)["']""",
-    "html": r'href="([^"]+)"',
-}
-
-
-def extract_imports(files: DataFrame, language: str) -> DataFrame:
-    """(id, raw_import): what a file's text imports, by its language's pattern."""
-    p = IMPORTS[language]
-    found = F.regexp_extract_all("content", F.lit(p), 1)
-    if language == "python":
-        found = F.filter(F.concat(found, F.regexp_extract_all("content", F.lit(p), 2)), lambda x: x != "")
-    return files.where(F.col("content").rlike(p)).select("id", F.explode(F.array_distinct(found)).alias("raw_import"))
-
-
-def resolve_imports(imports: DataFrame, files: DataFrame, language: str) -> DataFrame:
-    """(id, raw_import, target): the first candidate path, in the language's order, that is a file."""
-    raw = F.col("raw_import")
-    slashed = F.regexp_replace(raw, r"\.|::|\\", "/")
-    shapes = {
-        "python": [("", ".py"), ("", "/__init__.py"), ("src/", ".py"), ("lib/", ".py"), ("app/", ".py")],
-        "javascript": [("", x) for x in (".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js")],
-        "rust": [("src/", ".rs"), ("src/", "/mod.rs")],
-        "java": [("src/main/java/", ".java"), ("src/main/kotlin/", ".kt"), ("", ".java")],
-    }.get(language, [("", "")])
-    stem = F.regexp_replace(raw, r"^\./", "") if language == "javascript" else slashed
-    stem = F.regexp_replace(stem, "^crate/", "") if language == "rust" else stem
-    cand = F.array(*[F.concat(F.lit(a), stem, F.lit(b)) for a, b in shapes])
-    hits = imports.select("id", "raw_import", F.posexplode(cand).alias("at", "path")).join(
-        files.select(F.col("relative_path").alias("path")).distinct(), "path", "left_semi"
-    )
-    best = hits.groupBy("id", "raw_import").agg(F.min(F.struct("at", "path")).alias("m"))
-    return imports.join(best, ["id", "raw_import"], "left").select("id", "raw_import", F.col("m.path").alias("target"))
+    """(id, line_no, name, target): one-line functions that only forward to another, but in test files and from a test section on."""
+    pattern = r"^[ \t]*(?:pub +)?(?:fn|def|function) +(\w+)\([^)\n]*\)[^{:\n]*[{:][ \t]*(?:return +)?(?:self\.)?(\w+)\([^)\n]*\);?[ \t]*}?[ \t]*$"
+    code = files.where(~T.is_test_path(F.col("relative_path"))).where(F.col("content").rlike("(?m)" + pattern))
+    body = F.split("content", r"(?m)^\s*#\[cfg\(test\)\]", 2)[0]
+    rows = lines(code.select("id", body.alias("content"))).where(F.col("line").rlike(pattern))
+    hits = rows.select("id", "line_no", F.regexp_extract("line", pattern, 1).alias("name"), F.regexp_extract("line", pattern, 2).alias("target"))
+    return hits.where("name <> target")
 
 
 def phantom_modules(files: DataFrame) -> DataFrame:
@@ -271,17 +305,22 @@ def word_at(files: DataFrame, points: DataFrame) -> DataFrame:
     return rows.select("id", "line_no", "column", F.concat(head, tail).alias("word")).where("word <> ''")
 
 
-def text_references(files: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
-    """(id, line_no, matches, is_declaration): occurrences of a name; a line that declares it is marked.
+def text_references(files: DataFrame, symbols: DataFrame, name: str, spans: DataFrame | None = None) -> DataFrame:
+    """(id, line_no, matches, is_declaration, enclosing): occurrences of a name; a line that declares it is marked.
 
     ``symbols``: (id of the file, name, line).  Files that declare a name of their own while not being the
-    first that does shadow it, and are left out.
+    first that does shadow it, and are left out.  ``spans`` (id, span_id, start, stop) has what may enclose a line.
     """
     decl = symbols.where(F.col("name") == name).select("id", F.col("line").alias("line_no"), F.lit(True).alias("d")).distinct()
     first = decl.agg(F.min("id").alias("first"))
     shadow = decl.crossJoin(F.broadcast(first)).where("id <> first").select("id").distinct()  # one row
-    hits = word_matches(files, name).join(shadow, "id", "left_anti")
-    return hits.join(decl, ["id", "line_no"], "left").select("id", "line_no", "matches", F.coalesce("d", F.lit(False)).alias("is_declaration"))
+    hits = word_matches(files, name).join(shadow, "id", "left_anti").join(decl, ["id", "line_no"], "left")
+    hits = hits.select("id", "line_no", "matches", F.coalesce("d", F.lit(False)).alias("is_declaration"))
+    if spans is None:
+        return hits.withColumn("enclosing", F.lit(None).cast("long"))
+    points = hits.select("*", F.xxhash64("id", "line_no").alias("point_id"), F.col("id").alias("file_path"), F.col("line_no").alias("at"))
+    found = enclosing(points, spans.withColumnRenamed("id", "file_path"))
+    return found.select("id", "line_no", "matches", "is_declaration", F.col("span_id").alias("enclosing"))
 
 
 def decorated(files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -301,26 +340,36 @@ def nested(symbols: DataFrame) -> DataFrame:
     return symbols.select("file_path", "id").join(best, ["file_path", "id"], "left").select("file_path", "id", F.col("m.parent_id").alias("parent_id"))
 
 
-def name_paths(tree: DataFrame, names: DataFrame, depth: int = 16) -> DataFrame:
-    """(id, name_path) from (id, parent_id) and (id, name): one join a level, up to the deepest."""
-    at = tree.select("id", "parent_id").join(names, "id").select("id", F.col("name").alias("name_path"), F.col("parent_id").alias("up"))
-    up = tree.select(F.col("id").alias("up"), F.col("parent_id").alias("above")).join(
-        names.select(F.col("id").alias("up"), F.col("name").alias("n")), "up"
-    )
-    for _ in range(depth):
-        if at.where("up IS NOT NULL").isEmpty():
-            break
-        at = at.join(up, "up", "left").select(
-            "id", F.when(F.col("n").isNotNull(), F.concat("n", F.lit("/"), "name_path")).otherwise(F.col("name_path")).alias("name_path"), F.col("above").alias("up")
+def name_paths(tree: DataFrame, names: DataFrame, max_rounds: int = 16) -> DataFrame:
+    """(id, name_path) from (id, parent_id) and (id, name), at any depth: each round doubles the levels that a path has.
+
+    A parent that is not a row ends a path; a cycle of parents is an error.
+    """
+    rows = written(tree.select("id", "parent_id").join(names, "id").select("id", F.col("name").alias("path"), F.col("parent_id").alias("up")), "name-paths")
+    for _ in range(max_rounds):
+        if rows.where("up IS NOT NULL").isEmpty():
+            return rows.select("id", F.col("path").alias("name_path"))
+        above = rows.select(F.col("id").alias("up"), F.col("path").alias("head"), F.col("up").alias("next"))
+        rows = written(
+            rows.join(above, "up", "left").select("id", F.concat_ws("/", "head", "path").alias("path"), F.col("next").alias("up")), "name-paths"
         )
-    return at.select("id", "name_path")
+    raise ValueError(f"more than {2**max_rounds} levels, or parents that go round in a circle")
 
 
-def fingerprint(rows: DataFrame, order: list[str]) -> DataFrame:
-    """(rows, fingerprint) of a listing: a cursor made for another listing is told by it."""
-    return rows.agg(
-        F.count(F.lit(1)).alias("rows"), F.hex(F.bit_xor(F.xxhash64(*order))).alias("fingerprint")
-    )
+def cursor(rows: DataFrame, order: list[str], offset: int) -> str:
+    """A place in a listing: an offset with the listing's number of rows and a fingerprint of them."""
+    n, mark = rows.agg(F.count(F.lit(1)), F.hex(F.bit_xor(F.xxhash64(*order)))).first()
+    return f"{offset}.{n}.{mark}"
+
+
+def page(rows: DataFrame, order: list[str], token: str, size: int) -> DataFrame:
+    """``rows`` from a cursor on, with their place from 0; a cursor that was made for another listing is an error."""
+    offset = int(token.split(".")[0])
+    if cursor(rows, order, offset) != token:
+        raise ValueError("the listing has changed since the cursor was made")
+    first = rows.orderBy(*order).limit(offset + size)  # what is before the page comes along, and is dropped again
+    place = F.row_number().over(Window.orderBy(*order)) - 1
+    return first.withColumn("place", place.cast("long")).where(F.col("place") >= offset)
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

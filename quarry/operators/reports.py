@@ -64,11 +64,32 @@ def semantic_search(dense: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
     return rank.top_k(both.select("query_id", "id", F.round(score, 6).alias("score")), k, "score", "id")
 
 
-def dead_code_report(dead: DataFrame, symbols: DataFrame, scope: str, k: int = 10) -> DataFrame:
-    """The first dead symbols of a scope, with how many live symbols share their name."""
+def dead_code_report(dead: DataFrame, symbols: DataFrame, vectors: DataFrame, scope: str, k: int = 10, least: float = 0.15) -> DataFrame:
+    """(id, name, file_path, live, score): the first dead symbols of a scope, each with up to three live ones like it."""
     top = dead.where(F.contains("file_path", F.lit(scope))).orderBy("file_path", "name", "id").limit(k)
-    live = symbols.join(dead.select("id"), "id", "left_anti").groupBy("name").agg(F.count(F.lit(1)).alias("similar_live"))
-    return top.join(live, "name", "left").select("id", "name", "file_path", F.coalesce("similar_live", F.lit(0)).cast("long").alias("similar_live"))
+    live = vectors.join(symbols.join(dead.select("id"), "id", "left_anti").select("id"), "id", "left_semi")
+    asked = top.join(vectors, "id").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))  # at most k
+    near = vector.knn(live, asked, 3).where(F.col("score") > least)
+    return top.join(near.select(F.col("query_id").alias("id"), F.col("id").alias("live"), "score"), "id", "left")
+
+
+def missing_imports(used: DataFrame, symbols: DataFrame, imports: DataFrame, builtin: DataFrame, most: int = 3) -> DataFrame:
+    """(caller_file, name, candidate, confidence): where names that a file uses could come from.
+
+    Names are left out that the file defines, that a file it imports defines, or that are built in.
+    """
+    s = symbols.select("file_path", "name").distinct()
+    used = used.distinct().join(builtin.select("name"), "name", "left_anti")
+    local = s.select(F.col("file_path").alias("caller_file"), "name")
+    imported = imports.join(s, F.col("dst") == F.col("file_path")).select(F.col("src").alias("caller_file"), "name")
+    open_ = used.join(local.unionAll(imported), ["caller_file", "name"], "left_anti")
+    # a name's first files are cut before they are dealt, and before they meet the uses
+    ranked = s.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("file_path"))).where(F.col("r") <= most)
+    count = s.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    first = ranked.select("name", F.col("file_path").alias("candidate")).join(count, "name")
+    return open_.join(first, "name").select(
+        "caller_file", "name", "candidate", F.when(F.col("n") == 1, 0.95).otherwise(0.7).alias("confidence")
+    )
 
 
 def code_review(rows: DataFrame, changed: DataFrame, k: int = 3) -> DataFrame:
@@ -78,13 +99,31 @@ def code_review(rows: DataFrame, changed: DataFrame, k: int = 3) -> DataFrame:
     return near.select(F.col("query_id").alias("id"), F.col("id").alias("twin"), "score")
 
 
-def readiness(references: DataFrame, tests: DataFrame, changed: DataFrame) -> DataFrame:
-    """(subject, status): blocked if much referenced and untested, caution if either, else ready."""
-    r = references.groupBy("subject").agg(F.count(F.lit(1)).alias("refs"))
-    t = tests.select("subject").distinct().withColumn("tested", F.lit(True))
-    rows = changed.select("subject").distinct().join(r, "subject", "left").join(t, "subject", "left")
-    many, tested = F.coalesce("refs", F.lit(0)) > 3, F.coalesce("tested", F.lit(False))
-    return rows.select("subject", F.when(many & ~tested, "blocked").when(many | ~tested, "caution").otherwise("ready").alias("status"))
+#: Definitions and references beyond which a change needs care, and beyond which it is blocked.
+MANY_DEFINITIONS, MANY_REFERENCES = (1, 5), (20, 100)
+
+
+def readiness(changed: DataFrame, definitions: DataFrame, references: DataFrame, tests: DataFrame) -> DataFrame:
+    """(subject, diagnostics, refs, tests, mutation): ready, caution or blocked on each axis, and over all.
+
+    Diagnostics go by how many definitions a name has, references by their number, tests by whether one names it.
+    """
+    count = lambda df, name: df.groupBy("subject").agg(F.count(F.lit(1)).alias(name))
+    rows = changed.select("subject").distinct().join(count(definitions, "d"), "subject", "left").join(count(references, "r"), "subject", "left")
+    rows = rows.join(tests.select("subject").distinct().withColumn("t", F.lit(True)), "subject", "left")
+
+    def axis(n: Column, limits: tuple[int, int]) -> Column:
+        return F.when(n > limits[1], "blocked").when(n > limits[0], "caution").otherwise("ready")
+
+    rows = rows.select(
+        "subject",
+        axis(F.coalesce("d", F.lit(0)), MANY_DEFINITIONS).alias("diagnostics"),
+        axis(F.coalesce("r", F.lit(0)), MANY_REFERENCES).alias("refs"),
+        F.when(F.col("t"), "ready").otherwise("caution").alias("tests"),
+    )
+    worst = F.array("diagnostics", "refs", "tests")
+    overall = F.when(F.array_contains(worst, "blocked"), "blocked").when(F.array_contains(worst, "caution"), "caution").otherwise("ready")
+    return rows.withColumn("mutation", overall)
 
 
 def unresolved(uses: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -189,3 +189,21 @@ def compression_stage(used: Column, budget: Column) -> Column:
 def sessions(calls: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Extension: native session windows over a timeline."""
     return calls.groupBy("session", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("calls"))
+
+
+#: Keys of a call's arguments that say where it runs, and not what it asks.
+ROUTING = ("session_id", "project", "request_id", "trace_id")
+
+
+def arg_hash(args: Column) -> Column:
+    """A hash of a call's arguments as JSON text that does not depend on their order, nor on routing keys."""
+    pairs = F.map_entries(F.map_filter(F.from_json(args, "map<string,string>"), lambda k, v: ~k.isin(*ROUTING)))
+    return F.xxhash64(F.to_json(F.sort_array(pairs)))
+
+
+def timeline(calls: DataFrame, most: int = 200) -> DataFrame:
+    """(session, timeline): the last ``most`` calls (at, tool) of each session, in order, as a text."""
+    by = Window.partitionBy("session").orderBy(F.col("at").desc(), "tool")
+    rows = calls.withColumn("n", F.row_number().over(by)).where(F.col("n") <= most)
+    entry = F.struct("at", F.concat(F.col("at").cast("string"), F.lit(" "), "tool").alias("t"))
+    return rows.groupBy("session").agg(F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["t"]), "; ").alias("timeline"))

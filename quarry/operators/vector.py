@@ -6,12 +6,18 @@ checked), the best k are kept per task, and nothing is indexed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import text as T
 from quarry.operators.sizes import batch, small
+from quarry.storage import written
 
 #: Query batches up to this number are sent to every task; larger ones are refused.
 MAX_QUERIES = 10_000
@@ -40,22 +46,106 @@ def similar(rows: DataFrame, targets: DataFrame, k: int = 5) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)
 
 
-def duplicate_pairs(rows: DataFrame, threshold: float, limit: int) -> DataFrame:
-    """The most similar unordered pairs of rows of the same block at or above a threshold.
+def scores(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id, score): the cosine of every row with every query (query_id, vector) of a batch."""
+    both = rows.crossJoin(batch(queries, MAX_QUERIES))  # queries against all rows
+    return both.select("query_id", "id", F.round(T.cosine(F.col("embedding"), F.col("vector")), 6).alias("score"))
+
+
+#: Random planes and tables that bring rows together, as in locality-sensitive hashing.
+PLANES_SEED, RECALL, IN_CODE, BLOCK = 11, 0.99, 64, 1024
+
+
+def plan(n: int, limit: float, recall: float = RECALL) -> tuple[int, int]:
+    """(bits, tables): a code holds about IN_CODE rows by chance, and a pair at the limit meets with this probability."""
+    bits = max(1, math.ceil(math.log2(max(n, 2) / IN_CODE)))
+    same = (1 - math.acos(max(-1.0, min(1.0, limit))) / math.pi) ** bits
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
+
+
+def _coded(bits: int, tables: int):
+    def run(batches):
+        planes: dict[int, np.ndarray] = {}
+        for b in batches:
+            v = b.column(b.schema.get_field_index("embedding"))
+            sizes = np.asarray(pa.compute.list_value_length(v))
+            flat, ends = np.asarray(v.flatten(), dtype=np.float64), np.cumsum(sizes)
+            codes = np.zeros((b.num_rows, tables), np.int64)
+            for d in np.unique(sizes):
+                if d not in planes:
+                    planes[d] = np.random.default_rng([PLANES_SEED, int(d)]).standard_normal((int(d), tables * bits))
+                at = np.flatnonzero(sizes == d)
+                x = flat[(ends[at] - d)[:, None] + np.arange(d)]
+                codes[at] = (x @ planes[d] > 0).reshape(len(at), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * tables, pa.int32()), pa.array(codes.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "codes"])
+
+    return run
+
 
-    The reference stops at the first pairs that its scan meets; here the best ones are taken, which makes
-    the result independent of order.  ``block`` bounds the comparison: only equal blocks are joined.
+def near_pairs(rows: DataFrame, limit: float, recall: float = RECALL) -> DataFrame:
+    """(a, b, similarity): pairs of rows (id, embedding) of any files with a cosine at or above a limit.
+
+    Rows meet in tables of random-plane codes.  A code with more than ``BLOCK`` rows is cut into blocks, each two
+    of which are a task's; a pair that meets in several tables counts in the first.
     """
-    a = rows.select("block", F.col("id").alias("a"), F.col("file_path").alias("file_a"), F.col("embedding").alias("va"))
-    b = rows.select("block", F.col("id").alias("b"), F.col("file_path").alias("file_b"), F.col("embedding").alias("vb"))
-    pairs = a.join(b, "block").where("a < b").withColumn("similarity", F.round(T.cosine(F.col("va"), F.col("vb")), 6))
-    least = T.duplicate_threshold(threshold, F.col("file_a"), F.col("file_b"))
-    return (
-        pairs.where(F.col("similarity") >= least)
-        .select("a", "b", "file_a", "file_b", "similarity")
-        .orderBy(F.col("similarity").desc(), "a", "b")
-        .limit(limit)
+    ok = rows.select("id", "embedding").where(
+        F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("embedding", lambda x: x != 0)
     )
+    n = ok.count()
+    bits, tables = plan(n, limit, recall)
+    schema = f"id long, embedding {dict(ok.dtypes)['embedding']}, codes array<long>"
+    coded = written(ok.withColumn("id", F.col("id").cast("long")).mapInArrow(_coded(bits, tables), schema), "vector-codes")
+    met = coded.select("id", "embedding", "codes", F.posexplode("codes").alias("t", "code"))
+    large = met.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("g")).where("g > 1")
+    met = met.join(large, ["t", "code"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    met = met.withColumn("block", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    met = met.select("*", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id")
+        out = []
+        block, i, j, t = frame["block"].to_numpy(), frame["i"].iat[0], frame["j"].iat[0], int(frame["t"].iat[0])
+        ids, codes, size = frame["id"].to_numpy(), np.stack(frame["codes"].to_numpy()), frame["embedding"].map(len).to_numpy()
+        for d in np.unique(size):
+            a, b = np.flatnonzero((block == i) & (size == d)), np.flatnonzero((block == j) & (size == d))
+            if not len(a) or not len(b):
+                continue
+            x = np.stack(frame["embedding"].iloc[np.union1d(a, b)].to_numpy()).astype(float)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            where = {int(r): k for k, r in enumerate(np.union1d(a, b))}
+            xa, xb = x[[where[int(r)] for r in a]], x[[where[int(r)] for r in b]]
+            sim = np.round(xa @ xb.T, 6)
+            p, q = np.nonzero(sim >= limit)
+            u, v = ids[a[p]], ids[b[q]]
+            keep = (u < v) if i == j else (u != v)
+            if t:
+                keep &= ~(codes[a[p], :t] == codes[b[q], :t]).any(axis=1)
+            out.append(pd.DataFrame({"a": np.minimum(u, v)[keep], "b": np.maximum(u, v)[keep], "similarity": sim[p, q][keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": "int64", "b": "int64"})
+
+    cols = ["id", "embedding", "codes", "t", "block", "i", "j", "code"]
+    return met.select(*cols).groupBy("t", "code", "i", "j").applyInPandas(compare, "a long, b long, similarity double")
+
+
+def duplicate_pairs(rows: DataFrame, threshold: float, limit: int, filtered: bool = False, recall: float = RECALL) -> DataFrame:
+    """The most similar unordered pairs of rows of all files at or above a threshold, which structured files raise.
+
+    The reference stops at the first pairs that its scan meets; here the best ones are taken, which makes the
+    result independent of order.  With ``name``, ``kind`` and ``text`` each pair has its ``reason`` (see ``noise``);
+    ``filtered`` keeps those without one.
+    """
+    pairs = written(near_pairs(rows, threshold, recall), "vector-pairs")
+    more = [c for c in ("name", "kind", "text") if c in rows.columns]
+    a = rows.select(F.col("id").alias("a"), F.col("file_path").alias("file_a"), *[F.col(c).alias(f"{c}_a") for c in more])
+    b = rows.select(F.col("id").alias("b"), F.col("file_path").alias("file_b"), *[F.col(c).alias(f"{c}_b") for c in more])
+    pairs = pairs.join(a, "a").join(b, "b")
+    pairs = pairs.where(F.col("similarity") >= T.duplicate_threshold(threshold, F.col("file_a"), F.col("file_b")))
+    columns = ["a", "b", "file_a", "file_b", "similarity"]
+    if len(more) == 3:
+        pairs = pairs.withColumn("jaccard", F.round(T.jaccard(T.body_tokens(F.col("text_a")), T.body_tokens(F.col("text_b"))), 6)).withColumn("reason", noise())
+        pairs, columns = pairs.where("reason = 'kept'") if filtered else pairs, [*columns, "jaccard", "reason"]
+    return pairs.select(*columns).orderBy(F.col("similarity").desc(), "a", "b").limit(limit)
 
 
 def file_means(rows: DataFrame) -> DataFrame:
@@ -121,4 +211,30 @@ def semantic_rerank(scored: DataFrame, weight: float = 0.75) -> DataFrame:
     toks = F.filter(F.split(F.lower("query"), "[^a-z0-9]+"), lambda t: F.length(t) >= 2)
     text = F.lower(F.concat_ws(" ", "name", T.split_identifier(F.col("name")), "name_path", "signature", "file_path"))
     overlap = F.size(F.filter(toks, lambda t: F.contains(text, t))) / F.greatest(F.size(toks), F.lit(1))
-    return scored.withColumn("score", F.round(F.col("score") * weight + overlap * (1 - weight), 6))
+    return scored.withColumn("score", F.round(F.col("score") * weight + overlap * (1 - weight), 8))
+
+
+# Keys of configuration files that say nothing about shared code, kinds that hold data, and file types of code.
+CONFIG_KEYS = (
+    "name", "on", "env", "jobs", "job", "steps", "step", "uses", "with", "run", "needs", "permissions", "strategy", "matrix",
+    "workflow_dispatch", "push", "pull_request", "schedule", "branches", "paths", "timeout_minutes", "runs_on",
+)
+DATA_KINDS = ("variable", "constant", "const", "field", "property", "parameter", "static", "local")
+SIGNATURE_ONLY = (0.85, 0.5)
+
+
+def noise() -> Column:
+    """Why a pair (file_a, file_b, name_a, name_b, kind_a, kind_b, similarity, jaccard) is no duplicate worth showing; else kept."""
+    a, b = (T.extension(F.col(c)).isin(*T.STRUCTURED_TYPES) for c in ("file_a", "file_b"))
+    key = F.replace(F.lower(F.when(a, F.col("name_a")).otherwise(F.col("name_b"))), F.lit("-"), F.lit("_")).isin(*CONFIG_KEYS)
+    here, same = F.col("file_a") == F.col("file_b"), F.col("name_a") == F.col("name_b")
+    data = F.col("kind_a").isin(*DATA_KINDS) & F.col("kind_b").isin(*DATA_KINDS)
+    shape = (F.col("similarity") >= SIGNATURE_ONLY[0]) & (F.col("jaccard") < SIGNATURE_ONLY[1])
+    return (
+        F.when(a & b, "config_config")
+        .when((a | b) & key, "config_code")
+        .when(here & same, "same_symbol")
+        .when(here & data, "same_file_data")
+        .when(shape, "signature_only")
+        .otherwise("kept")
+    )

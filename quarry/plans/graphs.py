@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarry import adapters as A
 from quarry.functions import text as T
-from quarry.operators import edits, evaluation, graph, lookup, reports, types
+from quarry.operators import graph, lookup, reports, types
 from quarry.registry import register
 
-E = f"e AS ({A.edges_sql(16)})"
+E = f"e AS ({A.EDGES_SQL})"
 N = "n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)"
 
 
-def _pagerank_sql(rounds: int = graph.ROUNDS) -> str:
-    steps = ["r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM n) AS score FROM n)"]
+def pagerank_steps(rounds: int = graph.ROUNDS) -> str:
+    """Common table expressions r0 to r20 over e (src, dst) and n (node)."""
+    steps = ["d AS (SELECT src, count(*) AS out FROM e GROUP BY src)", "r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM n) AS score FROM n)"]
     for i in range(1, rounds + 1):
         steps.append(
             f"r{i} AS MATERIALIZED (SELECT n.node, 0.15::DOUBLE / (SELECT count(*) FROM n) + 0.85::DOUBLE * coalesce(sum(r.score / d.out), 0) AS score "
             f"FROM n LEFT JOIN e ON e.dst = n.node LEFT JOIN r{i - 1} r ON r.node = e.src LEFT JOIN d ON d.src = e.src GROUP BY n.node)"
         )
-    return f"WITH {E}, {N}, d AS (SELECT src, count(*) AS out FROM e GROUP BY src), " + ", ".join(steps)
+    return ", ".join(steps)
+
+
+def _pagerank_sql() -> str:
+    return f"WITH {E}, {N}, " + pagerank_steps()
 
 
 @register("pagerank", _pagerank_sql() + f" SELECT node, round(score, 9) AS score FROM r{graph.ROUNDS}")
@@ -116,14 +120,18 @@ def directory_impact(spark, d):
     return r.groupBy("node").agg(F.min("depth").alias("depth"), listed.alias("sources"))
 
 
-@register(
-    "import_cycles",
-    f"""WITH RECURSIVE e AS ({A.edges_sql(32)}), t(a, b) AS (SELECT src, dst FROM e UNION SELECT t.a, e.dst FROM t JOIN e ON e.src = t.b),
-m AS (SELECT a AS node, least(a, min(b)) AS component, count(*) AS c FROM (SELECT x.a, x.b FROM t x JOIN t y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b) GROUP BY a)
-SELECT node, component FROM m""",
-)
+_CYCLES = """t(a, b) AS (SELECT src, dst FROM {e} UNION SELECT t.a, e.dst FROM t JOIN {e} e ON e.src = t.b),
+m AS (SELECT a AS node, least(a, min(b)) AS component FROM (SELECT x.a, x.b FROM t x JOIN t y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b) GROUP BY a)"""
+
+
+@register("import_cycles", f"WITH RECURSIVE e AS ({A.PACKAGE_EDGES_SQL}), {_CYCLES.format(e='e')} SELECT node, component FROM m")
 def import_cycles(spark, d):
-    return graph.cycles(A.edges(spark, d, 32))
+    return graph.cycles(A.package_edges(spark, d))
+
+
+@register("import_cycles_project", f"WITH RECURSIVE e AS ({A.EDGES_SQL}), {_CYCLES.format(e='e')} SELECT node, component FROM m")
+def import_cycles_project(spark, d):
+    return graph.cycles(A.edges(spark, d))
 
 
 @register(
@@ -141,7 +149,7 @@ def change_coupling(spark, d):
 
 @register(
     "dead_files",
-    f"""WITH {E}, f AS (SELECT CAST(p_partkey AS BIGINT) AS node, concat(lower(p_brand), '/', CASE WHEN p_size = 1 THEN 'main.rs' WHEN p_size = 2 THEN 'a.toml' ELSE concat(replace(p_name, ' ', '_'), '.rs') END) AS path FROM part)
+    f"""WITH e AS ({A.PACKAGE_EDGES_SQL}), f AS (SELECT CAST(p_partkey AS BIGINT) AS node, concat(lower(p_brand), '/', CASE WHEN p_size = 1 THEN 'main.rs' WHEN p_size = 2 THEN 'a.toml' ELSE concat(replace(p_name, ' ', '_'), '.rs') END) AS path FROM part)
 SELECT node, path FROM f WHERE node NOT IN (SELECT dst FROM e) AND NOT ends_with(path, '/main.rs') AND NOT ends_with(path, '.toml')""",
 )
 def dead_files(spark, d):
@@ -153,147 +161,7 @@ def dead_files(spark, d):
             F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".rs"))
         ),
     )
-    return graph.dead_files(A.edges(spark, d), p.select(F.col("p_partkey").alias("node"), path.alias("path")))
-
-
-# Calls: the symbol of the line before calls the name of this line's part.
-_CALLS_SQL = f"""sy AS ({A.SYMBOLS_SQL}), c0 AS (SELECT l_orderkey, l_linenumber, l_partkey,
-  lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS prev FROM lineitem WHERE l_orderkey % 16 = 0),
-calls AS (SELECT DISTINCT a.id * 1000000 + b.id AS call_id, a.file_path AS caller_file, a.name AS caller_name, b.name AS callee_name
-  FROM c0 JOIN sy a ON a.id = prev JOIN sy b ON b.id = l_partkey WHERE prev <> l_partkey)"""
-
-
-def _calls(spark, d):
-    s = A.symbols(spark, d)
-    a = s.select(F.col("id").alias("src"), F.col("file_path").alias("caller_file"), F.col("name").alias("caller_name"))
-    b = s.select(F.col("id").alias("dst"), F.col("name").alias("callee_name"))
-    return A.edges(spark, d).join(a, "src").join(b, "dst").select(
-        (F.col("src") * 1000000 + F.col("dst")).alias("call_id"), "caller_file", "caller_name", "callee_name"
-    )
-
-
-def _file_imports(spark, d):
-    s = A.symbols(spark, d)
-    a = s.select(F.col("id").alias("a"), F.col("file_path").alias("src_file"))
-    b = s.select(F.col("id").alias("b"), F.col("file_path").alias("dst_file"))
-    e = A.edges(spark, d, 64).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return e.join(a, "a").join(b, "b").select(F.col("src_file").alias("src"), F.col("dst_file").alias("dst")).distinct()
-
-
-_IMPORTS_SQL = f"""e64 AS ({A.edges_sql(64)}), imp AS (SELECT DISTINCT a.file_path AS src, b.file_path AS dst FROM e64 JOIN sy a ON a.id = e64.src JOIN sy b ON b.id = e64.dst)"""
-_RESOLVE = f"""WITH {_CALLS_SQL}, {_IMPORTS_SQL},
-defs AS (SELECT DISTINCT name, file_path AS target FROM sy), dn AS (SELECT name, count(DISTINCT file_path) AS defs FROM sy GROUP BY name),
-cand AS (SELECT c.*, target, defs, imp.src IS NOT NULL AS imported, string_split(caller_file, '/') AS h, string_split(target, '/') AS t
-  FROM calls c JOIN defs ON defs.name = callee_name JOIN dn ON dn.name = callee_name LEFT JOIN imp ON imp.src = caller_file AND imp.dst = target),
-st AS (SELECT call_id, target, CASE WHEN h[1] = t[1] THEN CASE WHEN h[2] = t[2] THEN 2 ELSE 1 END ELSE 0 END AS near,
-  CASE WHEN caller_file = target THEN 0 WHEN imported THEN 1 WHEN defs = 1 THEN 2 WHEN h[1] = t[1] THEN 3 ELSE 4 END AS stage FROM cand),
-best AS (SELECT call_id, stage, target FROM st QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY stage, near DESC, target) = 1),
-res AS (SELECT c.*, CASE WHEN stage < 4 THEN target END AS resolved_file,
-  CASE coalesce(stage, 4) WHEN 0 THEN 'same_file' WHEN 1 THEN 'import_map' WHEN 2 THEN 'unique_name' WHEN 3 THEN 'path_proximity' ELSE 'unresolved' END AS strategy,
-  CAST(CASE coalesce(stage, 4) WHEN 0 THEN 0.9 WHEN 1 THEN 0.95 WHEN 2 THEN 0.65 WHEN 3 THEN 0.5 ELSE 0.25 END AS DOUBLE) AS confidence
-  FROM calls c LEFT JOIN best USING (call_id))"""
-
-
-def _resolved(spark, d):
-    return graph.resolve_calls(_calls(spark, d), A.symbols(spark, d), _file_imports(spark, d))
-
-
-@register("call_resolution", f"{_RESOLVE} SELECT call_id, caller_file, callee_name, resolved_file, strategy, confidence FROM res")
-def call_resolution(spark, d):
-    return _resolved(spark, d).select("call_id", "caller_file", "callee_name", "resolved_file", "strategy", "confidence")
-
-
-@register(
-    "get_callers",
-    f"{_RESOLVE} SELECT caller_file, caller_name, max(confidence) AS confidence FROM res WHERE callee_name = 'small_ring' GROUP BY 1, 2",
-)
-def get_callers(spark, d):
-    return _resolved(spark, d).where("callee_name = 'small_ring'").groupBy("caller_file", "caller_name").agg(
-        F.max("confidence").alias("confidence")
-    )
-
-
-@register(
-    "get_callees",
-    f"{_RESOLVE} SELECT callee_name, resolved_file, max(confidence) AS confidence FROM res WHERE caller_name = 'small_ring' GROUP BY 1, 2",
-)
-def get_callees(spark, d):
-    return _resolved(spark, d).where("caller_name = 'small_ring'").groupBy("callee_name", "resolved_file").agg(
-        F.max("confidence").alias("confidence")
-    )
-
-
-@register(
-    "cached_callers",
-    f"WITH {_CALLS_SQL} SELECT callee_name, count(*) AS calls, count(DISTINCT caller_file) AS files FROM calls GROUP BY callee_name",
-)
-def cached_callers(spark, d):
-    return _calls(spark, d).groupBy("callee_name").agg(
-        F.count(F.lit(1)).alias("calls"), F.countDistinct("caller_file").alias("files")
-    )
-
-
-@register(
-    "call_trace",
-    f"""WITH RECURSIVE {_CALLS_SQL}, ce AS (SELECT DISTINCT caller_name AS src, callee_name AS dst FROM calls WHERE caller_name <> callee_name),
-up(node, depth) AS (SELECT 'small_ring', CAST(0 AS BIGINT) UNION SELECT ce.src, depth + 1 FROM up JOIN ce ON ce.dst = up.node WHERE depth < 2),
-down(node, depth) AS (SELECT 'small_ring', CAST(0 AS BIGINT) UNION SELECT ce.dst, depth + 1 FROM down JOIN ce ON ce.src = down.node WHERE depth < 2)
-SELECT 'callers' AS side, node, min(depth) AS depth FROM up GROUP BY node HAVING min(depth) > 0
-UNION ALL SELECT 'callees', node, min(depth) FROM down GROUP BY node HAVING min(depth) > 0""",
-)
-def call_trace(spark, d):
-    e = _calls(spark, d).where("caller_name <> callee_name").select(
-        F.col("caller_name").alias("src"), F.col("callee_name").alias("dst")
-    ).distinct()
-    root = spark.createDataFrame([("small_ring",)], "root string")
-    up = graph.reach(e, root, 2).select(F.lit("callers").alias("side"), "node", "depth")
-    down = graph.reach(graph.flip(e), root, 2).select(F.lit("callees").alias("side"), "node", "depth")
-    return up.unionAll(down)
-
-
-@register(
-    "dead_symbols",
-    f"WITH {_CALLS_SQL} SELECT id, name, file_path FROM sy WHERE kind IN ('function', 'method') AND name NOT IN (SELECT callee_name FROM calls)",
-)
-def dead_symbols(spark, d):
-    return graph.dead_symbols(A.symbols(spark, d), _calls(spark, d)).select("id", "name", "file_path")
-
-
-@register(
-    "noise_callee_filter",
-    "WITH c AS (SELECT unnest(['get', 'new', 'small_ring', 'len', 'parse_all']) AS name), l AS (SELECT unnest(['rs', 'py']) AS lang) "
-    "SELECT name, lang, name IN ('get', 'len') AS noise FROM c, l",
-)
-def noise_callee_filter(spark, d):
-    names = spark.createDataFrame([(n, x) for n in ("get", "new", "small_ring", "len", "parse_all") for x in ("rs", "py")], "name string, lang string")
-    return names.select("name", "lang", T.is_noise_callee(F.col("name"), F.col("lang")).alias("noise"))
-
-
-@register(
-    "safe_delete",
-    f"""WITH {_CALLS_SQL}, n AS (SELECT DISTINCT name FROM sy), k AS (SELECT callee_name, count(DISTINCT caller_name) AS c FROM calls GROUP BY 1)
-SELECT name, coalesce(c, 0) AS callers, coalesce(c, 0) = 0 AS safe FROM n LEFT JOIN k ON callee_name = name""",
-)
-def safe_delete(spark, d):
-    return edits.safe_delete(_calls(spark, d), A.symbols(spark, d))
-
-
-@register(
-    "call_graph_f1",
-    f"""WITH {_CALLS_SQL}, f AS (SELECT DISTINCT caller_name, callee_name FROM calls), t AS (SELECT DISTINCT caller_name, callee_name FROM calls WHERE call_id % 7 <> 0
-  UNION SELECT DISTINCT callee_name, caller_name FROM calls WHERE call_id % 50 = 0),
-c AS (SELECT count(*) FILTER (f.caller_name IS NOT NULL AND t.caller_name IS NOT NULL) AS tp, count(*) FILTER (t.caller_name IS NULL) AS fp, count(*) FILTER (f.caller_name IS NULL) AS fn
-  FROM f FULL JOIN t ON f.caller_name = t.caller_name AND f.callee_name = t.callee_name),
-r AS (SELECT *, tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM c)
-SELECT tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f FROM r""",
-)
-def call_graph_f1(spark, d):
-    calls = _calls(spark, d)
-    keys = ["caller_name", "callee_name"]
-    truth = calls.where("call_id % 7 <> 0").select(*keys).unionAll(  # the labelled truth of this query
-        calls.where("call_id % 50 = 0").select(F.col("callee_name").alias("caller_name"), F.col("caller_name").alias("callee_name"))
-    )
-    return evaluation.prf(calls, truth, keys)
+    return graph.dead_files(A.package_edges(spark, d), p.select(F.col("p_partkey").alias("node"), path.alias("path")))
 
 
 _MOD = "m AS (SELECT CAST(p_partkey AS BIGINT) AS node, lower(replace(p_brand, '#', '')) AS module FROM part)"
@@ -350,27 +218,6 @@ def architecture_overview(spark, d):
     return lookup.dir_stats(s).join(fan, "dir", "left").select("dir", "files", "symbols", F.coalesce("fan_in", zero).alias("fan_in"))
 
 
-@register(
-    "missing_imports",
-    f"""WITH {_CALLS_SQL}, {_IMPORTS_SQL}, u AS (SELECT DISTINCT caller_file, callee_name AS name FROM calls),
-o AS (SELECT u.* FROM u WHERE NOT EXISTS (SELECT 1 FROM sy WHERE sy.file_path = u.caller_file AND sy.name = u.name)
-  AND NOT EXISTS (SELECT 1 FROM imp JOIN sy ON sy.file_path = imp.dst WHERE imp.src = u.caller_file AND sy.name = u.name)),
-c AS (SELECT DISTINCT o.caller_file, o.name, sy.file_path AS candidate FROM o JOIN sy ON sy.name = o.name)
-SELECT caller_file, name, candidate, CAST(CASE WHEN count(*) OVER (PARTITION BY caller_file, name) = 1 THEN 0.95 ELSE 0.7 END AS DOUBLE) AS confidence
-FROM c QUALIFY row_number() OVER (PARTITION BY caller_file, name ORDER BY candidate) <= 3""",
-)
-def missing_imports(spark, d):
-    s = A.symbols(spark, d).select("file_path", "name").distinct()
-    used = _calls(spark, d).select("caller_file", F.col("callee_name").alias("name")).distinct()
-    local = s.withColumnRenamed("file_path", "caller_file")
-    imported = _file_imports(spark, d).join(s, F.col("dst") == F.col("file_path")).select(F.col("src").alias("caller_file"), "name")
-    open_ = used.join(local.unionAll(imported), ["caller_file", "name"], "left_anti")
-    cand = open_.join(s.withColumnRenamed("file_path", "candidate"), "name")
-    each = Window.partitionBy("caller_file", "name")
-    rows = cand.withColumn("n", F.count(F.lit(1)).over(each)).withColumn("r", F.row_number().over(each.orderBy("candidate")))
-    return rows.where("r <= 3").select("caller_file", "name", "candidate", F.when(F.col("n") == 1, 0.95).otherwise(0.7).alias("confidence"))
-
-
 @register(
     "boundary_report",
     f"""WITH {E}, {_MOD}, x AS (SELECT a.module AS module, count(*) FILTER (b.module = a.module) AS inside, count(*) FILTER (b.module <> a.module) AS outgoing FROM e JOIN m a ON a.node = src JOIN m b ON b.node = dst GROUP BY 1)
@@ -403,21 +250,11 @@ def diff_aware_references(spark, d):
     )
 
 
-@register(
-    "move_symbol_plan",
-    f"""WITH sy AS ({A.SYMBOLS_SQL}), {_IMPORTS_SQL}, h AS (SELECT DISTINCT file_path FROM sy WHERE name = 'small_ring')
-SELECT file_path, 'remove' AS action FROM h UNION ALL SELECT 'src/rings.rs', 'insert' UNION ALL
-SELECT DISTINCT src, 'update_import' FROM imp JOIN h ON h.file_path = imp.dst""",
-)
-def move_symbol_plan(spark, d):
-    return edits.move(A.symbols(spark, d), _file_imports(spark, d), "small_ring", "src/rings.rs")
-
-
 # --- compositions ----------------------------------------------------------------------------------
 
 
 def _onboard_sql() -> str:
-    steps = _pagerank_sql().replace(f"WITH {E}, {N}", f"WITH RECURSIVE sy AS ({A.SYMBOLS_SQL}), e AS ({A.edges_sql(32)}), {N}", 1)
+    steps = _pagerank_sql().replace(f"WITH {E}, {N}", f"WITH RECURSIVE sy AS ({A.SYMBOLS_SQL}), e AS ({A.PACKAGE_EDGES_SQL}), {N}", 1)
     return steps + f""", t(a, b) AS (SELECT src, dst FROM e UNION SELECT t.a, e.dst FROM t JOIN e ON e.src = t.b),
 cy AS (SELECT a AS node, least(a, min(b)) AS component FROM (SELECT x.a, x.b FROM t x JOIN t y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b) GROUP BY a)
 SELECT * FROM (SELECT 'directory' AS section, regexp_extract(file_path, '^(.*/)', 1) AS item, CAST(count(*) AS VARCHAR) AS value FROM sy GROUP BY 2 ORDER BY count(*) DESC, 2 LIMIT 10)
@@ -427,61 +264,7 @@ UNION ALL SELECT * FROM (SELECT 'cycle', CAST(component AS VARCHAR), CAST(count(
 
 @register("onboard_project", _onboard_sql())
 def onboard_project(spark, d):
-    return reports.onboard(A.symbols(spark, d), A.edges(spark, d, 32))
-
-
-@register(
-    "dead_code_report",
-    f"""WITH {_CALLS_SQL}, dd AS (SELECT id, name, file_path FROM sy WHERE kind IN ('function', 'method') AND name NOT IN (SELECT callee_name FROM calls WHERE call_id % 2 = 0)),
-t AS (SELECT * FROM dd WHERE contains(file_path, 'brand1') ORDER BY file_path, name, id LIMIT 10), l AS (SELECT name, count(*) AS n FROM sy WHERE id NOT IN (SELECT id FROM dd) GROUP BY 1)
-SELECT id, t.name, file_path, coalesce(n, 0) AS similar_live FROM t LEFT JOIN l USING (name)""",
-)
-def dead_code_report(spark, d):
-    s = A.symbols(spark, d)
-    dead = graph.dead_symbols(s, _calls(spark, d).where("call_id % 2 = 0")).select("id", "name", "file_path")
-    return reports.dead_code_report(dead, s, "brand1")
-
-
-@register(
-    "change_readiness",
-    f"""WITH {_CALLS_SQL}, ch AS (SELECT DISTINCT name FROM sy WHERE line % 5 = 0), r AS (SELECT callee_name AS name, count(*) AS n FROM calls GROUP BY 1), t AS (SELECT DISTINCT callee_name AS name FROM calls WHERE caller_name LIKE 'small%')
-SELECT ch.name AS subject, CASE WHEN coalesce(r.n, 0) > 3 AND t.name IS NULL THEN 'blocked' WHEN coalesce(r.n, 0) > 3 OR t.name IS NULL THEN 'caution' ELSE 'ready' END AS status
-FROM ch LEFT JOIN r USING (name) LEFT JOIN t USING (name)""",
-)
-def change_readiness(spark, d):
-    calls = _calls(spark, d)
-    name = F.col("callee_name").alias("subject")
-    changed = A.symbols(spark, d).where("line % 5 = 0").select(F.col("name").alias("subject"))
-    return reports.readiness(calls.select(name), calls.where("caller_name LIKE 'small%'").select(name), changed)
-
-
-@register(
-    "unresolved_references",
-    f"""WITH {_CALLS_SQL}, u AS (SELECT callee_name AS name, count(*) AS uses FROM calls GROUP BY 1 UNION ALL SELECT 'ghost_fn', 1),
-d AS (SELECT name, count(*) AS n FROM sy GROUP BY 1)
-SELECT u.name, uses, coalesce(n, 0) AS exact, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS status FROM u LEFT JOIN d USING (name)""",
-)
-def unresolved_references(spark, d):
-    uses = _calls(spark, d).select(F.col("callee_name").alias("name")).unionAll(spark.createDataFrame([("ghost_fn",)], "name string"))
-    return reports.unresolved(uses, A.symbols(spark, d))
-
-
-@register(
-    "index_definitions",
-    f"""WITH {_CALLS_SQL}, o AS (SELECT DISTINCT caller_file AS file, callee_name AS symbol FROM calls)
-SELECT DISTINCT o.file, CAST(length(o.symbol) AS BIGINT) AS line, o.symbol, sy.file_path AS def_file, sy.line AS def_line FROM o JOIN sy ON sy.name = o.symbol WHERE o.file = 'src/brand1/small.rs'""",
-)
-def index_definitions(spark, d):
-    s = A.symbols(spark, d)
-    uses = _calls(spark, d).select(F.col("caller_file").alias("file"), F.col("callee_name").alias("symbol")).distinct()
-    uses = uses.where("file = 'src/brand1/small.rs'").withColumn("line", F.length("symbol").cast("long"))
-    occ = uses.withColumn("role", F.lit("reference")).unionByName(
-        s.select(F.col("file_path").alias("file"), F.col("name").alias("symbol"), F.col("line"), F.lit("definition").alias("role"))
-    )
-    at = occ.where("role = 'reference'")
-    return reports.occurrences_at(occ, at.select("file", "line").distinct()).join(at.select("file", "line", "symbol"), ["file", "line", "symbol"]).select(
-        "file", "line", "symbol", "def_file", "def_line"
-    ).distinct()
+    return reports.onboard(A.symbols(spark, d), A.package_edges(spark, d))
 
 
 @register(
@@ -495,10 +278,14 @@ def analysis_artifacts(spark, d):
     return reports.artifacts(rows, 1705000000000999, 21600000000, 50).select("id", "value")
 
 
+_MANIFEST = "CASE p_size % 5 WHEN 0 THEN 'Cargo.toml' WHEN 1 THEN 'package.json' WHEN 2 THEN 'pyproject.toml' WHEN 3 THEN 'go.mod' ELSE 'notes.txt' END"
+
+
 @register(
     "workspace_packages",
-    "SELECT * FROM (VALUES ('crates/a/', 'rust'), ('web/', 'javascript'), ('.', 'python')) t(root, kind)",
+    """SELECT CASE WHEN p_partkey = 0 THEN '.' ELSE concat('p', CAST(p_partkey AS VARCHAR), '/') END AS root,
+  CASE p_size % 5 WHEN 0 THEN 'rust' WHEN 1 THEN 'javascript' WHEN 2 THEN 'python' ELSE 'go' END AS kind FROM part WHERE p_size % 5 <> 4""",
 )
 def workspace_packages(spark, d):
-    paths = ["crates/a/Cargo.toml", "crates/a/src/lib.rs", "web/package.json", "pyproject.toml", "web/x/y.ts"]
-    return reports.workspaces(spark.createDataFrame([(p,) for p in paths], "relative_path string"))
+    folder = F.when(F.col("p_partkey") == 0, "").otherwise(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit("/")))
+    return reports.workspaces(A.table(spark, d, "part").select(F.concat(folder, F.expr(_MANIFEST)).alias("relative_path")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry import adapters as A
 from quarry.functions import text as T
-from quarry.operators import edits, fuzzy, lookup, telemetry
+from quarry.operators import calls, edits, evaluation, fuzzy, lookup, modules, notebook, telemetry, vector
 from quarry.registry import register
 from quarry.streaming import ingest
 
@@ -145,105 +145,107 @@ def grep_context(spark, d):
 
 @register(
     "smart_grep_enclosing",
-    f"""WITH {FI}, l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM fi),
-p AS (SELECT id * 100000 + n AS point_id, CAST(id AS VARCHAR) AS f, n FROM l WHERE contains(line, 'tion the')),
-s AS (SELECT CAST(doc_id AS VARCHAR) AS f, k AS span_id, (k - 1) * 3 + 1 AS a, (k - 1) * 3 + 4 AS b FROM documents, (SELECT unnest(range(1, 41)) AS k))
-SELECT point_id, span_id FROM p LEFT JOIN s ON s.f = p.f AND n BETWEEN a AND b QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY b - a, a, span_id) = 1""",
+    f"""WITH fa AS ({A.FACTS_SQL}), l AS (SELECT id, unnest([4, 9]) AS line_no, ext, p_partkey FROM fa)
+SELECT id, CAST(line_no AS BIGINT) AS line_no, CASE line_no WHEN 4 THEN id * 10 + 1 ELSE id * 10 + 3 END AS span_id FROM l WHERE line_no = 4 OR (p_partkey % 3 = 0 AND ext <> 'go')""",
 )
 def smart_grep_enclosing(spark, d):
-    f = A.files(spark, d)
-    hits = lookup.lines(f).where(F.contains("line", F.lit("tion the")))
-    points = hits.select(
-        (F.col("id") * 100000 + F.col("line_no")).alias("point_id"), F.col("id").cast("string").alias("file_path"), F.col("line_no").alias("at")
-    )
-    k = F.explode(F.sequence(F.lit(1), F.lit(40))).alias("span_id")
-    spans = f.select(F.col("id").cast("string").alias("file_path"), k).select(
-        "file_path", F.col("span_id").cast("long").alias("span_id"), ((F.col("span_id") - 1) * 3 + 1).alias("start"), ((F.col("span_id") - 1) * 3 + 4).alias("stop")
-    )
-    return lookup.enclosing(points, spans).select("point_id", "span_id")
+    """Lines that say check or helper, each with the smallest of its file's three spans: all of it, a function, a wrapper."""
+    f = A.sources(spark, d)
+    hits = lookup.lines(f).where(F.col("line").rlike(": check |helper_"))
+    points = hits.select((F.col("id") * 100 + F.col("line_no")).alias("point_id"), F.col("id").alias("file_path"), F.col("line_no").alias("at"), "line_no")
+    span = lambda i, a, b: f.select(F.col("id").alias("file_path"), (F.col("id") * 10 + i).alias("span_id"), F.lit(a).alias("start"), F.lit(b).alias("stop"))
+    found = lookup.enclosing(points, span(1, 1, 10).unionAll(span(2, 6, 8)).unionAll(span(3, 9, 9)))
+    return found.select(F.col("file_path").alias("id"), "line_no", "span_id")
+
+
+_STRINGS = lookup.QUOTED.replace("'", "''")
 
 
 @register(
     "word_matches",
-    f"""WITH {FI}, l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM fi)
-SELECT id, line_no, CAST(len(regexp_extract_all(regexp_replace(line, '(//|#).*$', ''), '\\bthe\\b')) AS BIGINT) AS matches FROM l WHERE len(regexp_extract_all(regexp_replace(line, '(//|#).*$', ''), '\\bthe\\b')) > 0""",
+    f"""WITH {FI}, l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM fi),
+c AS (SELECT id, line_no, regexp_split_to_array(regexp_replace(regexp_replace(line, '{_STRINGS}', '""', 'g'), '(//|#).*$', ''), '[^0-9A-Za-z_]+') AS w FROM l)
+SELECT id, line_no, CAST(len(list_filter(w, lambda x: x = 'the')) AS BIGINT) AS matches FROM c WHERE list_contains(w, 'the')""",
 )
 def word_matches(spark, d):
     return lookup.word_matches(A.files(spark, d), "the")
 
 
-_SNIPPETS = [
-    (1, "fn a() {\n  // TODO: tidy  \n  // FIXME and NOTE both\n}\n", "src/a.rs"),
-    (2, "def test_x():\n    return run(y)\nmod ghost;\nmod tests;\n", "src/b.rs"),
-    (3, "fn f(x: i32) -> i32 { self.g(x) }\nuse crate::a::b;\nif a && b || c { while d {} }\n", "src/ghosts/c.rs"),
-    (4, "import os\nfrom a.b import c\nimport a.b\n# HACK\n", "pkg/m.py"),
-    (5, "", "src/a/b.rs"),
-    (6, "x = 1\n", "a/b.py"),
-]
-
-
-def _snippets(spark):
-    return spark.createDataFrame(_SNIPPETS, "id long, content string, relative_path string")
-
-
-_SNIP_SQL = "sn AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, '{c}', '{p}')".replace("\n", "' || chr(10) || '") for i, c, p in _SNIPPETS
-) + ") s(id, content, relative_path))"
-_LINES = "l AS (SELECT CAST(id AS BIGINT) AS id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM sn)"
+SO = f"so AS ({A.SOURCES_SQL})"
+FA = f"fa AS ({A.FACTS_SQL})"
 
 
 @register(
     "find_annotations",
-    f"""WITH {_SNIP_SQL}, {_LINES}, t AS (SELECT unnest(['TODO', 'FIXME', 'HACK', 'DEPRECATED', 'XXX', 'NOTE']) AS tag)
-SELECT id, line_no, tag, trim(regexp_extract(line, concat('\\b', tag, '\\b[:\\s]*(.*)$'), 1), ' ') AS message FROM l, t WHERE regexp_matches(line, concat('\\b', tag, '\\b'))""",
+    f"WITH {FA} SELECT id, CAST(4 AS BIGINT) AS line_no, tag, concat('check ', CAST(p_size AS VARCHAR)) AS message FROM fa WHERE tag <> 'plain'",
 )
 def find_annotations(spark, d):
-    return lookup.annotations(_snippets(spark))
+    return lookup.annotations(A.sources(spark, d))
 
 
 @register(
     "find_tests",
-    f"WITH {_SNIP_SQL}, {_LINES} SELECT id, line_no, line FROM l WHERE regexp_matches(line, '^\\s*(def test_|fn test_|#\\[test\\]|it\\(|describe\\(|func Test)')",
+    f"""WITH {FA} SELECT id, CAST(CASE ext WHEN 'rs' THEN 5 ELSE 6 END AS BIGINT) AS line_no, CASE ext WHEN 'rs' THEN '#[test]' WHEN 'ts' THEN 'it("works", () => {{'
+  WHEN 'py' THEN concat('def test_', CAST(p_size AS VARCHAR), '(x):') ELSE concat('func Test', CAST(p_size AS VARCHAR), '() {{') END AS line FROM fa WHERE p_partkey % 7 = 0""",
 )
 def find_tests(spark, d):
-    rows = lookup.lines(_snippets(spark))
-    return rows.where(F.col("line").rlike(r"^\s*(def test_|fn test_|#\[test\]|it\(|describe\(|func Test)")).select("id", "line_no", "line")
+    return lookup.find_tests(A.sources(spark, d))
 
 
 @register(
     "branch_complexity",
-    f"""WITH {_SNIP_SQL} SELECT CAST(id AS BIGINT) AS id, CAST(1 + len(regexp_extract_all(content, '\\b(if|elif|for|while|catch|except|case|and|or)\\b')) + len(regexp_extract_all(content, '&&|\\|\\|')) AS BIGINT) AS complexity FROM sn""",
+    f"WITH {FA} SELECT id, CAST(1 + 2 * (p_size % 4) AS BIGINT) AS complexity FROM fa",
 )
 def branch_complexity(spark, d):
-    return lookup.complexity(_snippets(spark))
+    return lookup.complexity(A.sources(spark, d))
 
 
-@register("redundant_wrappers", f"WITH {_SNIP_SQL} SELECT CAST(3 AS BIGINT) AS id, 'f' AS name, 'g' AS target FROM sn WHERE id = 3")
-def redundant_wrappers(spark, d):
-    return lookup.redundant_wrappers(_snippets(spark))
+@register(
+    "symbol_complexity",
+    f"""WITH {FA} SELECT id, CAST(1 AS BIGINT) AS span_id, CAST(1 + 2 * (p_size % 4) AS BIGINT) AS complexity FROM fa UNION ALL SELECT id, 2, 1 FROM fa""",
+)
+def symbol_complexity(spark, d):
+    f = A.sources(spark, d)
+    span = lambda i, a, b: f.select("id", F.lit(i).cast("long").alias("span_id"), F.lit(a).alias("start"), F.lit(b).alias("stop"))
+    return lookup.complexity(f, span(1, 6, 8).unionAll(span(2, 9, 9)))
 
 
 @register(
-    "phantom_modules",
-    f"""WITH {_SNIP_SQL}, m AS (SELECT unnest(regexp_extract_all(content, '(?m)^\\s*(?:pub(?:\\([^)]*\\))?\\s+)?mod\\s+(\\w+)\\s*;', 1)) AS module, relative_path FROM sn),
-s AS (SELECT DISTINCT unnest(string_split(regexp_replace(relative_path, '\\.[^./]*$', ''), '/')) AS module FROM sn)
-SELECT module, relative_path FROM m WHERE NOT regexp_matches(module, '^tests?$|_tests?$') AND module NOT IN (SELECT module FROM s)""",
+    "redundant_wrappers",
+    f"""WITH {FA} SELECT id, CAST(9 AS BIGINT) AS line_no, n AS name, concat('helper_', CAST(p_size AS VARCHAR)) AS target FROM fa
+WHERE p_partkey % 3 = 0 AND ext <> 'go' AND NOT starts_with(relative_path, 'tests/')""",
 )
+def redundant_wrappers(spark, d):
+    return lookup.redundant_wrappers(A.sources(spark, d))
+
+
+@register("phantom_modules", f"WITH {FA} SELECT n AS module, relative_path FROM fa WHERE ext = 'rs'")
 def phantom_modules(spark, d):
-    return lookup.phantom_modules(_snippets(spark))
+    return lookup.phantom_modules(A.sources(spark, d))
 
 
 @register(
     "import_extraction",
-    f"""WITH {_SNIP_SQL}, p AS (SELECT id, unnest(list_distinct(list_filter(list_concat(regexp_extract_all(content, '(?m)^\\s*(?:from\\s+([\\w.]+)\\s+import|import\\s+([\\w.]+))', 1),
-  regexp_extract_all(content, '(?m)^\\s*(?:from\\s+([\\w.]+)\\s+import|import\\s+([\\w.]+))', 2)), lambda x: x <> ''))) AS raw_import FROM sn WHERE ends_with(relative_path, '.py')),
-r AS (SELECT p.*, replace(raw_import, '.', '/') AS stem FROM p)
-SELECT CAST(r.id AS BIGINT) AS id, raw_import, min(sn.relative_path) AS target FROM r LEFT JOIN sn ON sn.relative_path = concat(stem, '.py') GROUP BY 1, 2""",
+    f"""WITH {FA}, i AS (
+  SELECT id, unnest([n, 'tools', concat('crate::', b, '::', n), concat('crate::', b, '::other'), 'std::fmt']) AS raw_import FROM fa WHERE ext = 'rs'
+  UNION ALL SELECT id, unnest([concat('./', n, '_', CAST(id AS VARCHAR)), 'side-effect', '@/lib/x', '../all']) FROM fa WHERE ext = 'ts'
+  UNION ALL SELECT id, unnest(['os', concat(b, '.', n), concat('.', n, '_', CAST(id AS VARCHAR)), '..up']) FROM fa WHERE ext = 'py'
+  UNION ALL SELECT id, unnest([concat('example.com/', b, '/', n), 'fmt']) FROM fa WHERE ext = 'go')
+SELECT i.id, raw_import, CASE WHEN ends_with(raw_import, concat(n, '_', CAST(fa.id AS VARCHAR))) THEN relative_path END AS target FROM i JOIN fa ON fa.id = i.id""",
 )
 def import_extraction(spark, d):
-    files = _snippets(spark)
-    found = lookup.extract_imports(files.where(F.col("relative_path").endswith(".py")), "python")
-    return lookup.resolve_imports(found, files, "python")
+    files = A.sources(spark, d)
+    return modules.resolve(modules.extract(files), files).select("id", "raw_import", "target")
+
+
+@register(
+    "module_bindings",
+    f"""WITH {FA} SELECT relative_path AS file, 'one' AS local, n AS imported, relative_path AS target, false AS external FROM fa WHERE ext = 'ts'
+UNION ALL SELECT relative_path, 'two', 'two', relative_path, false FROM fa WHERE ext = 'ts' UNION ALL SELECT relative_path, '*', '*', NULL, false FROM fa WHERE ext = 'ts'""",
+)
+def module_bindings(spark, d):
+    files = A.sources(spark, d)
+    return calls.bind(calls.module_clauses(files), modules.resolve(modules.extract(files), files))
 
 
 @register(
@@ -251,7 +253,8 @@ def import_extraction(spark, d):
     """SELECT page_id AS id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1))) AS raw_import FROM pages""",
 )
 def page_links(spark, d):
-    return lookup.extract_imports(A.table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("content")), "html")
+    pages = A.table(spark, d, "pages").select(F.col("page_id").alias("id"), F.lit("page.html").alias("relative_path"), F.col("html").alias("content"))
+    return modules.extract(pages).select("id", "raw_import")
 
 
 @register(
@@ -266,47 +269,48 @@ def co_target_pages(spark, d):
 
 @register(
     "symbol_properties",
-    f"""WITH {SY} SELECT id, 'rust' AS language, replace(regexp_replace(regexp_replace(file_path, '\\.[^.]*$', ''), '^.*?/src/', ''), '/', '::') AS module_path,
-  false AS is_test, false AS is_generated, kind IN ('interface', 'enum') AS exported FROM sy""",
+    f"""WITH {FA} SELECT id, CASE ext WHEN 'rs' THEN 'rust' WHEN 'ts' THEN 'typescript' WHEN 'py' THEN 'python' ELSE 'go' END AS language,
+  replace(replace(replace(replace(relative_path, concat('.', ext), ''), 'my-cli/src/', ''), 'core/src/', ''), 'web/src/', '').replace('/', '::') AS module_path,
+  starts_with(relative_path, 'tests/') AS is_test, starts_with(relative_path, 'gen/') AS is_generated, ext = 'rs' AND p_partkey % 3 = 0 AS exported FROM fa""",
 )
 def symbol_properties(spark, d):
-    return lookup.described(A.symbols(spark, d))
-
-
-_PATHS = ["src/ui/a.rs", "x/tests/a.rs", "benchmarks/b.py", "my-cli/src/main.rs", "crates/core/src/tools/t.rs", "a/src/dispatch/d.rs", "lib/x.rs", "k_mcp/src/x.rs", "a/protocol.rs"]
-_ROLES = ["surface", "test", "benchmark", "surface", "tool", "infrastructure", "core", "infrastructure", "infrastructure"]
+    wrapper = F.split("content", "\n")[8]
+    s = A.sources(spark, d).select("id", F.col("relative_path").alias("file_path"), wrapper.alias("signature"), F.lit("function").alias("kind"))
+    return lookup.described(s)
 
 
 @register(
     "path_provenance",
-    "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{r}')" for p, r in zip(_PATHS, _ROLES, strict=True)) + ") t(path, role)",
+    f"""WITH {FA} SELECT id, CASE split_part(relative_path, '/', 1) WHEN 'benchmarks' THEN 'benchmark' WHEN 'my-cli' THEN 'surface'
+  ELSE CASE WHEN contains(relative_path, '/src/tools/') THEN 'tool' ELSE 'core' END END AS role FROM fa""",
 )
 def path_provenance(spark, d):
-    return spark.createDataFrame([(p,) for p in _PATHS], "path string").select("path", T.provenance(F.col("path")).alias("role"))
+    return A.sources(spark, d).select("id", T.provenance(F.col("relative_path")).alias("role"))
 
 
 @register(
     "identifier_functions",
-    f"""WITH {SY} SELECT id, trim(replace(name, '_', ' ')) AS words, array_to_string(list_distinct(regexp_extract_all(lower(signature), '[a-z0-9_]{{2,}}')), ' ') IS NOT NULL AS has_tokens,
+    f"""WITH {SY} SELECT id, trim(replace(name, '_', ' ')) AS words, concat('fn ', name, ' ', split_part(replace(file_path, '.rs', ''), '/', 3)) AS tokens,
   regexp_matches(lower(name), '(^|[^0-9a-z])ring([^0-9a-z]|$)') AS has_ring, sha256(name_path) AS hash FROM sy""",
 )
 def identifier_functions(spark, d):
     return A.symbols(spark, d).select(
-        "id", T.split_identifier(F.col("name")).alias("words"), T.lexical_tokens(F.col("signature")).isNotNull().alias("has_tokens"),
+        "id", T.split_identifier(F.col("name")).alias("words"), T.lexical_tokens(F.col("signature")).alias("tokens"),
         T.has_word(F.col("name"), F.lit("ring")).alias("has_ring"), F.sha2("name_path", 256).alias("hash"),
     )
 
 
+_ROLES = """CASE p_size % 6 WHEN 0 THEN 'ci.yml' WHEN 1 THEN 'src/lib.rs' WHEN 2 THEN 'a/user_handler.rs' WHEN 3 THEN 'a/tests/x.rs' WHEN 4 THEN 'a/handler_map.rs' ELSE 'web/package.json' END"""
+
+
 @register(
     "duplicate_thresholds",
-    f"""WITH {SY}, a AS (SELECT id, file_path AS p, CASE WHEN id % 2 = 0 THEN 'ci.yml' ELSE 'src/lib.rs' END AS o FROM sy)
-SELECT id, CAST(CASE WHEN o = 'ci.yml' THEN 0.95 ELSE 0.85 END AS DOUBLE) AS threshold, CAST(CASE WHEN o = 'src/lib.rs' THEN 0.15 ELSE 0.0 END AS DOUBLE) AS boost FROM a""",
+    """SELECT CAST(p_partkey AS BIGINT) AS id, CAST(CASE WHEN p_size % 6 IN (0, 5) THEN 0.95 ELSE 0.85 END AS DOUBLE) AS threshold,
+  CAST(CASE p_size % 6 WHEN 1 THEN 0.15 WHEN 2 THEN 0.10 WHEN 3 THEN 0.15 ELSE 0.0 END AS DOUBLE) AS boost FROM part""",
 )
 def duplicate_thresholds(spark, d):
-    other = F.when(F.col("id") % 2 == 0, "ci.yml").otherwise("src/lib.rs")
-    return A.symbols(spark, d).select(
-        "id", T.duplicate_threshold(0.85, F.col("file_path"), other).alias("threshold"), T.role_boost(other).alias("boost")
-    )
+    p = A.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), F.expr(_ROLES).alias("other"))
+    return p.select("id", T.duplicate_threshold(0.85, F.lit("src/a.rs"), F.col("other")).alias("threshold"), T.role_boost(F.col("other")).alias("boost"))
 
 
 @register(
@@ -325,11 +329,17 @@ def confidence_cards(spark, d):
 
 @register(
     "byte_offsets",
-    "SELECT doc_id, decode(encode(text)[3:6]) IS NOT NULL AS ok, CAST(strlen(text) AS BIGINT) AS bytes FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')",
+    """SELECT doc_id, hex(encode(text)[3:6]) AS bytes_2_to_6, CAST(strlen(text) AS BIGINT) AS bytes,
+  CAST(1 + len(list_filter(range(1, CAST(strlen(text) // 2 + 1 AS BIGINT)), lambda i: encode(text)[i:i] = '\\x0A'::BLOB)) AS BIGINT) AS middle_line
+FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""",
 )
 def byte_offsets(spark, d):
-    t = A.table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return t.select("doc_id", T.byte_slice(F.col("text"), F.lit(2), F.lit(6)).isNotNull().alias("ok"), F.octet_length("text").cast("long").alias("bytes"))
+    t = A.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    half = F.floor(F.octet_length("text") / 2).cast("int")
+    return t.select(
+        "doc_id", F.hex(F.substring(F.col("text").cast("binary"), 3, 4)).alias("bytes_2_to_6"),
+        F.octet_length("text").cast("long").alias("bytes"), T.byte_line(F.col("text"), half).cast("long").alias("middle_line"),
+    )
 
 
 @register(
@@ -347,13 +357,14 @@ def content_hash_groups(spark, d):
 
 @register(
     "changed_files",
-    """WITH u AS (SELECT l_suppkey AS file, l_returnflag AS status, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS p FROM lineitem WHERE l_linenumber = 1)
+    """WITH u AS (SELECT l_suppkey * 100 + l_partkey % 100 AS file, l_returnflag AS status, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS p FROM lineitem)
 SELECT file, min_by(status, p) AS status FROM u GROUP BY file""",
 )
 def changed_files(spark, d):
     p = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    rows = A.table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("file"), F.col("l_returnflag").alias("status"), p.alias("p"))
-    return lookup.first_wins(rows.distinct(), "file", "p").select("file", "status")
+    file = (F.col("l_suppkey") * 100 + F.col("l_partkey") % 100).alias("file")
+    rows = A.table(spark, d, "lineitem").select(file, F.col("l_returnflag").alias("status"), p.alias("p"))
+    return lookup.first_wins(rows, "file", "p").select("file", "status")
 
 
 @register(
@@ -371,54 +382,79 @@ def diff_symbols(spark, d):
     )
 
 
+# Two states of a table: what was ordered up to a day, and all there is, returned lines counting as changed.
+_STATES = """o AS (SELECT l_partkey AS key, count(*) AS hash FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-03-01' GROUP BY 1),
+n AS (SELECT p_partkey AS key, coalesce(c, 0) AS hash FROM part LEFT JOIN (SELECT l_partkey, count(*) AS c FROM lineitem
+  WHERE l_shipdate < TIMESTAMP '1995-03-01' OR l_shipdate >= TIMESTAMP '2001-10-01' GROUP BY 1) ON l_partkey = p_partkey WHERE p_size > 5)"""
+
+
+def _states(spark, d):
+    lines = A.table(spark, d, "lineitem")
+    early = F.col("l_shipdate") < F.lit("1995-03-01").cast("timestamp")
+    late = F.col("l_shipdate") >= F.lit("2001-10-01").cast("timestamp")
+    count = lambda when: lines.where(when).groupBy(F.col("l_partkey").alias("key")).agg(F.count(F.lit(1)).alias("hash"))
+    parts = A.table(spark, d, "part").where("p_size > 5").select(F.col("p_partkey").alias("key"))
+    return count(early), parts.join(count(early | late), "key", "left").select("key", F.coalesce("hash", F.lit(0)).cast("long").alias("hash"))
+
+
+@register("upsert_files", f"WITH {_STATES} SELECT key, hash FROM n UNION ALL SELECT key, hash FROM o WHERE key NOT IN (SELECT key FROM n)")
+def upsert_files(spark, d):
+    return lookup.upsert(*_states(spark, d), "key")
+
+
 @register(
-    "upsert_files",
-    """WITH o AS (SELECT p_name AS key, max(p_size) AS v FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), n AS (SELECT p_name AS key, max(p_size) + 100 AS v FROM part WHERE p_partkey % 7 = 0 GROUP BY 1)
-SELECT key, CAST(v AS BIGINT) AS v FROM n UNION ALL SELECT key, CAST(v AS BIGINT) FROM o WHERE key NOT IN (SELECT key FROM n)""",
+    "upsert_cascade",
+    f"""WITH {_STATES}, gone AS (SELECT o.key FROM o LEFT JOIN n USING (key) WHERE n.key IS NULL OR n.hash <> o.hash),
+c AS (SELECT l_orderkey, l_linenumber, l_partkey AS key FROM lineitem)
+SELECT key, count(*) AS children FROM c WHERE key NOT IN (SELECT key FROM gone) GROUP BY 1""",
 )
-def upsert_files(spark, d):
-    # residues say which state of the table a row belongs to
-    p = A.table(spark, d, "part")
-    state = lambda m, add: p.where(f"p_partkey % {m} = 0").groupBy(F.col("p_name").alias("key")).agg((F.max("p_size") + add).cast("long").alias("v"))
-    return lookup.upsert(state(2, 0), state(7, 100), "key")
+def upsert_cascade(spark, d):
+    old, new = _states(spark, d)
+    children = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("key"))
+    return lookup.keep_children(children, old, new, "key", "hash").groupBy("key").agg(F.count(F.lit(1)).alias("children"))
 
 
 @register(
     "index_coverage",
-    """WITH w AS (SELECT DISTINCT p_name || p_brand AS key, length(p_name) AS h FROM part WHERE p_partkey % 3 <> 0),
-i AS (SELECT p_name || p_brand AS key, length(p_name) + CASE WHEN p_brand = 'Brand#2' THEN 1 ELSE 0 END AS h FROM part WHERE p_partkey % 4 <> 0 GROUP BY ALL),
-c AS (SELECT count(*) FILTER (w.h = i.h) AS ready, count(*) FILTER (w.h <> i.h) AS stale, count(*) FILTER (i.key IS NULL) AS missing, count(*) FILTER (w.key IS NULL) AS extra FROM w FULL JOIN i ON w.key = i.key)
+    f"""WITH {_STATES}, c AS (SELECT count(*) FILTER (n.hash = o.hash) AS ready, count(*) FILTER (n.hash <> o.hash) AS stale, count(*) FILTER (o.key IS NULL) AS missing,
+  count(*) FILTER (n.key IS NULL) AS extra FROM n FULL JOIN o ON n.key = o.key)
 SELECT ready, stale, missing, extra, CAST(CASE WHEN ready + stale + missing > 0 THEN floor(ready * 100 / (ready + stale + missing)) ELSE 0 END AS BIGINT) AS percent FROM c""",
 )
 def index_coverage(spark, d):
-    p = A.table(spark, d, "part")
-    key = F.concat("p_name", "p_brand").alias("key")
-    want = p.where("p_partkey % 3 <> 0").select(key, F.length("p_name").alias("hash")).distinct()
-    stale = F.when(F.col("p_brand") == "Brand#2", 1).otherwise(0)
-    have = p.where("p_partkey % 4 <> 0").select(key, (F.length("p_name") + stale).alias("hash")).distinct()
-    return lookup.coverage(have, want)
+    return lookup.coverage(*_states(spark, d))
+
+
+_FAILED = """f AS (SELECT user_id AS file, max(ts) FILTER (event_type = 'error') AS failed_at, count(*) FILTER (event_type = 'error') AS retries,
+  max(ts) FILTER (event_type = 'purchase') AS cleared_at FROM events GROUP BY 1), g AS (SELECT * FROM f WHERE retries > 0 AND (cleared_at IS NULL OR cleared_at < failed_at))"""
+
+
+def _failures(spark, d):
+    """A failure per error event, cleared by a later purchase of the same user."""
+    rows = A.table(spark, d, "events").select(F.col("user_id").alias("file"), "ts", (F.col("event_type") == "error").alias("failed"), (F.col("event_type") == "purchase").alias("done"))
+    return lookup.failures(rows)
 
 
 @register(
-    "failure_summary",
-    """WITH f AS (SELECT user_id AS file, max(ts) AS failed_at, count(*) AS retries FROM events WHERE event_type = 'error' GROUP BY 1)
-SELECT count(*) AS total, count(*) FILTER (failed_at >= TIMESTAMP '2024-01-20') AS recent, count(*) FILTER (retries >= 3) AS persistent, count(*) FILTER (failed_at < TIMESTAMP '2024-01-20' AND retries < 3) AS stale FROM f""",
+    "failure_log",
+    f"WITH {_FAILED} SELECT file, failed_at, retries FROM g",
 )
-def failure_summary(spark, d):
-    f = A.table(spark, d, "events").where("event_type = 'error'").groupBy("user_id").agg(F.max("ts").alias("at"), F.count(F.lit(1)).alias("n"))
-    recent, often = F.col("at") >= F.lit("2024-01-20").cast("timestamp"), F.col("n") >= 3
-    return f.agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(recent).alias("recent"), F.count_if(often).alias("persistent"), F.count_if(~recent & ~often).alias("stale")
-    )
+def failure_log(spark, d):
+    return _failures(spark, d)
 
 
 @register(
-    "prune_failures",
-    "SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND user_id IN (SELECT c_custkey FROM customer)",
+    "failure_summary",
+    f"""WITH {_FAILED} SELECT count(*) AS total, count(*) FILTER (failed_at >= TIMESTAMP '2024-01-20') AS recent, count(*) FILTER (retries >= 3) AS persistent,
+  count(*) FILTER (failed_at < TIMESTAMP '2024-01-20' AND retries < 3) AS stale FROM g""",
 )
+def failure_summary(spark, d):
+    return lookup.failure_summary(_failures(spark, d), F.lit("2024-01-20").cast("timestamp"))
+
+
+@register("prune_failures", f"WITH {_FAILED} SELECT file FROM g WHERE file IN (SELECT c_custkey FROM customer)")
 def prune_failures(spark, d):
-    known = A.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
-    return A.table(spark, d, "events").where("event_type = 'error'").select("user_id").distinct().join(known, "user_id", "left_semi")
+    known = A.table(spark, d, "customer").select(F.col("c_custkey").alias("file"))
+    return _failures(spark, d).join(known, "file", "left_semi").select("file")
 
 
 @register(
@@ -435,15 +471,12 @@ def federated_symbols(spark, d):
 
 @register(
     "surface_consistency",
-    "WITH a AS (SELECT DISTINCT p_name AS t FROM part WHERE p_size < 20), b AS (SELECT DISTINCT p_name AS t FROM part WHERE p_size > 40) "
-    "SELECT 'only_defined' AS side, t FROM a WHERE t NOT IN (SELECT t FROM b) UNION ALL SELECT 'only_dispatched', t FROM b WHERE t NOT IN (SELECT t FROM a)",
+    "WITH a AS (SELECT DISTINCT concat(p_name, ' ', CAST(p_size AS VARCHAR)) AS t FROM part WHERE p_brand < 'Brand#2'), b AS (SELECT DISTINCT concat(p_name, ' ', CAST(p_size AS VARCHAR)) AS t FROM part WHERE p_brand >= 'Brand#2') "
+    "SELECT 'only_defined' AS side, t AS name FROM a WHERE t NOT IN (SELECT t FROM b) UNION ALL SELECT 'only_dispatched', t FROM b WHERE t NOT IN (SELECT t FROM a)",
 )
 def surface_consistency(spark, d):
-    p = A.table(spark, d, "part").select(F.col("p_name").alias("t"), "p_size")
-    a, b = p.where("p_size < 20").select("t").distinct(), p.where("p_size > 40").select("t").distinct()
-    return a.join(b, "t", "left_anti").select(F.lit("only_defined").alias("side"), "t").unionAll(
-        b.join(a, "t", "left_anti").select(F.lit("only_dispatched").alias("side"), "t")
-    )
+    p = A.table(spark, d, "part").select(F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("name"), "p_brand")
+    return lookup.one_sided(p.where("p_brand < 'Brand#2'"), p.where("p_brand >= 'Brand#2'"), "name")
 
 
 @register(
@@ -640,11 +673,11 @@ def session_windows(spark, d):
 
 @register(
     "memory_staleness",
-    "SELECT user_id, CAST(date_diff('second', max(ts), TIMESTAMP '2024-03-01') > 14 * 86400 AS BOOLEAN) AS stale FROM events GROUP BY 1",
+    "SELECT user_id AS note, CAST(date_diff('second', max(ts), TIMESTAMP '2024-03-01') > 14 * 86400 AS BOOLEAN) AS stale FROM events GROUP BY 1",
 )
 def memory_staleness(spark, d):
-    age = F.unix_timestamp(F.lit("2024-03-01 00:00:00")) - F.unix_timestamp(F.max("ts"))
-    return A.table(spark, d, "events").groupBy("user_id").agg((age > 14 * 86400).alias("stale"))
+    notes = A.table(spark, d, "events").groupBy(F.col("user_id").alias("note")).agg(F.max("ts").alias("updated_at"))
+    return notebook.listed(notes, F.lit("2024-03-01").cast("timestamp")).select("note", "stale")
 
 
 @register(
@@ -658,12 +691,12 @@ def audit_log_query(spark, d):
 
 @register(
     "timeline_export",
-    "SELECT conv_id, string_agg(concat(CAST(turn AS VARCHAR), ' ', role), '; ' ORDER BY turn) AS timeline FROM conversations WHERE turn < 200 GROUP BY 1",
+    """WITH r AS (SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 200)
+SELECT conv_id, string_agg(concat(CAST(turn AS VARCHAR), ' ', role), '; ' ORDER BY turn) AS timeline FROM r GROUP BY 1""",
 )
 def timeline_export(spark, d):
-    rows = A.table(spark, d, "conversations").where("turn < 200")  # the ring of a session's last calls
-    entry = F.struct("turn", F.concat(F.col("turn").cast("string"), F.lit(" "), "role").alias("t"))
-    return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["t"]), "; ").alias("timeline"))
+    rows = A.table(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("at"), F.col("role").alias("tool"))
+    return telemetry.timeline(rows, 200).select(F.col("session").alias("conv_id"), "timeline")
 
 
 @register(
@@ -672,38 +705,47 @@ def timeline_export(spark, d):
 SELECT "group", round(avg(ms), 4) AS avg_ms, max(CASE WHEN i = greatest(ceil(n * 0.95), 1) THEN ms END) AS p95_ms FROM r GROUP BY 1""",
 )
 def latency_percentiles(spark, d):
-    from quarry.operators import evaluation
-
     return evaluation.latency(A.tool_calls(spark, d).select(F.col("tool").alias("group"), F.col("elapsed_ms").alias("ms")))
 
 
+_FILE_A = "CASE p_size % 3 WHEN 0 THEN 'ci.yml' WHEN 1 THEN 'src/a.rs' ELSE 'src/b.rs' END AS file_a"
+_FILE_B = "CASE p_partkey % 4 WHEN 0 THEN 'x.json' WHEN 1 THEN 'src/a.rs' ELSE 'src/c.rs' END AS file_b"
+_NAME_A, _NAME_B = "CASE p_partkey % 5 WHEN 0 THEN 'env' ELSE p_type END AS name_a", "CASE p_size % 2 WHEN 0 THEN 'steps' ELSE p_type END AS name_b"
+_KIND_A, _KIND_B = "CASE p_partkey % 3 WHEN 0 THEN 'variable' ELSE 'function' END AS kind_a", "CASE p_size % 5 WHEN 0 THEN 'function' ELSE 'field' END AS kind_b"
+
+
 @register(
     "duplicate_noise_filters",
-    """WITH p AS (SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 'ci.yml' ELSE 'src/a.rs' END AS fa, CASE WHEN p_size % 5 = 0 THEN 'x.json' ELSE 'src/b.rs' END AS fb, p_size % 10 / 10.0 AS jac FROM part),
-r AS (SELECT CASE WHEN fa = 'ci.yml' AND fb = 'x.json' THEN 'config_config' WHEN fa = 'ci.yml' OR fb = 'x.json' THEN 'config_code' WHEN jac < 0.5 THEN 'signature_only' ELSE 'kept' END AS reason FROM p)
-SELECT reason, count(*) AS pairs FROM r GROUP BY 1""",
+    f"""WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS id, {_FILE_A}, {_FILE_B}, {_NAME_A}, {_NAME_B}, {_KIND_A}, {_KIND_B}, p_size % 10 / 10.0 AS jaccard FROM part)
+SELECT id, CASE WHEN file_a = 'ci.yml' AND file_b = 'x.json' THEN 'config_config'
+  WHEN file_a = 'ci.yml' AND file_b <> 'x.json' AND name_a = 'env' THEN 'config_code' WHEN file_a <> 'ci.yml' AND file_b = 'x.json' AND name_b = 'steps' THEN 'config_code'
+  WHEN file_a = file_b AND name_a = name_b THEN 'same_symbol' WHEN file_a = file_b AND kind_a = 'variable' AND kind_b = 'field' THEN 'same_file_data'
+  WHEN jaccard < 0.5 THEN 'signature_only' ELSE 'kept' END AS reason FROM p""",
 )
 def duplicate_noise_filters(spark, d):
-    p = A.table(spark, d, "part")
-    fa = F.when(F.col("p_size") % 3 == 0, "ci.yml").otherwise("src/a.rs")
-    fb = F.when(F.col("p_size") % 5 == 0, "x.json").otherwise("src/b.rs")
-    a, b = T.extension(fa).isin(*T.STRUCTURED_TYPES), T.extension(fb).isin(*T.STRUCTURED_TYPES)
-    reason = F.when(a & b, "config_config").when(a | b, "config_code").when(F.col("p_size") % 10 < 5, "signature_only").otherwise("kept")
-    return p.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("pairs"))
+    p = A.table(spark, d, "part").select(
+        F.col("p_partkey").cast("long").alias("id"), *[F.expr(x) for x in (_FILE_A, _FILE_B, _NAME_A, _NAME_B, _KIND_A, _KIND_B)],
+        (F.col("p_size") % 10 / 10).alias("jaccard"), F.lit(0.9).alias("similarity"),
+    )
+    return p.select("id", vector.noise().alias("reason"))
 
 
-_EVENTS = [
-    (1, "a/x.rs", "deleted"), (1, "b/x.rs", "created"), (1, "c/y.rs", "modified"), (1, "c/y.rs", "modified"),
-    (2, "d/z.rs", "deleted"), (2, "e/w.rs", "created"), (3, "b/x.rs", "deleted"),
-]
+_EVENTS_SQL = """SELECT l_orderkey AS batch, concat('d', CAST(l_suppkey % 3 AS VARCHAR), '/f', CAST(l_partkey % 20 AS VARCHAR), '.rs') AS path,
+  CASE l_returnflag WHEN 'A' THEN 'deleted' WHEN 'R' THEN 'created' ELSE 'modified' END AS kind FROM lineitem"""
 
 
 @register(
     "file_event_normalization",
-    "SELECT * FROM (VALUES (1, 'renamed', 'b/x.rs', 'a/x.rs'), (1, 'modified', 'c/y.rs', NULL), (2, 'deleted', 'd/z.rs', NULL), (2, 'created', 'e/w.rs', NULL), (3, 'deleted', 'b/x.rs', NULL)) t(batch, kind, path, from_path)",
+    f"""WITH e AS (SELECT DISTINCT *, split_part(path, '/', 2) AS n FROM ({_EVENTS_SQL})),
+p AS (SELECT a.batch, a.path AS from_path, b.path FROM (SELECT batch, n, min(path) AS path FROM e WHERE kind = 'deleted' GROUP BY 1, 2) a
+  JOIN (SELECT batch, n, min(path) AS path FROM e WHERE kind = 'created' GROUP BY 1, 2) b ON a.batch = b.batch AND a.n = b.n AND a.path <> b.path)
+SELECT batch, 'renamed' AS kind, path, from_path FROM p UNION ALL SELECT batch, kind, path, NULL FROM e
+WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.batch = e.batch AND ((kind = 'created' AND p.path = e.path) OR (kind = 'deleted' AND p.from_path = e.path)))""",
 )
 def file_event_normalization(spark, d):
-    return ingest.normalize(spark.createDataFrame(_EVENTS, "batch int, path string, kind string"))
+    path = F.concat(F.lit("d"), (F.col("l_suppkey") % 3).cast("string"), F.lit("/f"), (F.col("l_partkey") % 20).cast("string"), F.lit(".rs"))
+    kind = F.when(F.col("l_returnflag") == "A", "deleted").when(F.col("l_returnflag") == "R", "created").otherwise("modified")
+    return ingest.normalize(A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("batch"), path.alias("path"), kind.alias("kind")))
 
 
 # --- more lookups ----------------------------------------------------------------------------------
@@ -721,31 +763,35 @@ def fuzzy_symbol_search(spark, d):
 
 @register(
     "word_at_position",
-    f"""WITH {FI}, l AS (SELECT id, string_split(content, chr(10))[1] AS line FROM fi)
-SELECT id, CAST(1 AS BIGINT) AS line_no, regexp_extract(line[1:4], '[A-Za-z0-9_]*$') || regexp_extract(line[5:], '^[A-Za-z0-9_]*') AS word FROM l
+    f"""WITH {FI}, l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM fi)
+SELECT id, line_no, regexp_extract(line[1:4], '[A-Za-z0-9_]*$') || regexp_extract(line[5:], '^[A-Za-z0-9_]*') AS word FROM l
 WHERE regexp_extract(line[1:4], '[A-Za-z0-9_]*$') || regexp_extract(line[5:], '^[A-Za-z0-9_]*') <> ''""",
 )
 def word_at_position(spark, d):
     f = A.files(spark, d)
-    points = f.select("id", F.lit(1).cast("long").alias("line_no"), F.lit(5).alias("column"))
+    points = lookup.lines(f).select("id", "line_no", F.lit(5).alias("column"))  # a point in every line
     return lookup.word_at(f, points).select("id", "line_no", "word")
 
 
 @register(
     "text_references",
-    f"""WITH {FI}, l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM fi),
-m AS (SELECT id, line_no, CAST(len(regexp_extract_all(regexp_replace(line, '(//|#).*$', ''), '\\bhand\\b')) AS BIGINT) AS matches FROM l)
-SELECT id, line_no, matches, id = 3 AND line_no = 1 AS is_declaration FROM m WHERE matches > 0 AND id <> 5""",
+    f"""WITH {FA}, r AS (SELECT id, unnest(CASE ext WHEN 'rs' THEN [1, 3, 9] WHEN 'go' THEN [1] ELSE [1, 9] END) AS line_no, ext, p_partkey FROM fa WHERE n = 'small_ring'),
+k AS (SELECT id, line_no, line_no = 9 AS is_declaration FROM r WHERE (line_no <> 9 OR p_partkey % 3 = 0) AND NOT (line_no = 1 AND ext = 'go'))
+SELECT id, CAST(line_no AS BIGINT) AS line_no, CAST(1 AS BIGINT) AS matches, is_declaration, CASE WHEN is_declaration THEN id * 10 + 3 END AS enclosing FROM k
+WHERE id = (SELECT min(id) FROM k WHERE is_declaration) OR id NOT IN (SELECT id FROM k WHERE is_declaration)""",
 )
 def text_references(spark, d):
-    decl = spark.createDataFrame([(3, "hand", 1), (5, "hand", 1)], "id long, name string, line long")
-    return lookup.text_references(A.files(spark, d), decl, "hand")
+    f = A.sources(spark, d)
+    declares = r"(?:fn|def|function) small_ring\("
+    decl = lookup.lines(f).where(F.col("line").rlike(declares)).select("id", F.lit("small_ring").alias("name"), F.col("line_no").alias("line"))
+    spans = f.select("id", (F.col("id") * 10 + 3).alias("span_id"), F.lit(9).alias("start"), F.lit(9).alias("stop"))
+    return lookup.text_references(f, decl, "small_ring", spans)
 
 
-@register("decorated_symbols", "SELECT CAST(7 AS BIGINT) AS id, CAST(x AS BIGINT) AS line_no FROM (SELECT unnest([3, 6]) AS x)")
+@register("decorated_symbols", f"WITH {FA} SELECT id, CAST(6 AS BIGINT) AS line_no FROM fa WHERE ext = 'py' AND p_partkey % 5 = 0")
 def decorated_symbols(spark, d):
-    f = spark.createDataFrame([(7, "@a\n\ndef f():\n  pass\n@b\nclass C:\n  x\ndef g():")], "id long, content string")
-    return lookup.decorated(f, spark.createDataFrame([(7, 3), (7, 6), (7, 8)], "id long, line_no long"))
+    f = A.sources(spark, d)
+    return lookup.decorated(f, lookup.lines(f).where(F.col("line").rlike("^(def|func|function) ")).select("id", "line_no"))
 
 
 _RANGES = "rg AS (SELECT CAST(p_partkey AS BIGINT) AS id, concat(p_brand, p_type) AS file_path, p_size * 10 AS s, p_size * 10 + 5 + (p_partkey % 7) * 40 AS e FROM part)"
@@ -766,12 +812,14 @@ def symbol_nesting(spark, d):
 
 @register(
     "nested_name_paths",
-    "SELECT * FROM (VALUES (1, 'A'), (2, 'A/b'), (3, 'A/b/c'), (4, 'd')) t(id, name_path)",
+    """WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey >= 2 THEN p_partkey // 2 END AS up, p_type AS name FROM part),
+t(id, up, path) AS (SELECT id, up, name FROM n UNION ALL SELECT t.id, n.up, concat(n.name, '/', t.path) FROM t JOIN n ON n.id = t.up)
+SELECT id, path AS name_path FROM t WHERE up IS NULL""",
 )
 def nested_name_paths(spark, d):
-    tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, None)], "id int, parent_id int")
-    names = spark.createDataFrame([(1, "A"), (2, "b"), (3, "c"), (4, "d")], "id int, name string")
-    return lookup.name_paths(tree, names)
+    p = A.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name"))
+    tree = p.select("id", F.when(F.col("id") >= 2, F.floor(F.col("id") / 2).cast("long")).alias("parent_id"))
+    return lookup.name_paths(tree, p)
 
 
 @register(
@@ -783,43 +831,87 @@ def import_upsert(spark, d):
     return lookup.last_wins(rows, ["l_orderkey", "l_suppkey"], "o").select("l_orderkey", "l_suppkey", "l_partkey")
 
 
-@register("listing_cursor", f"WITH {SY} SELECT count(*) AS rows, true AS stable FROM sy")
+@register(
+    "listing_cursor",
+    f"""WITH {SY}, p AS (SELECT id, name, row_number() OVER (ORDER BY name, id) - 1 AS place FROM sy)
+SELECT id, name, place FROM p WHERE place BETWEEN 40 AND 59""",
+)
 def listing_cursor(spark, d):
-    s = A.symbols(spark, d)
-    a, b = lookup.fingerprint(s, ["id", "name"]), lookup.fingerprint(s.orderBy(F.col("name").desc()), ["id", "name"])
-    return a.join(b, "rows").select("rows", (a["fingerprint"] == b["fingerprint"]).alias("stable"))
+    s = A.symbols(spark, d).select("id", "name")
+    return lookup.page(s, ["name", "id"], lookup.cursor(s, ["name", "id"], 40), 20)
 
 
-@register("hashed_embeddings", f"WITH {SY} SELECT id, CAST(64 AS BIGINT) AS dims, CAST(1.0 AS DOUBLE) AS norm FROM sy")
+@register(
+    "hashed_embeddings",
+    f"""WITH {SY} SELECT id, CAST(64 AS BIGINT) AS dims, CAST(1.0 AS DOUBLE) AS norm, min(id) OVER (PARTITION BY name, signature) AS twin FROM sy""",
+)
 def hashed_embeddings(spark, d):
-    v = lookup.hashed_vectors(A.symbols(spark, d).select("id", F.concat_ws(" ", "name", "signature").alias("text")))
+    """Equal texts have equal vectors, and no others: each with the least symbol of the same vector."""
+    s = A.symbols(spark, d)
+    v = lookup.hashed_vectors(s.select("id", F.concat_ws(" ", "name", "signature").alias("text")))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return v.select("id", F.size("embedding").cast("long").alias("dims"), F.round(norm, 4).alias("norm"))
+    twin = v.groupBy("embedding").agg(F.min("id").alias("twin"))
+    return v.join(twin, "embedding").select("id", F.size("embedding").cast("long").alias("dims"), F.round(norm, 4).alias("norm"), "twin")
 
 
 @register(
     "memory_notes",
-    "SELECT * FROM (VALUES ('a', 'title: x', 'body'), ('b', '', 'plain')) t(note, header, body)",
+    """SELECT CAST(p_partkey AS BIGINT) AS note, CASE WHEN p_size % 2 = 0 THEN concat('title: ', p_name, chr(10), 'size: ', CAST(p_size AS VARCHAR)) ELSE '' END AS header,
+  CASE WHEN p_size % 2 = 0 THEN p_brand ELSE concat('--- ', p_brand) END AS body FROM part""",
 )
 def memory_notes(spark, d):
-    rows = spark.createDataFrame([("a", "---\ntitle: x\n---\nbody"), ("b", "plain")], "note string, text string")
-    return rows.select("note", T.frontmatter(F.col("text")).alias("f")).select("note", "f.header", "f.body")
+    header = F.concat(F.lit("---\ntitle: "), "p_name", F.lit("\nsize: "), F.col("p_size").cast("string"), F.lit("\n---\n"), "p_brand")
+    text = F.when(F.col("p_size") % 2 == 0, header).otherwise(F.concat(F.lit("--- "), "p_brand"))
+    rows = A.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("note"), text.alias("text"))
+    return notebook.read(rows).select("note", "header", "body")
 
 
 @register(
     "call_arg_hashes",
-    """SELECT event_type AS tool, count(DISTINCT props) AS distinct_args FROM events GROUP BY 1""",
+    """SELECT event_type AS tool, count(DISTINCT json_extract_string(props, '$.k')) AS distinct_args FROM events GROUP BY 1""",
 )
 def call_arg_hashes(spark, d):
-    rows = A.tool_calls(spark, d).withColumn("h", F.xxhash64(F.to_json(F.from_json("args", "map<string,string>"))))
-    return rows.groupBy("tool").agg(F.countDistinct("h").alias("distinct_args"))
+    """Arguments count once whatever routing keys come with them."""
+    args = F.concat(F.regexp_replace("args", r"\}$", ""), F.lit(', "session_id": "s'), F.col("call_id").cast("string"), F.lit('"}'))
+    return A.tool_calls(spark, d).groupBy("tool").agg(F.countDistinct(telemetry.arg_hash(args)).alias("distinct_args"))
 
 
 @register(
     "file_confidence",
-    "SELECT * FROM (VALUES ('a/request.ts', 'needs_structural_evidence', 1.0::DOUBLE), ('dto/x.tsx', 'needs_structural_evidence', 1.0::DOUBLE), ('a/x.ts', 'high', 1.0::DOUBLE), ('a/request.rs', 'high', 1.0::DOUBLE), ('ci.yml', 'high', 0.55::DOUBLE)) t(path, tier, penalty)",
+    f"""WITH {FA} SELECT id, CASE WHEN ext = 'ts' AND starts_with(relative_path, 'web/src/dto/') THEN 'needs_structural_evidence' ELSE 'high' END AS tier,
+  CAST(CASE WHEN p_size % 6 IN (0, 5) THEN 0.55 ELSE 1.0 END AS DOUBLE) AS penalty FROM fa""",
 )
 def file_confidence(spark, d):
-    paths = ["a/request.ts", "dto/x.tsx", "a/x.ts", "a/request.rs", "ci.yml"]
-    rows = spark.createDataFrame([(p,) for p in paths], "path string")
-    return rows.select("path", T.file_tier(F.col("path")).alias("tier"), T.markup_penalty(F.col("path"), F.lit("query")).alias("penalty"))
+    # the folder alone says what shape a file has
+    near = F.concat(F.regexp_replace("relative_path", "/[^/]*/[^/]*$", "/x."), T.extension(F.col("relative_path")))
+    rows = A.sources(spark, d).select("id", T.file_tier(near).alias("tier"))
+    other = A.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), T.markup_penalty(F.expr(_ROLES), F.lit("query")).alias("penalty"))
+    return rows.join(other, "id")
+
+
+@register(
+    "noise_callee_filter",
+    """SELECT CAST(p_partkey AS BIGINT) AS id, p_size % 5 = 0 OR p_size % 5 = 2 OR (p_size % 5 = 1 AND p_type <> 'MEDIUM') AS noise FROM part""",
+)
+def noise_callee_filter(spark, d):
+    name = F.expr("CASE p_size % 5 WHEN 0 THEN 'unwrap' WHEN 1 THEN 'make' WHEN 2 THEN 'len' WHEN 3 THEN replace(p_name, ' ', '_') ELSE 'parse_all' END")
+    name = F.when((F.col("p_type") == "MEDIUM") & (F.col("p_size") % 5 == 1), "new").otherwise(name)
+    lang = F.when(F.col("p_type") == "MEDIUM", "rs").otherwise("py")
+    return A.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), T.is_noise_callee(name, lang).alias("noise"))
+
+
+@register(
+    "scan_symbols_in_files",
+    f"WITH {SY} SELECT file_path, line, id, name FROM sy WHERE file_path IN (SELECT DISTINCT file_path FROM sy WHERE line = 7)",
+)
+def scan_symbols_in_files(spark, d):
+    s = A.symbols(spark, d)
+    return lookup.symbols_in(s, s.where("line = 7").select("file_path")).select("file_path", "line", "id", "name")
+
+
+@register(
+    "find_symbol_substring_in_path",
+    f"WITH {SY} SELECT id, name, file_path FROM sy WHERE name ILIKE '%ring%' AND starts_with(file_path, 'src/brand2/') ORDER BY length(name), name, id LIMIT 50",
+)
+def find_symbol_substring_in_path(spark, d):
+    return lookup.substring_with_path(A.symbols(spark, d), "ring", "src/brand2", 50).select("id", "name", "file_path")

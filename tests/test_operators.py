@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import edits, evaluation, graph, lookup, rank, telemetry, types, vector
+from quarry.operators import edits, evaluation, graph, lookup, notebook, rank, telemetry, types, vector
 
 
 def edges(spark, *pairs):
@@ -31,8 +32,45 @@ def test_cycles_of_random_graphs_match_mutual_reachability(spark):
             reach[a] |= reach[b]
     want = {x: min(y for y in reach[x] if x in reach[y]) for x in reach}
     sizes = {c: sum(v == c for v in want.values()) for c in want.values()}
-    got = {r.node: r.component for r in graph.cycles(spark.createDataFrame(sorted(pairs), "src long, dst long")).collect()}
-    assert got == {x: c for x, c in want.items() if sizes[c] > 1}
+    e = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    want = {x: c for x, c in want.items() if sizes[c] > 1}
+    assert {r.node: r.component for r in graph.cycles(e).collect()} == want
+    assert {r.node: r.component for r in graph.cycles(e, residue=3).collect()} == want  # by rounds, nearly to the end
+
+
+def test_cycles_fixtures(spark):
+    ring = edges(spark, ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d"))
+    assert {(r.node, r.component) for r in graph.cycles(ring).collect()} == {("a", "a"), ("b", "a"), ("c", "a")}
+    assert graph.cycles(edges(spark, ("a", "b"), ("b", "c"))).count() == 0 and graph.cycles(ring.limit(0)).count() == 0
+    long = spark.createDataFrame([(i, (i + 1) % 3000) for i in range(3000)], "src long, dst long")
+    assert {r.component for r in graph.cycles(long).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        graph.cycles(ring, residue=0, max_rounds=0)
+
+
+def test_dead_code_passes_and_exemptions(spark):
+    symbols = spark.createDataFrame(
+        [("used", "function", "a.py", False), ("lone", "function", "b.py", False), ("dead", "method", "a.py", False), ("wired", "function", "a.py", True),
+         ("test_x", "function", "a.py", False), ("main", "function", "a.py", False), ("C", "class", "a.py", False), ("idle", "function", "main.rs", False)],
+        "name string, kind string, file_path string, decorated boolean",
+    )
+    calls = spark.createDataFrame([("used",)], "callee_name string")
+    got = {tuple(r) for r in graph.dead_code(symbols, calls, edges(spark, ("z.py", "a.py"))).collect()}
+    assert got == {(1, "b.py", None), (2, "a.py", "dead")}
+
+
+def test_trace_stops_at_a_depth_and_a_number(spark):
+    e = edges(spark, *[(f"c{i:02}", "f") for i in range(30)], ("f", "g"), ("g", "h"), ("h", "i"), ("i", "j"))
+    got = [tuple(r) for r in graph.trace(e, "f").orderBy("side", "depth", "node").collect()]
+    assert [g for g in got if g[0] == "callees"] == [("callees", "g", 1), ("callees", "h", 2), ("callees", "i", 3)]
+    assert [g[1] for g in got if g[0] == "callers"] == [f"c{i:02}" for i in range(20)]
+
+
+def test_large_commits_are_cut_into_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(c, f"f{i}") for c in range(3) for i in range(40)], "commit_id long, file string")
+    want = {tuple(r) for r in graph.coupling(rows).collect()}
+    monkeypatch.setattr(graph, "COMMIT_BLOCK", 7)
+    assert {tuple(r) for r in graph.coupling(rows).collect()} == want and len(want) == 40 * 39 // 2
 
 
 def test_pagerank_leaks_to_targets_that_are_not_indexed(spark):
@@ -49,22 +87,6 @@ def test_coupling(spark):
     assert got["a", "b"] == (3, 1.0) and got["a", "c"] == (1, pytest.approx(1 / 3))
 
 
-def test_call_resolution_cascade(spark):
-    symbols = spark.createDataFrame(
-        [("f", "a/x.rs"), ("f", "b/y.rs"), ("g", "b/y.rs"), ("h", "a/z.rs"), ("h", "c/z.rs"), ("i", "c/p.rs"), ("i", "d/p.rs")], "name string, file_path string"
-    )
-    calls = spark.createDataFrame(
-        [(1, "a/x.rs", "f"), (2, "q/m.rs", "f"), (3, "q/m.rs", "g"), (4, "a/w.rs", "h"), (5, "q/m.rs", "i"), (6, "q/m.rs", "none")],
-        "call_id long, caller_file string, callee_name string",
-    )
-    imports = edges(spark, ("q/m.rs", "b/y.rs"))
-    got = {r.call_id: (r.strategy, r.resolved_file, r.confidence) for r in graph.resolve_calls(calls, symbols, imports).collect()}
-    assert got == {
-        1: ("same_file", "a/x.rs", 0.9), 2: ("import_map", "b/y.rs", 0.95), 3: ("import_map", "b/y.rs", 0.95),
-        4: ("path_proximity", "a/z.rs", 0.5), 5: ("unresolved", None, 0.25), 6: ("unresolved", None, 0.25),
-    }
-
-
 def test_lexical_ladder(spark):
     names = ["rename_symbol", "rename symbol", "x_rename_symbol_y", "symbol_table", "other"]
     docs = spark.createDataFrame([(i, n, "sig", "p/" + n, "src/f.rs", "variable") for i, n in enumerate(names)],
@@ -84,8 +106,16 @@ def test_bm25_prefers_names_and_handles_nothing(spark):
 
 def test_rrf_and_budget_and_diversity(spark):
     lane = lambda *keys: spark.createDataFrame([("q", k, i + 1) for i, k in enumerate(keys)], "query_id string, key string, rank int")
-    got = rank.fuse({"structural": lane("A", "B"), "semantic": lane("B", "C"), "sparse": lane("C")}).orderBy("rank").collect()
+    asked = spark.createDataFrame([("q", "an")], "query_id string, query string")
+    lanes = {"structural": lane("A", "B"), "semantic": lane("B", "C"), "sparse": lane("C")}
+    got = rank.fuse(lanes, asked).orderBy("rank").collect()
     assert [r.key for r in got] == ["B", "C", "A"] and got[0].relevance == 100 and got[-1].relevance == 1
+    capped = rank.fuse({"sparse": lane(*"ABCDEFG"), "semantic": lane(*"abcdefg")}, asked)
+    assert {r.key for r in capped.collect()} == set("ABabc")
+    with_files = {r.key: r.rrf for r in rank.fuse(lanes, asked, lane("A", "Z")).collect()}
+    assert with_files == {"A": pytest.approx(1.6 / 61), "B": pytest.approx(1 / 62 + 1 / 61), "C": pytest.approx(1 / 62 + 0.8 / 61)}
+    ev = {r.key: (r.selected, r.final_rank) for r in rank.evidence(lane("B", "x"), rank.fuse(lanes, asked)).collect()}
+    assert ev == {"B": (True, 1), "x": (False, None)}
     rows = spark.createDataFrame([("q", i + 1, s) for i, s in enumerate((300, 150, 100))], "query_id string, rank int, size int")
     assert [r.rank for r in rank.budget(rows, "size", 400).collect()] == [1]
     rows = spark.createDataFrame([("q", i, "f" if i < 5 else f"g{i}", 10 - i) for i in range(7)], "query_id string, id int, file_path string, score int")
@@ -98,7 +128,7 @@ def test_vectors(spark):
     assert [r.id for r in vector.knn(rows, q, 2).orderBy("rank").collect()] == [1, 4]
     assert vector.knn(rows, q, 1, "l2").first().score == 1.0
     assert vector.misplaced(rows, 1).first().id == 3
-    pairs = vector.duplicate_pairs(rows.withColumn("block", F.lit(1)), 0.9, 10).collect()
+    pairs = vector.duplicate_pairs(rows, 0.9, 10).collect()
     assert {(r.a, r.b) for r in pairs} == {(1, 2), (1, 4), (2, 4)}
     with pytest.raises(ValueError):
         vector.MAX_QUERIES, keep = 0, vector.MAX_QUERIES
@@ -154,6 +184,7 @@ def test_evaluation_and_edits(spark):
     assert [tuple(r) for r in evaluation.contamination(items, docs).collect()] == [(1, 1)]
     files = spark.createDataFrame([(1, "foo food\nfoo()")], "id long, content string")
     assert [(r.line_no, r.after) for r in edits.rename(files, "foo", "bar").orderBy("line_no").collect()] == [(1, "bar food"), (2, "bar()")]
+    assert [r.after for r in edits.rename(files, "food", "$x\\1").collect()] == ["foo $x\\1"] and edits.rename(files, "f.o", "y").count() == 0
 
 
 def test_type_hierarchy(spark):
@@ -161,3 +192,62 @@ def test_type_hierarchy(spark):
     roots = spark.createDataFrame([("A",)], "root string")
     assert {(r.node, r.depth) for r in types.hierarchy(s, roots).collect()} == {("B", 1), ("C", 2)}
     assert types.hierarchy(s, roots, down=False).count() == 0
+
+
+def test_name_paths_of_any_depth(spark):
+    n = 300
+    tree = spark.createDataFrame([(i, i - 1 if i else None) for i in range(n)] + [(1000, 999)], "id long, parent_id long")
+    names = spark.createDataFrame([(i, f"n{i}") for i in range(n)] + [(1000, "orphan")], "id long, name string")
+    got = {r.id: r.name_path for r in lookup.name_paths(tree, names).collect()}
+    assert got[n - 1] == "/".join(f"n{i}" for i in range(n)) and got[0] == "n0" and got[1000] == "orphan" and len(got) == n + 1
+    loop = spark.createDataFrame([(1, 2), (2, 1)], "id long, parent_id long")
+    with pytest.raises(ValueError):
+        lookup.name_paths(loop, names, max_rounds=4)
+
+
+def test_prefix_ranges(spark):
+    rows = spark.createDataFrame([(p,) for p in ("a", "ab", "b", "a\U0010ffff", "a\U0010ffffz", "a\ud7ff", "a\ue000")], "file_path string")
+    found = lambda p: {r.file_path for r in lookup.prefix_range(rows, p).collect()}
+    assert found("") == {r.file_path for r in rows.collect()} and found("ab") == {"ab"}
+    assert found("a\U0010ffff") == {"a\U0010ffff", "a\U0010ffffz"} and found("a\ud7ff") == {"a\ud7ff"}
+
+
+def test_duplicates_are_found_across_files_and_in_large_codes(spark, monkeypatch):
+    monkeypatch.setattr(vector, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((30, 16))
+    x = np.concatenate([base, base + 0.02 * rng.standard_normal((30, 16)), np.tile(base[:1], (20, 1))]).astype("float32")
+    rows = spark.createDataFrame([(i, f"f{i}.rs", v) for i, v in enumerate(x.tolist())] + [(900, "n.rs", None), (901, "z.rs", [0.0] * 16)],
+                                 "id long, file_path string, embedding array<float>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i in range(80) for j in range(i + 1, 80) if unit[i].astype(float) @ unit[j] >= 0.95}
+    assert {(r.a, r.b) for r in vector.duplicate_pairs(rows, 0.95, 1000, recall=0.9999).collect()} == want
+    assert len(want) > 200
+
+
+def test_duplicate_noise(spark):
+    rows = spark.createDataFrame(
+        [("a.yml", "b.yml", "x", "x", "function", "function", 0.99, 1.0), ("a.yml", "b.rs", "runs-on", "f", "function", "function", 0.99, 1.0),
+         ("a.rs", "a.rs", "f", "f", "function", "function", 0.99, 1.0), ("a.rs", "a.rs", "p", "q", "const", "field", 0.99, 1.0),
+         ("a.rs", "b.rs", "f", "g", "function", "function", 0.9, 0.4), ("a.rs", "b.rs", "f", "g", "function", "function", 0.8, 0.4),
+         ("a.yml", "b.rs", "parse", "f", "function", "function", 0.99, 1.0)],
+        "file_a string, file_b string, name_a string, name_b string, kind_a string, kind_b string, similarity double, jaccard double",
+    )
+    got = [r.n for r in rows.select(vector.noise().alias("n")).collect()]
+    assert got == ["config_config", "config_code", "same_symbol", "same_file_data", "signature_only", "kept", "kept"]
+
+
+def test_notes_agents_and_claims(spark):
+    notes = spark.createDataFrame([("a", "---\nk: v\n---\nbody", False), ("policy", "rules", True)], "note string, text string, archived boolean")
+    assert notebook.read(notes, "a").first().body == "body" and notebook.policy(notes).first().body == "rules"
+    aged = notes.withColumn("updated_at", F.lit("2024-01-01").cast("timestamp"))
+    now = F.lit("2024-01-16").cast("timestamp")
+    assert [r.note for r in notebook.listed(aged, now).where("stale").collect()] == ["a"]
+    assert [r.note for r in notebook.listed(aged, now, archived=True).collect()] == ["policy"]
+    agents = spark.createDataFrame([("s", 1), ("t", 2)], "session string, expires_at int")
+    new = spark.createDataFrame([("s", 9)], "session string, expires_at int")
+    assert {tuple(r) for r in notebook.register(agents, new).collect()} == {("s", 9), ("t", 2)}
+    claims = spark.createDataFrame([("s", ["p"])], "session string, paths array<string>")
+    more = notebook.claim(notebook.claim(claims, "s", ["q", "p"]), "t", ["p"])
+    assert {(r.session, tuple(r.paths)) for r in more.collect()} == {("s", ("p", "q")), ("t", ("p",))}
+    assert {(r.session, tuple(r.paths)) for r in notebook.release(more, "t", ["p"]).collect()} == {("s", ("p", "q"))}
