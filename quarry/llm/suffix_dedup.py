@@ -50,8 +50,8 @@ from quarry.llm.common import new_folder, written
 
 LENGTH = 200
 GRAM = 64
-MAX_BLOCKS = 20_000
-MAX_GROUP = 20_000
+MAX_BLOCKS = 1_000
+MAX_GROUP = 1_000
 #: Blocks at least this often, as a share of all, are hot.
 HOT = 1_000
 #: Windows are looked at in stretches of so many starts; a longer text is several stretches.
