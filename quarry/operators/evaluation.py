@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import text as T
+from quarry.operators import vector
+from quarry.operators.sizes import small
 from quarry.operators.telemetry import ratio
 
 
@@ -55,23 +57,43 @@ def normalized(text):
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
+def runs(df: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, h): the distinct runs of ``size`` normalised words of each text, by a hash of the words' hashes."""
+
+    def windows(h):
+        each = F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(size)]))
+        return F.when(F.size(h) >= size, F.array_distinct(each))
+
+    words = F.split(normalized(F.coalesce("text", F.lit(""))), " ")
+    return df.select(key, F.explode(T.let(F.transform(words, lambda w: F.xxhash64(w)), windows)).alias("h"))
+
+
 def contamination(items: DataFrame, corpus: DataFrame, size: int = 12) -> DataFrame:
     """(item_id, docs): documents that share a run of words with an item, as they stand or normalised.
 
-    Runs of ``size`` words are hashed on both sides and joined by key; only distinct runs travel.
+    Items are few: their runs are counted, and sent to the documents if they fit, so that these are not shuffled.
     """
+    hits = runs(corpus, "doc_id", size).join(small(runs(items, "item_id", size)), "h").select("item_id", "doc_id").distinct()
+    return hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
 
-    def runs(df: DataFrame, key: str) -> DataFrame:
-        def shingles(w):
-            at = F.sequence(F.lit(1), F.size(w) - size + 1)
-            each = F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " ")))
-            return F.when(F.size(w) >= size, F.array_distinct(each))
 
-        found = T.let(F.split(normalized(F.col("text")), " "), shingles)
-        return df.select(key, F.explode(found).alias("h"))
+def overlaps(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(item_id, exact, normalised): documents whose text is an item's, as it stands and normalised, by SHA-256."""
 
-    hits = runs(corpus, "doc_id").join(runs(items, "item_id"), "h").select("item_id", "doc_id").distinct()
-    return hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
+    def count(name: str, text) -> DataFrame:
+        a = queries.select("item_id", F.sha2(text, 256).alias("h"))
+        b = corpus.select("doc_id", F.sha2(text, 256).alias("h"))
+        return b.join(small(a), "h").groupBy("item_id").agg(F.count(F.lit(1)).alias(name))
+
+    zero = F.lit(0).cast("long")
+    rows = queries.select("item_id").join(count("exact", F.col("text")), "item_id", "left")
+    rows = rows.join(count("normalised", normalized(F.col("text"))), "item_id", "left")
+    return rows.select("item_id", F.coalesce("exact", zero).alias("exact"), F.coalesce("normalised", zero).alias("normalised"))
+
+
+def near_items(queries: DataFrame, corpus: DataFrame, least: float = 0.9) -> DataFrame:
+    """(query_id, id, score): rows of the corpus (id, embedding) with a cosine to a query (query_id, vector) at or above a limit."""
+    return vector.scores(corpus, queries).where(F.col("score") >= least)
 
 
 def latency(rows: DataFrame) -> DataFrame:

@@ -44,35 +44,6 @@ def p95(calls: DataFrame) -> DataFrame:
     )
 
 
-def kpis(calls: DataFrame) -> DataFrame:
-    """Guarded ratios per session."""
-    g = calls.groupBy("session").agg(
-        F.count(F.lit(1)).alias("calls"),
-        F.count_if(F.col("failed")).alias("errors"),
-        F.count_if(F.col("tool") == "view").alias("reads"),
-        F.count_if(F.col("tool") == "purchase").alias("writes"),
-        F.countDistinct("tool").alias("tools"),
-    )
-    c = F.col
-    return g.select(
-        "session",
-        "calls",
-        F.round(ratio(c("errors"), c("calls")), 6).alias("error_rate"),
-        F.round(ratio(c("writes"), c("reads")), 6).alias("writes_per_read"),
-        F.round(ratio(c("calls"), c("tools")), 6).alias("calls_per_tool"),
-    )
-
-
-def session_types(calls: DataFrame) -> DataFrame:
-    """A label per session by what it calls most."""
-    share = lambda tool: F.avg((F.col("tool") == tool).cast("double"))
-    g = calls.groupBy("session").agg(
-        F.count(F.lit(1)).alias("n"), share("purchase").alias("w"), share("view").alias("r"), share("error").alias("e")
-    )
-    label = F.when(F.col("n") < 3, "idle").when(F.col("e") > 0.3, "debug").when(F.col("w") > F.col("r"), "builder").otherwise("reader")
-    return g.select("session", label.alias("session_type"))
-
-
 def rate_limited(calls: DataFrame, limit: int = MAX_CALLS, window_ms: int = WINDOW_MS) -> DataFrame:
     """Whether each call is rejected: more than ``limit`` earlier calls of its session in the window.
 
@@ -122,25 +93,6 @@ def usage(calls: DataFrame) -> DataFrame:
     )
 
 
-def missing_preflight(calls: DataFrame, check: str, mutate: str) -> DataFrame:
-    """(session, missing): arguments that a session changed without having checked them, and a verdict."""
-    done = calls.where(F.col("tool") == mutate).select("session", "args").distinct()
-    safe = calls.where(F.col("tool") == check).select("session", "args").distinct()
-    gaps = done.join(safe, ["session", "args"], "left_anti").groupBy("session").agg(F.count(F.lit(1)).alias("missing"))
-    n = F.coalesce("missing", F.lit(0)).cast("long")
-    return calls.select("session").distinct().join(gaps, "session", "left").select(
-        "session", n.alias("missing"), F.when(n == 0, "pass").when(n <= 2, "warn").otherwise("fail").alias("verdict")
-    )
-
-
-def pass_rate(audits: DataFrame) -> DataFrame:
-    """(role, audits, pass_rate): null without audits."""
-    return audits.groupBy("role").agg(
-        F.count(F.lit(1)).alias("audits"),
-        F.round(F.count_if(F.col("verdict") == "pass") / F.nullif(F.count_if(F.col("verdict").isNotNull()), F.lit(0)), 6).alias("pass_rate"),
-    )
-
-
 STATUS = ("ready", "caution", "blocked")
 
 
@@ -166,11 +118,23 @@ def latest(events: DataFrame) -> DataFrame:
     return events.groupBy("job").agg(F.max_by("state", F.struct("at", "seq")).alias("state"), F.max("at").alias("updated"))
 
 
+#: Sessions that hold one path, of which each two blocks meet in a task.
+CLAIM_BLOCK = 256
+
+
 def overlapping_claims(claims: DataFrame, now: int) -> DataFrame:
-    """Pairs of sessions that hold claims on the same path at a time: (a, b, shared)."""
+    """Pairs of sessions that hold claims on the same path at a time: (a, b, shared).
+
+    A path that more than ``CLAIM_BLOCK`` sessions hold is cut into blocks, each two of which meet on their own.
+    """
     live = claims.where(F.col("expires_at") > now).select("session_id", F.explode("paths").alias("path")).distinct()
-    a, b = live.withColumnRenamed("session_id", "a"), live.withColumnRenamed("session_id", "b")
-    return a.join(b, "path").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    size = live.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / CLAIM_BLOCK).cast("int").alias("g")).where("g > 1")
+    live = live.join(size, "path", "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    live = live.withColumn("block", F.pmod(F.xxhash64("session_id"), F.col("g")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    a = live.select("path", F.col("block").alias("i"), other.alias("j"), F.col("session_id").alias("a"))
+    b = live.select("path", other.alias("i"), F.col("block").alias("j"), F.col("session_id").alias("b"))
+    return a.join(b, ["path", "i", "j"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def page(rows: DataFrame, order: list[str], start: int, size: int) -> DataFrame:

@@ -485,6 +485,25 @@ def contamination_audit(spark, d):
     return evaluation.contamination(A.table(spark, d, "benchmark"), A.table(spark, d, "documents"))
 
 
+@register(
+    "contamination_overlap",
+    """WITH d AS (SELECT doc_id, text, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm FROM documents), i AS (SELECT * FROM d WHERE doc_id % 100 = 0)
+SELECT i.doc_id AS item_id, (SELECT count(*) FROM d WHERE d.text = i.text) AS exact, (SELECT count(*) FROM d WHERE d.norm = i.norm) AS normalised FROM i""",
+)
+def contamination_overlap(spark, d):
+    docs = A.table(spark, d, "documents").select("doc_id", "text")
+    return evaluation.overlaps(docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "item_id"), docs)
+
+
+@register(
+    "contamination_near",
+    f"WITH {_VQ}, s AS (SELECT query_id, id, {cos_sql('embedding', 'vector')} AS score FROM v, vq) SELECT * FROM s WHERE score >= 0.3",
+)
+def contamination_near(spark, d):
+    v = A.vectors(spark, d)
+    return evaluation.near_items(_vector_queries(v), v.select("id", "embedding"), 0.3)
+
+
 @register(
     "user_context_lane",
     """WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS position, value FROM events)

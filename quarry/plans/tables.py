@@ -519,24 +519,6 @@ def tool_p95(spark, d):
     return telemetry.p95(A.tool_calls(spark, d))
 
 
-@register(
-    "session_kpis",
-    """WITH g AS (SELECT CAST(user_id AS VARCHAR) AS session, count(*) AS calls, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type = 'view') AS r, count(*) FILTER (event_type = 'purchase') AS w, count(DISTINCT event_type) AS t FROM events GROUP BY 1)
-SELECT session, calls, round(coalesce(e / nullif(calls, 0), 0), 6) AS error_rate, round(coalesce(w / nullif(r, 0), 0), 6) AS writes_per_read, round(coalesce(calls / nullif(t, 0), 0), 6) AS calls_per_tool FROM g""",
-)
-def session_kpis(spark, d):
-    return telemetry.kpis(_tools(spark, d))
-
-
-@register(
-    "session_types",
-    """WITH g AS (SELECT CAST(user_id AS VARCHAR) AS session, count(*) AS n, avg(CASE event_type WHEN 'purchase' THEN 1.0 ELSE 0 END) AS w, avg(CASE event_type WHEN 'view' THEN 1.0 ELSE 0 END) AS r, avg(CASE event_type WHEN 'error' THEN 1.0 ELSE 0 END) AS e FROM events GROUP BY 1)
-SELECT session, CASE WHEN n < 3 THEN 'idle' WHEN e > 0.3 THEN 'debug' WHEN w > r THEN 'builder' ELSE 'reader' END AS session_type FROM g""",
-)
-def session_types(spark, d):
-    return telemetry.session_types(A.tool_calls(spark, d))
-
-
 @register(
     "rate_limit",
     """SELECT event_id AS call_id, earlier, earlier > 2 AS rejected FROM (SELECT event_id,
@@ -575,25 +557,6 @@ def tool_usage(spark, d):
     return telemetry.usage(A.tool_calls(spark, d))
 
 
-_AUDIT = """g AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS session, props FROM events WHERE event_type = 'purchase'), s AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS session, props FROM events WHERE event_type = 'view'),
-m AS (SELECT session, count(*) AS missing FROM g WHERE (session, props) NOT IN (SELECT (session, props) FROM s) GROUP BY 1),
-a AS (SELECT u.session, coalesce(missing, 0) AS missing, CASE WHEN coalesce(missing, 0) = 0 THEN 'pass' WHEN missing <= 2 THEN 'warn' ELSE 'fail' END AS verdict FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS session FROM events) u LEFT JOIN m USING (session))"""
-
-
-@register("session_audit", f"WITH {_AUDIT} SELECT * FROM a")
-def session_audit(spark, d):
-    return telemetry.missing_preflight(A.tool_calls(spark, d), "view", "purchase")
-
-
-@register(
-    "audit_pass_rate",
-    f"WITH {_AUDIT} SELECT CASE WHEN length(session) < 2 THEN 'planner' ELSE 'builder' END AS role, count(*) AS audits, round(count(*) FILTER (verdict = 'pass') / nullif(count(verdict), 0), 6) AS pass_rate FROM a GROUP BY 1",
-)
-def audit_pass_rate(spark, d):
-    a = telemetry.missing_preflight(A.tool_calls(spark, d), "view", "purchase")
-    return telemetry.pass_rate(a.withColumn("role", F.when(F.length("session") < 2, "planner").otherwise("builder")))
-
-
 @register(
     "verifier_status",
     "SELECT n_regionkey AS subject, CASE max(n_nationkey % 3) WHEN 0 THEN 'ready' WHEN 1 THEN 'caution' ELSE 'blocked' END AS status FROM nation GROUP BY 1",
