@@ -178,6 +178,7 @@ _TAG = "CASE p_partkey % 7 WHEN 0 THEN 'TODO' WHEN 1 THEN 'FIXME' WHEN 2 THEN 'H
 _FOLDER = "CASE p_partkey % 9 WHEN 0 THEN 'tests/' WHEN 1 THEN 'benchmarks/' WHEN 2 THEN 'my-cli/src/' WHEN 3 THEN 'core/src/tools/' WHEN 4 THEN 'web/src/dto/' WHEN 5 THEN 'gen/generated/' ELSE 'core/src/' END"
 _EXT = "CASE p_type WHEN 'ECONOMY' THEN '.rs' WHEN 'MEDIUM' THEN '.rs' WHEN 'PROMO' THEN '.ts' WHEN 'LARGE' THEN '.ts' WHEN 'SMALL' THEN '.py' ELSE '.go' END"
 _BRANCHES = "repeat('if a && b {} ', CAST(p_size % 4 AS INT))"
+_PY_BRANCHES = "repeat('a and b or c; ', CAST(p_size % 4 AS INT))"
 
 
 def _file_lines(*lines: str) -> str:
@@ -197,7 +198,7 @@ _CONTENT = {
     ),
     "py": _file_lines(
         f"concat('import os, ', {_B}, '.', {_N}, ' as m')", f"concat('from .', {_N}, '_', {_ID}, ' import x')", "'from ..up import y'", f"concat('# ', {_TAG}, ': check ', {_K}, '  ')",
-        "CASE WHEN p_partkey % 5 = 0 THEN '@cached' ELSE '' END", f"concat('def ', CASE WHEN p_partkey % 7 = 0 THEN 'test_' ELSE 'run_' END, {_K}, '(x):')", f"concat('    ', {_BRANCHES})", "''",
+        "CASE WHEN p_partkey % 5 = 0 THEN '@cached' ELSE '' END", f"concat('def ', CASE WHEN p_partkey % 7 = 0 THEN 'test_' ELSE 'run_' END, {_K}, '(x):')", f"concat('    pass; ', {_PY_BRANCHES})", "''",
         f"CASE WHEN p_partkey % 3 = 0 THEN concat('def ', {_N}, '(x): return helper_', {_K}, '(x)') ELSE 'z = 1' END", "'class C: pass'",
     ),
     "go": _file_lines(

@@ -77,6 +77,40 @@ def split_identifier(name: Column) -> Column:
     return F.trim(F.regexp_replace(spaced, "([A-Z]+)([A-Z][a-z])", "$1 $2"))
 
 
+def embedding_text(kind: Column, name: Column, name_path: Column, path: Column, signature: Column) -> Column:
+    """What stands for a symbol in vector search: kind, name with its words, owner, folder, file and signature."""
+    words = split_identifier(name)
+    owner = F.regexp_extract(name_path, "^(.+)/[^/]*$", 1)
+    folder = F.regexp_extract(path, "([^/]+)/[^/]*$", 1)
+    base = F.concat(
+        kind,
+        F.lit(" "),
+        F.when(words != name, F.concat(name, F.lit(" ("), words, F.lit(")"))).otherwise(name),
+        F.when(owner != "", F.concat(F.lit(" (in "), owner, F.lit(")"))).otherwise(""),
+        F.when((folder != "") & ~folder.isin("src", "crates"), F.concat(F.lit(" ["), folder, F.lit("]"))).otherwise(""),
+        F.when(path != "", F.concat(F.lit(" in "), F.element_at(F.split(path, "/"), -1))).otherwise(""),
+    )
+    return F.when(signature != "", F.concat(base, F.lit(": "), signature)).otherwise(base)
+
+
+#: What may start a line of a comment above a symbol.
+COMMENT = r"^\s*(?:///?!?|#!?|\*|/\*\*?)\s?"
+
+
+def leading_doc(rows: Column, line: Column) -> Column:
+    """The comment lines right above a line (from 1) of a file's lines, without their marks, joined by spaces."""
+    above = F.reverse(F.slice(rows, 1, F.greatest(line - 1, F.lit(0)).cast("int")))
+    state = F.aggregate(
+        above,
+        F.struct(F.lit(True).alias("on"), F.array().cast("array<string>").alias("out")),
+        lambda acc, x: F.struct(
+            (acc["on"] & x.rlike(COMMENT)).alias("on"),
+            F.when(acc["on"] & x.rlike(COMMENT), F.concat(F.array(F.trim(F.regexp_replace(x, COMMENT, ""))), acc["out"])).otherwise(acc["out"]).alias("out"),
+        ),
+    )
+    return F.array_join(state["out"], " ")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters, digits and _, each followed by its parts; one-character ones are left out."""
     runs = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), 0), lambda x: F.length(x) >= 2)

@@ -2,7 +2,8 @@
 
 Inputs are tables: calls (caller_file, caller_path, callee_name, qualifier), symbols (name, kind, file_path,
 name_path), imports (src, dst: files), bindings (file, local, imported, target, external) of module clauses.
-``imported`` is the name in the other module, ``*`` all of it, null the same name; ``target`` its file.
+``imported`` is the name in the other module, ``*`` all of it, null the same name; ``target`` its file.  What a
+module hands on as a whole has ``*`` as local name too.
 
 No stage pairs calls with all definitions of a name.  A file and a name are a key, names that a file sees
 through its imports are reduced to one target each before they meet the calls, unique names are counted, and
@@ -85,25 +86,33 @@ def _sees(links: DataFrame, defs: DataFrame, name: str) -> DataFrame:
     )
 
 
-def _reexported(rows: DataFrame, file: str, name: str, bindings: DataFrame, defs: DataFrame, out: str) -> DataFrame:
-    """Adds ``out`` (file, name): what a module hands on under a name, or with everything else, if it is defined there."""
-    own = bindings.select(F.col("file").alias(file), F.col("local").alias(name), F.struct("imported", "target").alias("_own"))
-    rest = bindings.where("local = '*'").select(F.col("file").alias(file), F.struct("imported", "target").alias("_rest"))
-    rows = rows.join(own, [file, name], "left").join(rest, file, "left")
-    via = F.coalesce("_own", "_rest")
-    told = F.when(via["imported"] == "*", F.col(name)).otherwise(F.coalesce(via["imported"], F.col(name)))
-    rows = rows.withColumn("_name", told).withColumn("_file", via["target"]).drop("_own", "_rest")
-    there = defs.select(F.col("file").alias("_file"), F.col("name").alias("_name"), F.lit(True).alias("_there"))
-    rows = rows.join(there, ["_file", "_name"], "left")
-    return rows.withColumn(out, F.when(F.col("_there"), F.struct(F.col("_file").alias("file"), F.col("_name").alias("name")))).drop(
-        "_file", "_name", "_there"
-    )
-
+def _exports(bindings: DataFrame, defs: DataFrame) -> DataFrame:
+    """(file, name, own, again): whether a module defines a name, and else where it has from what it hands on.
 
-def _defined(rows: DataFrame, file: str, name: str, defs: DataFrame, out: str) -> DataFrame:
-    """Adds ``out``: whether a file defines a name."""
-    there = defs.select(F.col("file").alias(file), F.col("name").alias(name), F.lit(True).alias(out))
-    return rows.join(there, [file, name], "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    A name that a module binds is handed on from there; all others come from what it hands on as a whole.
+    """
+    there = defs.select(F.col("file").alias("target"), F.col("name").alias("to"))
+    named = bindings.where("target IS NOT NULL").withColumn("to", F.when(F.col("imported") == "*", F.col("local")).otherwise(F.coalesce("imported", "local")))
+    one = named.where("local <> '*'").join(there, ["target", "to"], "left_semi").select("file", F.col("local").alias("name"), "target", "to")
+    taken = bindings.select("file", F.col("local").alias("name"))
+    rest = named.where("local = '*'").select("file", "target").join(there, "target").select("file", F.col("to").alias("name"), "target", "to")
+    rest = rest.join(taken, ["file", "name"], "left_anti")
+    again = F.struct(F.col("target").alias("file"), F.col("to").alias("name"))
+    rows = one.unionByName(rest).select("file", "name", F.lit(False).alias("own"), again.alias("again"))
+    mine = defs.select("file", "name", F.lit(True).alias("own"), F.lit(None).cast("struct<file:string,name:string>").alias("again"))
+    return rows.unionByName(mine).groupBy("file", "name").agg(F.max("own").alias("own"), F.min("again").alias("again"))
+
+
+def _bound(bindings: DataFrame, exports: DataFrame) -> DataFrame:
+    """(file, local, imported, target, inner, goes): bindings with the module that a bound name stands for in its
+    module, and with where a call of the local name goes: (own: whether the module defines it, file, name)."""
+    inner = bindings.where("imported = '*'").select(F.col("file").alias("target"), F.col("local").alias("imported"), F.col("target").alias("inner"))
+    out = exports.select(F.col("file").alias("target"), F.col("name").alias("to"), "own", "again")
+    rows = bindings.join(inner, ["target", "imported"], "left").withColumn("to", F.coalesce("imported", "local")).join(out, ["target", "to"], "left")
+    here = F.struct(F.lit(True).alias("own"), F.col("target").alias("file"), F.col("to").alias("name"))
+    there = F.struct(F.lit(False).alias("own"), F.col("again.file").alias("file"), F.col("again.name").alias("name"))
+    goes = F.when(F.col("own"), here).when(F.col("again").isNotNull(), there)
+    return rows.select("file", "local", "imported", "target", "inner", goes.alias("goes"))
 
 
 def drop_external(calls: DataFrame, bindings: DataFrame) -> DataFrame:
@@ -141,25 +150,20 @@ def resolve(calls: DataFrame, symbols: DataFrame, imports: DataFrame, bindings:
         .drop("n")
     )
     rows = rows.join(declared, ["callee_name", "owner"], "left")
-    rows = _defined(rows, "caller_file", "callee_name", defs, "local")
+    here = defs.select(F.col("file").alias("caller_file"), F.col("name").alias("callee_name"), F.lit(True).alias("local"))
+    rows = rows.join(here, ["caller_file", "callee_name"], "left").withColumn("local", F.coalesce("local", F.lit(False)))
 
-    space = bindings.select(
-        F.col("file").alias("caller_file"), F.col("local").alias("qualifier"), F.col("imported").alias("s_name"), F.col("target").alias("s_file")
+    exports = _exports(bindings, defs)
+    bound = _bound(bindings, exports)
+    space = bound.select(
+        F.col("file").alias("caller_file"), F.col("local").alias("qualifier"), F.col("imported").alias("s_name"), F.col("target").alias("s_file"), F.col("inner").alias("i_file")
     )
     rows = rows.join(space, ["caller_file", "qualifier"], "left")
-    rows = _defined(rows, "s_file", "callee_name", defs, "s_there")
-    rows = _reexported(rows, "s_file", "callee_name", bindings, defs, "s_again")
-    inner = bindings.where("imported = '*'").select(F.col("file").alias("s_file"), F.col("local").alias("s_name"), F.col("target").alias("i_file"))
-    rows = rows.join(inner, ["s_file", "s_name"], "left")
-    rows = _defined(rows, "i_file", "callee_name", defs, "i_there")
-    rows = _reexported(rows, "i_file", "callee_name", bindings, defs, "i_again")
-
-    bound = bindings.select(
-        F.col("file").alias("caller_file"), F.col("local").alias("callee_name"), F.col("imported").alias("b_as"), F.col("target").alias("b_file")
-    )
-    rows = rows.join(bound, ["caller_file", "callee_name"], "left").withColumn("b_name", F.coalesce("b_as", "callee_name"))
-    rows = _defined(rows, "b_file", "b_name", defs, "b_there")
-    rows = _reexported(rows, "b_file", "b_name", bindings, defs, "b_again")
+    for side in "si":
+        seen = exports.select(F.col("file").alias(f"{side}_file"), F.col("name").alias("callee_name"), F.col("own").alias(f"{side}_there"), F.col("again").alias(f"{side}_again"))
+        rows = rows.join(seen, [f"{side}_file", "callee_name"], "left").withColumn(f"{side}_there", F.coalesce(f"{side}_there", F.lit(False)))
+    direct = bound.select(F.col("file").alias("caller_file"), F.col("local").alias("callee_name"), F.col("goes").alias("bound"))
+    rows = rows.join(direct, ["caller_file", "callee_name"], "left")
 
     keys = ["caller_file", "callee_name"]
     rows = rows.join(_sees(imports.select("src", F.col("dst").alias("file")).distinct(), defs, "imported"), keys, "left")
@@ -202,8 +206,8 @@ def resolve(calls: DataFrame, symbols: DataFrame, imports: DataFrame, bindings:
         to(namespace & has("s_again").isNotNull(), "import_reexport_map", F.col("s_again.file"), F.col("s_again.name")),
         to(~namespace & has("i_there"), "import_reexport_map", "i_file"),
         to(~namespace & has("i_again").isNotNull(), "import_reexport_map", F.col("i_again.file"), F.col("i_again.name")),
-        to(has("b_there"), "import_map", "b_file", "b_name"),
-        to(has("b_again").isNotNull(), "import_reexport_map", F.col("b_again.file"), F.col("b_again.name")),
+        to(F.coalesce("bound.own", F.lit(False)), "import_map", F.col("bound.file"), F.col("bound.name")),
+        to(has("bound").isNotNull(), "import_reexport_map", F.col("bound.file"), F.col("bound.name")),
         to(has("imported").isNotNull(), "import_map", "imported"),
         to(has("suffixed").isNotNull(), "import_suffix", "suffixed"),
         to(has("only").isNotNull() & has("lang").isin(*BINDING_LANGUAGES) & (has("only") != has("caller_file")), "path_proximity", "only"),

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
 from quarry.operators.lookup import lines
 
 
@@ -51,3 +53,66 @@ def safe_delete(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> Dat
     callers, importers = (F.coalesce(c, F.lit(0)).cast("long") for c in ("n", "m"))
     rows = symbols.select("name").distinct().join(n, "name", "left").join(users, "name", "left")
     return rows.select("name", callers.alias("callers"), importers.alias("importers"), (callers + importers == 0).alias("safe"))
+
+
+# How a function without parameters is written and called, by file type.
+SHAPES = {
+    "py": ("def {0}():\n{1}\n", "{2}{0}()"),
+    "js": ("function {0}() {{\n{1}\n}}\n", "{2}{0}();"),
+    "rs": ("fn {0}() {{\n{1}\n}}\n", "{2}{0}();"),
+    "go": ("func {0}() {{\n{1}\n}}\n", "{2}{0}()"),
+}
+
+
+def _filled(shape: str, *values: Column) -> Column:
+    parts = re.split(r"(\{\d\})", shape)
+    text = lambda x: F.lit(x.replace("{{", "{").replace("}}", "}"))
+    return F.concat(*[values[int(x[1])] if re.fullmatch(r"\{\d\}", x) else text(x) for x in parts if x])
+
+
+def extract(files: DataFrame, spans: DataFrame) -> DataFrame:
+    """(id, valid, definition, call): lines (id, start, stop, name) as a function of their own, and what stands for them.
+
+    Ranges that the file does not have, and file types without a shape, are not valid and have neither.
+    """
+    rows = files.join(spans, "id").withColumn("rows", F.split("content", "\n"))
+    ext = T.extension(F.col("relative_path"))
+    ext = F.when(ext.isin("jsx", "ts", "tsx", "mjs", "cjs"), "js").otherwise(ext)
+    ok = (F.col("start") >= 1) & (F.col("stop") >= F.col("start")) & (F.col("stop") <= F.size("rows")) & ext.isin(*SHAPES)
+    taken = F.slice("rows", F.greatest(F.col("start"), F.lit(1)).cast("int"), F.greatest(F.col("stop") - F.col("start") + 1, F.lit(0)).cast("int"))
+    rows = rows.withColumn("ext", ext).withColumn("valid", ok).withColumn("taken", taken)
+    rows = rows.withColumn("indent", F.regexp_extract(F.coalesce(F.get("taken", 0), F.lit("")), r"^\s*", 0))
+    cut = F.transform(
+        "taken",
+        lambda x: F.concat(
+            F.lit("    "),
+            F.when(x.startswith(F.col("indent")) & (F.length(x) > F.length("indent")), F.substring(x, F.length("indent") + 1, F.length(x))).otherwise(F.trim(x)),
+        ),
+    )
+    values = (F.col("name"), F.array_join(cut, "\n"), F.col("indent"))
+    shape = lambda i: reduce(lambda acc, kv: acc.when(F.col("ext") == kv[0], _filled(kv[1][i], *values)), SHAPES.items(), F)
+    return rows.select("id", "valid", F.when(F.col("valid"), shape(0)).alias("definition"), F.when(F.col("valid"), shape(1)).alias("call"))
+
+
+def inline(files: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """(id, line_no, action, after): one-line functions (id, line_no, name, target) taken out, and their calls by what they forward to.
+
+    Calls are inlined within the file of the definition; arguments stay as they are.
+    """
+    rows = lines(files).join(wrappers.select("id", F.col("line_no").alias("at"), "name", "target"), "id")
+    word = F.concat(F.lit(r"\b"), "name", F.lit(r"\("))
+    gone = rows.where(F.col("line_no") == F.col("at")).select("id", "line_no", F.lit("remove").alias("action"), F.lit("").alias("after"))
+    used = rows.where((F.col("line_no") != F.col("at")) & F.regexp_like("line", word))
+    after = F.regexp_replace("line", word, F.concat("target", F.lit("(")))
+    return gone.unionAll(used.select("id", "line_no", F.lit("replace").alias("action"), after.alias("after")))
+
+
+def change_signature(files: DataFrame, name: str, parameters: str) -> DataFrame:
+    """(id, line_no, action, after): definitions with new parameters, and the calls that have to be looked at."""
+    word = re.escape(name)
+    define = rf"\b(?:fn|def|function|func)\s+{word}\s*\([^)]*\)"
+    rows = lines(files.where(F.col("content").rlike(rf"\b{word}\s*\("))).where(F.col("line").rlike(rf"\b{word}\s*\("))
+    new = parameters.replace("\\", "\\\\").replace("$", "\\$")
+    after = F.regexp_replace("line", rf"(\b(?:fn|def|function|func)\s+{word}\s*)\([^)]*\)", f"$1({new})")
+    own = F.col("line").rlike(define)
+    return rows.select("id", "line_no", F.when(own, "replace").otherwise("review").alias("action"), F.when(own, after).otherwise(F.col("line")).alias("after"))

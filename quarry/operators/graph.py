@@ -22,22 +22,64 @@ def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
 
 
-def pagerank(edges: DataFrame, indexed: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
+#: A graph of at most so many edges (16 bytes each) is taken by one task.
+RESIDUE = 4_000_000
+
+
+def _table(batches) -> pa.Table | None:
+    parts = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(parts) if parts else None
+
+
+def _ranker(rounds: int):
+    """Ranks of a whole graph: rows (src, dst), with a null dst for a node and a null src for an indexed one."""
+
+    def run(batches):
+        table = _table(batches)
+        if table is None:
+            return
+        src, dst = table.column("src"), table.column("dst")
+        ends = pa.chunked_array([*src.chunks, *dst.chunks]).combine_chunks()
+        coded = ends.dictionary_encode()
+        names, codes = coded.dictionary, coded.indices.fill_null(-1).to_numpy()
+        u, v = codes[: table.num_rows], codes[table.num_rows :]
+        known = np.zeros(len(names), bool)
+        known[v[u < 0]] = True
+        edge = (u >= 0) & (v >= 0)
+        u, v = u[edge], v[edge]
+        out = np.bincount(u, minlength=len(names)).astype(float)
+        u, v = u[known[v]], v[known[v]]
+        n = known.sum()
+        score = np.where(known, 1.0 / max(n, 1), 0.0)
+        for _ in range(rounds):
+            into = np.bincount(v, score[u] / out[u], len(names)) if len(u) else 0.0
+            score = np.where(known, (1 - DAMPING) / max(n, 1) + DAMPING * into, 0.0)
+        keep = pa.array(known)
+        yield pa.RecordBatch.from_arrays([names.filter(keep), pa.array(score).filter(keep)], ["node", "score"])
+
+    return run
+
+
+def pagerank(edges: DataFrame, indexed: DataFrame | None = None, rounds: int = ROUNDS, residue: int = RESIDUE) -> DataFrame:
     """(node, score) after a fixed number of synchronous rounds.
 
     Out-degrees count edges to targets that are not indexed; what leaves that way, or from nodes without
-    edges, is lost and not handed out again.  Each round is one join on the edge's source and one
-    partially combined sum, over an edge table that is made once, with its out-degrees.
+    edges, is lost and not handed out again.  A graph that fits the bound is ranked by one task.  For a larger
+    one each round is one join on the edge's source and one partially combined sum, over an edge table that is
+    made once, with its out-degrees.
     """
     shared_dir(edges.sparkSession)
-    known = (indexed if indexed is not None else nodes(edges)).select("node").distinct().checkpoint()
+    edges = written(edges.select("src", "dst"), "rank-edges")
+    known = written((indexed if indexed is not None else nodes(edges)).select("node").distinct(), "rank-nodes")
     n = known.count()
-    if not n:
-        return known.select("node", F.lit(0.0).alias("score"))
+    if edges.count() + n <= residue:
+        kind = dict(known.dtypes)["node"]
+        rows = edges.unionAll(known.select(F.lit(None).cast(kind).alias("src"), F.col("node").alias("dst")))
+        return rows.repartition(1).mapInArrow(_ranker(rounds), f"node {kind}, score double")
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     laid = edges.join(degree, "src").join(known.select(F.col("node").alias("dst")), "dst", "left_semi").checkpoint()
-    base = (1 - DAMPING) / n
-    rank = known.select("node", F.lit(1.0 / n).alias("score"))
+    base = (1 - DAMPING) / max(n, 1)
+    rank = known.select("node", F.lit(1.0 / max(n, 1)).alias("score"))
     for i in range(rounds):
         into = (
             laid.join(rank, laid["src"] == rank["node"])
@@ -80,16 +122,11 @@ def flip(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-#: A graph of at most so many edges (16 bytes each) is taken by one task.
-RESIDUE = 4_000_000
-
-
 def _strong(batches):
     """(node, component) of a whole edge list: depth-first search with low links, without recursion."""
-    parts = list(batches)
-    if not parts:
+    table = _table(batches)
+    if table is None:
         return
-    table = pa.Table.from_batches(parts)
     names, ends = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("src", "dst")]), return_inverse=True)
     src, dst = ends[: table.num_rows], ends[table.num_rows :]
     order = np.argsort(src, kind="stable")
@@ -320,6 +357,16 @@ def module_edges(edges: DataFrame, modules: DataFrame) -> DataFrame:
     )
 
 
+def leaks(edges: DataFrame, modules: DataFrame) -> DataFrame:
+    """(module, inside, outgoing, leak): a module's edges that stay in it, those that leave it, and their share."""
+    a = modules.select(F.col("node").alias("src"), "module")
+    b = modules.select(F.col("node").alias("dst"), F.col("module").alias("other"))
+    rows = edges.distinct().join(a, "src").join(b, "dst").groupBy("module").agg(
+        F.count_if(F.col("module") == F.col("other")).alias("inside"), F.count_if(F.col("module") != F.col("other")).alias("outgoing")
+    )
+    return rows.withColumn("leak", F.round(F.col("outgoing") / (F.col("inside") + F.col("outgoing")), 6))
+
+
 def mermaid(rollup: DataFrame, limit: int = 20) -> DataFrame:
     """One text: the strongest module edges as a diagram."""
     top = rollup.orderBy(F.col("file_pair_count").desc(), "from_module", "to_module").limit(limit)

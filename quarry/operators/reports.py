@@ -158,15 +158,10 @@ def workspaces(files: DataFrame) -> DataFrame:
     return files.where(name.isin(*MARKERS)).select(T.directory(F.col("relative_path")).alias("root"), kinds[name].alias("kind")).distinct()
 
 
-#: Words of a question that stand for words of code.
-BRIDGES = (("ring", "small_ring"), ("button", "widget"), ("cog", "gear"), ("screw", "bolt"))
-
-
-def bridged(queries: DataFrame) -> DataFrame:
-    """(query_id, term): code terms for the words of each query."""
-    table = queries.sparkSession.createDataFrame(list(BRIDGES), "word string, term string")
+def bridged(queries: DataFrame, bridges: DataFrame) -> DataFrame:
+    """(query_id, term): code terms (word, term) for the words of each query."""
     words = queries.select("query_id", F.explode(F.split(F.lower("query"), "[^a-z0-9]+")).alias("word"))
-    return words.join(F.broadcast(table), "word").select("query_id", "term").distinct()
+    return bridges.join(batch(words), "word").select("query_id", "term").distinct()
 
 
 def analyzed(queries: DataFrame) -> DataFrame:
@@ -179,10 +174,114 @@ def analyzed(queries: DataFrame) -> DataFrame:
     )
 
 
-def expanded(queries: DataFrame) -> DataFrame:
-    """(query_id, term): neighbouring words of a query joined as identifiers, in snake and Pascal case."""
-    w = F.filter(F.split(F.lower("query"), "[^a-z0-9]+"), lambda x: x != "")
-    grams = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n)))
-    both = F.concat(F.coalesce(grams(2), F.array().cast("array<array<string>>")), F.coalesce(grams(3), F.array().cast("array<array<string>>")))
-    terms = F.transform(both, lambda g: F.array(F.array_join(g, "_"), F.array_join(F.transform(g, lambda x: F.initcap(x)), "")))
-    return queries.select("query_id", w.alias("w")).select("query_id", F.explode(F.array_distinct(F.flatten(terms))).alias("term"))
+def expanded(queries: DataFrame, aliases: list[tuple[tuple[str, ...], tuple[str, ...]]] | None = None) -> DataFrame:
+    """(query_id, term): a query as it is, with its words joined as identifiers, its own identifier in other cases, and aliases.
+
+    Two to six words of three characters or more are joined in twos and threes in snake case, and all in camel and
+    Pascal case.  ``aliases`` are a project's own: the terms of a rule come in if a query has all of its words.
+    """
+    none = F.array().cast("array<string>")
+    title = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))
+    q = F.trim("query")
+    words = F.filter(F.split(F.lower(q), r"\s+"), lambda x: F.length(x) > 2)
+    camel = lambda w, rest: F.concat(w[0], F.array_join(F.transform(F.slice(w, 2, F.size(w)), rest), ""))
+
+    def grams(w: Column, n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), "_"))
+        return F.when(F.size(w) >= n, each).otherwise(none)
+
+    def of_words(w: Column) -> Column:
+        both = F.concat(grams(w, 2), grams(w, 3), F.array(camel(w, title), F.array_join(F.transform(w, title), "")))
+        return F.when(F.size(w).between(2, 6), both).otherwise(none)
+
+    parts = F.filter(F.split(q, "_"), lambda x: x != "")
+    from_snake = F.transform(F.array(parts), lambda w: F.concat(F.lower(w[0]), F.array_join(F.transform(F.slice(w, 2, F.size(w)), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, F.lit(2), F.length(x))))), "")))
+    snake = F.when(F.contains(q, F.lit("_")) & ~F.contains(q, F.lit(" ")) & (F.size(parts) > 0), from_snake).otherwise(none)
+    lowered = F.lower(F.regexp_replace(q, r"(?<=.)(\p{Lu})", "_$1"))
+    from_camel = F.when(q.rlike(r"\p{Lu}") & ~F.contains(q, F.lit(" ")), F.array(lowered)).otherwise(none)
+    own = [
+        F.when(reduce(lambda x, y: x & y, [F.contains(F.lower(q), F.lit(w)) for w in need]), F.array(*[F.lit(t) for t in terms])).otherwise(none)
+        for need, terms in aliases or []
+    ]
+    terms = F.concat(F.array(q), T.let(words, of_words), snake, from_camel, *own)
+    return queries.select("query_id", F.explode(F.array_distinct(terms)).alias("term"))
+
+
+#: Importers that a report lists of each file.
+IMPORTERS = 20
+
+
+def importers(edges: DataFrame, roots: DataFrame, most: int = IMPORTERS) -> DataFrame:
+    """(root, importer, limit_hit): the first importers of each root, and whether there are more."""
+    rows = edges.join(small(roots.select(F.col("root").alias("dst"))), "dst").select(F.col("dst").alias("root"), F.col("src").alias("importer")).distinct()
+    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy("importer"))).where(F.col("n") <= most + 1)
+    hit = ranked.groupBy("root").agg((F.max("n") > most).alias("limit_hit"))
+    return ranked.where(F.col("n") <= most).drop("n").join(hit, "root").select("root", "importer", "limit_hit")
+
+
+def impact(edges: DataFrame, symbols: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
+    """(root, file, depth, symbol_count): what a change of each root may reach, and how many symbols each such file has."""
+    counts = symbols.groupBy(F.col("file").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    return graph.reach(edges, roots, depth).join(counts, "node", "left").select(
+        "root", F.col("node").alias("file"), "depth", F.coalesce("n", F.lit(0)).cast("long").alias("symbol_count")
+    )
+
+
+#: Least strength and number of joint commits, and least likeness, that a boundary report lists.
+COUPLED, TOGETHER, ALIKE = 0.3, 3, 0.12
+
+
+def boundary(edges: DataFrame, symbols: DataFrame, commits: DataFrame, alike: DataFrame, root: DataFrame) -> DataFrame:
+    """(section, item, value): what crosses a file's boundary: files that a change reaches within two steps, the cycle
+    that it is in, files that change with it, and up to five others that are most like it (file, other, score)."""
+    reached = impact(edges, symbols, root, 2).select(F.lit("affected").alias("section"), F.col("file").cast("string").alias("item"), F.col("depth").cast("double").alias("value"))
+    loops = graph.cycles(edges)
+    own = loops.join(root.select(F.col("root").alias("node")), "node").select("component")
+    ring = loops.join(own, "component").join(root.select(F.col("root").alias("node")), "node", "left_anti")
+    ring = ring.select(F.lit("cycle"), F.col("node").cast("string"), F.lit(1.0))
+    with_ = graph.coupling(commits, TOGETHER, COUPLED)
+    r = root.select(F.col("root").alias("r"))
+    pairs = with_.join(r, F.col("r") == F.col("file_a")).select(F.col("file_b").alias("f"), "strength")
+    pairs = pairs.unionAll(with_.join(r, F.col("r") == F.col("file_b")).select("file_a", "strength"))
+    coupled = pairs.select(F.lit("coupled"), F.col("f").cast("string"), F.round("strength", 6))
+    near = alike.join(root.select(F.col("root").alias("file")), "file").where((F.col("score") > ALIKE) & (F.col("other") != F.col("file")))
+    near = near.orderBy(F.col("score").desc(), "other").limit(5).select(F.lit("alike"), F.col("other").cast("string"), "score")
+    return reduce(DataFrame.unionAll, [reached, ring, coupled, near])
+
+
+def refactor_safety(edges: DataFrame, symbols: DataFrame, calls: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, name, callers, affected, risk) of each symbol (name, file) of some files: who calls it, and how far its file reaches."""
+    mine = symbols.join(small(files.select("file").distinct()), "file").select("file", "name").distinct()
+    n = calls.groupBy(F.col("callee_name").alias("name")).agg(F.countDistinct("caller_file").alias("callers"))
+    far = graph.reach(edges, files.select(F.col("file").alias("root")).distinct(), 2).groupBy(F.col("root").alias("file")).agg(F.count(F.lit(1)).alias("affected"))
+    rows = mine.join(n, "name", "left").join(far, "file", "left").na.fill(0, ["callers", "affected"])
+    risk = F.when((F.col("callers") > MANY_REFERENCES[0]) | (F.col("affected") > MANY_REFERENCES[1]), "high").when(F.col("callers") > 0, "medium").otherwise("low")
+    return rows.select("file", "name", "callers", "affected", risk.alias("risk"))
+
+
+def safe_rename(symbols: DataFrame, calls: DataFrame, renames: DataFrame) -> DataFrame:
+    """(name, new_name, definitions, references, collisions, status) of each rename (name, new_name).
+
+    Blocked if a file that defines the name has the new one already, or nothing defines it; caution if several do.
+    """
+    asked = small(renames.select("name", "new_name").distinct())
+    defs = symbols.join(asked, "name").select("name", "new_name", "file_path").distinct()
+    d = defs.groupBy("name", "new_name").agg(F.count(F.lit(1)).alias("definitions"))
+    c = defs.join(symbols.select(F.col("name").alias("new_name"), "file_path").distinct(), ["new_name", "file_path"])
+    c = c.groupBy("name", "new_name").agg(F.count(F.lit(1)).alias("collisions"))
+    r = calls.join(asked, F.col("callee_name") == F.col("name")).groupBy("name", "new_name").agg(F.count(F.lit(1)).alias("references"))
+    keys = ["name", "new_name"]
+    rows = renames.select(*keys).distinct().join(d, keys, "left").join(r, keys, "left").join(c, keys, "left")
+    rows = rows.na.fill(0, ["definitions", "references", "collisions"])
+    status = F.when((F.col("collisions") > 0) | (F.col("definitions") == 0), "blocked").when(F.col("definitions") > 1, "caution").otherwise("ready")
+    return rows.select(*keys, "definitions", "references", "collisions", status.alias("status"))
+
+
+def change_request(ranked: DataFrame, docs: DataFrame, changed: DataFrame, most: int = 5) -> DataFrame:
+    """(query_id, file_path, changed, rank): files to look at for each request, changed ones first, without tests and benchmarks."""
+    hits = ranked.join(docs.select("id", "file_path"), "id").groupBy("query_id", "file_path").agg(F.min("rank").alias("first"))
+    new = changed.select("file_path").distinct().withColumn("changed", F.lit(True))
+    rows = hits.join(new, "file_path", "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
+    rows = rows.where(~T.is_test_path(F.col("file_path")) & ~F.col("file_path").rlike("(^|/)(bench|benches|benchmarks)/"))
+    by = Window.partitionBy("query_id").orderBy(F.col("changed").desc(), "first", "file_path")
+    return rows.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= most).select("query_id", "file_path", "changed", "rank")

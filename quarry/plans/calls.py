@@ -314,3 +314,37 @@ def index_definitions(spark, d):
     )
     found = reports.occurrences_at(occ, uses.select("file", "line").distinct())
     return found.join(uses, ["file", "line", "symbol"], "left_semi").select("file", "line", "symbol", "def_file", "def_line").distinct()
+
+
+@register(
+    "safe_rename_report",
+    f"""WITH {_BASE}, r AS (SELECT DISTINCT name, CASE WHEN line < 25 THEN 'fresh_name' ELSE (SELECT name FROM code WHERE id = 2) END AS new_name FROM code WHERE brand = 'Brand#7' UNION SELECT 'ghost', 'fresh_name'),
+d AS (SELECT name, count(DISTINCT file_path) AS n FROM code GROUP BY 1), c AS (SELECT callee_name AS name, count(*) AS n FROM calls GROUP BY 1),
+k AS (SELECT r.name, r.new_name, count(DISTINCT a.file_path) AS n FROM r JOIN code a ON a.name = r.name JOIN code b ON b.name = r.new_name AND b.file_path = a.file_path GROUP BY 1, 2)
+SELECT r.name, r.new_name, coalesce(d.n, 0) AS definitions, coalesce(c.n, 0) AS "references", coalesce(k.n, 0) AS collisions,
+  CASE WHEN coalesce(k.n, 0) > 0 OR coalesce(d.n, 0) = 0 THEN 'blocked' WHEN d.n > 1 THEN 'caution' ELSE 'ready' END AS status
+FROM r LEFT JOIN d USING (name) LEFT JOIN c USING (name) LEFT JOIN k ON k.name = r.name AND k.new_name = r.new_name""",
+)
+def safe_rename_report(spark, d):
+    c = A.code(spark, d)
+    second = c.where("id = 2").first().name
+    asked = c.where("brand = 'Brand#7'").select("name", F.when(F.col("line") < 25, "fresh_name").otherwise(second).alias("new_name"))
+    asked = asked.unionAll(spark.createDataFrame([("ghost", "fresh_name")], "name string, new_name string")).distinct()
+    return reports.safe_rename(c, _calls(spark, d), asked)
+
+
+@register(
+    "refactor_safety_report",
+    f"""WITH RECURSIVE {_BASE}, fi AS (SELECT DISTINCT file_path AS file FROM code WHERE brand = 'Brand#7'),
+b(root, node, depth) AS (SELECT file, file, 0 FROM fi UNION SELECT root, imp.src, depth + 1 FROM b JOIN imp ON imp.dst = b.node WHERE depth < 2),
+f AS (SELECT root AS file, count(DISTINCT node) AS affected FROM b WHERE node NOT IN (SELECT node FROM b x WHERE x.root = b.root AND x.depth = 0) GROUP BY 1),
+n AS (SELECT callee_name AS name, count(DISTINCT caller_file) AS callers FROM calls GROUP BY 1)
+SELECT s.file, s.name, coalesce(callers, 0) AS callers, coalesce(affected, 0) AS affected,
+  CASE WHEN coalesce(callers, 0) > 20 OR coalesce(affected, 0) > 100 THEN 'high' WHEN coalesce(callers, 0) > 0 THEN 'medium' ELSE 'low' END AS risk
+FROM (SELECT DISTINCT file_path AS file, name FROM code JOIN fi ON fi.file = file_path) s LEFT JOIN f USING (file) LEFT JOIN n USING (name)""",
+)
+def refactor_safety_report(spark, d):
+    c = A.code(spark, d)
+    symbols = c.select(F.col("file_path").alias("file"), "name")
+    files = c.where("brand = 'Brand#7'").select(F.col("file_path").alias("file"))
+    return reports.refactor_safety(A.code_imports(c), symbols, _calls(spark, d), files)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry import adapters as A
 from quarry.functions import text as T
-from quarry.operators import graph, lookup, reports, types
+from quarry.operators import graph, lookup, reports, types, vector
 from quarry.registry import register
 
 E = f"e AS ({A.EDGES_SQL})"
@@ -218,21 +218,64 @@ def architecture_overview(spark, d):
     return lookup.dir_stats(s).join(fan, "dir", "left").select("dir", "files", "symbols", F.coalesce("fan_in", zero).alias("fan_in"))
 
 
+_ROOTS_SQL = "ro AS (SELECT CAST(x AS BIGINT) AS root FROM (SELECT unnest([1, 7, 42]) AS x))"
+
+
+@register(
+    "direct_importers",
+    f"""WITH {E}, {_ROOTS_SQL}, r AS (SELECT root, src AS importer, row_number() OVER (PARTITION BY root ORDER BY src) AS n, count(*) OVER (PARTITION BY root) AS c FROM ro JOIN e ON e.dst = root)
+SELECT root, importer, c > 20 AS limit_hit FROM r WHERE n <= 20""",
+)
+def direct_importers(spark, d):
+    return reports.importers(A.edges(spark, d), _roots(spark))
+
+
+@register(
+    "impact_report",
+    f"""SELECT x.root, x.node AS file, x.depth, p_size % 4 + 1 AS symbol_count FROM ({_REACH.format(to="src", at="dst", max=2)}) x JOIN part ON p_partkey = x.node""",
+)
+def impact_report(spark, d):
+    p = A.table(spark, d, "part")
+    symbols = p.select(F.col("p_partkey").alias("file"), F.explode(F.sequence(F.lit(0), F.col("p_size") % 4)).alias("n"))
+    return reports.impact(A.edges(spark, d), symbols, _roots(spark), 2)
+
+
+_MODULE_EDGES = f"SELECT DISTINCT src, dst FROM ({A.PACKAGE_EDGES_SQL})"
+_NORMS = "sqrt(list_sum(list_transform({0}, lambda z: CAST(z AS DOUBLE) * z)))"
+
+
 @register(
     "boundary_report",
+    f"""WITH RECURSIVE e AS ({_MODULE_EDGES}), {_CYCLES.format(e='e')},
+b(node, depth) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT e.src, depth + 1 FROM b JOIN e ON e.dst = b.node WHERE depth < 2),
+c AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS f FROM lineitem), k AS (SELECT f, count(*) AS n FROM c GROUP BY 1 HAVING count(*) >= 3),
+p AS (SELECT y.f, count(*) AS together FROM c x JOIN c y ON x.o = y.o AND x.f = 1 AND y.f <> 1 JOIN k ON k.f = y.f GROUP BY 1),
+v AS (SELECT vec_id AS id, embedding FROM embeddings),
+s AS (SELECT b.id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * z[2])) / ({_NORMS.format("a.embedding")} * {_NORMS.format("b.embedding")}), 6) AS score
+  FROM v a JOIN v b ON a.id = 1 AND b.id <> 1)
+SELECT 'affected' AS section, CAST(node AS VARCHAR) AS item, CAST(min(depth) AS DOUBLE) AS value FROM b GROUP BY node HAVING min(depth) > 0
+UNION ALL SELECT 'cycle', CAST(node AS VARCHAR), 1.0 FROM m WHERE component = (SELECT component FROM m WHERE node = 1) AND node <> 1
+UNION ALL SELECT 'coupled', CAST(p.f AS VARCHAR), round(together / greatest(k.n, (SELECT n FROM k WHERE f = 1)), 6) FROM p JOIN k ON k.f = p.f WHERE together >= 3 AND together / greatest(k.n, (SELECT n FROM k WHERE f = 1)) >= 0.3
+UNION ALL SELECT * FROM (SELECT 'alike', CAST(id AS VARCHAR), score FROM s WHERE score > 0.12 ORDER BY score DESC, id LIMIT 5)""",
+)
+def boundary_report(spark, d):
+    root = spark.createDataFrame([(1,)], "root long")
+    commits = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("file")).distinct()
+    v = A.symbol_vectors(spark, d)
+    one = v.where("id = 1").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    alike = vector.scores(v, one).select(F.col("query_id").alias("file"), F.col("id").alias("other"), "score")
+    symbols = A.table(spark, d, "part").select(F.col("p_partkey").alias("file"))
+    return reports.boundary(A.package_edges(spark, d).distinct(), symbols, commits, alike, root)
+
+
+@register(
+    "module_leaks",
     f"""WITH {E}, {_MOD}, x AS (SELECT a.module AS module, count(*) FILTER (b.module = a.module) AS inside, count(*) FILTER (b.module <> a.module) AS outgoing FROM e JOIN m a ON a.node = src JOIN m b ON b.node = dst GROUP BY 1)
 SELECT module, inside, outgoing, round(outgoing / (inside + outgoing), 6) AS leak FROM x""",
 )
-def boundary_report(spark, d):
-    m = A.table(spark, d, "part").select(
-        F.col("p_partkey").alias("node"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("module")
-    )
-    a = m.select(F.col("node").alias("src"), "module")
-    b = m.select(F.col("node").alias("dst"), F.col("module").alias("other"))
-    rows = A.edges(spark, d).join(a, "src").join(b, "dst").groupBy("module").agg(
-        F.count_if(F.col("module") == F.col("other")).alias("inside"), F.count_if(F.col("module") != F.col("other")).alias("outgoing")
-    )
-    return rows.withColumn("leak", F.round(F.col("outgoing") / (F.col("inside") + F.col("outgoing")), 6))
+def module_leaks(spark, d):
+    m = A.table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("module"))
+    return graph.leaks(A.edges(spark, d), m)
 
 
 @register(

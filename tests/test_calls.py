@@ -160,7 +160,7 @@ def test_random_projects_match_plain_loops(spark, seed):
     for _ in range(240):
         file, local = rnd.choice(paths), rnd.choice([*names, "ns", "*"])
         target = rnd.choice([*paths, None])
-        bindings[file, local] = (file, local, rnd.choice([*names, "*", "*", "ns"]), target, target is None)
+        bindings[file, local] = (file, local, "*" if local == "*" else rnd.choice([*names, "*", "*", "ns"]), target, target is None)
     sites = [
         call(i, rnd.choice(paths), rnd.choice(names), rnd.choice([None, None, "ns", "Self", "a::Alpha<T>", "Beta", "n1"]), rnd.choice(["run", "Alpha/run"]))
         for i in range(800)

@@ -77,6 +77,12 @@ def test_pagerank_leaks_to_targets_that_are_not_indexed(spark):
     e = edges(spark, ("a", "b"), ("a", "external"))
     known = spark.createDataFrame([("a",), ("b",)], "node string")
     got = {r.node: r.score for r in graph.pagerank(e, known).collect()}
+    assert {r.node: r.score for r in graph.pagerank(e, known, residue=0).collect()} == pytest.approx(got)
+    assert graph.pagerank(e.limit(0)).count() == 0
+    rnd = random.Random(2)
+    e2 = edges(spark, *{(f"n{rnd.randrange(40)}", f"n{rnd.randrange(40)}") for _ in range(150)})
+    by_rounds = {r.node: r.score for r in graph.pagerank(e2, residue=0).collect()}
+    assert {r.node: r.score for r in graph.pagerank(e2).collect()} == pytest.approx(by_rounds)
     assert got["a"] == pytest.approx(0.075) and got["b"] == pytest.approx(0.075 + 0.85 * 0.075 / 2)
     assert sum(got.values()) < 1
 
