@@ -231,7 +231,9 @@ def impact(edges: DataFrame, symbols: DataFrame, roots: DataFrame, depth: int =
 COUPLED, TOGETHER, ALIKE = 0.3, 3, 0.12
 
 
-def boundary(edges: DataFrame, symbols: DataFrame, commits: DataFrame, alike: DataFrame, root: DataFrame) -> DataFrame:
+def boundary(
+    edges: DataFrame, symbols: DataFrame, commits: DataFrame, alike: DataFrame, root: DataFrame, coupled: float = COUPLED, together: int = TOGETHER
+) -> DataFrame:
     """(section, item, value): what crosses a file's boundary: files that a change reaches within two steps, the cycle
     that it is in, files that change with it, and up to five others that are most like it (file, other, score)."""
     reached = impact(edges, symbols, root, 2).select(F.lit("affected").alias("section"), F.col("file").cast("string").alias("item"), F.col("depth").cast("double").alias("value"))
@@ -239,14 +241,14 @@ def boundary(edges: DataFrame, symbols: DataFrame, commits: DataFrame, alike: Da
     own = loops.join(root.select(F.col("root").alias("node")), "node").select("component")
     ring = loops.join(own, "component").join(root.select(F.col("root").alias("node")), "node", "left_anti")
     ring = ring.select(F.lit("cycle"), F.col("node").cast("string"), F.lit(1.0))
-    with_ = graph.coupling(commits, TOGETHER, COUPLED)
+    with_ = graph.coupling(commits, together, coupled)
     r = root.select(F.col("root").alias("r"))
     pairs = with_.join(r, F.col("r") == F.col("file_a")).select(F.col("file_b").alias("f"), "strength")
     pairs = pairs.unionAll(with_.join(r, F.col("r") == F.col("file_b")).select("file_a", "strength"))
-    coupled = pairs.select(F.lit("coupled"), F.col("f").cast("string"), F.round("strength", 6))
+    joint = pairs.select(F.lit("coupled"), F.col("f").cast("string"), F.round("strength", 6))
     near = alike.join(root.select(F.col("root").alias("file")), "file").where((F.col("score") > ALIKE) & (F.col("other") != F.col("file")))
     near = near.orderBy(F.col("score").desc(), "other").limit(5).select(F.lit("alike"), F.col("other").cast("string"), "score")
-    return reduce(DataFrame.unionAll, [reached, ring, coupled, near])
+    return reduce(DataFrame.unionAll, [reached, ring, joint, near])
 
 
 def refactor_safety(edges: DataFrame, symbols: DataFrame, calls: DataFrame, files: DataFrame) -> DataFrame:

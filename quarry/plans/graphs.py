@@ -247,25 +247,25 @@ _NORMS = "sqrt(list_sum(list_transform({0}, lambda z: CAST(z AS DOUBLE) * z)))"
 @register(
     "boundary_report",
     f"""WITH RECURSIVE e AS ({_MODULE_EDGES}), {_CYCLES.format(e='e')},
-b(node, depth) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT e.src, depth + 1 FROM b JOIN e ON e.dst = b.node WHERE depth < 2),
-c AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS f FROM lineitem), k AS (SELECT f, count(*) AS n FROM c GROUP BY 1 HAVING count(*) >= 3),
-p AS (SELECT y.f, count(*) AS together FROM c x JOIN c y ON x.o = y.o AND x.f = 1 AND y.f <> 1 JOIN k ON k.f = y.f GROUP BY 1),
+b(node, depth) AS (SELECT CAST(69 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT e.src, depth + 1 FROM b JOIN e ON e.dst = b.node WHERE depth < 2),
+c AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS f FROM lineitem), k AS (SELECT f, count(*) AS n FROM c GROUP BY 1 HAVING count(*) >= 2),
+p AS (SELECT y.f, count(*) AS together FROM c x JOIN c y ON x.o = y.o AND x.f = 69 AND y.f <> 69 JOIN k ON k.f = y.f GROUP BY 1),
 v AS (SELECT vec_id AS id, embedding FROM embeddings),
 s AS (SELECT b.id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * z[2])) / ({_NORMS.format("a.embedding")} * {_NORMS.format("b.embedding")}), 6) AS score
-  FROM v a JOIN v b ON a.id = 1 AND b.id <> 1)
+  FROM v a JOIN v b ON a.id = 69 AND b.id <> 69)
 SELECT 'affected' AS section, CAST(node AS VARCHAR) AS item, CAST(min(depth) AS DOUBLE) AS value FROM b GROUP BY node HAVING min(depth) > 0
-UNION ALL SELECT 'cycle', CAST(node AS VARCHAR), 1.0 FROM m WHERE component = (SELECT component FROM m WHERE node = 1) AND node <> 1
-UNION ALL SELECT 'coupled', CAST(p.f AS VARCHAR), round(together / greatest(k.n, (SELECT n FROM k WHERE f = 1)), 6) FROM p JOIN k ON k.f = p.f WHERE together >= 3 AND together / greatest(k.n, (SELECT n FROM k WHERE f = 1)) >= 0.3
+UNION ALL SELECT 'cycle', CAST(node AS VARCHAR), 1.0 FROM m WHERE component = (SELECT component FROM m WHERE node = 69) AND node <> 69
+UNION ALL SELECT 'coupled', CAST(p.f AS VARCHAR), round(together / greatest(k.n, (SELECT n FROM k WHERE f = 69)), 6) FROM p JOIN k ON k.f = p.f WHERE together >= 2 AND together / greatest(k.n, (SELECT n FROM k WHERE f = 69)) >= 0.04
 UNION ALL SELECT * FROM (SELECT 'alike', CAST(id AS VARCHAR), score FROM s WHERE score > 0.12 ORDER BY score DESC, id LIMIT 5)""",
 )
 def boundary_report(spark, d):
-    root = spark.createDataFrame([(1,)], "root long")
+    root = spark.createDataFrame([(69,)], "root long")
     commits = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("file")).distinct()
     v = A.symbol_vectors(spark, d)
-    one = v.where("id = 1").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    one = v.where("id = 69").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
     alike = vector.scores(v, one).select(F.col("query_id").alias("file"), F.col("id").alias("other"), "score")
     symbols = A.table(spark, d, "part").select(F.col("p_partkey").alias("file"))
-    return reports.boundary(A.package_edges(spark, d).distinct(), symbols, commits, alike, root)
+    return reports.boundary(A.package_edges(spark, d).distinct(), symbols, commits, alike, root, 0.04, 2)  # orders are small commits
 
 
 @register(
