@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry import adapters as A
+from quarry import storage
 from quarry.functions import text as T
 from quarry.operators import calls, edits, evaluation, fuzzy, lookup, modules, notebook, telemetry, vector
 from quarry.registry import register
@@ -956,3 +957,20 @@ FROM fa WHERE n = 'small_ring' AND p_partkey % 3 = 0 AND ext <> 'go'""",
 )
 def change_signature_plan(spark, d):
     return edits.change_signature(A.sources(spark, d), "small_ring", "a, b")
+
+
+@register("jsonl_sink", f"WITH {SY} SELECT * FROM sy")
+def jsonl_sink(spark, d):
+    """Symbols written as JSON lines and read back."""
+    rows, folder = A.symbols(spark, d), storage.new_folder(spark, "jsonl")
+    code.write_jsonl(rows, folder)
+    return code.read_jsonl(spark, folder, rows.schema)
+
+
+@register(
+    "symbol_stream",
+    f"WITH {SY}, r AS (SELECT *, row_number() OVER (ORDER BY file_path, line, id) AS place FROM sy) SELECT file_path, line, id, place FROM r",
+)
+def symbol_stream(spark, d):
+    """All symbols in the order of file and position, numbered; sorted by ranges."""
+    return lookup.numbered(A.symbols(spark, d).select("file_path", "line", "id"), "file_path", "line", "id")

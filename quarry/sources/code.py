@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources import buckets
+from quarry.storage import written
+
 EXCLUDED = (
     ".git", ".venv", "__pycache__", "build", "dist", "node_modules", "target", "vendor",
 )
@@ -92,23 +95,34 @@ def parse_python(files: DataFrame) -> DataFrame:
     )
 
 
-def write_model(rows: DataFrame, folder: str, buckets: int = 64, key: str = "file_path") -> None:
-    """A model table in hash buckets of its key: a refresh rewrites only the buckets it touches."""
-    (
-        rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        .repartition("bucket")
-        .sortWithinPartitions(key)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(folder)
-    )
+def refresh(spark: SparkSession, root: str, folder: str, version: int) -> dict[str, int]:
+    """Brings an index of a project up to date: files by content hash, and the symbols, calls and imports of changed ones.
+
+    Files that are as they were are not parsed; rows of changed and of vanished files go with them.
+    """
+    now = project_files(spark, root).select("relative_path", "content", "content_hash", "size_bytes", "mtime_ms")
+    old = buckets.latest(spark, f"{folder}/files")
+    known = old if old is not None else now.limit(0)
+    changed = written(now.join(known.select("relative_path", "content_hash"), ["relative_path", "content_hash"], "left_anti"), "refresh-changed")
+    gone = written(known.select("relative_path").join(now.select("relative_path"), "relative_path", "left_anti"), "refresh-gone")
+    no, yes = F.lit(False).alias("deleted"), F.lit(True).alias("deleted")
+    files = changed.drop("content").select("*", no).unionByName(gone.select("relative_path", yes), allowMissingColumns=True)
+    buckets.merge(files, f"{folder}/files", "relative_path", version)
+    rows = parse_python(changed.where("relative_path LIKE '%.py'")).select("*", no)
+    marks = changed.select("relative_path").unionAll(gone).select(F.col("relative_path").alias("file_path"), yes)
+    buckets.merge(rows.unionByName(marks, allowMissingColumns=True), f"{folder}/rows", "file_path", version)
+    return {"changed": changed.count(), "gone": gone.count()}
 
 
 def write_jsonl(rows: DataFrame, folder: str) -> None:
+    """Appends rows as JSON lines."""
     rows.write.mode("append").json(folder)
 
 
+def read_jsonl(spark: SparkSession, folder: str, schema) -> DataFrame:
+    return spark.read.schema(schema).json(folder)
+
+
 def federated(projects: dict[str, DataFrame]) -> DataFrame:
     """Rows of several projects with a project column."""
     out = None

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarry.sources import buckets
+
 EVENTS = "batch long, path string, kind string, at timestamp"
 
 
@@ -35,18 +37,14 @@ def normalize(events: DataFrame) -> DataFrame:
 
 
 def upsert_stream(events: DataFrame, folder: str, checkpoint: str):
-    """Keeps the newest row of each path under ``folder``, one version a batch: a retried batch is the same.
+    """Keeps the newest row of each path in a bucketed table under ``folder``: a batch rewrites the buckets it touches.
 
-    Versions are whole folders, and the name of a version is its batch: readers take the last one.
+    The number of a version is its batch, so that a retried batch is the same.  ``buckets.latest`` reads the table.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         newest = batch.groupBy("path").agg(F.max_by(F.struct("kind", "at"), "at").alias("m")).select("path", "m.*")
-        if number:
-            old = spark.read.schema(newest.schema).parquet(f"{folder}/v={number - 1}")
-            newest = old.join(newest.select("path"), "path", "left_anti").unionByName(newest)
-        newest.where("kind <> 'deleted'").write.mode("overwrite").parquet(f"{folder}/v={number}")
+        buckets.merge(newest.withColumn("deleted", F.col("kind") == "deleted"), folder, "path", number)
 
     return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
@@ -88,6 +86,32 @@ def windowed(calls: DataFrame, late: str = "10 minutes", size: str = "1 hour") -
     )
 
 
+def _leaser(ttl_ms: int):
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (session,) = key
+        last, taken = (state.get if state.exists else (0, 0))
+        for frame in frames:
+            out = []
+            for ms in sorted(int(x) for x in frame["ms"]):
+                taken = taken if last and ms <= last + ttl_ms else ms
+                last = max(last, ms)
+                out.append((session, ms, taken, ms + ttl_ms))
+            yield pd.DataFrame(out, columns=["session", "ms", "taken_at", "expires_at"])
+        state.update((last, taken))
+
+    return run
+
+
+def leases(heartbeats: DataFrame, ttl_ms: int = 300_000) -> DataFrame:
+    """Leases as state over a stream of heartbeats (session, ms): when each was taken, and when it runs out.
+
+    A heartbeat in time renews a lease; one that comes too late takes a new one.
+    """
+    return heartbeats.groupBy("session").applyInPandasWithState(
+        _leaser(ttl_ms), "session string, ms long, taken_at long, expires_at long", "last long, taken long", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def live(rows: DataFrame, now: int) -> DataFrame:
     """Leases that have not expired."""
     return rows.where(F.col("expires_at") > now)

@@ -61,3 +61,17 @@ def test_verbs_name_registered_queries():
     assert all(verbs.resolve(v, m) in known for v, modes in verbs.VERBS.items() for m in modes)
     with pytest.raises(KeyError):
         verbs.resolve("search", "nope")
+    assert all(q in known for names in verbs.WORKFLOWS.values() for q in names)
+
+
+def test_workflows_and_batches(spark):
+    from quarry.plans import verbs
+
+    found = verbs.workflow("trace_request_path", spark, DATA)
+    assert list(found) == ["call_trace", "get_callers", "get_callees"] and all(df.count() for df in found.values())
+    one, other = verbs.batch([("overview", "file"), ("overview", "nope")], spark, DATA)
+    assert one.count() and isinstance(other, KeyError)
+    with pytest.raises(ValueError):
+        verbs.batch([("overview", "file")] * 21, spark, DATA)
+    with pytest.raises(KeyError):
+        verbs.workflow("nope", spark, DATA)

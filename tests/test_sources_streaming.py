@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from quarry.operators import telemetry
-from quarry.sources import code
+from quarry.sources import buckets, code
 from quarry.streaming import ingest
 
 SOURCE = '''import os
@@ -32,14 +32,6 @@ def test_project_files_and_python_symbols(spark, tmp_path):
     assert {r.name for r in rows if r.row == "import"} == {"os", "a.b"}
 
 
-def test_model_tables_overwrite_only_touched_buckets(spark, tmp_path):
-    rows = spark.createDataFrame([(f"f{i}", i) for i in range(40)], "file_path string, v long")
-    code.write_model(rows, f"{tmp_path}/t", 8)
-    code.write_model(rows.where("file_path = 'f3'").withColumn("v", F.lit(99).cast("long")), f"{tmp_path}/t", 8)
-    got = {r.file_path: r.v for r in spark.read.parquet(f"{tmp_path}/t").collect()}
-    assert got["f3"] == 99 and 0 < len(got) < 40
-
-
 def test_event_stream_keeps_the_newest_row_of_each_path(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
@@ -52,10 +44,54 @@ def test_event_stream_keeps_the_newest_row_of_each_path(spark, tmp_path):
     run()
     put(2, (2, "b", "deleted", "2024-01-02 00:00:00"), (2, "c", "created", "2024-01-02 00:00:00"))
     run()
-    got = spark.read.parquet(f"{tmp_path}/out/v=1").collect()
+    got = buckets.latest(spark, f"{tmp_path}/out").collect()
     assert {(r.path, r.kind) for r in got} == {("a", "modified"), ("c", "created")}
 
 
+def test_buckets_keep_the_last_version_of_each(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(list(x), "k string, n long, deleted boolean")
+    folder = f"{tmp_path}/t"
+    assert buckets.latest(spark, folder) is None
+    buckets.merge(rows(*[(f"k{i}", i, False) for i in range(50)], ("k1", 100, False)), folder, "k", 0, 8)
+    buckets.merge(rows(("k1", 7, False), ("k2", 0, True), ("new", 9, False)), folder, "k", 1, 8)
+    want = {(f"k{i}", i) for i in range(50) if i not in (1, 2)} | {("k1", 7), ("new", 9)}
+    read = lambda: {tuple(r) for r in buckets.latest(spark, folder).select("k", "n").collect()}
+    assert read() == want
+    buckets.merge(rows(("k1", 7, False), ("k2", 0, True), ("new", 9, False)), folder, "k", 1, 8)  # a retried batch
+    assert read() == want
+    buckets.merge(rows(*[(k, None, True) for k, _ in want]), folder, "k", 2, 8)
+    buckets.merge(rows(), folder, "k", 3, 8)
+    assert read() == set()
+    touched = spark.read.parquet(folder).where("v = 1").select("bucket").distinct().count()
+    assert touched <= 3
+
+
+def test_refresh_parses_changed_files_only(spark, tmp_path):
+    root, index = tmp_path / "p", f"{tmp_path}/index"
+    (root / "pkg").mkdir(parents=True)
+    (root / "pkg/a.py").write_text("def one():\n    two()\n")
+    (root / "b.py").write_text("import os\nclass B:\n    def m(self): pass\n")
+    symbols = lambda: {(r.file_path, r.name) for r in buckets.latest(spark, f"{index}/rows").where("row = 'symbol'").collect()}
+    assert code.refresh(spark, f"file://{root}", index, 0) == {"changed": 2, "gone": 0}
+    assert symbols() == {("pkg/a.py", "one"), ("b.py", "B"), ("b.py", "m")}
+    (root / "pkg/a.py").write_text("def three(): pass\n")
+    (root / "b.py").unlink()
+    (root / "c.txt").write_text("no code")
+    assert code.refresh(spark, f"file://{root}", index, 1) == {"changed": 2, "gone": 1}
+    assert symbols() == {("pkg/a.py", "three")}
+    assert {r.relative_path for r in buckets.latest(spark, f"{index}/files").collect()} == {"pkg/a.py", "c.txt"}
+    assert code.refresh(spark, f"file://{root}", index, 2) == {"changed": 0, "gone": 0} and symbols() == {("pkg/a.py", "three")}
+
+
+def test_leases_are_renewed_in_time(spark, tmp_path):
+    spark.createDataFrame([("s", t) for t in (100, 150, 230, 400, 420)] + [("t", 5)], "session string, ms long").coalesce(1).write.json(f"{tmp_path}/in")
+    stream = spark.readStream.schema("session string, ms long").json(f"{tmp_path}/in")
+    q = ingest.leases(stream, 100).writeStream.format("memory").queryName("leased").outputMode("append").trigger(availableNow=True)
+    q.option("checkpointLocation", f"{tmp_path}/cp").start().awaitTermination()
+    got = {(r.session, r.ms): (r.taken_at, r.expires_at) for r in spark.table("leased").collect()}
+    assert got == {("s", 100): (100, 200), ("s", 150): (100, 250), ("s", 230): (100, 330), ("s", 400): (400, 500), ("s", 420): (400, 520), ("t", 5): (5, 105)}
+
+
 def test_stateful_rate_limit_equals_the_batch_one(spark, tmp_path):
     rows = [(f"s{i % 2}", i, i * 400) for i in range(120)]
     spark.createDataFrame(rows, "session string, call_id long, ms long").coalesce(1).write.json(f"{tmp_path}/in")
