@@ -7,6 +7,11 @@ and read again as the next one's docs.  All but the last return the columns of d
 - simhash_near_dedup keeps the document with the smallest doc_id of each group.
 - secret_scan replaces the secrets in texts, and keeps every document.
 - source_mix puts the documents in the order of the mix, and keeps every one.
+Defined cases, of all stages: null and empty texts have no words and go with the first; very long texts stay
+whole; rows that repeat are judged one by one and are near-duplicates of each other afterwards, of which the one
+with the smallest doc_id stays, rows without an id last and ties by text; null sources are a source of their own;
+columns of any other names come along to the mix; an empty table gives no rows.
+
 - byte_bpe returns (position, doc_id, source, n_tokens, ids, decoded_sha256): position is the document's place
   in the mix, as the files of its predecessor have it.
 """

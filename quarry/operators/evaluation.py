@@ -53,6 +53,34 @@ def prf(found: DataFrame, truth: DataFrame, keys: list[str], beta: float = 1.0)
     )
 
 
+def tails(path):
+    """All ends of a path that start at a component."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "/"))
+
+
+def by_suffix(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """(query_id, key, rank, label): found symbols (query_id, name, file_path, rank) with the label that they meet, if any.
+
+    A label (query_id, name, suffix) is met by its name in a file whose path ends like it, at a component.
+    """
+    rows = found.withColumn("key", F.concat("file_path", F.lit(":"), "name"))
+    met = (
+        rows.select("query_id", "name", "key", F.explode(tails(F.col("file_path"))).alias("suffix"))
+        .join(labels.select("query_id", "name", "suffix").distinct(), ["query_id", "name", "suffix"])
+        .groupBy("query_id", "key")
+        .agg(F.max(F.struct(F.length("suffix"), F.concat("suffix", F.lit(":"), "name").alias("label"))).alias("m"))
+    )
+    return rows.join(met, ["query_id", "key"], "left").select("query_id", "key", "rank", F.col("m.label").alias("label"))
+
+
+def suffix_prf(found: DataFrame, labels: DataFrame, beta: float = 1.0) -> DataFrame:
+    """``prf`` of found symbols against labels by path suffix: a found one counts as the label that it meets."""
+    rows = by_suffix(found, labels).select("query_id", F.coalesce("label", "key").alias("key"))
+    truth = labels.select("query_id", F.concat("suffix", F.lit(":"), "name").alias("key"))
+    return prf(rows, truth, ["query_id", "key"], beta)
+
+
 def normalized(text):
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 

@@ -461,6 +461,23 @@ def retrieval_prf(spark, d):
     return evaluation.prf(res, _labels(spark, d), ["query_id", "key"], 0.5)
 
 
+@register(
+    "retrieval_suffix_prf",
+    f"""WITH {BASE}, {LEX}, lb AS (SELECT DISTINCT query_id, name, concat(replace(name, ' ', '_'), '_', CAST(id AS VARCHAR), '.', regexp_extract(file_path, '[a-z]+$')) AS suffix FROM q JOIN symbols ON contains(lower(replace(query, ' ', '_')), name)),
+f AS (SELECT lx.query_id, name, file_path FROM lx JOIN symbols USING (id) WHERE rank <= 20),
+m AS (SELECT f.*, lb.suffix FROM f LEFT JOIN lb ON lb.query_id = f.query_id AND lb.name = f.name AND ends_with(file_path, concat('/', lb.suffix))),
+c AS (SELECT (SELECT count(DISTINCT (query_id, name, suffix)) FROM m WHERE suffix IS NOT NULL) AS tp, (SELECT count(*) FROM m WHERE suffix IS NULL) AS fp, (SELECT count(*) FROM lb) AS n),
+r AS (SELECT tp, fp, n - tp AS fn, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(n, 0), 0) AS r FROM c)
+SELECT tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f FROM r""",
+)
+def retrieval_suffix_prf(spark, d):
+    s, q = A.documents(spark, d), A.queries_frame(spark, Q)
+    found = rank.lexical(s, q, 20).join(s.select("id", "name", "file_path"), "id")
+    meant = F.contains(F.lower(F.replace("query", F.lit(" "), F.lit("_"))), F.col("name"))
+    labels = s.join(F.broadcast(q), meant).select("query_id", "name", F.element_at(F.split("file_path", "/"), -1).alias("suffix"))  # corpus x six queries
+    return evaluation.suffix_prf(found, labels)
+
+
 @register(
     "retrieval_recall",
     f"""WITH {BASE}, {LEX}, {_LABELS}
