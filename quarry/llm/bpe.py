@@ -12,8 +12,8 @@ packed bytes, in two generations: when the younger is full it becomes the older,
 when they are used.  Memo tables last for a task.  A vocabulary is a bounded parameter: it is read on the
 driver and broadcast.
 
-Defined cases: a null or empty text has no tokens and decodes to no bytes; repeated rows are encoded one
-by one; an empty table gives no rows; extra columns are ignored.
+Defined cases: a null or empty text has no tokens and decodes to no bytes; very long texts, and pieces, are
+encoded whole; of equal pairs the leftmost is merged first, as by rank; repeated rows are encoded one by one; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Offsets are code points, ends exclusive.  A pattern's matches come from regexp_e
 between them from split with the same pattern, and running lengths of both give the offsets: everything
 stays in one row, so there is no shuffle, and no text is cut.
 
-Defined cases: null and empty texts have no spans; repeated rows are scanned one by one; an empty table
+Defined cases: null and empty texts have no spans; very long texts are scanned whole, in their own row; of spans
+that start together the kind listed first comes first; repeated rows are scanned one by one; an empty table
 gives no rows; extra columns are ignored by ``scan`` and kept by ``redact``.
 """
 

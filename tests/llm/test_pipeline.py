@@ -72,3 +72,29 @@ def test_the_mix_takes_effect_in_the_result(spark):
         for s, w in share.items():
             n = sum(r.source == s for r in got[: t * mixing.BLOCK_ROWS])
             assert abs(n / mixing.BLOCK_ROWS - w * t) < 1
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, position int, file string, rank int, s string"
+
+
+def test_defined_cases_of_all_stages(spark, tmp_path):
+    long = " ".join(sentence(i) for i in range(11, 700, 13))
+    rows = [(1, sentence(1)), (1, sentence(1)), (1, sentence(2)), (None, sentence(3)), (None, sentence(3)), (4, None), (5, ""), (6, long), (None, None)]
+    docs = [(i, t, "en", None if n % 2 else "a", 1, n, "f", n, "s") for n, (i, t) in enumerate(rows)]
+    spark.createDataFrame(docs, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or -1 for r in got)) == [-1, 1, 1, 6] and sorted(r.position for r in got) == [0, 1, 2, 3]
+    enc = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={}
+    )
+    assert {enc.decode(r.ids) for r in got} == {sentence(1), sentence(2), sentence(3), long}
+    kept = spark.createDataFrame(docs, SCHEMA)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = written(stage(spark, kept, ""), "test-stage")
+        assert kept.columns == spark.createDataFrame(docs, SCHEMA).columns
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["position", "doc_id", "source", "n_tokens", "ids", "decoded_sha256"]
