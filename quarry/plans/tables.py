@@ -9,7 +9,7 @@ from quarry import storage
 from quarry.functions import text as T
 from quarry.operators import calls, edits, evaluation, fuzzy, lookup, modules, notebook, telemetry, vector
 from quarry.registry import register
-from quarry.sources import code
+from quarry.sources import code, git
 from quarry.streaming import ingest
 
 SY = f"sy AS ({A.SYMBOLS_SQL})"
@@ -369,6 +369,35 @@ def changed_files(spark, d):
     return lookup.first_wins(rows, "file", "p").select("file", "status")
 
 
+_NAMED = "concat(l_returnflag, CASE l_returnflag WHEN 'R' THEN concat('100', chr(9), 'old/', CAST(l_partkey AS STRING)) ELSE '' END, chr(9), 'src/', CAST(l_partkey AS STRING), '.rs') AS line"
+_SHORT = "concat(' ', CASE l_linestatus WHEN 'O' THEN 'M' ELSE 'D' END, ' src/', CAST(l_partkey % 3000 AS STRING), '.rs') AS line"
+
+
+@register(
+    "changed_files_from_listings",
+    """WITH a AS (SELECT concat('src/', CAST(l_partkey AS VARCHAR), '.rs') AS file, min(l_returnflag) AS status FROM lineitem WHERE l_quantity > 45 GROUP BY 1),
+b AS (SELECT concat('src/', CAST(l_partkey % 3000 AS VARCHAR), '.rs') AS file, min(CASE l_linestatus WHEN 'O' THEN 'M' ELSE 'D' END) AS status FROM lineitem GROUP BY 1)
+SELECT * FROM a UNION ALL SELECT * FROM b WHERE file NOT IN (SELECT file FROM a)""",
+)
+def changed_files_from_listings(spark, d):
+    """A name-status listing of large lines, then the short status of all."""
+    rows = A.table(spark, d, "lineitem")
+    return git.changed([git.name_status(rows.where("l_quantity > 45").selectExpr(_NAMED)), git.porcelain(rows.selectExpr(_SHORT))])
+
+
+@register(
+    "commit_log_files",
+    "SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS commit_id, concat('c', CAST(o_custkey AS VARCHAR)) AS author, CAST(epoch(o_orderdate) AS BIGINT) AS at, concat('s', CAST(l_suppkey AS VARCHAR)) AS file FROM lineitem JOIN orders ON o_orderkey = l_orderkey",
+)
+def commit_log_files(spark, d):
+    """The log of all orders: a text a customer, a block an order, a line a supplier."""
+    files = A.commits(spark, d).groupBy("commit_id").agg(F.array_join(F.sort_array(F.collect_list("file")), "\n").alias("files"))  # an order's lines
+    o = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("commit_id"), "o_custkey", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("at"))
+    head = F.concat_ws("\t", F.lit("commit"), F.col("commit_id").cast("string"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.col("at").cast("string"))
+    blocks = files.join(o, "commit_id").select("o_custkey", F.concat(head, F.lit("\n"), "files", F.lit("\n\n")).alias("block"))
+    return git.commit_log(blocks.groupBy("o_custkey").agg(F.array_join(F.collect_list("block"), "").alias("text")))
+
+
 @register(
     "diff_symbols",
     f"""WITH {SY}, c AS (SELECT DISTINCT file_path FROM sy WHERE line = 7 UNION SELECT 'src/gone.rs')

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from quarry.operators import telemetry
-from quarry.sources import buckets, code
+from quarry.sources import buckets, code, git
 from quarry.streaming import ingest
 
 SOURCE = '''import os
@@ -111,3 +111,15 @@ def test_windowed_stream(spark, tmp_path):
     q = ingest.windowed(stream).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True)
     q.option("checkpointLocation", f"{tmp_path}/cp").start().awaitTermination()
     assert sorted(r.calls for r in spark.table("windows").collect()) == [1, 2]
+
+
+def test_git_listings(spark):
+    lines = lambda *x: spark.createDataFrame([(v,) for v in x], "line string")
+    named = git.name_status(lines("M\tsrc/main.py", "A\tnew.py", "D\told.py", "R100\ta.py\tb.py", "", "junk"))
+    assert {tuple(r) for r in named.collect()} == {("src/main.py", "M"), ("new.py", "A"), ("old.py", "D"), ("b.py", "R")}
+    short = git.porcelain(lines(" M src/main.py", "?? x.py", "A  y.py", "R  p.py -> q.py", '?? "sp ace.py"', ""))
+    assert {tuple(r) for r in short.collect()} == {("src/main.py", "M"), ("x.py", "?"), ("y.py", "A"), ("q.py", "R"), ("sp ace.py", "?")}
+    both = git.changed([named, short])
+    assert dict(tuple(r) for r in both.collect())["src/main.py"] == "M" and both.count() == 8
+    log = spark.createDataFrame([("commit\tabc\tann\t17\na.py\nb.py\n\ncommit\tdef\tbob\t18\n\n",), ("",)], "text string")
+    assert {tuple(r) for r in git.commit_log(log).collect()} == {("abc", "ann", 17, "a.py"), ("abc", "ann", 17, "b.py")}
