@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators.modules import JS_EXPORT_FROM, JS_IMPORT_FROM
+from quarry.storage import written
 
 # Strategies with their confidences, and languages whose calls are resolved.
 CONFIDENCE = {
@@ -139,8 +140,11 @@ def resolve(calls: DataFrame, symbols: DataFrame, imports: DataFrame, bindings:
     bindings = bindings.groupBy("file", "local").agg(F.min(F.struct("imported", "target", "external")).alias("m")).select("file", "local", "m.*")
     site = ["caller_file", "callee_name", "qualifier", "owner"]
     calls = calls.withColumn("owner", owner(F.col("caller_file"), F.col("qualifier"), F.col("caller_path")))
-    rows = calls.select(*site).distinct().withColumn("_id", F.xxhash64(*site))
-    defs = symbols.select("name", F.col("file_path").alias("file")).distinct()
+    # what several stages read is a table of its own, which also keeps the plan of each small
+    sites = written(calls.select(*site).distinct().withColumn("_id", F.xxhash64(*site)), "call-sites")
+    rows = sites
+    defs = written(symbols.select("name", F.col("file_path").alias("file")).distinct(), "call-definitions")
+    bindings = written(bindings, "call-bindings")
 
     methods = symbols.where((F.col("kind") == "method") & F.col("file_path").endswith(".rs") & F.contains("name_path", F.lit("/")))
     declared = (
@@ -153,8 +157,8 @@ def resolve(calls: DataFrame, symbols: DataFrame, imports: DataFrame, bindings:
     here = defs.select(F.col("file").alias("caller_file"), F.col("name").alias("callee_name"), F.lit(True).alias("local"))
     rows = rows.join(here, ["caller_file", "callee_name"], "left").withColumn("local", F.coalesce("local", F.lit(False)))
 
-    exports = _exports(bindings, defs)
-    bound = _bound(bindings, exports)
+    exports = written(_exports(bindings, defs), "call-exports")
+    bound = written(_bound(bindings, exports), "call-bound")
     space = bound.select(
         F.col("file").alias("caller_file"), F.col("local").alias("qualifier"), F.col("imported").alias("s_name"), F.col("target").alias("s_file"), F.col("inner").alias("i_file")
     )
@@ -166,8 +170,9 @@ def resolve(calls: DataFrame, symbols: DataFrame, imports: DataFrame, bindings:
     rows = rows.join(direct, ["caller_file", "callee_name"], "left")
 
     keys = ["caller_file", "callee_name"]
-    rows = rows.join(_sees(imports.select("src", F.col("dst").alias("file")).distinct(), defs, "imported"), keys, "left")
-    rows = rows.join(_sees(_through_suffixes(imports.distinct(), defs.select("file").distinct()), defs, "suffixed"), keys, "left")
+    imports = written(imports.select("src", "dst").distinct(), "call-imports")
+    rows = rows.join(_sees(imports.select("src", F.col("dst").alias("file")), defs, "imported"), keys, "left")
+    rows = rows.join(_sees(_through_suffixes(imports, defs.select("file").distinct()), defs, "suffixed"), keys, "left")
 
     rows = rows.withColumn("lang", language(F.col("caller_file")))
     spoken = symbols.select(F.col("name").alias("callee_name"), "file_path", language(F.col("file_path")).alias("lang")).where("lang IS NOT NULL")
@@ -179,7 +184,7 @@ def resolve(calls: DataFrame, symbols: DataFrame, imports: DataFrame, bindings:
         .agg(F.min("file_path").alias("file"))
     )
     near = (
-        rows.select("_id", "callee_name", "lang", F.explode(_prefixes(F.col("caller_file"))).alias("p"))
+        sites.select("_id", "callee_name", language(F.col("caller_file")).alias("lang"), F.explode(_prefixes(F.col("caller_file"))).alias("p"))
         .select("_id", "callee_name", "lang", "p.depth", "p.dir")
         .join(by_dir, ["callee_name", "lang", "dir"])
         .groupBy("_id")

@@ -97,9 +97,10 @@ def pagerank(edges: DataFrame, indexed: DataFrame | None = None, rounds: int = R
 def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(root, node, depth): nodes reached from each root against the import direction, at least depth.
 
-    A round is a table of its own, so that nodes reached before are read but never written again.
+    A round is a table of its own, so that nodes reached before are read but never written again; so are the
+    edges, which each round reads.
     """
-    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
+    back = written(edges.select(F.col("dst").alias("node"), F.col("src").alias("next")), "reach-edges")
     rounds = [written(start.select("root", F.col("root").alias("node"), F.lit(0).cast("long").alias("depth")).distinct(), "reach")]
     for d in range(1, depth + 1):
         seen = reduce(DataFrame.unionAll, rounds).select("root", "node")
@@ -276,7 +277,7 @@ def coupling(commits: DataFrame, min_commits: int = 3, min_strength: float = 0.0
     """
     once = commits.select("commit_id", "file").distinct()
     totals = once.groupBy("file").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= min_commits)
-    often = once.join(totals, "file")
+    often = written(once.join(totals, "file"), "coupling")
     blocks = often.groupBy("commit_id").agg(F.ceil(F.count(F.lit(1)) / COMMIT_BLOCK).cast("int").alias("g"))
     often = often.join(blocks.where("g > 1"), "commit_id", "left").withColumn("g", F.coalesce("g", F.lit(1)))
     often = often.withColumn("b", F.pmod(F.xxhash64("file"), F.col("g")).cast("int"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry import adapters as A
+from quarry import storage
 from quarry.operators import calls, edits, evaluation, graph, lookup, reports
 from quarry.registry import register
 
@@ -61,7 +62,8 @@ def _calls(spark, d):
 
 def _resolved(spark, d):
     c = A.code(spark, d)
-    return calls.resolve(_calls(spark, d), c, A.code_imports(c), A.bindings(c))
+    # the calls are derived here, and read twice: once for their sites, once for the result
+    return calls.resolve(storage.written(_calls(spark, d), "calls"), c, A.code_imports(c), A.bindings(c))
 
 
 @register(
