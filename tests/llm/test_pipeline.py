@@ -78,7 +78,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, po
 
 
 def test_defined_cases_of_all_stages(spark, tmp_path):
-    long = " ".join(sentence(i) for i in range(11, 700, 13))
+    long = " ".join(f"w{i}" for i in range(20_000))
     rows = [(1, sentence(1)), (1, sentence(1)), (1, sentence(2)), (None, sentence(3)), (None, sentence(3)), (4, None), (5, ""), (6, long), (None, None)]
     docs = [(i, t, "en", None if n % 2 else "a", 1, n, "f", n, "s") for n, (i, t) in enumerate(rows)]
     spark.createDataFrame(docs, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
