@@ -171,6 +171,32 @@ def is_test_path(path: Column) -> Column:
     return F.lower(path).rlike(r"(^|/)(tests?|__tests__|spec)(/|$)|_test\.|\.test\.|\.spec\.|(^|/)test_")
 
 
+# What makes a symbol a test: its path, its name path, marks in the bytes before it, its name.
+TEST_SYMBOL_PATH = (
+    r"/tests/|_tests\.rs$|/__tests__/|_test\.py$|_test\.go$|\.test\.(ts|tsx|js|jsx)$|\.spec\.(ts|js)$|/src/test/|Tests?\.java$|_test\.rb$|/spec/"
+)
+TEST_SYMBOL_OWNER = r"^tests?::|::tests?::"
+TEST_MARKS = r"#\[test\]|#\[tokio::test\]|#\[cfg\(test\)\]|#\[cfg\(all\(test"
+JVM_TEST_MARKS = "@Test|@ParameterizedTest|@RepeatedTest"
+MARK_WINDOW, JVM_MARK_WINDOW = 2048, 200
+
+
+def is_test_symbol(path: Column, name: Column, name_path: Column, kind: Column, source: Column, start: Column) -> Column:
+    """Whether a symbol that starts at a byte of its file's text is a test, or only there for tests."""
+    raw = source.cast("binary")
+
+    def before(window: int) -> Column:
+        at = F.greatest(start - window, F.lit(0))
+        return F.coalesce(F.substring(raw, (at + 1).cast("int"), (start - at).cast("int")).cast("string"), F.lit(""))
+
+    by_name = (path.endswith(".py") & (name.startswith("test_") | ((kind == "class") & name.startswith("Test")))) | (
+        path.endswith(".go") & name.startswith("Test") & (kind == "function")
+    )
+    jvm = path.rlike(r"\.(java|kt)$") & before(JVM_MARK_WINDOW).rlike(JVM_TEST_MARKS)
+    inside = before(MARK_WINDOW).rlike(TEST_MARKS) | (source.isNotNull() & (by_name | jvm))
+    return path.rlike(TEST_SYMBOL_PATH) | name_path.rlike(TEST_SYMBOL_OWNER) | F.coalesce(inside, F.lit(False))
+
+
 def is_generated_path(path: Column) -> Column:
     return F.lower(path).rlike(r"(^|/)(generated|target|dist|build)/|\.generated\.|\.pb\.")
 

@@ -1003,3 +1003,17 @@ def jsonl_sink(spark, d):
 def symbol_stream(spark, d):
     """All symbols in the order of file and position, numbered; sorted by ranges."""
     return lookup.numbered(A.symbols(spark, d).select("file_path", "line", "id"), "file_path", "line", "id")
+
+
+@register(
+    "test_symbols",
+    f"""WITH {FA} SELECT id, p_partkey % 7 = 0 AND ext <> 'ts' AS is_test FROM fa""",
+)
+def test_symbols(spark, d):
+    """The function in line 6 of each file, by its mark or its name."""
+    rows = F.split("content", "\n")
+    start = F.octet_length(F.array_join(F.slice(rows, 1, 5), "\n")) + 1
+    name = F.regexp_extract(rows[5], r"(?:fn|def|func|function) (\w+)", 1)
+    path = F.col("relative_path")
+    test = T.is_test_symbol(path, name, F.concat(F.lit("m::"), name), F.lit("function"), F.col("content"), start)
+    return A.sources(spark, d).select("id", test.alias("is_test"))

@@ -45,3 +45,18 @@ def test_globs():
     import re
 
     assert re.match(T.glob_regex("a*.r?"), "abc.rs") and not re.match(T.glob_regex("a*.rs"), "abc.py")
+
+
+def test_test_symbols(spark):
+    rows = [
+        ("a/tests/x.rs", "f", "f", "function", "", 0, True), ("a/x_tests.rs", "f", "f", "function", "", 0, True), ("a/x.spec.ts", "f", "f", "function", None, 0, True),
+        ("FooTest.java", "f", "f", "method", "", 0, True), ("a.rs", "f", "tests::f", "function", "", 0, True), ("a.rs", "f", "m::test::f", "function", "", 0, True),
+        ("a.rs", "f", "f", "function", "#[test]\nfn f()", 8, True), ("a.rs", "f", "f", "function", "#[test]" + " " * 3000 + "fn f()", 3007, False),
+        ("a.rs", "f", "f", "function", "fn f() #[test]", 0, False), ("a.py", "test_f", "f", "function", "", 0, True), ("a.py", "test_f", "f", "function", None, 0, False),
+        ("a.py", "TestX", "f", "class", "", 0, True), ("a.go", "TestX", "f", "function", "", 0, True), ("a.go", "TestX", "f", "method", "", 0, False),
+        ("A.kt", "f", "f", "method", "@Test\nfun f()", 6, True), ("A.rs", "f", "f", "method", "@Test\nfun f()", 6, False), ("latest.rs", "f", "f", "function", "", 0, False),
+    ]
+    df = spark.createDataFrame(rows, "p string, n string, np string, k string, s string, b int, want boolean")
+    c = F.col
+    got = [r for r in df.select(T.is_test_symbol(c("p"), c("n"), c("np"), c("k"), c("s"), c("b")).alias("got"), "want", "p", "n").collect()]
+    assert [(r.p, r.n, r.got) for r in got] == [(r.p, r.n, r.want) for r in got]
