@@ -328,7 +328,7 @@ def fuse(lanes: dict[str, DataFrame], queries: DataFrame, files: DataFrame | Non
     if files is not None:
         raised = part("user", files.where(F.col("rank") <= 5)).join(rows.select("query_id", "key").distinct(), ["query_id", "key"], "left_semi")
         rows = rows.unionByName(raised)
-    fused = rows.groupBy("query_id", "key").agg(F.round(F.sum("part"), 12).alias("rrf"))
+    fused = written(rows.groupBy("query_id", "key").agg(F.round(F.sum("part"), 12).alias("rrf")), "fused")  # read for its range, and for the result
     return top_k(rescale(fused, "rrf"), 1 << 30, "rrf", "key")
 
 
@@ -408,7 +408,7 @@ def hybrid(
         rows = rows.withColumn("score", F.col("score") + F.coalesce(boost, F.lit(0.0))).drop("pr", "top")
     names = F.array(*[F.lit(x) for x in ("exact", "fts", "fuzzy", "semantic")])
     rows = rows.withColumn("score", F.round("score", 9)).withColumn("match", F.get(names, F.col("lane"))).drop("lane")
-    return diverse(rows, k)
+    return diverse(written(rows, "hybrid"), k)  # read for its size, and for the result
 
 
 def user_lane(files: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry import adapters as A
+from quarry import storage
 from quarry.functions import text as T
 from quarry.operators import evaluation, graph, rank, reports, vector
 from quarry.plans.graphs import pagerank_steps
@@ -184,7 +185,9 @@ def _blend_inputs(spark, d):
     sem = vector.scores(A.symbol_vectors(spark, d), A.query_vectors(spark, d)).withColumnRenamed("score", "semantic")
     rows = rows.join(sem, ["query_id", "id"], "left").join(imp, "file_path", "left").join(A.recency(spark, d), "id", "left").crossJoin(F.broadcast(n))  # one row
     zero = F.lit(0.0)
-    return rows.withColumn("importance", F.coalesce("importance", zero)).withColumn("recency", F.coalesce("recency", zero))
+    rows = rows.withColumn("importance", F.coalesce("importance", zero)).withColumn("recency", F.coalesce("recency", zero))
+    columns = ["query_id", "query", "id", "kind", "name", "name_path", "file_path", "signature", "text", "importance", "n", "recency", "semantic"]
+    return storage.written(rows.select(*columns), "blend")  # read for each query's best, for counts and for the result
 
 
 _BLEND = f"""{BASE}, {LEX}, {SEM}, {_IMP}, rc AS ({A.RECENCY_SQL}),
