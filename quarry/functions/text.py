@@ -197,10 +197,6 @@ def is_test_symbol(path: Column, name: Column, name_path: Column, kind: Column,
     return path.rlike(TEST_SYMBOL_PATH) | name_path.rlike(TEST_SYMBOL_OWNER) | F.coalesce(inside, F.lit(False))
 
 
-def is_generated_path(path: Column) -> Column:
-    return F.lower(path).rlike(r"(^|/)(generated|target|dist|build)/|\.generated\.|\.pb\.")
-
-
 # Roles of paths, the first rule that holds; of the folder after the last src, the file's name, and the package before src.
 TEST_PATH = r"/tests/|/tests\.|_tests\.rs$|/integration_tests/|/test_helpers"
 BENCHMARK_PATH = "^(benchmarks|scripts|models)/"

@@ -98,9 +98,18 @@ def language(path: Column) -> Column:
     return reduce(lambda acc, kv: acc.when(ext.isin(*kv[1]), kv[0]), EXTENSIONS.items(), F)
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """(id, relative_path, raw_import): what the text of each file imports, once each, in all languages at once."""
+#: Where the tests of a Rust file begin.
+TEST_SECTION = r"(?m)^\s*#\[cfg\((?:all\()?test\b.*\]"
+
+
+def extract(files: DataFrame, tests: bool = True) -> DataFrame:
+    """(id, relative_path, raw_import): what the text of each file imports, once each, in all languages at once.
+
+    Without tests, a Rust file counts up to its first test section: such imports make no cycles of the program.
+    """
     lang = language(F.col("relative_path"))
+    if not tests:
+        files = files.withColumn("content", F.when(lang == "rs", F.split("content", TEST_SECTION, 2)[0]).otherwise(F.col("content")))
     found = reduce(lambda acc, kv: acc.when(lang == kv[0], kv[1]), _found().items(), F).otherwise(_none())
     return files.select("id", "relative_path", F.explode(F.array_distinct(found)).alias("raw_import"))
 
@@ -240,7 +249,7 @@ def resolve(imports: DataFrame, files: DataFrame, go_module: str | None = None)
     return asked.join(best, ["relative_path", "raw_import"], "left").select("id", "relative_path", "raw_import", "target")
 
 
-def import_edges(files: DataFrame, go_module: str | None = None) -> DataFrame:
+def import_edges(files: DataFrame, go_module: str | None = None, tests: bool = True) -> DataFrame:
     """(src, dst): files and the files of the project that they import."""
-    rows = resolve(extract(files), files, go_module).where("target IS NOT NULL")
+    rows = resolve(extract(files, tests), files, go_module).where("target IS NOT NULL")
     return rows.select(F.col("relative_path").alias("src"), F.col("target").alias("dst")).distinct()

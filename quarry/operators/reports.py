@@ -158,6 +158,16 @@ def workspaces(files: DataFrame) -> DataFrame:
     return files.where(name.isin(*MARKERS)).select(T.directory(F.col("relative_path")).alias("root"), kinds[name].alias("kind")).distinct()
 
 
+def dominant_language(files: DataFrame) -> DataFrame:
+    """(root, language, files): the language that most files below each first folder are written in; ties by name."""
+    root = F.when(F.contains("relative_path", F.lit("/")), F.split("relative_path", "/")[0]).otherwise(F.lit("."))
+    known = F.create_map(*[F.lit(x) for kv in lookup.LANGUAGES.items() for x in kv])
+    rows = files.select(root.alias("root"), known[T.extension(F.col("relative_path"))].alias("language")).where("language IS NOT NULL")
+    n = rows.groupBy("root", "language").agg(F.count(F.lit(1)).alias("files"))
+    best = n.groupBy("root").agg(F.min(F.struct((-F.col("files")).alias("o"), "language")).alias("m"))
+    return best.select("root", F.col("m.language").alias("language"), (-F.col("m.o")).alias("files"))
+
+
 def bridged(queries: DataFrame, bridges: DataFrame) -> DataFrame:
     """(query_id, term): code terms (word, term) for the words of each query."""
     words = queries.select("query_id", F.explode(F.split(F.lower("query"), "[^a-z0-9]+")).alias("word"))

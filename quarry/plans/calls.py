@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from quarry import adapters as A
 from quarry import storage
-from quarry.operators import calls, edits, evaluation, graph, lookup, reports
+from quarry.operators import calls, edits, evaluation, graph, reports
 from quarry.registry import register
 
 _BASE = f"""code AS ({A.CODE_SQL}), edges AS ({A.EDGES_SQL}), calls AS ({A.CODE_CALLS_SQL}), imp AS ({A.CODE_IMPORTS_SQL}), bi AS ({A.BINDINGS_SQL}),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry import adapters as A
 from quarry import storage
 from quarry.functions import text as T
-from quarry.operators import calls, edits, evaluation, fuzzy, lookup, modules, notebook, telemetry, vector
+from quarry.operators import calls, edits, evaluation, fuzzy, lookup, modules, notebook, reports, telemetry, vector
 from quarry.registry import register
 from quarry.sources import code, git
 from quarry.streaming import ingest
@@ -1017,3 +1017,12 @@ def test_symbols(spark, d):
     path = F.col("relative_path")
     test = T.is_test_symbol(path, name, F.concat(F.lit("m::"), name), F.lit("function"), F.col("content"), start)
     return A.sources(spark, d).select("id", test.alias("is_test"))
+
+
+@register(
+    "dominant_language",
+    f"""WITH {FA}, n AS (SELECT split_part(relative_path, '/', 1) AS root, CASE ext WHEN 'rs' THEN 'rust' WHEN 'ts' THEN 'typescript' WHEN 'py' THEN 'python' ELSE 'go' END AS language, count(*) AS files FROM fa GROUP BY 1, 2)
+SELECT root, language, files FROM n QUALIFY row_number() OVER (PARTITION BY root ORDER BY files DESC, language) = 1""",
+)
+def dominant_language(spark, d):
+    return reports.dominant_language(A.sources(spark, d))

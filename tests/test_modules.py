@@ -58,5 +58,10 @@ def test_blast_radius_of_a_project(spark):
         assert [(r.node, r.depth) for r in got.orderBy("depth").collect()] == want
 
 
-def test_paths():
-    assert modules.EXTENSIONS["js"] == modules.JS_EXTENSIONS
+def test_imports_of_test_sections_make_no_cycles(spark):
+    files = frame(spark, {
+        "src/a.rs": "use crate::b::x;\n", "src/b.rs": "fn f() {}\n#[cfg(test)]\nmod tests {\n    use crate::a::y;\n}\n",
+        "src/c.rs": "use crate::d::x;\n", "src/d.rs": "use crate::c::y;\nuse super::tools;\n", "src/tools.rs": "", "tools.rs": "",
+    })
+    cycles = lambda **more: {r.node for r in graph.cycles(modules.import_edges(files, **more)).collect()}
+    assert cycles() == {"src/a.rs", "src/b.rs", "src/c.rs", "src/d.rs"} and cycles(tests=False) == {"src/c.rs", "src/d.rs"}
