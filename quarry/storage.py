@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,13 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder for a table of this session; it is removed when the process ends, if not before."""
+def new_folder(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A folder for a table of this session; it is removed when the process ends, if not before, unless it is to keep."""
     path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    if not keep:
+        _made.append((spark, path))
     return path
 
 
+def file_system(path: str):
+    """The file system of a path in the shared storage, for Python tasks, and the path within it."""
+    from pyarrow import fs
+
+    url = urlparse(path)
+    if url.scheme in ("", "file"):
+        return fs.LocalFileSystem(), unquote(url.path)
+    return fs.FileSystem.from_uri(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, lineage cut, any executor may be lost."""
     path = new_folder(df.sparkSession, name)
