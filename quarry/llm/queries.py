@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, chat, embeddings, lm, mixing, quality, secrets, simhash, suffix_dedup, warc
+from quarry.llm import bpe, chat, cobucket, embeddings, lm, mixing, quality, secrets, simhash, suffix_dedup, token_files, vector_codes, warc
 from quarry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,9 @@ def queries() -> dict[str, Query]:
         "op8_source_mix": _over("documents", mixing.query),
         "op9_warc": _over("pages", warc.query),
         "op10_embedding_near_dedup": _over("embeddings", embeddings.query),
+        "op11_token_files": _over("documents", token_files.query),
+        "op12_vector_codes": _over("embeddings", vector_codes.query),
+        "op13_cobucket": cobucket.run,
     }
 
 
@@ -38,4 +41,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": chat.ORACLE_SQL,
         "op9_warc": warc.ORACLE_SQL,
         "op10_embedding_near_dedup": embeddings.ORACLE_SQL,
+        "op12_vector_codes": vector_codes.ORACLE_SQL,
     }
