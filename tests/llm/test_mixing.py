@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 from fractions import Fraction
+from math import ceil, floor
+from time import monotonic
 
 import pytest
 
@@ -21,23 +23,36 @@ def fluid(blocks, weights, slots):
     return have
 
 
-def order(plan, blocks):
-    """Sources by slot, from the plan's stretches."""
-    tiers = {s: (tier, w) for s, tier, w, _ in plan.sources}
-    jobs = {(t, i, s, k): (r, d, at) for t, i, s, k, r, d, at in plan.rows}
-    where = {(t, i): x for t, i, *x in plan.stretches}
-    out = {}
+def brute(blocks, weights):
+    """(source, block, release, deadline) by slot: of the released blocks, that of (deadline, weight one last, source, number)."""
+    total = sum(blocks.values())
+    ends = sorted(Fraction(n, weights[s]) for s, n in blocks.items())
+
+    def slots(v):  # dealt when each source has had its weight v times
+        return sum(min(Fraction(n), weights[s] * v) for s, n in blocks.items())
+
+    jobs, rounds = {}, -(-ends[-1].numerator // ends[-1].denominator)
+    starts = [slots(Fraction(r)) for r in range(rounds + 1)]
     for s, n in blocks.items():
-        tier, w = tiers[s]
-        for b in range(n):
-            i = sum(c <= b // w for c in plan.cuts[tier]) - 1
-            first, size, start = where[tier, i]
-            release, due, at = (x + start + (b // w - first) * size for x in jobs[tier, i, s, b % w])
-            assert release <= at < due
-            assert at not in out
-            out[at] = s
-    assert sorted(out) == list(range(sum(blocks.values())))
-    return [out[t] for t in range(len(out))]
+        for k in range(n):
+            jobs[s, k] = floor(slots(Fraction(k, weights[s]))), ceil(slots(Fraction(k + 1, weights[s])))
+            if weights[s] == 1:  # the whole round, though others may end within it
+                jobs[s, k] = int(starts[k]), int(starts[k + 1])
+    out, left = [], set(jobs)
+    for t in range(total):
+        ready = [(jobs[j][1], weights[j[0]] == 1, *j) for j in left if jobs[j][0] <= t]
+        due, _, s, k = min(ready)
+        assert t < due
+        left.remove((s, k))
+        out.append((s, k, *jobs[s, k]))
+    return out
+
+
+def order(spark, blocks, weights):
+    """(source, block, release, deadline) by slot."""
+    got = sorted(mixing.schedule(spark, mixing.tiers(blocks, weights)).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in got] == list(range(sum(blocks.values()))) and all(r.release <= r.slot < r.deadline for r in got)
+    return [(r.s, r.block, r.release, r.deadline) for r in got]
 
 
 CASES = [
@@ -50,7 +65,7 @@ CASES = [
 
 
 @pytest.mark.parametrize("case", range(len(CASES) + 20))
-def test_shares_hold_to_within_a_block_down_to_the_last_slot(case):
+def test_slots_equal_brute_force_and_shares_hold_to_within_a_block(spark, case):
     if case < len(CASES):
         blocks, weights = CASES[case]
     else:
@@ -59,21 +74,24 @@ def test_shares_hold_to_within_a_block_down_to_the_last_slot(case):
         blocks = {s: rnd.randint(1, 60) for s in names}
         weights = {s: rnd.choice([1, 2, 3, 7, 50]) for s in names}
     seen = Counter()
-    for t, s in enumerate(order(mixing.planned(blocks, weights), blocks), 1):
+    got = order(spark, blocks, weights)
+    if sum(blocks.values()) < 600:
+        assert got == brute(blocks, weights)
+    for t, (s, *_) in enumerate(got, 1):
         seen[s] += 1
         want = fluid(blocks, weights, t)
         assert all(abs(seen[x] - want[x]) < 1 for x in blocks)
     assert seen == blocks
 
 
-def test_sources_without_a_weight_come_last():
+def test_sources_without_a_weight_come_last(spark):
     blocks = {"a": 10, "b": 20, "x": 3, "y": 6}
-    got = order(mixing.planned(blocks, {"a": 1, "b": 3, "x": 0, "z": 5}), blocks)
+    got = [s for s, *_ in order(spark, blocks, {"a": 1, "b": 3, "x": 0, "z": 5})]
     assert set(got[:30]) == {"a", "b"} and Counter(got[30:36]) == {"x": 3, "y": 3} and got[36:] == ["y"] * 3
     with pytest.raises(ValueError):
-        mixing.planned({"a": 1}, {"z": 1})
+        mixing.tiers({"a": 1}, {"z": 1})
     with pytest.raises(ValueError):
-        mixing.planned({"a": 10**7, "b": 10**7}, {"a": 1, "b": 10**7})
+        mixing.tiers({"a": 10**7, "b": 10**7}, {"a": 1, "b": 10**7})
 
 
 def test_weights_are_exact():
@@ -146,3 +164,25 @@ def test_mixed_is_the_same_order_and_keeps_all_rows(spark, docs, tmp_path):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.query(docs).count() == 0 and mixing.mixed(docs).count() == 0
+
+
+def test_many_sources_of_different_sizes(spark):
+    """Work in proportion to the blocks: 3,000 sources, all with different ends, and one that is hot."""
+    blocks = {f"s{i:05d}": 1 + i // 20 for i in range(3000)} | {"hot": 50_000}
+    weights = mixing.tempered({s: 16 * n for s, n in blocks.items()})
+    assert weights["hot"] > 1
+    start = monotonic()
+    got = mixing.schedule(spark, mixing.tiers(blocks, weights))
+    row = got.selectExpr("count(*) AS n", "count(DISTINCT slot) AS d", "max(slot) AS m", "sum(int(slot < release OR slot >= deadline)) AS late").first()
+    n = sum(blocks.values())
+    assert (row.n, row.d, row.m, row.late) == (n, n, n - 1, 0)
+    assert monotonic() - start < 60
+
+
+def test_100_000_sources(spark):
+    blocks = {f"s{i:06d}": 1 + i % 7 for i in range(99_999)} | {"hot": 30_000}
+    got = mixing.schedule(spark, mixing.tiers(blocks, mixing.tempered({s: 16 * n for s, n in blocks.items()})))
+    n = sum(blocks.values())
+    assert got.selectExpr("count(DISTINCT slot) AS d", "max(slot) AS m").first() == (n, n - 1)
+    with pytest.raises(ValueError):
+        mixing.tiers({"a": 1}, {"z": 1})
