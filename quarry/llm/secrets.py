@@ -9,7 +9,7 @@ and those that overlap a base span, add nothing.
 
 Offsets are code points, ends exclusive.  A pattern's matches come from regexp_extract_all, the text
 between them from split with the same pattern, and running lengths of both give the offsets: everything
-stays in one row, so there is no shuffle, and no text is cut.
+stays in one row, so there is no shuffle, and no text is cut.  Work is linear in a text's matches, but for sorting.
 
 Defined cases: null and empty texts have no spans; very long texts are scanned whole, in their own row; of spans
 that start together the kind listed first comes first; repeated rows are scanned one by one; an empty table
@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import let
+from quarry.llm.common import let, running
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -47,33 +47,18 @@ def _spans(text: Column, pattern: str, kind: int, good: Callable[[Column], Colum
     """Spans of a pattern's matches that are ``good``, in order."""
 
     def of_both(x: Column) -> Column:
-        steps = F.transform(
-            x["found"], lambda m, i: F.struct(F.length(F.get(x["between"], i)).alias("gap"), m.alias("m"))
-        )
-        out = F.aggregate(
-            steps,
-            F.struct(F.lit(0).alias("at"), _none().alias("out")),
-            lambda acc, s: F.struct(
-                (acc["at"] + s["gap"] + F.length(s["m"])).alias("at"),
-                F.when(
-                    good(s["m"]) if good else F.lit(True),
-                    F.concat(
-                        acc["out"],
-                        F.array(
-                            F.struct(
-                                (acc["at"] + s["gap"]).alias("start"),
-                                F.lit(kind).alias("kind"),
-                                (acc["at"] + s["gap"] + F.length(s["m"])).alias("stop"),
-                            )
-                        ),
-                    ),
-                )
-                .otherwise(acc["out"])
-                .alias("out"),
-            ),
-            lambda acc: acc["out"],
-        )
-        return F.when(F.size(x["found"]) > 0, out).otherwise(_none())
+        gap = lambda i: F.length(F.get(x["between"], i))
+        sizes = F.transform(x["found"], lambda m, i: gap(i) + F.length(m))
+
+        def placed(at: Column) -> Column:
+            def span(m: Column, i: Column) -> Column:
+                start = F.get(at, i) + gap(i)
+                out = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(m)).alias("stop"))
+                return F.when(good(m), out) if good else out
+
+            return F.filter(F.transform(x["found"], span), lambda s: s.isNotNull())
+
+        return F.when(F.size(x["found"]) > 0, let(running(sizes, "int", 0, lambda a, n: a + n), placed)).otherwise(_none())
 
     both = F.struct(
         F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"), F.split(text, pattern, -1).alias("between")
@@ -145,7 +130,26 @@ def _entropy_spans(text: Column) -> Column:
             return F.when(ok, window_entropy(m) >= least).otherwise(F.lit(False))
 
         per_class.append(F.when(text.rlike(pattern), _spans(text, pattern, 3, good)).otherwise(_none()))
-    return F.array_distinct(F.concat(*per_class))
+    spans = F.sort_array(F.concat(*per_class))
+    return let(spans, lambda x: F.filter(x, lambda s, i: (i == 0) | (s != F.get(x, i - 1))))
+
+
+def _fresh(spans: Column) -> Column:
+    """Sorted spans without those of the method that overlap a base span: one before, or the next after."""
+    top = 2**31 - 1
+    entropy = F.lit(KINDS.index("entropy"))
+    stops = F.transform(spans, lambda s: F.when(s["kind"] < entropy, s["stop"]).otherwise(0))
+    starts = F.transform(spans, lambda s: F.when(s["kind"] < entropy, s["start"]).otherwise(top))
+    around = F.struct(
+        running(stops, "int", 0, F.greatest).alias("before"),
+        F.reverse(running(F.reverse(starts), "int", top, F.least)).alias("after"),
+    )
+
+    def apart(a: Column) -> Column:
+        free = lambda s, i: (F.get(a["before"], i) <= s["start"]) & (F.get(a["after"], i) >= s["stop"])
+        return F.filter(spans, lambda s, i: (s["kind"] < entropy) | free(s, i))
+
+    return let(around, apart)
 
 
 def _has(text: Column, parts: tuple[str, ...]) -> Column:
@@ -173,11 +177,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
     def joined(x: Column) -> Column:
-        fresh = F.filter(
-            x["more"],
-            lambda m: ~F.exists(x["base"], lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])),
-        )
-        return F.struct(x["base"].alias("base"), F.sort_array(F.concat(x["base"], fresh)).alias("spans"))
+        return F.struct(x["base"].alias("base"), F.when(F.size(x["more"]) > 0, let(F.sort_array(F.concat(x["base"], x["more"])), _fresh)).otherwise(x["base"]).alias("spans"))
 
     out = docs.withColumn("_found", let(found, joined))
     return out.withColumns({"base": F.col("_found.base"), "spans": F.col("_found.spans")}).drop("_found")
@@ -197,28 +197,53 @@ def listed(spans: Column) -> Column:
     )
 
 
+def _runs(spans: Column) -> Column:
+    """(start, stop) of maximal runs of sorted spans that overlap or touch."""
+
+    def of_before(before: Column) -> Column:
+        seen = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), F.get(before, i).alias("before")))
+        first = F.filter(seen, lambda s: s["start"] > s["before"])
+        last = F.array_max(F.transform(spans, lambda s: s["stop"]))
+        return let(first, lambda f: F.transform(f, lambda s, i: F.struct(s["start"].alias("start"), F.coalesce(F.get(f, i + 1)["before"], last).alias("stop"))))
+
+    return let(running(F.transform(spans, lambda s: s["stop"]), "int", -1, F.greatest), of_before)
+
+
+def _replaced(text: Column, spans: Column, mark: Column) -> Column:
+    """A text with a mark for each run of its spans.
+
+    A place in a text is found by counting from its start, so runs are taken in chunks, each with a piece of the text.
+    """
+    chunk = 512
+
+    def of_runs(runs: Column) -> Column:
+        def of_chunk(c: Column) -> Column:
+            start = F.when(c == 0, 0).otherwise(F.get(runs, c * chunk - 1)["stop"])  # where the chunk before ends
+            stop = F.get(runs, F.least(c * chunk + chunk, F.size(runs)) - 1)["stop"]
+
+            def of_piece(x: Column) -> Column:
+                def kept(r: Column, i: Column) -> Column:
+                    a = F.when(i == 0, x["start"]).otherwise(F.get(x["own"], i - 1)["stop"])
+                    return F.concat(F.substring(x["piece"], a - x["start"] + 1, r["start"] - a), mark)
+
+                return F.array_join(F.transform(x["own"], kept), "")
+
+            own = F.slice(runs, c * chunk + 1, F.lit(chunk))
+            piece = F.substring(text, start + 1, stop - start)
+            return let(F.struct(piece.alias("piece"), start.alias("start"), own.alias("own")), of_piece)
+
+        chunks = F.sequence(F.lit(0), F.floor((F.size(runs) - 1) / chunk).cast("int"))
+        end = F.get(runs, F.size(runs) - 1)["stop"]
+        return F.concat(F.array_join(F.transform(chunks, of_chunk), ""), F.substring(text, end + 1, F.length(text)))
+
+    return let(_runs(spans), of_runs)
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each maximal run of secret characters replaced, and ``n_chars`` made to agree."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
     found = scan(row)
-    out = F.aggregate(
-        "spans",
-        F.struct(F.lit("").alias("t"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.when(
-                s["start"] >= acc["at"],
-                F.concat(
-                    acc["t"],
-                    F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]),
-                    F.when((s["start"] > acc["at"]) | (acc["at"] == 0), F.lit(mark)).otherwise(F.lit("")),
-                ),
-            )
-            .otherwise(acc["t"])
-            .alias("t"),
-            F.greatest(acc["at"], s["stop"]).alias("at"),
-        ),
-        lambda acc: F.concat(acc["t"], F.substring(F.col("text"), acc["at"] + 1, F.length(F.col("text")))),
-    )
+    out = _replaced(F.col("text"), F.col("spans"), F.lit(mark))
     found = found.withColumn("_t", F.when(F.size("spans") > 0, out).otherwise(F.col("text")))
     cols = []
     for c in docs.columns:

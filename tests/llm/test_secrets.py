@@ -1,7 +1,9 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
+from time import monotonic
 
 from pyspark.sql import functions as F
 
@@ -68,3 +70,38 @@ def test_redaction(spark):
     assert got[3].text == '[SECRET]" end' and got[3].n_chars == len(got[3].text)
     assert got[7].text == "é[SECRET]é日 [SECRET]"
     assert got[8].text == "key [SECRET] tail"
+
+
+def test_many_matches_in_one_text(spark):
+    """Work is linear in the matches of a text, in the scan and in the redaction."""
+    texts = ["token=abcdef1 " * 100_000, f"{KEY} {HEXES} " * 2_000, f"é{KEY} " * 2_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = monotonic()
+    got = {r.doc_id: r for r in secrets.query(docs).collect()}
+    assert (got[0].n_assign, got[1].n_hex, got[2].n_hex) == (100_000, 2_000, 0)
+    assert got[0].spans.endswith(",assign:1399986:1399999") and got[1].spans.count("entropy") == got[2].spans.count("entropy") == 2_000
+    out = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert out == {0: "[SECRET] " * 100_000, 1: "[SECRET] [SECRET] " * 2_000, 2: "é[SECRET] " * 2_000}
+    assert monotonic() - start < 90
+
+
+def test_overlaps_and_redaction_by_brute_force(spark):
+    rnd = random.Random(5)
+    parts = [KEY, HEXES, "token=", "secret: ", "AKIA", "ABCDEFGH12345678ZZZZ", " ", "é", "x", f"api_key={KEY}", "\n", KEY.upper()]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 40))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    for r in secrets.query(docs).collect():
+        t, want = texts[r.doc_id], base(texts[r.doc_id])
+        for name, pattern in (("mixed", r"[A-Za-z0-9+/_-]{20,}"), ("upper", r"[A-Z0-9]{20,}")):
+            _, needs, least = secrets.CLASSES[name]
+            for m in re.finditer(pattern, t):
+                ok = not re.search(secrets.ALLOWED, m[0]) and all(re.search(n, m[0]) for n in needs) and entropy(m[0]) >= least
+                if ok and not any(s < m.end() and m.start() < e for s, _, e in base(t)):
+                    want.append((m.start(), 3, m.end()))
+        want = sorted(set(want))
+        assert r.spans == ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in want)
+        hidden = bytearray(len(t))
+        for s, _, e in want:
+            hidden[s:e] = b"\1" * (e - s)
+        assert clean[r.doc_id] == "".join("[SECRET]" if h and not (i and hidden[i - 1]) else "" if h else c for i, (c, h) in enumerate(zip(t, hidden)))
