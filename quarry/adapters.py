@@ -6,6 +6,8 @@ oracle read the same rows; the operators on top are written independently of the
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -222,6 +224,60 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(*_SOURCES)
 
 
+# Programs: one a part, in six languages, with names in strings and comments of every kind.
+_PROGRAM_EXT = "CASE p_partkey % 6 WHEN 0 THEN 'rs' WHEN 1 THEN 'ts' WHEN 2 THEN 'go' WHEN 3 THEN 'java' WHEN 4 THEN 'kt' ELSE 'py' END"
+_PROGRAMS = {
+    "rs": (
+        "// {N}() in a comment \"quote", "pub struct Ring_{K}<'a> {{ name: &'a str }}", "impl<'a> Ring_{K}<'a> {{", "    pub fn {N}(&self, x: &'a str) -> char {{",
+        "        let s = \"{N}(\\\"no\\\")\"; /* {N}( /* nested */ {N}( */", "        if helper_{K}(x) {{ self.other() }} else {{ '\"' }}", "    }}", "}}",
+        "fn free_{K}<F: Fn() -> u8>(f: F) {{", "    {N}(r#\"a \" {N}(\"#);", "}}",
+    ),
+    "ts": (
+        "/* {N}() {{", " * {N} */ export class Ring_{K} extends Base {{", "  {N}(x: string): string {{",
+        "    const s = `{N} ${{{N}(x)}}`; if (helper_{K}(\"//\")) {{ this.#go(); }}", "  }}", "}}", "interface Shape {{ area: number }}", "const one = (x) => {N}(x); /* {N}( */",
+    ),
+    "go": (
+        "// {N}(", "func {N}(x string) string {{", "	s := `{N} {{", "\" {N}( ` + \"{N}(\"", "	_ = s", "	if helper_{K}(s) {{ return \"}}\" }}", "	return {N}(x) // {N}(", "}}",
+        "type Ring_{K} struct {{ name string }}", "func (r *Ring_{K}) Run() bool {{ return check('{{') }}",
+    ),
+    "java": (
+        "/** {N}() {{ */", "class Ring_{K} {{", "    int {N}(String s) throws E {{", "        s = \"\"\"", "            {N}() {{ \" \"\"\"; if (helper_{K}(s)) return 1;",
+        "        return {N}(s); // {N}()", "    }}", "}}",
+    ),
+    "kt": (
+        "/* {N}() /* {N} */ {N} */", "fun {N}(x: Int): Int {{", "    val s = \"{N}() {{\"", "    if (helper_{K}(s)) {{ }}", "    return {N}(x) // \"{N}\"", "}}",
+        "class Ring_{K} {{", "    fun go() {{ check('}}') }}", "}}",
+    ),
+    "py": ("\"\"\"{N}() # \"\"\"", "def {N}(x, y):", "    s = '{N}' + \"{N}(\"  # it's", "    return {N}(x // y)  # {N}"),
+}
+
+
+def _program_sql(lines: tuple[str, ...]) -> str:
+    """The lines as SQL that reads the part's columns; {N} and {K} are its name and size."""
+    text = "\n".join(x.replace("{{", "\x01").replace("}}", "\x02") for x in lines)
+    parts = []
+    for piece in re.split(r"(\{N\}|\{K\}|\n|\\|')", text):
+        plain = piece.replace("\x01", "{").replace("\x02", "}")
+        special = {"{N}": _N, "{K}": _K, "\n": _NL, "\\": "chr(92)", "'": "chr(39)"}
+        parts += [special.get(piece) or f"'{plain}'"] if piece else []
+    return f"concat({', '.join(parts)})"
+
+
+_PROGRAM_COLUMNS = [
+    "CAST(p_partkey AS BIGINT) AS id",
+    f"concat('prog/', {_N}, '_', {_ID}, '.', {_PROGRAM_EXT}) AS relative_path",
+    f"CASE p_partkey % 6 WHEN 0 THEN {_program_sql(_PROGRAMS['rs'])} WHEN 1 THEN {_program_sql(_PROGRAMS['ts'])} WHEN 2 THEN {_program_sql(_PROGRAMS['go'])} "
+    f"WHEN 3 THEN {_program_sql(_PROGRAMS['java'])} WHEN 4 THEN {_program_sql(_PROGRAMS['kt'])} ELSE {_program_sql(_PROGRAMS['py'])} END AS content",
+]
+#: What the programs were made from, for SQL that does not read their text.
+PROGRAM_FACTS_SQL = f"SELECT CAST(p_partkey AS BIGINT) AS id, {_PROGRAM_COLUMNS[1]}, {_PROGRAM_EXT} AS ext, {_N} AS n, {_K} AS k FROM part".replace("AS STRING", "AS VARCHAR")
+
+
+def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, relative_path, content): a program per part."""
+    return table(spark, sf_dir, "part").selectExpr(*_PROGRAM_COLUMNS)
+
+
 _DOCS = [x for x in _SYMBOLS if not x.endswith("AS file_path")] + [_SOURCES[1].replace("AS relative_path", "AS file_path"), _SOURCES[2].replace("AS content", "AS body")]
 
 

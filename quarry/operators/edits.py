@@ -9,15 +9,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators.lookup import lines
+from quarry.functions.arrays import running
+from quarry.operators.lookup import code_lines, lines
 
 
 def rename(files: DataFrame, old: str, new: str) -> DataFrame:
-    """(id, line_no, before, after) of each line with the identifier."""
+    """(id, line_no, before, after) of each line with the identifier; strings and comments stay as they are."""
     word = rf"\b{re.escape(old)}\b"
-    new = new.replace("\\", "\\\\").replace("$", "\\$")
-    rows = lines(files.where(F.col("content").rlike(word))).where(F.col("line").rlike(word))
-    return rows.select("id", "line_no", F.col("line").alias("before"), F.regexp_replace("line", word, new).alias("after"))
+    rows = code_lines(files.where(F.col("content").rlike(word))).where(F.col("code").rlike(word))
+
+    def pieces(x: Column) -> Column:
+        """What lies between the places, from the line itself."""
+        starts = running(F.transform(x, lambda p: F.length(p) + len(old)), "int", F.lit(0), lambda at, n: at + n)
+        return F.transform(F.arrays_zip(x.alias("p"), starts.alias("at")), lambda z: F.substring(F.col("line"), z["at"] + 1, F.length(z["p"])))
+
+    after = F.array_join(T.let(F.split("code", word, -1), pieces), new)
+    return rows.select("id", "line_no", F.col("line").alias("before"), after.alias("after"))
 
 
 def replace_lines(files: DataFrame, spans: DataFrame) -> DataFrame:

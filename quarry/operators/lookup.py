@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.functions import syntax
 from quarry.functions import text as T
 from quarry.operators.sizes import small
 from quarry.storage import written
@@ -122,19 +123,18 @@ def substring_with_path(symbols: DataFrame, query: str, scope: str, limit: int =
     return substring(under(symbols, scope), query, limit)
 
 
-#: Text that is no code: quoted strings first, as they may hold comment marks, then line comments.
-QUOTED = r""""(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'"""
-
-
-def code_only(line: Column) -> Column:
-    """A line without what its strings hold and without its line comment."""
-    return F.regexp_replace(F.regexp_replace(line, QUOTED, '""'), "(//|#).*$", "")
+def code_lines(files: DataFrame) -> DataFrame:
+    """(id, line_no, line, code): lines, and each without its strings and comments, which are blank; by the file's type."""
+    ext = T.extension(F.col("relative_path")) if "relative_path" in files.columns else F.lit("")
+    rows = files.select("id", F.split("content", "\n").alias("line"), F.split(syntax.mask(F.col("content"), ext), "\n").alias("code"))
+    rows = rows.select("id", F.posexplode(F.arrays_zip("line", "code")).alias("at", "x"))
+    return rows.select("id", (F.col("at") + 1).cast("long").alias("line_no"), "x.line", "x.code")
 
 
 def word_matches(files: DataFrame, word: str) -> DataFrame:
-    """Per line the number of whole-word occurrences of an identifier, outside strings and line comments."""
-    rows = lines(files.where(F.contains(F.col("content"), F.lit(word))))
-    n = F.regexp_count(code_only(F.col("line")), F.lit(rf"\b{re.escape(word)}\b")).cast("long")
+    """Per line the number of whole-word occurrences of an identifier, outside strings and comments."""
+    rows = code_lines(files.where(F.contains(F.col("content"), F.lit(word))))
+    n = F.regexp_count("code", F.lit(rf"\b{re.escape(word)}\b")).cast("long")
     return rows.select("id", "line_no", n.alias("matches")).where("matches > 0")
 
 

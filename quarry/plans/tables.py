@@ -160,7 +160,10 @@ def smart_grep_enclosing(spark, d):
     return found.select(F.col("file_path").alias("id"), "line_no", "span_id")
 
 
-_STRINGS = lookup.QUOTED.replace("'", "''")
+_STRINGS = """"(?:[^"\\\\]|\\\\.)*"|'(?:[^'\\\\]|\\\\.)*'""".replace("'", "''")
+
+
+_NO_CODE = f"{_STRINGS}|(?://|#).*"
 
 
 @register(
@@ -510,8 +513,10 @@ def surface_consistency(spark, d):
 
 @register(
     "rename_plan",
-    f"""WITH {FI}, l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM fi)
-SELECT id, line_no, line AS before, regexp_replace(line, '\\bthe\\b', 'THE', 'g') AS after FROM l WHERE regexp_matches(line, '\\bthe\\b')""",
+    f"""WITH {FI}, l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM fi),
+c AS (SELECT id, line_no, line, regexp_split_to_array(line, '{_NO_CODE}') AS b, regexp_extract_all(line, '{_NO_CODE}') AS f FROM l WHERE contains(line, 'the'))
+SELECT id, line_no, line AS before, array_to_string(list_transform(range(1, len(b) + 1), lambda i: concat(regexp_replace(b[i], '\\bthe\\b', 'THE', 'g'), coalesce(f[i], ''))), '') AS after
+FROM c WHERE len(list_filter(b, lambda x: regexp_matches(x, '\\bthe\\b'))) > 0""",
 )
 def rename_plan(spark, d):
     return edits.rename(A.files(spark, d), "the", "THE")
@@ -916,6 +921,64 @@ def _parsed(spark, d):
     return code.parse_python(A.sources(spark, d).where("relative_path LIKE '%.py'"))
 
 
+PR = f"pr AS ({A.PROGRAM_FACTS_SQL})"
+
+
+@register(
+    "code_words",
+    f"""WITH {PR} SELECT id, CAST(unnest(CASE ext WHEN 'rs' THEN [4, 10] WHEN 'ts' THEN [3, 4, 8] WHEN 'go' THEN [2, 7] WHEN 'java' THEN [3, 6] WHEN 'kt' THEN [2, 5] ELSE [2, 4] END) AS BIGINT) AS line_no,
+  CAST(1 AS BIGINT) AS matches FROM pr WHERE n = 'small_ring'""",
+)
+def code_words(spark, d):
+    """Occurrences of a name in programs that have it in strings and comments too."""
+    return lookup.word_matches(A.programs(spark, d), "small_ring")
+
+
+@register(
+    "rename_in_code",
+    f"""WITH {PR}, r AS (SELECT id, unnest(CASE ext WHEN 'rs' THEN [4, 10] WHEN 'ts' THEN [3, 4, 8] WHEN 'go' THEN [2, 7] WHEN 'java' THEN [3, 6] WHEN 'kt' THEN [2, 5] ELSE [2, 4] END) AS line_no,
+  unnest(CASE ext WHEN 'rs' THEN ['    pub fn big_ring(&self, x: &''a str) -> char {{', '    big_ring(r#"a " small_ring("#);'] WHEN 'ts' THEN ['  big_ring(x: string): string {{', concat('    const s = `small_ring ${{big_ring(x)}}`; if (helper_', k, '("//")) {{ this.#go(); }}'), 'const one = (x) => big_ring(x); /* small_ring( */']
+    WHEN 'go' THEN ['func big_ring(x string) string {{', '	return big_ring(x) // small_ring(']
+    WHEN 'java' THEN ['    int big_ring(String s) throws E {{', '        return big_ring(s); // small_ring()'] WHEN 'kt' THEN ['fun big_ring(x: Int): Int {{', '    return big_ring(x) // "small_ring"']
+    ELSE ['def big_ring(x, y):', '    return big_ring(x // y)  # small_ring'] END) AS after FROM pr WHERE n = 'small_ring')
+SELECT id, CAST(line_no AS BIGINT) AS line_no, after FROM r""",
+)
+def rename_in_code(spark, d):
+    return edits.rename(A.programs(spark, d), "small_ring", "big_ring").select("id", "line_no", "after")
+
+
+def _programs(spark, d):
+    return code.parse_sources(A.programs(spark, d).where("relative_path NOT LIKE '%.py'"))
+
+
+@register(
+    "parse_symbols_by_language",
+    f"""WITH {PR}, s AS (SELECT relative_path AS file_path, unnest(CASE ext
+  WHEN 'rs' THEN [{{'n': concat('Ring_', k), 'k': 'class', 'p': concat('Ring_', k), 'l': 2, 'e': 2}}, {{'n': n, 'k': 'method', 'p': concat('Ring_', k, '/', n), 'l': 4, 'e': 7}}, {{'n': concat('free_', k), 'k': 'function', 'p': concat('free_', k), 'l': 9, 'e': 11}}]
+  WHEN 'ts' THEN [{{'n': concat('Ring_', k), 'k': 'class', 'p': concat('Ring_', k), 'l': 2, 'e': 6}}, {{'n': n, 'k': 'method', 'p': concat('Ring_', k, '/', n), 'l': 3, 'e': 5}}, {{'n': 'Shape', 'k': 'interface', 'p': 'Shape', 'l': 7, 'e': 7}}, {{'n': 'one', 'k': 'function', 'p': 'one', 'l': 8, 'e': 8}}]
+  WHEN 'go' THEN [{{'n': n, 'k': 'function', 'p': n, 'l': 2, 'e': 8}}, {{'n': concat('Ring_', k), 'k': 'class', 'p': concat('Ring_', k), 'l': 9, 'e': 9}}, {{'n': 'Run', 'k': 'method', 'p': 'Run', 'l': 10, 'e': 10}}]
+  WHEN 'java' THEN [{{'n': concat('Ring_', k), 'k': 'class', 'p': concat('Ring_', k), 'l': 2, 'e': 8}}, {{'n': n, 'k': 'method', 'p': concat('Ring_', k, '/', n), 'l': 3, 'e': 7}}]
+  ELSE [{{'n': n, 'k': 'function', 'p': n, 'l': 2, 'e': 6}}, {{'n': concat('Ring_', k), 'k': 'class', 'p': concat('Ring_', k), 'l': 7, 'e': 9}}, {{'n': 'go', 'k': 'method', 'p': concat('Ring_', k, '/go'), 'l': 8, 'e': 8}}] END) AS x FROM pr WHERE ext <> 'py')
+SELECT file_path, x.n AS name, x.k AS kind, x.p AS name_path, CAST(x.l AS BIGINT) AS line, CAST(x.e AS BIGINT) AS end_line FROM s""",
+)
+def parse_symbols_by_language(spark, d):
+    return _programs(spark, d).where("row = 'symbol'").select("file_path", "name", "kind", "name_path", "line", "end_line")
+
+
+@register(
+    "parse_calls_by_language",
+    f"""WITH {PR}, s AS (SELECT relative_path AS file_path, unnest(CASE ext
+  WHEN 'rs' THEN [{{'c': concat('Ring_', k, '/', n), 'n': concat('helper_', k), 'l': 6}}, {{'c': concat('Ring_', k, '/', n), 'n': 'other', 'l': 6}}, {{'c': concat('free_', k), 'n': n, 'l': 10}}]
+  WHEN 'ts' THEN [{{'c': concat('Ring_', k, '/', n), 'n': n, 'l': 4}}, {{'c': concat('Ring_', k, '/', n), 'n': concat('helper_', k), 'l': 4}}, {{'c': concat('Ring_', k, '/', n), 'n': 'go', 'l': 4}}, {{'c': 'one', 'n': n, 'l': 8}}]
+  WHEN 'go' THEN [{{'c': n, 'n': concat('helper_', k), 'l': 6}}, {{'c': n, 'n': n, 'l': 7}}, {{'c': 'Run', 'n': 'check', 'l': 10}}]
+  WHEN 'java' THEN [{{'c': concat('Ring_', k, '/', n), 'n': concat('helper_', k), 'l': 5}}, {{'c': concat('Ring_', k, '/', n), 'n': n, 'l': 6}}]
+  ELSE [{{'c': n, 'n': concat('helper_', k), 'l': 4}}, {{'c': n, 'n': n, 'l': 5}}, {{'c': concat('Ring_', k, '/go'), 'n': 'check', 'l': 8}}] END) AS x FROM pr WHERE ext <> 'py')
+SELECT file_path, x.c AS caller, x.n AS callee, CAST(x.l AS BIGINT) AS line FROM s""",
+)
+def parse_calls_by_language(spark, d):
+    return _programs(spark, d).where("row = 'call'").select("file_path", F.col("name_path").alias("caller"), F.col("name").alias("callee"), "line")
+
+
 _PY = "py AS (SELECT * FROM fa WHERE ext = 'py')"
 _NAMES = "concat(CASE WHEN p_partkey % 7 = 0 THEN 'test_' ELSE 'run_' END, CAST(p_size AS VARCHAR))"
 

@@ -32,6 +32,37 @@ def test_project_files_and_python_symbols(spark, tmp_path):
     assert {r.name for r in rows if r.row == "import"} == {"os", "a.b"}
 
 
+def test_walk_leaves_out_what_is_excluded_and_nothing_else(spark, tmp_path):
+    root = tmp_path / "build"  # only what lies below the root decides
+    keep = ["a.py", "src/big.rs", "environment/x.go", "docs/out.md", "src/min.js", "backups/b.py"]
+    gone = [".venv-x/a.py", "venv/a.py", "backup-1/a.py", ".next/a.js", "w/.worktrees/x/a.py", ".tox/a.py", "x/out/a.rs", "a.min.js", "yarn.lock", "x.gen.ts", "own/a.py"]
+    for name in keep + gone:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x = 1\n")
+    (root / "src/big.rs").write_text("fn a() { b() }\n" * (11 << 16))  # 11 MB
+    files = code.project_files(spark, f"file://{root}", more=("own/*",))
+    got = {r.relative_path: r.size_bytes for r in files.select("relative_path", "size_bytes").collect()}
+    assert sorted(got) == sorted(keep) and got["src/big.rs"] > 10 << 20
+
+
+def test_deep_expressions_parse_or_say_why_not(spark):
+    texts = ["x = " + "+".join(["f(1)"] * 5000), "a" + ".b" * 5000, "(" * 3000 + ")" * 3000, "def ok(): g()", "def (", "\0"]
+    files = spark.createDataFrame([(f"{i}.py", t) for i, t in enumerate(texts)], "relative_path string, content string")
+    rows = code.parse_python(files).collect()
+    per = {i: [(r.row, r.name) for r in rows if r.file_path == f"{i}.py"] for i in range(len(texts))}
+    assert per[0] == [("call", "f")] * 5000 or [r for r, _ in per[0]] == ["error"]
+    assert per[1] in ([], [("error", "RecursionError")]) and [r for r, _ in per[2]] == ["error"]
+    assert per[3] == [("symbol", "ok"), ("call", "g")] and per[4] == [("error", "SyntaxError")] and [r for r, _ in per[5]] == ["error"]
+    assert code.scoped_references(files).where("file_path = '3.py'").count() == 2
+
+
+def test_sources_of_other_languages(spark):
+    files = spark.createDataFrame([("a.rs", "impl A {\n  fn run(&self) { go(1) }\n}"), ("b.ts", "class B { x() { y(); } }"), ("c.txt", "fn no() {}")], "relative_path string, content string")
+    rows = code.parse_sources(files).collect()
+    assert {(r.file_path, r.name_path, r.signature) for r in rows if r.row == "symbol"} == {("a.rs", "A/run", "fn run(&self) { go(1) }"), ("b.ts", "B", "class B { x() { y(); } }"), ("b.ts", "B/x", "class B { x() { y(); } }")}
+    assert {(r.name_path, r.name) for r in rows if r.row == "call"} == {("A/run", "go"), ("B/x", "y")}
+
+
 def test_event_stream_keeps_the_newest_row_of_each_path(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
