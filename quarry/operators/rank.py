@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import text as T
 from quarry.functions.udfs import jaro_winkler
 from quarry.operators.sizes import batch, small
+from quarry.sources import postings as index
 from quarry.storage import written
 
 # Field weights, BM25 and fusion constants.
@@ -63,11 +64,29 @@ def bm25(
     ones are left out after scoring unless they are asked for.
     """
     have = {f: w for f, w in (fields or FIELD_WEIGHTS).items() if f in docs.columns}
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
+    asked = _asked_terms(queries)
     flags = [c for c in ("is_test", "is_generated", "exported") if c in docs.columns]
     rows = written(postings(docs, asked, have), "bm25")
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     hits = rows.select("id", "dl", F.explode("hits").alias("h")).select("id", "dl", "h.term", "h.tf")
+    return _bm25_top(hits, stats, asked, k, docs.select("id", *flags) if flags else None, tests, generated)
+
+
+def _asked_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
+
+
+def bm25_indexed(spark: SparkSession, folder: str, queries: DataFrame, k: int = 10, tests: bool = True, generated: bool = True) -> DataFrame:
+    """What ``bm25`` returns, from an index (``sources.postings``): the postings of the queries' terms are read, and no text."""
+    asked = _asked_terms(queries)
+    terms = [r.term for r in asked.select("term").distinct().collect()]  # a batch of queries
+    hits = written(index.read(spark, folder, "bm25", terms), "bm25-hits")  # read for document frequencies, and for scores
+    flags = hits.select("id", *index.FLAGS).distinct()
+    return _bm25_top(hits.drop(*index.FLAGS), index.statistics(spark, folder, "bm25"), asked, k, flags, tests, generated)
+
+
+def _bm25_top(hits: DataFrame, stats: DataFrame, asked: DataFrame, k: int, flagged: DataFrame | None, tests: bool, generated: bool) -> DataFrame:
+    """Top k of (id, dl, term, tf), given (n, avgdl) of all documents and the flags of documents."""
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row a query term
     count = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -81,20 +100,28 @@ def bm25(
         .join(small(count), "query_id")
     )
     bonus = F.when(F.col("matched") / F.col("n_terms") >= COORDINATION, COORDINATION_BONUS).otherwise(1.0)
-    if flags:
-        scored = scored.join(docs.select("id", *flags), "id")
+    if flagged is not None:
+        scored = scored.join(flagged, "id")
         for flag, weight, wanted in (("is_test", TEST_WEIGHT, tests), ("is_generated", GENERATED_WEIGHT, generated), ("exported", EXPORTED_WEIGHT, True)):
-            if flag in flags:
+            if flag in flagged.columns:
                 bonus = bonus * F.when(F.col(flag), weight).otherwise(1.0)
-                scored = scored if wanted else scored.where(~F.col(flag))
+                scored = scored if wanted else scored.where(~F.coalesce(F.col(flag), F.lit(False)))
     # equal documents tie, in whatever order their terms were summed
     scored = scored.withColumn("score", F.round(F.col("score") * bonus, 9))
     return top_k(scored, k, "score", "id").select("query_id", "id", "score", "matched", "rank")
 
 
-def retrieve(docs: DataFrame, queries: DataFrame, k: int, recent: DataFrame | None = None, tests: bool = False, generated: bool = False) -> DataFrame:
-    """Top k by BM25 of five times as many, after configuration files have lost and recent files (query_id, prefix) have gained."""
-    hits = bm25(docs, queries, 5 * k, tests=tests, generated=generated).drop("rank")
+def retrieve(
+    docs: DataFrame, queries: DataFrame, k: int, recent: DataFrame | None = None, tests: bool = False, generated: bool = False, folder: str | None = None
+) -> DataFrame:
+    """Top k by BM25 of five times as many, after configuration files have lost and recent files (query_id, prefix) have gained.
+
+    ``folder`` has an index of the documents; without one they are tokenised.
+    """
+    if folder is None:
+        hits = bm25(docs, queries, 5 * k, tests=tests, generated=generated).drop("rank")
+    else:
+        hits = bm25_indexed(docs.sparkSession, folder, queries, 5 * k, tests, generated).drop("rank")
     rows = hits.join(docs.select("id", "file_path"), "id").join(batch(queries), "query_id")
     rows = rows.withColumn("score", F.col("score") * T.markup_penalty(F.col("file_path"), F.col("query")))
     if recent is not None:
@@ -124,8 +151,7 @@ def fts_prefix(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     A prefix counts as one term: its frequency is the number of tokens that start with it, and rare terms weigh
     log((N - n + 0.5) / (n + 0.5)), a millionth at least.
     """
-    split = lambda c: F.filter(F.split(F.lower(c), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
-    asked = queries.select("query_id", F.explode(F.filter(F.split(F.lower("query"), r"[\s_-]+"), lambda x: x != "")).alias("prefix")).distinct()
+    asked = _asked_prefixes(queries)
     prefixes = asked.select("prefix").distinct().agg(F.collect_list("prefix").alias("prefixes"))  # a batch of queries
 
     def of_tokens(x: Column) -> Column:
@@ -134,11 +160,29 @@ def fts_prefix(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         )
         return F.struct(F.size(x["t"]).alias("dl"), F.filter(counted, lambda c: c["tf"] > 0).alias("hits"))
 
-    both = F.struct(F.concat(split(F.col("name")), split(F.col("name_path")), split(F.col("signature"))).alias("t"), F.col("prefixes"))
+    both = F.struct(index.prefix_tokens(F.col("name"), F.col("name_path"), F.col("signature")).alias("t"), F.col("prefixes"))
     rows = docs.crossJoin(F.broadcast(prefixes)).select("id", T.let(both, of_tokens).alias("p")).select("id", "p.dl", "p.hits")  # one row
     rows = written(rows, "fts")
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     hits = rows.select("id", "dl", F.explode("hits").alias("h")).select("id", "dl", "h.prefix", "h.tf")
+    return _prefix_top(hits, stats, asked, k)
+
+
+def _asked_prefixes(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.filter(F.split(F.lower("query"), r"[\s_-]+"), lambda x: x != "")).alias("prefix")).distinct()
+
+
+def fts_prefix_indexed(spark: SparkSession, folder: str, queries: DataFrame, k: int = 10) -> DataFrame:
+    """What ``fts_prefix`` returns, from an index: the postings of terms with the queries' prefixes are read, and no text."""
+    asked = _asked_prefixes(queries)
+    prefixes = [r.prefix for r in asked.select("prefix").distinct().collect()]  # a batch of queries
+    found = index.read(spark, folder, "prefix", prefixes, prefix=True)
+    mine = F.filter(F.array(*[F.lit(p) for p in prefixes]), lambda p: F.col("term").startswith(p))
+    hits = found.select("id", "dl", "tf", F.explode(mine).alias("prefix")).groupBy("id", "prefix").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+    return _prefix_top(written(hits, "fts-hits"), index.statistics(spark, folder, "prefix"), asked, k)
+
+
+def _prefix_top(hits: DataFrame, stats: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     df = hits.groupBy("prefix").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -272,16 +316,28 @@ def affinity(query: Column, path: Column, rules: list[tuple[str, str, float]]) -
     return sum((F.when(F.contains(q, F.lit(w)) & F.contains(path, F.lit(p)), x).otherwise(0.0) for w, p, x in rules), F.lit(0.0))
 
 
-def blend(rows: DataFrame, rules: list[tuple[str, str, float]] | None = None) -> DataFrame:
+def semantic_range(queries: DataFrame, semantic: DataFrame) -> DataFrame:
+    """(query_id, n_semantic, best): how many vectors a query has met, and the best score, a hundredth at least."""
+    per = semantic.groupBy("query_id").agg(F.count("semantic").alias("n_semantic"), F.max("semantic").alias("best"))
+    per = queries.select("query_id").join(small(per), "query_id", "left")
+    return per.select("query_id", F.coalesce("n_semantic", F.lit(0)).alias("n_semantic"), F.greatest(F.coalesce("best", F.lit(0.01)), F.lit(0.01)).alias("best"))
+
+
+#: Semantic score from which a row without any text score is kept.
+GATE = 0.08
+
+
+def blend(rows: DataFrame, rules: list[tuple[str, str, float]] | None = None, per: DataFrame | None = None) -> DataFrame:
     """Final score of (query_id, query, id, kind, name, name_path, file_path, text, importance, recency, semantic): gated, weighted, truncated.
 
     ``n`` is the number of files that importance was computed over; a null ``semantic`` means no vector. Semantic
-    scores are relative to the best of their query, and how many there are decides the weights.
+    scores are relative to the best of their query, and how many there are decides the weights; where ``rows`` are
+    gated already, ``per`` (``semantic_range``) has both.
     """
-    per = rows.groupBy("query_id").agg(F.count("semantic").alias("n_semantic"), F.greatest(F.max("semantic"), F.lit(0.01)).alias("best"))
+    per = semantic_range(rows.select("query_id").distinct(), rows) if per is None else per
     semantic = F.coalesce("semantic", F.lit(0.0))
     shape = F.when(F.col("n_semantic") >= RICH, F.concat(query_class(F.col("query")), F.lit("_rich"))).otherwise(query_class(F.col("query")))
-    gated = rows.join(small(per), "query_id").where((F.col("text") > 0) | (semantic >= 0.08)).withColumn("class", shape)
+    gated = rows.join(small(per), "query_id").where((F.col("text") > 0) | (semantic >= GATE)).withColumn("class", shape)
     w = [_by({k: v[i] for k, v in WEIGHTS.items()}, F.col("class")) for i in range(4)]
     score = (
         F.col("text") * w[0]
@@ -375,7 +431,7 @@ SEMANTIC_BOOST, SEMANTIC_NEW, IMPORTANCE_BOOST = 0.10, 0.15, 5.0
 
 
 def hybrid(
-    docs: DataFrame, queries: DataFrame, k: int = 30, fuzzy: float = 0.6, semantic: DataFrame | None = None, importance: DataFrame | None = None
+    docs: DataFrame, queries: DataFrame, k: int = 30, fuzzy: float = 0.6, semantic: DataFrame | None = None, importance: DataFrame | None = None, folder: str | None = None
 ) -> DataFrame:
     """Names that are the query, then prefix hits, names like it, and nearest vectors; one row a symbol, diverse by file.
 
@@ -384,7 +440,8 @@ def hybrid(
     """
     exact = docs.join(small(queries), F.col("name") == F.col("query")).select("query_id", "id", F.lit(100.0).alias("score"), F.lit(0).alias("lane"))
     exact = top_k(exact, k, "score", "id").drop("rank")
-    hits = fts_prefix(docs, queries, k).select(
+    by_prefix = fts_prefix(docs, queries, k) if folder is None else fts_prefix_indexed(docs.sparkSession, folder, queries, k)
+    hits = by_prefix.select(
         "query_id", "id", F.greatest(80.0 + F.greatest(-F.col("score"), F.lit(-40.0)), F.lit(40.0)).alias("score"), F.lit(1).alias("lane")
     )
     asked = queries.select("query_id", F.lower("query").alias("ql"))

@@ -10,6 +10,7 @@ from quarry.functions import text as T
 from quarry.operators import evaluation, graph, rank, reports, vector
 from quarry.plans.graphs import pagerank_steps
 from quarry.registry import register
+from quarry.sources import postings
 
 Q = A.QUERIES
 
@@ -54,8 +55,21 @@ bm AS (SELECT query_id, id, matched, round(s * CASE WHEN matched / n_terms >= 0.
 ranked AS (SELECT query_id, id, matched, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm)"""
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, d):
+    """The folder of the index of a directory's documents; made once a session, and read by all queries."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        folder = storage.new_folder(spark, "index")
+        postings.merge(A.documents(spark, d), folder, 0, rank.FIELD_WEIGHTS)
+        _INDEXES[key] = folder
+    return _INDEXES[key]
+
+
 def _bm25(spark, d, k=10, **kinds):
-    return rank.bm25(A.documents(spark, d), A.queries_frame(spark, Q), k, **kinds)
+    return rank.bm25_indexed(spark, _index(spark, d), A.queries_frame(spark, Q), k, **kinds)
 
 
 @register(
@@ -85,7 +99,7 @@ SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
 )
 def bm25_retriever(spark, d):
     recent = spark.createDataFrame([("q1", "core/"), ("q2", "core/")], "query_id string, prefix string")
-    got = rank.retrieve(A.documents(spark, d), A.queries_frame(spark, Q), 10, recent)
+    got = rank.retrieve(A.documents(spark, d), A.queries_frame(spark, Q), 10, recent, folder=_index(spark, d))
     return got.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -101,7 +115,7 @@ fx AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, i
 
 @register("fts_prefix_search", f"WITH {BASE}, {_FTS} SELECT query_id, id, round(score, 6) AS score, rank FROM fx WHERE rank <= 10")
 def fts_prefix_search(spark, d):
-    return rank.fts_prefix(A.documents(spark, d), A.queries_frame(spark, Q)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return rank.fts_prefix_indexed(spark, _index(spark, d), A.queries_frame(spark, Q)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 _VERBS = "[" + ", ".join(f"'{v}'" for v in T.VERBS) + "]"
@@ -140,7 +154,7 @@ _SE = "CASE WHEN query_id = 'q1' THEN 0.6 WHEN query_id IN ('q5', 'q6') THEN 1.2
 def _fused(spark, d, adaptive=False):
     s, q = A.documents(spark, d), A.queries_frame(spark, Q)
     semantic = rank.top_k(vector.scores(A.symbol_vectors(spark, d), A.query_vectors(spark, d)), 20, "score", "id")
-    lanes = {"sparse": rank.bm25(s, q, 20), "structural": rank.lexical(s, q, 20), "semantic": semantic}
+    lanes = {"sparse": _bm25(spark, d, 20), "structural": rank.lexical(s, q, 20), "semantic": semantic}
     lanes = {k: v.select("query_id", F.col("id").alias("key"), "rank") for k, v in lanes.items()}
     recent = s.crossJoin(F.broadcast(q)).select("query_id", F.col("id").alias("key"), (-F.col("line")).alias("o"))  # corpus x six queries
     return lanes, rank.fuse(lanes, q, rank.top_k(recent, 5, "o", "key"), adaptive)
@@ -179,15 +193,24 @@ def _blend_inputs(spark, d):
     s, q = A.documents(spark, d), A.queries_frame(spark, Q)
     c = F.col
     text = rank.lexical_score(c("query"), c("name"), c("signature"), c("name_path"), c("file_path"), c("kind"))
-    rows = s.crossJoin(F.broadcast(q)).withColumn("text", F.coalesce(text, F.lit(0)).cast("double"))  # corpus x six queries
-    imp = _importance(spark, d).select(F.col("node").alias("file_path"), F.col("score").alias("importance"))
-    n = imp.agg(F.count(F.lit(1)).cast("double").alias("n"))
     sem = vector.scores(A.symbol_vectors(spark, d), A.query_vectors(spark, d)).withColumnRenamed("score", "semantic")
-    rows = rows.join(sem, ["query_id", "id"], "left").join(imp, "file_path", "left").join(A.recency(spark, d), "id", "left").crossJoin(F.broadcast(n))  # one row
+    sem = storage.written(sem, "semantic")  # read for each query's range, and for its rows
+    own = ["id", "kind", "name", "name_path", "file_path", "signature"]
+    # scored, and gated, before anything is joined that a row which is left out would not need
+    rows = s.select(*own).crossJoin(rank.batch(q)).withColumn("text", F.coalesce(text, F.lit(0)).cast("double"))
+    rows = rows.join(sem, ["query_id", "id"], "left").where((F.col("text") > 0) | (F.col("semantic") >= rank.GATE))
+    imp = storage.written(_importance(spark, d).select(F.col("node").alias("file_path"), F.col("score").alias("importance")), "importance")
+    n = imp.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    rows = rows.join(imp, "file_path", "left").join(A.recency(spark, d), "id", "left").crossJoin(F.broadcast(n))  # one row
     zero = F.lit(0.0)
     rows = rows.withColumn("importance", F.coalesce("importance", zero)).withColumn("recency", F.coalesce("recency", zero))
-    columns = ["query_id", "query", "id", "kind", "name", "name_path", "file_path", "signature", "text", "importance", "n", "recency", "semantic"]
-    return storage.written(rows.select(*columns), "blend")  # read for each query's best, for counts and for the result
+    columns = ["query_id", "query", *own, "text", "importance", "n", "recency", "semantic"]
+    return storage.written(rows.select(*columns), "blend"), rank.semantic_range(q, sem)
+
+
+def _blended(spark, d):
+    rows, per = _blend_inputs(spark, d)
+    return rank.blend(rows, per=per)
 
 
 _BLEND = f"""{BASE}, {LEX}, {SEM}, {_IMP}, rc AS ({A.RECENCY_SQL}),
@@ -205,7 +228,7 @@ bl AS (SELECT query_id, id, file_path, name, signature, CAST(greatest(trunc(roun
 
 @register("multi_signal_blend", f"WITH {_BLEND} SELECT query_id, id, score FROM bl")
 def multi_signal_blend(spark, d):
-    return rank.blend(_blend_inputs(spark, d)).select("query_id", "id", "score")
+    return _blended(spark, d).select("query_id", "id", "score")
 
 
 @register(
@@ -214,7 +237,7 @@ def multi_signal_blend(spark, d):
 SELECT query_id, id, score, rank FROM r WHERE n <= 200 OR rank <= 100""",
 )
 def blend_partial_sort(spark, d):
-    return rank.best_of(rank.blend(_blend_inputs(spark, d)), "score", "id").select("query_id", "id", "score", "rank")
+    return rank.best_of(_blended(spark, d), "score", "id").select("query_id", "id", "score", "rank")
 
 
 _DIVERSE = """dn AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id, folder ORDER BY score DESC, id) AS f FROM (SELECT *, regexp_extract(file_path, '^(.*)/', 1) AS folder FROM bl)),
@@ -223,7 +246,7 @@ dv AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n >
 
 def _diverse(spark, d):
     """Ten a query, three a folder first: the files of these sources have one symbol each."""
-    rows = rank.blend(_blend_inputs(spark, d)).withColumn("path", F.col("file_path"))
+    rows = _blended(spark, d).withColumn("path", F.col("file_path"))
     return rank.diverse(rows.withColumn("file_path", F.regexp_extract("path", "^(.*)/", 1)), 10)
 
 
@@ -257,7 +280,7 @@ SELECT query_id, id, match, round(score, 5) AS score, row_number() OVER (PARTITI
 )
 def hybrid_search(spark, d):
     sem = vector.scores(A.symbol_vectors(spark, d), A.query_vectors(spark, d))
-    out = rank.hybrid(A.documents(spark, d), A.queries_frame(spark, Q), 30, 0.6, sem, _importance(spark, d))
+    out = rank.hybrid(A.documents(spark, d), A.queries_frame(spark, Q), 30, 0.6, sem, _importance(spark, d), folder=_index(spark, d))
     return out.select("query_id", "id", "match", F.round("score", 5).alias("score"), "rank")
 
 

@@ -13,10 +13,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.storage import written
+
 BUCKETS = 64
 
 
-def _versions(spark: SparkSession, folder: str, before: int | None) -> DataFrame | None:
+def versions(spark: SparkSession, folder: str, before: int | None) -> DataFrame | None:
     try:
         rows = spark.read.parquet(folder)
     except AnalysisException:  # no version yet
@@ -26,7 +28,7 @@ def _versions(spark: SparkSession, folder: str, before: int | None) -> DataFrame
 
 def _last(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
     """All rows of the last versions, with their bucket, marks included."""
-    rows = _versions(spark, folder, before)
+    rows = versions(spark, folder, before)
     if rows is None:
         return None
     last = rows.groupBy("bucket").agg(F.max("v").alias("v")).collect()  # a row a bucket
@@ -35,12 +37,32 @@ def _last(spark: SparkSession, folder: str, before: int | None = None) -> DataFr
     return rows.where(reduce(lambda a, b: a | b, [(F.col("bucket") == r.bucket) & (F.col("v") == r.v) for r in last]))  # prunes partitions
 
 
-def latest(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The rows of a table, or None if it has none yet."""
-    rows = _last(spark, folder)
+def latest(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """The rows of a table, as of before a version if one is given, or None if it has none yet."""
+    rows = _last(spark, folder, before)
     return None if rows is None else rows.where(~F.col("deleted")).drop("deleted", "v", "bucket")
 
 
+def drop_before(spark: SparkSession, folder: str, version: int) -> None:
+    """Removes the versions before one that stands for all of them."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    for status in fs.listStatus(at):
+        name = status.getPath().getName()
+        if name.startswith("v=") and int(name[2:]) < version:
+            fs.delete(status.getPath(), True)
+
+
+def compact(spark: SparkSession, folder: str, version: int, key: str) -> None:
+    """All rows that count as one version, without marks, which stands for those before it."""
+    rows = _last(spark, folder, version)
+    if rows is not None:
+        live = written(rows.where(~F.col("deleted")).drop("v"), "compacted")
+        live.repartition("bucket").sortWithinPartitions(key).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v={version}")
+        drop_before(spark, folder, version)
+
+
 def merge(changes: DataFrame, folder: str, key: str, version: int, buckets: int = BUCKETS) -> None:
     """Puts all rows of the changes' keys in place of the older ones; rows with ``deleted`` only mark their key as gone."""
     spark = changes.sparkSession
