@@ -31,6 +31,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -40,11 +41,13 @@ from quarry.llm.common import located, new_folder, written
 from quarry.storage import file_system
 
 END_ID = 2
-BLOCK = 1 << 18
-SEGMENT = 1 << 16
-LANES = 512
+BLOCK = 1 << 20
+SEGMENT = 1 << 18
+LANES = 2048
 #: Blocks that a reading task decodes.
-GROUP = 16
+GROUP = 4
+#: Documents whose words are looked up at once.
+ROWS = 5000
 MAX_MEMO = 400_000
 LONGEST_MEMO = 48
 MAGIC = b"RANS0001"
@@ -133,7 +136,7 @@ def decode(words: np.ndarray, place: int, state: np.ndarray, n: int, table: Freq
     for at in range(0, n, lanes):
         y = x[: min(lanes, n - at)]
         slot = y & mask
-        s = table.symbols(slot.astype(np.int64))
+        s = table.symbols(slot.view(np.int64))
         out[at : at + len(y)] = s
         y = table.freq[s] * (y >> bits) + slot - table.low[s]
         short = np.flatnonzero(y < LOW)
@@ -335,18 +338,25 @@ class Words:
         self.memo.update(out if max(map(len, out)) <= LONGEST_MEMO else {w: x for w, x in out.items() if len(w) <= LONGEST_MEMO})
         return out
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids as packed little-endian numbers of ``kind``."""
-        if not text:
-            return b""
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, pa.Buffer]:
+        """Ends of the texts' ids, and the ids, as packed little-endian numbers of ``kind``, each with ``end_id``."""
         for space in "\n\r\t":
-            text = text.replace(space, " ")
-        words = text.split(" ")
-        packed = list(map(self.memo.get, words))
-        if None in packed:
-            learnt = self._learn({w for w, p in zip(words, packed) if p is None})
-            packed = [learnt[w] if p is None else p for w, p in zip(words, packed)]
-        return b"".join(packed)
+            texts = pc.replace_substring(texts, space, " ")
+        split = pc.split_pattern(pc.binary_join_element_wise(pc.fill_null(texts, ""), "", " "), " ")
+        words = split.flatten().dictionary_encode()
+        spelt = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        packed = list(map(self.memo.get, spelt))
+        new = {w for w, p in zip(spelt, packed) if p is None}
+        if new:
+            learnt = self._learn(new)
+            packed = [learnt[w] if p is None else p for w, p in zip(spelt, packed)]
+        packed.append(b"" if end_id is None else self.packed[end_id])
+        at = words.indices.to_numpy().copy()
+        ends = np.asarray(split.offsets)[1:] - split.offsets[0].as_py()
+        at[ends - 1] = len(packed) - 1  # the empty word after a text's last space
+        found = pa.array(packed, pa.binary()).take(pa.array(at))
+        offsets = np.frombuffer(found.buffers()[1], "<i4", len(found) + 1)
+        return offsets[np.concatenate([[0], ends])], found.buffers()[2]
 
 
 def plain(vocabulary: dict):
@@ -389,14 +399,12 @@ def tokenised(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFr
     def run(batches):
         words = _words(vocabulary.value)
         width = np.dtype(words.kind).itemsize
-        end = b"" if end_id is None else np.array([end_id], words.kind).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                packed = [words.encode(t.as_py()) + end for t in part.column(1)]
-                ends = np.cumsum([0, *map(len, packed)])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ends, ids = words.encode(part.column(1), end_id)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.full(part.num_rows, width, np.int32)), _binary(ends, b"".join(packed))],
+                    [part.column(0), pa.array(np.full(part.num_rows, width, np.int32)), _binary(ends, ids)],
                     ["doc_id", "width", "ids"],
                 )
 
@@ -475,7 +483,9 @@ def _table(folder: str) -> Frequencies:
 def write(tokens: DataFrame, folder: str) -> None:
     """Token files of a table as ``tokenised`` returns it, with its order."""
     spark = tokens.sparkSession
-    tokens = written(tokens, "tokens")
+    held = new_folder(spark, "tokens")
+    tokens.write.option("compression", "zstd").parquet(held)
+    tokens = spark.read.schema(tokens.schema).parquet(held)
     found = counts(tokens).collect()  # a row an id of the vocabulary
     store, at = file_system(folder)
     store.create_dir(at)
