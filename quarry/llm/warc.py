@@ -11,6 +11,10 @@ offsets: only what it reaches is a record, so that a whole fake record inside a
 for one, and a file whose chain does not reach its end is an error.  Each chunk that the chain enters is
 read again from that entry, as a stream.  Headers, which hold the url, may have any length.
 
+Archives of others are read as well, version 1.0 or 1.1, not compressed: record ids that are no page numbers are
+null, records of other types come back with their type and their whole block as payload, digests may be base 32, and
+a revisit that does not say how long its payload was has no length.
+
 Defined cases: a null html is an empty payload; payloads and urls may have any length; a null url leaves its header out and line breaks in one
 are percent-encoded; a null page_id leaves its number out and is read back as null; rows that repeat the
 largest page_id of equal payloads are all responses; an empty table makes archives without records;
@@ -19,7 +23,9 @@ columns other than page_id, url and html are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 from urllib.parse import unquote, urlparse
 
 import pandas as pd
@@ -28,7 +34,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import new_folder, shared_dir, written
 
-MAGIC = b"WARC/1.1\r\n"
+#: Starts a record; a digit and a line break follow.
+MAGIC = b"WARC/1."
+VERSION = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 MIN_REVISIT = 1000
 CHUNK = 8 << 20
@@ -78,7 +86,7 @@ def record_texts(pages: DataFrame) -> DataFrame:
     block = F.concat(http, F.when(again, F.lit("")).otherwise(F.col("payload")))
     return p.select(
         F.concat(
-            F.lit(MAGIC.decode()),
+            F.lit(VERSION),
             line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
             line("WARC-Record-ID", urn(F.col("page_id"))),
             line("WARC-Date", F.lit("2000-01-01T00:00:00Z")),
@@ -119,7 +127,11 @@ def parse_header(data: bytes, at: int = 0) -> tuple[dict[str, str], int] | str |
     if data[at : at + len(MAGIC)] != MAGIC:
         return None
     header = {}
-    at += len(MAGIC)
+    at += len(VERSION)
+    if len(data) < at:
+        return MORE
+    if not data[at - 3 : at - 2].isdigit() or data[at - 2 : at] != b"\r\n":
+        return None
     while (stop := data.find(b"\r\n", at)) != at:
         if stop < 0:
             return MORE
@@ -222,6 +234,24 @@ class Stream:
         return at - self.at
 
 
+#: The length of an HTTP body.
+LENGTH = re.compile(rb"(?im)^content-length:\s*(\d+)")
+
+
+def page_number(record_id: str | None) -> int | None:
+    """The number of a page's record; null for ids of others."""
+    found = re.fullmatch(r"<urn:page:(\d+)>", record_id or "")
+    return int(found[1]) if found else None
+
+
+def hex_digest(told: str) -> str:
+    """A SHA-1 in lower-case hex, from hex or base 32; empty for others."""
+    value = told.strip().lower().removeprefix("sha1:")
+    if re.fullmatch(r"[0-9a-f]{40}", value):
+        return value
+    return base64.b32decode(value.upper()).hex() if re.fullmatch(r"[a-z2-7]{32}", value) else ""
+
+
 def _records(with_payload: bool):
     def run(frames):
         for frame in frames:
@@ -242,25 +272,27 @@ def _records(with_payload: bool):
                         start = stream.need(at + block, size)
                         body = stream.data[start : start + size]
                         at += block + size + len(END)
-                        payload = body[body.find(b"\r\n\r\n") + 4 :]
-                        told = header.get("warc-payload-digest", "").removeprefix("sha1:")
-                        if header["warc-type"] == "response":
+                        kind = header.get("warc-type", "")
+                        http = kind in ("response", "revisit") and body[:5] == b"HTTP/"
+                        cut = body.find(b"\r\n\r\n") + 4 if http else 0
+                        payload = body[cut:]
+                        told = hex_digest(header.get("warc-payload-digest", ""))
+                        if kind != "revisit":
                             n, digest = len(payload), hashlib.sha1(payload).hexdigest()
-                            if told and told != digest:
+                            if kind == "response" and told and told != digest:
                                 raise ValueError(f"payload digest differs in {path} at {at}")
                         else:
-                            http = body[: body.find(b"\r\n\r\n")].lower()
-                            n, digest = int(http.rpartition(b"content-length:")[2].split()[0]), told
-                        number = lambda x: int(x[10:-1]) if x and x[10:-1] else None
+                            sizes = LENGTH.findall(body[:cut])
+                            n, digest = int(sizes[-1]) if sizes else None, told
                         rows.append(
                             (
-                                number(header.get("warc-record-id")),
+                                page_number(header.get("warc-record-id")),
                                 header.get("warc-target-uri"),
-                                header["warc-type"],
-                                number(header.get("warc-refers-to")),
+                                kind,
+                                page_number(header.get("warc-refers-to")),
                                 n,
-                                digest,
-                                payload.decode("utf-8") if with_payload else None,
+                                digest or None,
+                                payload.decode("utf-8", "replace") if with_payload else None,
                             )
                         )
                         held += len(payload) * with_payload
@@ -278,7 +310,7 @@ _COLUMNS = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payl
 
 def _frame(rows) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
-    return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+    return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
 
 def read(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
@@ -297,7 +329,7 @@ def read(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFra
 
 def query(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
-    folder = new_folder(spark, "warc")
+    folder = new_folder(spark, "warc", keep=True)
     write(pages, folder)
     return read(spark, folder, with_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"

@@ -99,3 +99,26 @@ def test_a_file_is_read_forward_once(tmp_path, monkeypatch):
             assert s.data[start : start + 37] == data[at : at + 37]
             at += 37
     assert all(a + n == b for (a, n), (b, _) in zip(reads, reads[1:])) and sum(n for _, n in reads) == len(data) - 7
+
+
+def test_archives_of_others(spark, tmp_path):
+    """Other types and ids, version 1.0, base 32, and a revisit without a length."""
+    import base64
+
+    def record(version, headers, block):
+        head = "".join(f"{k}: {v}\r\n" for k, v in headers.items())
+        return f"WARC/{version}\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    body = b"<p>\xff WARC/1.1\r\n fake \r\n\r\n</p>"
+    sha = hashlib.sha1(body).digest()
+    uuid = "<urn:uuid:00000000-0000-0000-0000-000000000001>"
+    data = record("1.0", {"WARC-Type": "warcinfo", "WARC-Record-ID": uuid}, b"software: x\r\n")
+    data += record("1.1", {"WARC-Type": "request", "WARC-Record-ID": uuid, "WARC-Target-URI": "http://a/"}, b"GET / HTTP/1.1\r\n\r\n")
+    data += record("1.1", {"WARC-Type": "response", "WARC-Record-ID": uuid, "WARC-Target-URI": "http://a/", "WARC-Payload-Digest": f"sha1:{base64.b32encode(sha).decode()}"}, b"HTTP/1.1 200 OK\r\n\r\n" + body)
+    data += record("1.1", {"WARC-Type": "revisit", "WARC-Record-ID": "<urn:page:7>", "WARC-Refers-To": uuid, "WARC-Payload-Digest": f"sha1:{sha.hex()}"}, b"HTTP/1.1 200 OK\r\n\r\n")
+    data += record("1.1", {"WARC-Type": "metadata", "WARC-Record-ID": uuid}, b"")
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/a.warc").write_bytes(data)
+    got = [tuple(r) for r in warc.read(spark, f"file://{tmp_path}/w").collect()]
+    assert [(r[0], r[2], r[3], r[4]) for r in got] == [(None, "warcinfo", None, 13), (None, "request", None, 18), (None, "response", None, len(body)), (7, "revisit", None, None), (None, "metadata", None, 0)]
+    assert got[2][5] == got[3][5] == sha.hex() and got[2][6] == body.decode("utf-8", "replace") and got[2][1] == "http://a/"
