@@ -50,6 +50,8 @@ GROUP = 4
 ROWS = 5000
 MAX_MEMO = 400_000
 LONGEST_MEMO = 48
+#: Last of the Latin-1 characters; marks that are a piece of their own after a word of letters.
+LATIN, ENDS = "\xff", ".,;:!?)"
 MAGIC = b"RANS0001"
 #: Coders' states lie in [LOW, LOW << 32); a word of the stream has 32 bits.
 LOW = 1 << 31
@@ -320,9 +322,13 @@ class Words:
         out, new, older, pieces, piece, cut, known = {}, [], self.older, self.pieces, self._piece, self.cut, self.known
         for w in words:
             if (ids := older.get(w)) is None:
-                if cut and w.isascii() and w.isalpha():
+                end = w[-1]
+                if cut and w.isalpha() and (w.isascii() or max(w) <= LATIN):
                     small = w.lower()
                     ids = pieces.get(small) or piece(small)
+                elif cut and end in ENDS and (stem := w[:-1]).isalpha() and (w.isascii() or max(w) <= LATIN):
+                    small = stem.lower()
+                    ids = (pieces.get(small) or piece(small)) + (pieces.get(end) or piece(end))
                 elif cut and known(w) and "<|" not in w:
                     ids = b"".join([pieces.get(p) or piece(p) for p in cut(w.lower())])
                 else:
