@@ -22,76 +22,40 @@ def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
 
 
-#: A graph of at most so many edges (16 bytes each) is taken by one task.
-RESIDUE = 4_000_000
+#: Edges out of one node that are kept under one key.
+BLOCK = 65_536
 
 
-def _table(batches) -> pa.Table | None:
-    parts = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(parts) if parts else None
-
-
-def _ranker(rounds: int):
-    """Ranks of a whole graph: rows (src, dst), with a null dst for a node and a null src for an indexed one."""
-
-    def run(batches):
-        table = _table(batches)
-        if table is None:
-            return
-        src, dst = table.column("src"), table.column("dst")
-        ends = pa.chunked_array([*src.chunks, *dst.chunks]).combine_chunks()
-        coded = ends.dictionary_encode()
-        names, codes = coded.dictionary, coded.indices.fill_null(-1).to_numpy()
-        u, v = codes[: table.num_rows], codes[table.num_rows :]
-        known = np.zeros(len(names), bool)
-        known[v[u < 0]] = True
-        edge = (u >= 0) & (v >= 0)
-        u, v = u[edge], v[edge]
-        out = np.bincount(u, minlength=len(names)).astype(float)
-        u, v = u[known[v]], v[known[v]]
-        n = known.sum()
-        score = np.where(known, 1.0 / max(n, 1), 0.0)
-        for _ in range(rounds):
-            into = np.bincount(v, score[u] / out[u], len(names)) if len(u) else 0.0
-            score = np.where(known, (1 - DAMPING) / max(n, 1) + DAMPING * into, 0.0)
-        keep = pa.array(known)
-        yield pa.RecordBatch.from_arrays([names.filter(keep), pa.array(score).filter(keep)], ["node", "score"])
-
-    return run
-
-
-def pagerank(edges: DataFrame, indexed: DataFrame | None = None, rounds: int = ROUNDS, residue: int = RESIDUE) -> DataFrame:
+def pagerank(edges: DataFrame, indexed: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
     """(node, score) after a fixed number of synchronous rounds.
 
     Out-degrees count edges to targets that are not indexed; what leaves that way, or from nodes without
-    edges, is lost and not handed out again.  A graph that fits the bound is ranked by one task.  For a larger
-    one each round is one join on the edge's source and one partially combined sum, over an edge table that is
-    made once, with its out-degrees.
+    edges, is lost and not handed out again.  The edge table is laid out by source once, with its out-degrees,
+    the edges of a busy source in blocks; a round moves scores only, one row a node and block, and one partially
+    combined sum a node.
     """
-    shared_dir(edges.sparkSession)
+    spark = edges.sparkSession
+    shared_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = written(edges.select("src", "dst"), "rank-edges")
-    known = written((indexed if indexed is not None else nodes(edges)).select("node").distinct(), "rank-nodes")
-    n = known.count()
-    if edges.count() + n <= residue:
-        kind = dict(known.dtypes)["node"]
-        rows = edges.unionAll(known.select(F.lit(None).cast(kind).alias("src"), F.col("node").alias("dst")))
-        return rows.repartition(1).mapInArrow(_ranker(rounds), f"node {kind}, score double")
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    laid = edges.join(degree, "src").join(known.select(F.col("node").alias("dst")), "dst", "left_semi").checkpoint()
+    blocks = F.ceil(F.col("out") / BLOCK).cast("int")
+    known = (indexed if indexed is not None else nodes(edges)).select("node").distinct()
+    known = known.join(degree.select(F.col("src").alias("node"), blocks.alias("k")), "node", "left").repartition(parts, "node").checkpoint()
+    n = known.count()
+    laid = edges.join(degree, "src").join(known.select(F.col("node").alias("dst")), "dst", "left_semi")
+    laid = laid.select("src", "dst", "out", F.pmod(F.xxhash64("dst"), blocks).cast("int").alias("s")).repartition(parts, "src", "s").checkpoint()
     base = (1 - DAMPING) / max(n, 1)
-    rank = known.select("node", F.lit(1.0 / max(n, 1)).alias("score"))
+    rank = known.select("node", "k", F.lit(1.0 / max(n, 1)).alias("score"))
     for i in range(rounds):
-        into = (
-            laid.join(rank, laid["src"] == rank["node"])
-            .groupBy(F.col("dst").alias("node"))
-            .agg(F.sum(F.col("score") / F.col("out")).alias("in"))
-        )
+        sent = rank.where("k is not null").select(F.col("node").alias("src"), "score", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("s"))
+        into = laid.join(sent, ["src", "s"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") / F.col("out")).alias("in"))
         rank = known.join(into, "node", "left").select(
-            "node", (F.lit(base) + DAMPING * F.coalesce("in", F.lit(0.0))).alias("score")
+            "node", "k", (F.lit(base) + DAMPING * F.coalesce("in", F.lit(0.0))).alias("score")
         )
-        if i % 4 == 3:
+        if i % 5 == 4:
             rank = rank.checkpoint()
-    return rank
+    return rank.select("node", "score")
 
 
 def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
@@ -123,11 +87,16 @@ def flip(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+#: What is left of a graph after its rounds is one task's work at so many edges (16 bytes each).
+RESIDUE = 100_000
+
+
 def _strong(batches):
     """(node, component) of a whole edge list: depth-first search with low links, without recursion."""
-    table = _table(batches)
-    if table is None:
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
         return
+    table = pa.Table.from_batches(parts)
     names, ends = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("src", "dst")]), return_inverse=True)
     src, dst = ends[: table.num_rows], ends[table.num_rows :]
     order = np.argsort(src, kind="stable")
@@ -166,57 +135,121 @@ def _strong(batches):
     yield pa.RecordBatch.from_arrays([pa.array(names[np.array(x, np.int64)], kind) for x in found], ["node", "component"])
 
 
-def cycles(edges: DataFrame, residue: int = RESIDUE, max_rounds: int = 1000) -> DataFrame:
+def cycles(edges: DataFrame, residue: int = RESIDUE, max_rounds: int = 200) -> DataFrame:
     """(node, component): strongly connected components of two nodes or more, named by their least node.
 
-    A graph that fits the bound is one task's depth-first search.  A larger one is cut down by rounds: nodes
-    without an edge in or out are trimmed, the least ancestor is propagated forward, and within a colour what
-    reaches that ancestor backward is its component; it is removed, edges between colours are dropped, and the
-    rest goes on until it fits.  If it does not in so many rounds, that is an error.
+    Rounds cut the graph down, whatever its size.  Nodes with one edge in are merged into where it comes from,
+    and, the other way round, nodes with one edge out: trees, chains and rings vanish in a number of steps that
+    grows with the logarithm of their length.  When too few such nodes are left, the least ancestor and, among
+    nodes that share it, the least descendant are spread; nodes whose both are one and the same node are its
+    component, and edges between nodes with different ancestors go.  A last residue of few edges is searched in
+    depth.  If rounds do not get there, that is an error.
     """
-    spark = edges.sparkSession
-    shared_dir(spark)
+    shared_dir(edges.sparkSession)
     e = written(edges.select("src", "dst").where("src <> dst").distinct(), "cycle-edges")
+    found = written(_components(e, residue, max_rounds), "cycles")
+    least = found.groupBy("component").agg(F.min("node").alias("least"))
+    return found.join(least, "component").select("node", F.col("least").alias("component"))
+
+
+def _components(e: DataFrame, residue: int, left: int, tries: int = 0) -> DataFrame:
+    """(node, component) of nodes on cycles; a component is named by any one of its nodes."""
     kind = dict(e.dtypes)["src"]
-    found = None
-    for _ in range(max_rounds):
-        if e.count() <= residue:
-            rest = e.repartition(1).mapInArrow(_strong, f"node {kind}, component {kind}")
-            return rest if found is None else found.unionAll(rest)
-        e = _trim(e)
-        colour = _propagate(e, nodes(e).select("node", F.col("node").alias("c")))
-        same = (
-            e.join(colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src")
-            .join(colour.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst")
-            .where("cs = cd")
-            .select("src", "dst", F.col("cs").alias("c"))
-            .checkpoint()
-        )
-        part = same.where("dst = c").select(F.col("src").alias("node"), "c").distinct()
-        part = part.unionAll(part.select(F.col("c").alias("node"), "c")).distinct().checkpoint()
-        front = part
-        while True:
-            new = (
-                front.select(F.col("node").alias("dst"), "c")
-                .join(same, ["dst", "c"])
-                .select(F.col("src").alias("node"), "c")
-                .distinct()
-                .join(part, ["node", "c"], "left_anti")
-                .checkpoint()
-            )
-            if new.isEmpty():
-                break
-            part, front = part.unionAll(new).checkpoint(), new
-        part = part.select("node", F.col("c").alias("component"))
-        found = part if found is None else found.unionAll(part)
-        gone = part.select("node").unionAll(colour.where("node = c").select("node")).distinct()
-        e = (
-            same.select("src", "dst")
-            .join(gone.select(F.col("node").alias("src")), "src", "left_anti")
-            .join(gone.select(F.col("node").alias("dst")), "dst", "left_anti")
-            .checkpoint()
+    if e.count() <= residue:
+        return e.repartition(1).mapInArrow(_strong, f"node {kind}, component {kind}")
+    if left == 0:
+        raise RuntimeError("the graph is still too large after its rounds")
+    e = _trim(e, 2)
+    n = e.count()
+    if n <= residue:
+        return _components(e, residue, left)
+    if tries < 2:
+        levels = _forest(e)
+        if levels and levels[0].count() * 10 >= n:
+            return _merged(e, levels, residue, left)
+        return _components(written(flip(e), "cycle-edges"), residue, left, tries + 1)
+    colour = _propagate(e, nodes(e).select("node", F.col("node").alias("c")))
+    same = _within(e, colour)
+    back = _propagate(flip(same), nodes(same).select("node", F.col("node").alias("c")))
+    part = colour.join(back, ["node", "c"])
+    many = part.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c")
+    found = written(part.join(many, "c", "left_semi").select("node", F.col("c").alias("component")), "cycles")
+    gone = part.select("node").checkpoint()
+    rest = (
+        _within(same, back)
+        .join(gone.select(F.col("node").alias("src")), "src", "left_anti")
+        .join(gone.select(F.col("node").alias("dst")), "dst", "left_anti")
+    )
+    return found.unionAll(_components(written(rest, "cycle-edges"), residue, left - 1))
+
+
+def _within(e: DataFrame, colour: DataFrame) -> DataFrame:
+    """Edges between nodes of one colour."""
+    a = colour.select(F.col("node").alias("src"), F.col("c").alias("a"))
+    b = colour.select(F.col("node").alias("dst"), F.col("c").alias("b"))
+    return written(e.join(a, "src").join(b, "dst").where("a = b").select("src", "dst"), "cycle-edges")
+
+
+def _forest(e: DataFrame) -> list[DataFrame]:
+    """Nodes with one edge in: tables (node, up) of their ancestors 1, 2, 4, ... steps up, or roots if those are nearer.
+
+    Where such nodes form a ring, the least of them is made a root: it is the one that is the least of the
+    ancestors on its own way.
+    """
+    lone = e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("up")).where("n = 1")
+    parent = written(lone.select("node", "up"), "forest")
+    if parent.isEmpty():
+        return []
+    heads, jump, levels = [], parent.withColumn("least", F.col("up")), [parent]
+    while True:
+        a, b = jump.alias("a"), jump.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("least").alias("more"))
+        new = written(
+            a.join(b, "up", "left").select(
+                "node", F.coalesce("next", "up").alias("up"), F.least("least", "more").alias("least"), F.col("next").isNotNull().alias("moved")
+            ),
+            "forest",
         )
-    raise RuntimeError(f"the graph is still too large after {max_rounds} rounds")
+        seen = new.agg(F.count_if("moved").alias("moved"), F.count_if(F.col("least") == F.col("node")).alias("heads")).first()
+        if not seen["moved"]:
+            break
+        jump = new.select("node", "up", "least")
+        levels.append(new.select("node", "up"))
+        if seen["heads"]:
+            heads.append(jump.where("least = node").select("node"))
+            jump = jump.join(heads[-1].select(F.col("node").alias("least")), "least", "left_anti")
+    if not heads:
+        return levels
+    cut = written(parent.join(reduce(DataFrame.unionAll, heads), "node", "left_anti"), "forest")
+    levels = [cut]
+    while True:
+        b = levels[-1].select(F.col("node").alias("up"), F.col("up").alias("next"))
+        new = levels[-1].join(b, "up", "left").select("node", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved"))
+        new = written(new, "forest")
+        if new.where("moved").isEmpty():
+            return levels
+        levels.append(new.select("node", "up"))
+
+
+def _merged(e: DataFrame, levels: list[DataFrame], residue: int, left: int) -> DataFrame:
+    """Components of a graph whose trees are merged into their roots, and of the trees.
+
+    Edges that are not of a tree lead to roots.  A node of a tree is in the component of its root if an edge
+    leads from it, or from a node below, to a root of that component.
+    """
+    tree = levels[-1].select("node", F.col("up").alias("root"))
+    rest = e.join(levels[0].select(F.col("up").alias("src"), F.col("node").alias("dst")), ["src", "dst"], "left_anti")
+    rest = rest.join(tree.withColumnRenamed("node", "src"), "src", "left").select("src", "dst", F.coalesce("root", "src").alias("root"))
+    rest = written(rest, "cycle-edges")
+    small = written(rest.where("root <> dst").select(F.col("dst").alias("src"), F.col("root").alias("dst")).distinct(), "cycle-edges")
+    inner = written(_components(small, residue, left - 1), "cycles")
+    a = inner.select(F.col("node").alias("root"), F.col("component").alias("a"))
+    b = inner.select(F.col("node").alias("dst"), F.col("component").alias("b"))
+    on = rest.join(a, "root", "left").join(b, "dst", "left").where("root = dst or a = b").select(F.col("src").alias("node")).distinct()
+    on = written(on, "cycles")
+    for level in levels:
+        on = written(on.unionAll(on.join(level, "node").select(F.col("up").alias("node"))).distinct(), "cycles")
+    named = on.join(tree, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return named.join(a, "root", "left").select("node", F.coalesce("a", "root").alias("component"))
 
 
 def _trim(e: DataFrame, most: int = 8) -> DataFrame:
@@ -236,16 +269,19 @@ def _trim(e: DataFrame, most: int = 8) -> DataFrame:
 
 
 def _propagate(e: DataFrame, colour: DataFrame) -> DataFrame:
-    """Least colour over all ancestors."""
-    colour = colour.checkpoint()
+    """(node, c): the least node over all ancestors, a node's own included.
+
+    An ancestor's least ancestor is one of the node too, so that a round also jumps to what the colour itself has.
+    """
+    colour = written(colour, "colour")
     while True:
-        into = e.join(colour, e["src"] == colour["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("m"))
-        new = (
-            colour.join(into, "node", "left")
-            .select("node", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved"))
-            .checkpoint()
-        )
-        if new.where("moved").isEmpty():
+        sent = colour.select(F.col("node").alias("src"), "c")
+        into = e.join(sent, "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("m"))
+        near = colour.join(into, "node", "left").select("node", F.col("c").alias("was"), F.least("c", "m").alias("near"))
+        over = colour.select(F.col("node").alias("near"), F.col("c").alias("far"))
+        new = near.join(over, "near", "left").select("node", F.least("near", "far").alias("c"), "was")
+        new = written(new, "colour")
+        if new.where("c < was").isEmpty():
             return new.select("node", "c")
         colour = new.select("node", "c")
 
