@@ -30,9 +30,9 @@ def pagerank(edges: DataFrame, indexed: DataFrame | None = None, rounds: int = R
     """(node, score) after a fixed number of synchronous rounds.
 
     Out-degrees count edges to targets that are not indexed; what leaves that way, or from nodes without
-    edges, is lost and not handed out again.  The edge table is laid out by source once, with its out-degrees,
-    the edges of a busy source in blocks; a round moves scores only, one row a node and block, and one partially
-    combined sum a node.
+    edges, is lost and not handed out again.  The edge table is laid out and sorted by source once, with its
+    out-degrees, and an edge of no weight from each node to itself, so that every node has a sum.  A round moves
+    one row a node.  If some source has more edges than fit a block, blocks are part of the key.
     """
     spark = edges.sparkSession
     shared_dir(spark)
@@ -40,22 +40,25 @@ def pagerank(edges: DataFrame, indexed: DataFrame | None = None, rounds: int = R
     edges = written(edges.select("src", "dst"), "rank-edges")
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     blocks = F.ceil(F.col("out") / BLOCK).cast("int")
-    known = (indexed if indexed is not None else nodes(edges)).select("node").distinct()
-    known = known.join(degree.select(F.col("src").alias("node"), blocks.alias("k")), "node", "left").repartition(parts, "node").checkpoint()
-    n = known.count()
-    laid = edges.join(degree, "src").join(known.select(F.col("node").alias("dst")), "dst", "left_semi")
-    laid = laid.select("src", "dst", "out", F.pmod(F.xxhash64("dst"), blocks).cast("int").alias("s")).repartition(parts, "src", "s").checkpoint()
+    known = (indexed if indexed is not None else nodes(edges)).select(F.col("node").alias("dst")).distinct()
+    known = known.join(degree.select(F.col("src").alias("dst"), blocks.alias("k")), "dst", "left")
+    known = written(known.select("dst", F.coalesce("k", F.lit(1)).alias("k")), "rank-nodes")
+    n, most = known.agg(F.count(F.lit(1)), F.max("k")).first()
+    keys = ["src", "s"] if (most or 1) > 1 else ["src"]
+    real = edges.join(degree, "src").join(known, "dst").select(
+        "src", "dst", "k", (1 / F.col("out")).alias("part"), F.pmod(F.xxhash64("dst"), blocks).cast("int").alias("s")
+    )
+    own = known.select(F.col("dst").alias("src"), "dst", "k", F.lit(0.0).alias("part"), F.lit(0).alias("s"))
+    laid = real.unionAll(own).repartition(parts, *keys).sortWithinPartitions(*keys).checkpoint()
     base = (1 - DAMPING) / max(n, 1)
-    rank = known.select("node", "k", F.lit(1.0 / max(n, 1)).alias("score"))
+    rank = known.select(F.col("dst").alias("src"), "k", F.lit(1.0 / max(n, 1)).alias("score"))
     for i in range(rounds):
-        sent = rank.where("k is not null").select(F.col("node").alias("src"), "score", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("s"))
-        into = laid.join(sent, ["src", "s"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") / F.col("out")).alias("in"))
-        rank = known.join(into, "node", "left").select(
-            "node", "k", (F.lit(base) + DAMPING * F.coalesce("in", F.lit(0.0))).alias("score")
-        )
+        sent = rank.select("src", "score", *([F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("s")] if len(keys) > 1 else []))
+        into = laid.join(sent, keys).groupBy(F.col("dst").alias("src")).agg(F.max("k").alias("k"), F.sum(F.col("score") * F.col("part")).alias("in"))
+        rank = into.select("src", "k", (F.lit(base) + DAMPING * F.col("in")).alias("score"))
         if i % 5 == 4:
             rank = rank.checkpoint()
-    return rank.select("node", "score")
+    return rank.select(F.col("src").alias("node"), "score")
 
 
 def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:

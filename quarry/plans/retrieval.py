@@ -567,15 +567,27 @@ def user_context_lane(spark, d):
 # --- compositions ----------------------------------------------------------------------------------
 
 
+#: What users asked: the batch, and the names of parts as identifiers, as phrases and in sentences.
+ASKED_SQL = f"""{A.queries_sql(Q)} UNION ALL SELECT concat('p', p_partkey), CASE WHEN p_size % 3 = 0 THEN replace(p_name, ' ', '_') WHEN p_size % 3 = 1 THEN p_name ELSE concat('find the ', p_name, ' gear handler') END FROM part"""
+
+
+def _asked(spark, d):
+    name, size = F.col("p_name"), F.col("p_size")
+    text = F.when(size % 3 == 0, F.replace(name, F.lit(" "), F.lit("_"))).when(size % 3 == 1, name)
+    text = text.otherwise(F.concat(F.lit("find the "), name, F.lit(" gear handler")))
+    rows = A.table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("query_id"), text.alias("query"))
+    return A.queries_frame(spark, Q).unionAll(rows)
+
+
 @register(
     "query_analysis",
-    f"""WITH q AS ({A.queries_sql(Q)}), x AS (SELECT *, len(list_filter(regexp_split_to_array(trim(query), '\\s+'), lambda w: w <> '')) AS n,
+    f"""WITH q AS ({ASKED_SQL}), x AS (SELECT *, len(list_filter(regexp_split_to_array(trim(query), '\\s+'), lambda w: w <> '')) AS n,
   len(list_distinct(list_filter(regexp_split_to_array(lower(query), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND NOT list_contains({_STOP}, w)))) AS t FROM q)
 SELECT query_id, CASE WHEN n >= 4 THEN 'sentence' WHEN n = 1 AND regexp_matches(query, '_|[A-Z]') THEN 'identifier' ELSE 'phrase' END AS class,
   n = 1 AND regexp_matches(query, '^[A-Za-z0-9_]+$') AS lexical_only, t BETWEEN 2 AND 4 AS prefer_sparse FROM x""",
 )
 def query_analysis(spark, d):
-    return reports.analyzed(A.queries_frame(spark, Q))
+    return reports.analyzed(_asked(spark, d))
 
 
 _TITLE = "concat(upper(x[1]), x[2:])"
@@ -583,15 +595,15 @@ _TITLE = "concat(upper(x[1]), x[2:])"
 
 @register(
     "query_expansion",
-    f"""WITH q AS ({A.queries_sql(Q)}), w AS (SELECT query_id, query, list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: length(x) > 2) AS w FROM q),
+    f"""WITH q AS ({ASKED_SQL}), w AS (SELECT query_id, query, list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: length(x) > 2) AS w FROM q),
 g AS (SELECT query_id, w[i:i + n - 1] AS g FROM (SELECT query_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT unnest([2, 3]) AS n) WHERE len(w) >= n AND len(w) BETWEEN 2 AND 6))
 SELECT query_id, query AS term FROM q UNION SELECT query_id, array_to_string(g, '_') FROM g
 UNION SELECT query_id, array_to_string(list_transform(w, lambda x: {_TITLE}), '') FROM w WHERE len(w) BETWEEN 2 AND 6
 UNION SELECT query_id, concat(w[1], array_to_string(list_transform(w[2:], lambda x: {_TITLE}), '')) FROM w WHERE len(w) BETWEEN 2 AND 6
-UNION SELECT query_id, 'smallRing' FROM q WHERE query = 'small_ring' UNION SELECT query_id, unnest(['dispatch', 'route']) FROM q WHERE query LIKE '%gear%' AND query LIKE '%handler%'""",
+UNION SELECT query_id, concat(lower(p[1]), array_to_string(list_transform(p[2:], lambda x: concat(upper(x[1]), lower(x[2:]))), '')) FROM (SELECT query_id, string_split(query, '_') AS p FROM q WHERE query LIKE '%\\_%' ESCAPE '\\') UNION SELECT query_id, unnest(['dispatch', 'route']) FROM q WHERE query LIKE '%gear%' AND query LIKE '%handler%'""",
 )
 def query_expansion(spark, d):
-    return reports.expanded(A.queries_frame(spark, Q), [(("gear", "handler"), ("dispatch", "route"))])
+    return reports.expanded(_asked(spark, d), [(("gear", "handler"), ("dispatch", "route"))])
 
 
 @register(
