@@ -180,9 +180,17 @@ def rank_evidence(spark, d):
     return rank.evidence(lanes["semantic"], fused)
 
 
+_RANKS: dict[tuple[str, str], str] = {}
+
+
 def _importance(spark, d):
-    """(node: a file, score): PageRank of the files over the imports within packages."""
-    pr = graph.pagerank(A.package_edges(spark, d))
+    """(node: a file, score): PageRank of the files over the imports within packages; made once a session, as the index is."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _RANKS:
+        folder = storage.new_folder(spark, "ranks")
+        graph.pagerank(A.package_edges(spark, d)).write.parquet(folder)
+        _RANKS[key] = folder
+    pr = spark.read.parquet(_RANKS[key])
     return A.documents(spark, d).select(F.col("id").alias("node"), "file_path").join(pr, "node").select(F.col("file_path").alias("node"), "score")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,36 +44,61 @@ def upsert_stream(events: DataFrame, folder: str, checkpoint: str):
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        newest = batch.groupBy("path").agg(F.max_by(F.struct("kind", "at"), "at").alias("m")).select("path", "m.*")
+        # at one instant the later batch of the watcher wins, and within it what exists over what is deleted
+        order = F.struct("at", "batch", F.col("kind") != "deleted", "kind")
+        newest = batch.groupBy("path").agg(F.max_by(F.struct("kind", "at"), order).alias("m")).select("path", "m.*")
         buckets.merge(newest.withColumn("deleted", F.col("kind") == "deleted"), folder, "path", number)
 
     return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def _limiter(limit: int, window_ms: int):
+def _timed(rows: DataFrame, late: str | None) -> tuple[DataFrame, str]:
+    """Rows with event time from ``ms``, and the kind of timeout; without a bound for late rows states stay for ever."""
+    if late is None:
+        return rows, GroupStateTimeout.NoTimeout
+    # the first watermark is at zero, and what is not after a watermark is late
+    return rows.withColumn("_at", F.timestamp_millis(F.col("ms") + 1)).withWatermark("_at", late), GroupStateTimeout.EventTimeTimeout
+
+
+def _until(state: GroupState, ms: int, late: str | None) -> None:
+    """The state is forgotten when event time, less what may come late, has passed ``ms``."""
+    if late is not None:
+        state.setTimeoutTimestamp(max(ms, state.getCurrentWatermarkMs()) + 1)
+
+
+def _limiter(limit: int, window_ms: int, late: str | None):
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (session,) = key
-        times = list(state.get[0]) if state.exists else []
-        for frame in frames:
-            out = []
-            for call, ms in frame.sort_values(["ms", "call_id"])[["call_id", "ms"]].itertuples(index=False):
-                times = [t for t in times if t >= ms - window_ms]
-                out.append((session, call, len(times) > limit))
-                times.append(int(ms))
-            yield pd.DataFrame(out, columns=["session", "call_id", "rejected"])
-        state.update((times[-(limit + 2) :],))  # more calls than that never change a verdict
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = deque(state.get[0] if state.exists else ())
+        # a session's rows of one micro-batch may come in several frames; their order is that of all
+        calls = pd.concat(frames)[["ms", "call_id"]].sort_values(["ms", "call_id"])
+        out = []
+        for ms, call in calls.itertuples(index=False):
+            while times and times[0] < ms - window_ms:
+                times.popleft()
+            out.append((session, call, len(times) > limit))
+            times.append(int(ms))
+            if len(times) > limit + 2:
+                times.popleft()  # more calls than that never change a verdict
+        state.update((list(times),))
+        _until(state, times[-1] + window_ms, late)
+        yield pd.DataFrame(out, columns=["session", "call_id", "rejected"])
 
     return run
 
 
-def rate_limit(calls: DataFrame, limit: int = 300, window_ms: int = 60_000) -> DataFrame:
-    """Exact sliding limit as a stateful operator over a stream of (session, call_id, ms)."""
-    return calls.groupBy("session").applyInPandasWithState(
-        _limiter(limit, window_ms),
-        "session string, call_id long, rejected boolean",
-        "times array<long>",
-        "append",
-        GroupStateTimeout.NoTimeout,
+def rate_limit(calls: DataFrame, limit: int = 300, window_ms: int = 60_000, late: str | None = "1 day") -> DataFrame:
+    """Exact sliding limit as a stateful operator over a stream of (session, call_id, ms).
+
+    A session without calls for the window is forgotten when the watermark has passed it, without any input of its
+    own.  Calls later than ``late`` behind the newest are dropped, as by any watermark; None keeps all, and all states.
+    """
+    rows, timeout = _timed(calls, late)
+    return rows.groupBy("session").applyInPandasWithState(
+        _limiter(limit, window_ms, late), "session string, call_id long, rejected boolean", "times array<long>", "append", timeout
     )
 
 
@@ -86,32 +112,41 @@ def windowed(calls: DataFrame, late: str = "10 minutes", size: str = "1 hour") -
     )
 
 
-def _leaser(ttl_ms: int):
+def _leaser(ttl_ms: int, late: str | None):
+    columns = ["session", "ms", "taken_at", "expires_at", "expired"]
+
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (session,) = key
         last, taken = (state.get if state.exists else (0, 0))
-        for frame in frames:
-            out = []
-            for ms in sorted(int(x) for x in frame["ms"]):
-                taken = taken if last and ms <= last + ttl_ms else ms
-                last = max(last, ms)
-                out.append((session, ms, taken, ms + ttl_ms))
-            yield pd.DataFrame(out, columns=["session", "ms", "taken_at", "expires_at"])
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(session, last, taken, last + ttl_ms, True)], columns=columns)
+            return
+        out = []
+        for ms in sorted(int(x) for frame in frames for x in frame["ms"]):
+            taken = taken if last and ms <= last + ttl_ms else ms
+            last = max(last, ms)
+            out.append((session, ms, taken, ms + ttl_ms, False))
         state.update((last, taken))
+        _until(state, last + ttl_ms, late)
+        yield pd.DataFrame(out, columns=columns)
 
     return run
 
 
-def leases(heartbeats: DataFrame, ttl_ms: int = 300_000) -> DataFrame:
-    """Leases as state over a stream of heartbeats (session, ms): when each was taken, and when it runs out.
+def leases(heartbeats: DataFrame, ttl_ms: int = 300_000, late: str | None = "1 minute") -> DataFrame:
+    """Leases as state over a stream of heartbeats (session, ms): when each was taken, when it runs out, and if it has.
 
-    A heartbeat in time renews a lease; one that comes too late takes a new one.
+    A heartbeat in time renews a lease; one that comes too late takes a new one.  When the watermark has passed the
+    end of a lease, a last row says that it has expired, without input of its session, and its state is gone.
+    Heartbeats later than ``late`` behind the newest are dropped; None keeps all, and nothing expires.
     """
-    return heartbeats.groupBy("session").applyInPandasWithState(
-        _leaser(ttl_ms), "session string, ms long, taken_at long, expires_at long", "last long, taken long", "append", GroupStateTimeout.NoTimeout
+    rows, timeout = _timed(heartbeats, late)
+    return rows.groupBy("session").applyInPandasWithState(
+        _leaser(ttl_ms, late), "session string, ms long, taken_at long, expires_at long, expired boolean", "last long, taken long", "append", timeout
     )
 
 
 def live(rows: DataFrame, now: int) -> DataFrame:
     """Leases that have not expired."""
-    return rows.where(F.col("expires_at") > now)
+    return rows.where((F.col("expires_at") > now) & ~F.coalesce("expired", F.lit(False)))

@@ -119,10 +119,57 @@ def test_leases_are_renewed_in_time(spark, tmp_path):
     stream = spark.readStream.schema("session string, ms long").json(f"{tmp_path}/in")
     q = ingest.leases(stream, 100).writeStream.format("memory").queryName("leased").outputMode("append").trigger(availableNow=True)
     q.option("checkpointLocation", f"{tmp_path}/cp").start().awaitTermination()
-    got = {(r.session, r.ms): (r.taken_at, r.expires_at) for r in spark.table("leased").collect()}
+    got = {(r.session, r.ms): (r.taken_at, r.expires_at) for r in spark.table("leased").where("not expired").collect()}
     assert got == {("s", 100): (100, 200), ("s", 150): (100, 250), ("s", 230): (100, 330), ("s", 400): (400, 500), ("s", 420): (400, 520), ("t", 5): (5, 105)}
 
 
+def test_leases_expire_without_input_of_their_own(spark, tmp_path):
+    heart = lambda n, *x: spark.createDataFrame(list(x), "session string, ms long").coalesce(1).write.json(f"{tmp_path}/in/{n}")
+    out = f"{tmp_path}/out"
+
+    def run():
+        stream = spark.readStream.schema("session string, ms long").option("recursiveFileLookup", True).json(f"{tmp_path}/in")
+        q = ingest.leases(stream, 1000, "1 second").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp")
+        q = q.outputMode("append").trigger(availableNow=True).start(out)
+        q.awaitTermination()
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        return {tuple(r) for r in spark.read.parquet(out).where("expired").select("session", "ms", "taken_at", "expires_at").collect()}, held[-1]
+
+    heart(1, ("a", 10_000), ("a", 10_500), ("b", 10_200))
+    assert run() == (set(), 2)
+    heart(2, ("b", 11_100), ("c", 12_600))  # the watermark is at 11,600: a has run out at 11,500
+    assert run() == ({("a", 10_500, 10_000, 11_500)}, 2)
+    heart(3, ("c", 13_500), ("a", 13_400))  # from the checkpoint: b has run out at 12,100, and a takes a new lease
+    assert run() == ({("a", 10_500, 10_000, 11_500), ("b", 11_100, 10_200, 12_100)}, 2)
+
+
+def test_limits_forget_idle_sessions(spark, tmp_path):
+    rows = [("idle", i, 1000 + i) for i in range(4)] + [("busy", 10, 1500)]
+    spark.createDataFrame(rows, "session string, call_id long, ms long").coalesce(1).write.json(f"{tmp_path}/in/1")
+
+    def run():
+        stream = spark.readStream.schema("session string, call_id long, ms long").option("recursiveFileLookup", True).json(f"{tmp_path}/in")
+        q = ingest.rate_limit(stream, 2, 1000, "1 second").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp")
+        q = q.outputMode("append").trigger(availableNow=True).start(f"{tmp_path}/out")
+        q.awaitTermination()
+        return [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]][-1]
+
+    assert run() == 2
+    spark.createDataFrame([("busy", 11, 9000)], "session string, call_id long, ms long").write.json(f"{tmp_path}/in/2")
+    assert run() == 1
+    assert {r.call_id for r in spark.read.parquet(f"{tmp_path}/out").where("rejected").collect()} == {3}
+
+
+def test_events_of_one_instant_have_an_order(spark, tmp_path):
+    from quarry.sources import buckets
+
+    rows = [(1, "x", "deleted", "2024-01-01 00:00:00"), (1, "x", "created", "2024-01-01 00:00:00"), (2, "y", "deleted", "2024-01-01 00:00:00"), (1, "y", "created", "2024-01-01 00:00:00")]
+    events = spark.createDataFrame(rows, "batch long, path string, kind string, at string").withColumn("at", F.to_timestamp("at"))
+    events.repartition(4).write.json(f"{tmp_path}/in")
+    ingest.upsert_stream(ingest.file_events(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp").start().awaitTermination()
+    assert {(r.path, r.kind) for r in buckets.latest(spark, f"{tmp_path}/out").collect()} == {("x", "created")}
+
+
 def test_stateful_rate_limit_equals_the_batch_one(spark, tmp_path):
     rows = [(f"s{i % 2}", i, i * 400) for i in range(120)]
     spark.createDataFrame(rows, "session string, call_id long, ms long").coalesce(1).write.json(f"{tmp_path}/in")
