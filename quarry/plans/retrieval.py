@@ -10,7 +10,7 @@ from quarry.functions import text as T
 from quarry.operators import evaluation, graph, rank, reports, vector
 from quarry.plans.graphs import pagerank_steps
 from quarry.registry import register
-from quarry.sources import postings
+from quarry.sources import postings, vectors
 
 Q = A.QUERIES
 
@@ -403,6 +403,20 @@ def misplaced_code(spark, d):
     return vector.misplaced(A.vectors(spark, d), 20)
 
 
+@register("vector_store")
+def vector_store(spark, d):
+    """The documents' vectors as a store that is left in place: first without every third symbol, then without every fifth, each seventh with another text."""
+    v = A.vectors(spark, d).select("id", F.col("embedding").cast("array<float>").alias("embedding"))
+    s = A.documents(spark, d).select("id", "file_path", F.col("body").alias("text"))
+    folder = storage.new_folder(spark, "vector-store", keep=True)
+    embed = lambda rows: rows.join(v, "id").select("id", "embedding")
+    # the two states of the index are defined by residues: they are the adapter, not a sample
+    vectors.reconcile(s.where("id % 3 <> 0"), folder, 0, embed)
+    later = s.where("id % 5 <> 0").withColumn("text", F.when(F.col("id") % 7 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
+    vectors.reconcile(later, folder, 1, lambda rows: embed(rows).withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    return vectors.rows(spark, folder)
+
+
 @register(
     "embedding_reconcile",
     """WITH o AS (SELECT concat(p_name, '|', p_brand) AS key FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1),
