@@ -69,13 +69,20 @@ def _tails(path: str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "/"))
 
 
-def _through_suffixes(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(src, file): definition files that an import of src ends like, or that end like it."""
+def _through_suffixes(sites: DataFrame, imports: DataFrame, defs: DataFrame) -> DataFrame:
+    """(caller_file, callee_name, suffixed): the least definition file that an import ends like, or that ends like it.
+
+    Imports that are spelled alike are one: each has one file a name, before any importer meets it.
+    """
     targets = imports.select("dst").distinct()
+    files = defs.select("file").distinct()
     longer = files.select("file", F.explode(_tails("file")).alias("dst")).join(targets, "dst")
     shorter = targets.select("dst", F.explode(_tails("dst")).alias("file")).join(files, "file")
-    pairs = longer.select("dst", "file").union(shorter.select("dst", "file")).distinct()
-    return imports.join(pairs, "dst").select("src", "file").distinct()
+    pairs = longer.select("dst", "file").union(shorter.select("dst", "file"))
+    called = defs.join(sites.select(F.col("callee_name").alias("name")).distinct(), "name", "left_semi")
+    best = pairs.join(called, "file").groupBy("dst", F.col("name").alias("callee_name")).agg(F.min("file").alias("file"))
+    asked = sites.select("caller_file", "callee_name").distinct().join(imports.withColumnRenamed("src", "caller_file"), "caller_file")
+    return asked.join(best, ["dst", "callee_name"]).groupBy("caller_file", "callee_name").agg(F.min("file").alias("suffixed"))
 
 
 def _sees(links: DataFrame, defs: DataFrame, name: str) -> DataFrame:
@@ -172,7 +179,7 @@ def resolve(calls: DataFrame, symbols: DataFrame, imports: DataFrame, bindings:
     keys = ["caller_file", "callee_name"]
     imports = written(imports.select("src", "dst").distinct(), "call-imports")
     rows = rows.join(_sees(imports.select("src", F.col("dst").alias("file")), defs, "imported"), keys, "left")
-    rows = rows.join(_sees(_through_suffixes(imports, defs.select("file").distinct()), defs, "suffixed"), keys, "left")
+    rows = rows.join(_through_suffixes(sites, imports, defs), keys, "left")
 
     rows = rows.withColumn("lang", language(F.col("caller_file")))
     spoken = symbols.select(F.col("name").alias("callee_name"), "file_path", language(F.col("file_path")).alias("lang")).where("lang IS NOT NULL")

@@ -158,13 +158,30 @@ def annotations(files: DataFrame) -> DataFrame:
     )
 
 
+def stabbed(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """Points (file_path, at, ...) with the spans (file_path, start, stop, ...) of their file that hold them.
+
+    A span lies in the one or two cells of the least power of two above its width, and a point looks into one
+    cell of each width that occurs, so that both meet by equality: spans side by side never meet the points of
+    each other beyond their neighbours, however many a file has.
+    """
+    spans = spans.where("start <= stop").withColumn("_level", F.length(F.bin(F.col("stop") - F.col("start"))))
+    levels = spans.agg(F.collect_set("_level").alias("_levels"))  # one row, 64 values at most
+    cells = F.sequence(F.expr("shiftright(start, _level)"), F.expr("shiftright(stop, _level)"))
+    probes = points.crossJoin(F.broadcast(levels)).withColumn("_level", F.explode("_levels")).drop("_levels")
+    probes = probes.withColumn("_cell", F.expr("shiftright(at, _level)"))
+    hit = probes.join(spans.withColumn("_cell", F.explode(cells)), ["file_path", "_level", "_cell"])
+    return hit.where((F.col("start") <= F.col("at")) & (F.col("at") <= F.col("stop"))).drop("_level", "_cell")
+
+
 def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
     """Each point (point_id, file_path, at) with the smallest span (span_id, start, stop) around it.
 
-    The file is an equi-join key; among a file's spans the least is kept by a partially combined minimum.
+    Among the spans that hold a point the least is kept by a partially combined minimum.
     """
-    hit = points.join(spans, "file_path").where((F.col("start") <= F.col("at")) & (F.col("at") <= F.col("stop")))
-    best = hit.groupBy("point_id").agg(
+    at = points.select("point_id", "file_path", F.col("at").cast("long").alias("at"))
+    long_ = spans.withColumns({c: F.col(c).cast("long") for c in ("start", "stop")})
+    best = stabbed(at, long_).groupBy("point_id").agg(
         F.min(F.struct((F.col("stop") - F.col("start")).alias("width"), "start", "span_id")).alias("m")
     )
     return points.join(best, "point_id", "left").select(*points.columns, F.col("m.span_id").alias("span_id"))
@@ -332,11 +349,11 @@ def decorated(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def nested(symbols: DataFrame) -> DataFrame:
     """(file_path, id, parent_id): the smallest other symbol of the file whose byte range contains a symbol's."""
-    outer = symbols.select("file_path", F.col("id").alias("parent_id"), F.col("start_byte").alias("ps"), F.col("end_byte").alias("pe"))
-    hit = symbols.join(outer, "file_path").where(
-        "id <> parent_id AND ps <= start_byte AND pe >= end_byte AND (ps < start_byte OR pe > end_byte)"
-    )
-    best = hit.groupBy("file_path", "id").agg(F.min(F.struct((F.col("pe") - F.col("ps")).alias("w"), F.col("parent_id"))).alias("m"))
+    start, end = F.col("start_byte").cast("long"), F.col("end_byte").cast("long")
+    inner = symbols.select("file_path", "id", start.alias("at"), end.alias("end"))
+    outer = symbols.select("file_path", F.col("id").alias("parent_id"), start.alias("start"), end.alias("stop"))
+    hit = stabbed(inner, outer).where("id <> parent_id AND stop >= end AND (start < at OR stop > end)")
+    best = hit.groupBy("file_path", "id").agg(F.min(F.struct((F.col("stop") - F.col("start")).alias("w"), F.col("parent_id"))).alias("m"))
     return symbols.select("file_path", "id").join(best, ["file_path", "id"], "left").select("file_path", "id", F.col("m.parent_id").alias("parent_id"))
 
 

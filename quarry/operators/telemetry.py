@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.operators.lookup import numbered
+from quarry.storage import written
+
 RING = 256
 WINDOW_MS, MAX_CALLS = 60_000, 300
 
@@ -47,35 +50,48 @@ def p95(calls: DataFrame) -> DataFrame:
 def rate_limited(calls: DataFrame, limit: int = MAX_CALLS, window_ms: int = WINDOW_MS) -> DataFrame:
     """Whether each call is rejected: more than ``limit`` earlier calls of its session in the window.
 
-    Rejected calls count as calls. The order within a session is (ts, call_id).
+    Rejected calls count as calls. The order within a session is (ts, call_id).  A call counts in its own stretch
+    of the window's length and in the next, so that a busy session is as many groups as it has stretches.
     """
-    at = F.unix_millis(F.col("ts").cast("timestamp"))
-    by = Window.partitionBy("session").orderBy("ms").rangeBetween(-window_ms, 0)
-    same = Window.partitionBy("session", "ms").orderBy(F.col("call_id").desc())
-    rows = calls.withColumn("ms", at)
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    copies = F.when(F.col("_ms").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    rows = calls.withColumn("_ms", ms).withColumn("_copy", F.explode(copies)).withColumn("_cell", F.floor(F.col("_ms") / window_ms) + F.col("_copy"))
+    by = Window.partitionBy("session", "_cell").orderBy("_ms").rangeBetween(-window_ms, 0)
+    same = Window.partitionBy("session", "_cell", "_ms").orderBy(F.col("call_id").desc())
     earlier = F.count(F.lit(1)).over(by) - F.row_number().over(same)
-    return rows.withColumn("earlier", earlier.cast("long")).withColumn("rejected", F.col("earlier") > limit).drop("ms")
+    rows = rows.withColumn("earlier", earlier.cast("long")).where("_copy = 0").drop("_ms", "_copy", "_cell")
+    return rows.withColumn("rejected", F.col("earlier") > limit)
+
+
+def _in_order(calls: DataFrame, *columns: str | Column) -> DataFrame:
+    """Calls with their ``place`` in the order of all sessions: a neighbour is a join away, and no session a task."""
+    return written(numbered(calls.select("session", "ts", "call_id", *columns), "session", "ts", "call_id"), "calls-in-order")
 
 
 def doom_loops(calls: DataFrame, least: int = 3) -> DataFrame:
-    """Runs of the same tool with the same arguments in a row, of some length: gaps and islands."""
-    by = Window.partitionBy("session").orderBy("ts", "call_id")
-    key = F.struct("tool", "args")
-    change = F.when(F.lag(F.xxhash64(key)).over(by) == F.xxhash64(key), 0).otherwise(1)
-    rows = calls.withColumn("change", change).withColumn("run", F.sum("change").over(by))
-    return (
-        rows.groupBy("session", "run")
-        .agg(F.first("tool").alias("tool"), F.count(F.lit(1)).alias("length"))
-        .where(F.col("length") >= least)
-        .select("session", F.col("run").cast("long").alias("run"), "tool", "length")
-    )
+    """Runs of the same tool with the same arguments in a row, of some length.
+
+    The calls that begin a run are numbered in turn: a run ends where the next one begins.
+    """
+    rows = _in_order(calls, "tool", F.xxhash64(F.struct("tool", "args")).alias("key"))
+    before = rows.select((F.col("place") + 1).alias("place"), F.struct("session", "key").alias("before"))
+    begins = rows.join(before, "place", "left").where(~F.struct("session", "key").eqNullSafe(F.col("before")))
+    begins = written(numbered(begins.select("session", "tool", F.col("place").alias("at")), "at"), "runs-in-order")
+    ends = begins.select((F.col("place") - 1).alias("place"), F.col("at").alias("end"))
+    total = rows.agg((F.count(F.lit(1)) + 1).alias("total"))
+    first = begins.groupBy("session").agg(F.min("place").alias("first"))
+    runs = begins.join(ends, "place", "left").crossJoin(F.broadcast(total))  # one row
+    runs = runs.select("session", "tool", "place", (F.coalesce("end", "total") - F.col("at")).alias("length")).where(F.col("length") >= least)
+    runs = runs.join(first.withColumnRenamed("session", "_s"), F.col("session").eqNullSafe(F.col("_s")))
+    return runs.select("session", (F.col("place") - F.col("first") + 1).alias("run"), "tool", "length")
 
 
 def suggestions(calls: DataFrame, follow: dict[str, list[str]]) -> DataFrame:
     """Per tool how often the next call of the session is one of those suggested after it."""
-    by = Window.partitionBy("session").orderBy("ts", "call_id")
     table = F.create_map(*[x for k, v in follow.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]))])
-    rows = calls.withColumn("next", F.lead("tool").over(by)).withColumn("offer", table[F.col("tool")])
+    rows = _in_order(calls, "tool")
+    after = rows.select((F.col("place") - 1).alias("place"), F.col("session").alias("_s"), F.col("tool").alias("next"))
+    rows = rows.join(after, "place").where(F.col("session").eqNullSafe(F.col("_s"))).withColumn("offer", table[F.col("tool")])
     rows = rows.where("next IS NOT NULL AND offer IS NOT NULL")
     return rows.groupBy("tool").agg(
         F.count_if(F.array_contains("offer", F.col("next"))).alias("accepted"),
