@@ -278,6 +278,21 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(*_PROGRAM_COLUMNS)
 
 
+# Scripts: one a part, in which a part's name is a variable of several scopes.
+_SCRIPT = (
+    "import {{ helper_{K} as h }} from \"./{N}\"; // {N}", "export const {N} = 1;", "let total = {N};", "function outer_{K}({N}) {{",
+    "  if ({N}) {{ let total = {N}; total++; }}", "  total += h({N}); var late = \"{N}\";", "  return (x) => x + late + missing_{K};", "}}",
+    "class Ring_{K} {{ run({N}, y = total) {{ return this.total + {N} + y; }} }}", "console.log({N}, outer_{K}(total));",
+)
+_SCRIPT_PATH = f"concat('web/', {_N}, '_', {_ID}, CASE p_partkey % 2 WHEN 0 THEN '.ts' ELSE '.js' END)"
+SCRIPT_FACTS_SQL = f"SELECT {_SCRIPT_PATH} AS file_path, {_N} AS n, {_K} AS k FROM part".replace("AS STRING", "AS VARCHAR")
+
+
+def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(relative_path, content): a script per part."""
+    return table(spark, sf_dir, "part").selectExpr(f"{_SCRIPT_PATH} AS relative_path", f"{_program_sql(_SCRIPT)} AS content")
+
+
 _DOCS = [x for x in _SYMBOLS if not x.endswith("AS file_path")] + [_SOURCES[1].replace("AS relative_path", "AS file_path"), _SOURCES[2].replace("AS content", "AS body")]
 
 

@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    from quarry.plans import calls, graphs, navigation, retrieval, sessions, tables  # noqa: F401
+    from quarry.plans import calls, graphs, navigation, retrieval, scopes, sessions, tables  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
