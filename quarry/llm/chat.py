@@ -9,8 +9,8 @@ itself, go before deeper ones, which it quoted; of one level, a passage that mat
 one that matches by its first line.  The message linked by the first such passage is the parent.  Roots and depths come from pointer doubling.
 
 The result is one row a message, without quotes, with its text in role markup and its position: the rows
-are sorted by ranges of (conversation, root turn, depth, turn), each message after the one it answers, and
-numbered over the whole table.  A conversation of any length needs no task of its own; ``rendered`` joins the
+are sorted by ranges of (conversation, root turn, place in the thread), and numbered over the whole table.  A
+thread is read branch by branch: a message is followed by its answers, earlier ones first, each with all of its own.  A conversation of any length needs no task of its own; ``rendered`` joins the
 texts of neighbouring messages, at most so many a row.
 
 Defined cases: null and blank texts have an empty body and no quotes; messages with a null conv_id or
@@ -153,15 +153,46 @@ def rooted(links: DataFrame) -> DataFrame:
         at = new.drop("moved")
 
 
+def threads(tree: DataFrame) -> DataFrame:
+    """(conv_id, turn, place): a number that rises along a thread, in the order of the paths of turns from its root.
+
+    A walk around the tree enters and leaves each message.  Steps point to the next one, and how many messages are
+    entered from a step on comes from pointer doubling, so that a long chain costs a logarithmic number of rounds
+    and no long paths.  Each step is pointed to once, so that no busy message gathers rows.
+    """
+    kids = numbered(tree.select("conv_id", "parent", "turn"), "conv_id", "parent", "turn")
+    after = kids.select("conv_id", "parent", (F.col("position") - 1).alias("position"), F.col("turn").alias("sibling"))
+    kids = kids.join(after, ["conv_id", "parent", "position"], "left")
+    first = tree.groupBy("conv_id", F.col("parent").alias("turn")).agg(F.min("turn").alias("child"))
+    roots = tree.select("conv_id", F.col("root").alias("turn")).distinct()
+
+    def step(turn: str, out: bool) -> Column:
+        return F.when(F.col(turn).isNotNull(), F.struct(F.col(turn).alias("turn"), F.lit(out).alias("out")))
+
+    enter = tree.select("conv_id", "turn").union(roots).join(first, ["conv_id", "turn"], "left")
+    enter = enter.select("conv_id", step("turn", False).alias("at"), F.coalesce(step("child", False), step("turn", True)).alias("next"), F.lit(1).cast("long").alias("n"))
+    none = F.lit(0).cast("long").alias("n")
+    leave = kids.select("conv_id", step("turn", True).alias("at"), F.coalesce(step("sibling", False), step("parent", True)).alias("next"), none)
+    ends = roots.select("conv_id", step("turn", True).alias("at"), F.lit(None).cast(enter.schema["next"].dataType).alias("next"), none)
+    walk = enter.union(leave).union(ends).checkpoint()
+    while not (live := walk.where("next IS NOT NULL")).isEmpty():
+        ahead = walk.select("conv_id", F.col("at").alias("next"), F.col("next").alias("far"), F.col("n").alias("more"))
+        moved = live.join(ahead, ["conv_id", "next"]).select("conv_id", "at", F.col("far").alias("next"), (F.col("n") + F.col("more")).alias("n"))
+        walk = moved.union(walk.where("next IS NULL")).checkpoint()
+    return walk.where("NOT at.out").select("conv_id", "at.turn", (-F.col("n")).alias("place"))
+
+
 def conversations(messages: DataFrame) -> DataFrame:
     """One row a message, without quotes, in role markup and with its position in the reply order."""
     rows = parsed(messages)
     links = written(parents(rows), "chat-links")
     if links.isEmpty():
         tree = links.select("conv_id", "turn", "parent", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth"))
+        places = links.select("conv_id", "turn", F.lit(0).cast("long").alias("place"))
     else:
         tree = rooted(links)
-    rows = rows.join(tree, ["conv_id", "turn"], "left").select(
+        places = threads(tree)
+    rows = rows.join(tree, ["conv_id", "turn"], "left").join(places, ["conv_id", "turn"], "left").select(
         "conv_id",
         "turn",
         "role",
@@ -172,8 +203,9 @@ def conversations(messages: DataFrame) -> DataFrame:
         F.col("parent").alias("parent_turn"),
         F.coalesce("root", "turn").alias("root_turn"),
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+        F.coalesce("place", F.lit(0)).alias("place"),
     )
-    return numbered(rows, "conv_id", "root_turn", "depth", "turn", "role", "body")
+    return numbered(rows, "conv_id", "root_turn", "place", "turn", "role", "body").drop("place")
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
@@ -225,12 +257,12 @@ s0 AS (SELECT conv_id, turn, unnest(list_concat([body], list_concat(regexp_split
 said AS (SELECT conv_id, {_NORMAL.format("x")} AS h, min(turn) AS parent FROM s0 GROUP BY 1, 2),
 cand AS (SELECT k.conv_id, k.turn, parent, level, part, run FROM keys k JOIN said USING (conv_id, h) WHERE parent < k.turn),
 links AS (SELECT conv_id, turn, parent FROM cand QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, part, run, parent) = 1),
-up AS (SELECT conv_id, turn, parent AS root, CAST(1 AS BIGINT) AS depth FROM links
-  UNION ALL SELECT up.conv_id, up.turn, l.parent, depth + 1 FROM up JOIN links l ON l.conv_id = up.conv_id AND l.turn = up.root),
-tree AS (SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM up GROUP BY 1, 2),
+up AS (SELECT conv_id, turn, parent AS root, CAST(1 AS BIGINT) AS depth, [parent, turn] AS path FROM links
+  UNION ALL SELECT up.conv_id, up.turn, l.parent, depth + 1, list_prepend(l.parent, path) FROM up JOIN links l ON l.conv_id = up.conv_id AND l.turn = up.root),
+tree AS (SELECT conv_id, turn, min(root) AS root, max(depth) AS depth, arg_max(path, depth) AS path FROM up GROUP BY 1, 2),
 nq AS (SELECT uid, count(*) AS n, max(level) AS deepest FROM qu GROUP BY uid),
 res AS (SELECT b.conv_id, b.turn, b.role, b.body, concat('<|', coalesce(b.role, 'unknown'), '|>', chr(10), b.body, chr(10)) AS formatted,
-  coalesce(n, 0) AS n_quotes, CAST(coalesce(deepest, 0) AS BIGINT) AS max_level, l.parent AS parent_turn, coalesce(tree.root, b.turn) AS root_turn, coalesce(tree.depth, 0) AS depth
+  coalesce(n, 0) AS n_quotes, CAST(coalesce(deepest, 0) AS BIGINT) AS max_level, l.parent AS parent_turn, coalesce(tree.root, b.turn) AS root_turn, coalesce(tree.depth, 0) AS depth, coalesce(tree.path, [b.turn]) AS path
   FROM body b LEFT JOIN nq USING (uid) LEFT JOIN links l ON l.conv_id = b.conv_id AND l.turn = b.turn LEFT JOIN tree ON tree.conv_id = b.conv_id AND tree.turn = b.turn)
-SELECT *, row_number() OVER (ORDER BY conv_id NULLS FIRST, root_turn NULLS FIRST, depth, turn NULLS FIRST, role NULLS FIRST, body) - 1 AS position FROM res
+SELECT * EXCLUDE (path), row_number() OVER (ORDER BY conv_id NULLS FIRST, root_turn NULLS FIRST, path, turn NULLS FIRST, role NULLS FIRST, body) - 1 AS position FROM res
 """

@@ -159,6 +159,12 @@ def test_random_threads_match_brute_force(spark):
     assert [r.position for r in order] == list(range(len(messages)))
     place = {(r.conv_id, r.turn): r.position for r in order}
     assert all(place[r.conv_id, r.parent_turn] < r.position for r in got if r.parent_turn is not None)
+    parent = {(r.conv_id, r.turn): r.parent_turn for r in got}
+
+    def path(c, t):
+        return (*path(c, parent[c, t]), t) if parent[c, t] is not None else (t,)
+
+    assert [(r.conv_id, r.turn) for r in order] == sorted(parent, key=lambda k: (k[0], path(*k)))
     assert [r.conv_id for r in order] == sorted(r.conv_id for r in got)
 
 
@@ -183,3 +189,17 @@ def test_rendered_texts_are_the_messages_in_order(spark, most):
     got = sorted((r.conv_id, r.part, r.text, r.n_messages) for r in chat.rendered(rows, most).collect())
     assert "".join(t for c, _, t, _ in got if c == 1) == "<|user|>\na\n<|assistant|>\nb\n<|user|>\nc\n"
     assert [t for c, _, t, _ in got if c == 2] == ["<|unknown|>\nd\n"] and max(n for *_, n in got) <= most
+
+
+def test_branches_of_a_thread_are_read_one_by_one(spark):
+    got = result(
+        spark, (1, 0, "u", "one"), (1, 1, "a", "> one\ntwo"), (1, 2, "a", "> one\nthree"), (1, 3, "u", "> two\nfour"), (1, 4, "u", "> three\nfive"),
+        (1, 5, "u", "> two\nsix"), (1, 6, "a", "> four\nseven"), (1, 7, "u", "alone"),
+    )
+    assert [t for _, t in sorted((r.position, t) for (_, t), r in got.items())] == [0, 1, 3, 6, 5, 2, 4, 7]
+
+
+def test_a_message_with_very_many_answers(spark):
+    n = 3000
+    got = result(spark, (1, 0, "u", "one"), *[(1, i, "a", f"> one\nanswer {i}") for i in range(1, n)])
+    assert [r.position for _, r in sorted(got.items())] == list(range(n)) and {r.depth for r in got.values()} == {0, 1}
