@@ -16,8 +16,8 @@ EVENTS = "batch long, path string, kind string, at timestamp"
 
 
 def file_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Events written as JSON lines by a watcher."""
-    return spark.readStream.schema(EVENTS).json(folder)
+    """Events written as JSON lines by a watcher (``sources/watcher.py``), in the folder or in folders below it."""
+    return spark.readStream.schema(EVENTS).option("recursiveFileLookup", True).json(folder)
 
 
 def normalize(events: DataFrame) -> DataFrame:
