@@ -45,8 +45,9 @@ def test_query_matches_sql(spark, duck, name):
     assert got == want
 
 
-def test_every_query_has_sql():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+def test_every_query_has_sql_unless_it_writes_files():
+    # vector_store leaves a folder in place; tests/test_vectors.py holds it against plain rows
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"vector_store"} and set(registry.oracle_sql()) <= set(registry.queries())
 
 
 def test_entry(spark):
