@@ -148,5 +148,6 @@ def leases(heartbeats: DataFrame, ttl_ms: int = 300_000, late: str | None = "1 m
 
 
 def live(rows: DataFrame, now: int) -> DataFrame:
-    """Leases that have not expired."""
-    return rows.where((F.col("expires_at") > now) & ~F.coalesce("expired", F.lit(False)))
+    """Leases that have not expired, by their time or, in rows that have it, by the mark of ``leases``."""
+    rows = rows.where(F.col("expires_at") > now)
+    return rows.where(~F.coalesce("expired", F.lit(False))) if "expired" in rows.columns else rows
