@@ -12,11 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry import storage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts in files for all cores: a part is a few bytes that become texts of many, and one file of them is one task.
+
+    They are written, as filters on the texts would be pushed down through an exchange, back into that task.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return storage.written(table(spark, sf_dir, "part").repartition(parts, "p_partkey"), "parts")
+
+
 _SYMBOLS = [
     "CAST(p_partkey AS BIGINT) AS id",
     "replace(p_name, ' ', '_') AS name",
@@ -221,7 +232,7 @@ SOURCES_SQL = f"SELECT {', '.join(_SOURCES)} FROM part".replace("AS STRING", "AS
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, relative_path, content): a source file per part."""
-    return table(spark, sf_dir, "part").selectExpr(*_SOURCES)
+    return _spread(spark, sf_dir).selectExpr(*_SOURCES)
 
 
 # Programs: one a part, in six languages, with names in strings and comments of every kind.
@@ -275,7 +286,7 @@ PROGRAM_FACTS_SQL = f"SELECT CAST(p_partkey AS BIGINT) AS id, {_PROGRAM_COLUMNS[
 
 def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, relative_path, content): a program per part."""
-    return table(spark, sf_dir, "part").selectExpr(*_PROGRAM_COLUMNS)
+    return _spread(spark, sf_dir).selectExpr(*_PROGRAM_COLUMNS)
 
 
 # Scripts: one a part, in which a part's name is a variable of several scopes.
@@ -290,7 +301,7 @@ SCRIPT_FACTS_SQL = f"SELECT {_SCRIPT_PATH} AS file_path, {_N} AS n, {_K} AS k FR
 
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(relative_path, content): a script per part."""
-    return table(spark, sf_dir, "part").selectExpr(f"{_SCRIPT_PATH} AS relative_path", f"{_program_sql(_SCRIPT)} AS content")
+    return _spread(spark, sf_dir).selectExpr(f"{_SCRIPT_PATH} AS relative_path", f"{_program_sql(_SCRIPT)} AS content")
 
 
 _DOCS = [x for x in _SYMBOLS if not x.endswith("AS file_path")] + [_SOURCES[1].replace("AS relative_path", "AS file_path"), _SOURCES[2].replace("AS content", "AS body")]
@@ -300,7 +311,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, name, kind, line, signature, name_path, file_path, body, doc_comment, module_path, is_test, is_generated, exported)."""
     from quarry.operators.lookup import properties
 
-    d = table(spark, sf_dir, "part").selectExpr(*_DOCS)
+    d = _spread(spark, sf_dir).selectExpr(*_DOCS)
     found = properties(F.col("file_path"), F.col("signature"), F.col("kind"))
     more = {k: v for k, v in found.items() if k != "language"} | {"doc_comment": F.split("body", "\n")[3]}
     return d.select("*", *[c.alias(k) for k, c in more.items()])

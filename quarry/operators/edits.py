@@ -106,7 +106,8 @@ def inline(files: DataFrame, wrappers: DataFrame) -> DataFrame:
 
     Calls are inlined within the file of the definition; arguments stay as they are.
     """
-    rows = lines(files).join(wrappers.select("id", F.col("line_no").alias("at"), "name", "target"), "id")
+    # both sides grow with the files, whatever their inputs' sizes let a planner guess: neither is sent to every task
+    rows = lines(files).hint("merge").join(wrappers.select("id", F.col("line_no").alias("at"), "name", "target"), "id")
     word = F.concat(F.lit(r"\b"), "name", F.lit(r"\("))
     gone = rows.where(F.col("line_no") == F.col("at")).select("id", "line_no", F.lit("remove").alias("action"), F.lit("").alias("after"))
     used = rows.where((F.col("line_no") != F.col("at")) & F.regexp_like("line", word))

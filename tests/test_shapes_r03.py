@@ -1,5 +1,11 @@
 """Shapes that failed in round 3: rows without optional columns, and plans that must not send what grows."""
 
+import pandas as pd
+import pytest
+
+from quarry import adapters as A
+from quarry.operators import edits
+from quarry.sources import scripts
 from quarry.streaming import ingest
 
 
@@ -8,3 +14,28 @@ def test_leases_without_a_mark_are_live_until_their_time(spark):
     assert [r.session for r in ingest.live(rows, 10).collect()] == [2]
     marked = spark.createDataFrame([(1, 50, None), (2, 50, True), (3, 50, False)], "session int, expires_at long, expired boolean")
     assert sorted(r.session for r in ingest.live(marked, 10).collect()) == [1, 3]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_wrappers_and_lines_are_not_sent_to_every_task(spark):
+    files = spark.range(3).selectExpr("id", "'fn a(x) { b(x) }\\na(1)' AS content")
+    wrappers = spark.range(3).selectExpr("id", "1L AS line_no", "'a' AS name", "'b' AS target")
+    found = edits.inline(files, wrappers)
+    assert "Broadcast" not in _plan(found)
+    assert sorted((r.id, r.line_no, r.action, r.after) for r in found.collect()) == [
+        x for i in range(3) for x in ((i, 1, "remove", ""), (i, 2, "replace", "b(1)"))
+    ]
+
+
+@pytest.mark.parametrize("made", [A.sources, A.programs, A.scripts, A.documents])
+def test_texts_made_from_parts_are_work_for_several_tasks(spark, made):
+    rows = made(spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() > 1 and rows.where("length(" + rows.columns[-2] + ") > 0").rdd.getNumPartitions() > 1
+
+
+def test_names_of_many_small_scripts_come_in_few_frames():
+    frames = list(scripts._walked(iter([pd.DataFrame({"file_path": [f"{i}.js" for i in range(500)], "mask": ["let a = 1;\na;"] * 500})])))
+    assert len(frames) == 1 and len(frames[0]) == 1000 and frames[0]["file_path"].nunique() == 500
