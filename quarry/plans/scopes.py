@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry import adapters as A
+from quarry import storage
 from quarry.operators import scopes
 from quarry.registry import register
 from quarry.sources import scripts
@@ -16,6 +17,11 @@ def _structs(rows: list[tuple], keys: tuple[str, ...]) -> str:
     return ", ".join("{" + ", ".join(f"'{k}': {v}" for k, v in zip(keys, r, strict=True)) + "}" for r in rows)
 
 
+def _names(spark, d):
+    """The names of all scripts, walked once: declarations and uses are read from the table."""
+    return storage.written(scripts.names(A.scripts(spark, d)), "script-names")
+
+
 _OUTER, _RING, _MISSING = "concat('outer_', k)", "concat('Ring_', k)", "concat('missing_', k)"
 _D, _R, _W = "'definition'", "'read'", "'write'"
 # (name, kind, line, line of the declaration)
@@ -40,7 +46,7 @@ SELECT file_path, r.name AS name, r.kind AS kind, CAST(r.line AS BIGINT) AS line
 )
 def script_references(spark, d):
     """All names of all scripts with the line of the declaration that they mean, past those that are shadowed."""
-    rows = scopes.references(scripts.names(A.scripts(spark, d)))
+    rows = scopes.references(_names(spark, d))
     return rows.select("file_path", "name", "kind", F.col("line").cast("long").alias("line"), F.col("declared_line").cast("long").alias("declared_line"))
 
 
@@ -50,7 +56,7 @@ def script_references(spark, d):
 SELECT file_path, r.name AS name, r.how AS how, CAST(r.line AS BIGINT) AS line, r.exported AS exported, CAST(r.n AS BIGINT) AS reference_count, r.mutated AS mutated FROM r""",
 )
 def script_symbols(spark, d):
-    rows = scopes.symbols(scripts.names(A.scripts(spark, d)))
+    rows = scopes.symbols(_names(spark, d))
     return rows.select("file_path", "name", "how", F.col("line").cast("long").alias("line"), "exported", "reference_count", "mutated")
 
 
@@ -60,5 +66,5 @@ def script_symbols(spark, d):
 SELECT file_path, r.name AS name, CAST(1 AS BIGINT) AS uses, CAST(r.line AS BIGINT) AS first_line FROM r""",
 )
 def script_unresolved(spark, d):
-    rows = scopes.unresolved(scripts.names(A.scripts(spark, d)))
+    rows = scopes.unresolved(_names(spark, d))
     return rows.select("file_path", "name", "uses", F.col("first_line").cast("long").alias("first_line"))
