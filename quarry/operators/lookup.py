@@ -348,13 +348,19 @@ def decorated(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def nested(symbols: DataFrame) -> DataFrame:
-    """(file_path, id, parent_id): the smallest other symbol of the file whose byte range contains a symbol's."""
+    """(file_path, id, parent_id): the smallest other symbol of the file whose byte range contains a symbol's.
+
+    An id is one symbol's.  Symbols of equal ranges have equal parents and are never each other's, so that ranges meet
+    and not symbols: each once, with its least symbol.
+    """
     start, end = F.col("start_byte").cast("long"), F.col("end_byte").cast("long")
-    inner = symbols.select("file_path", "id", start.alias("at"), end.alias("end"))
-    outer = symbols.select("file_path", F.col("id").alias("parent_id"), start.alias("start"), end.alias("stop"))
-    hit = stabbed(inner, outer).where("id <> parent_id AND stop >= end AND (start < at OR stop > end)")
-    best = hit.groupBy("file_path", "id").agg(F.min(F.struct((F.col("stop") - F.col("start")).alias("w"), F.col("parent_id"))).alias("m"))
-    return symbols.select("file_path", "id").join(best, ["file_path", "id"], "left").select("file_path", "id", F.col("m.parent_id").alias("parent_id"))
+    ranges = symbols.groupBy("file_path", start.alias("start"), end.alias("stop")).agg(F.min("id").alias("parent_id"))
+    inner = ranges.select("file_path", F.col("start").alias("at"), F.col("stop").alias("end"))
+    hit = stabbed(inner, ranges).where("stop >= end AND (start < at OR stop > end)")
+    best = hit.groupBy("file_path", "at", "end").agg(F.min(F.struct((F.col("stop") - F.col("start")).alias("w"), F.col("parent_id"))).alias("m"))
+    rows = symbols.select("file_path", "id", start.alias("at"), end.alias("end"))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("file_path", "at", "end")]
+    return rows.alias("s").join(best.alias("b"), same, "left").select("s.file_path", "s.id", F.col("m.parent_id").alias("parent_id"))
 
 
 def name_paths(tree: DataFrame, names: DataFrame, max_rounds: int = 16) -> DataFrame:
