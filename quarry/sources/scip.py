@@ -38,7 +38,7 @@ SYM_SYMBOL, SYM_DOCS, SYM_DISPLAY = 1, 3, 6
 DIAG_SEVERITY, DIAG_CODE, DIAG_MESSAGE = 1, 2, 3
 
 #: Bytes of a file that are looked at for headers at a time, and occurrences in a batch of decoded documents.
-WINDOW, BATCH = 1 << 20, 50_000
+WINDOW, BATCH = 1 << 20, 10_000
 
 
 def _varint(data, at: int) -> tuple[int, int]:
@@ -172,7 +172,7 @@ def _decode(batches):
                     rows.append({"path": None, "language": None, "occurrences": [], "symbols": [_symbol(data)]})
             except (IndexError, KeyError) as e:
                 raise ValueError(f"{name} is no whole index file") from e
-            held += len(rows[-1]["occurrences"]) + 1
+            held += len(rows[-1]["occurrences"]) + len(rows[-1]["symbols"]) + 1
             if held >= BATCH:
                 yield from pa.Table.from_pylist(rows, _DOCUMENT).to_batches()
                 rows, held = [], 0
@@ -249,9 +249,10 @@ def _writer(folder: str):
         with fs.open_output_stream(f"{name}/part-{task.partitionId():05}.scip") as f:
             n = 0
             for batch in batches:
-                for row in batch.to_pylist():
+                # a document may be large: a batch of them is never all Python objects at once
+                for i in range(batch.num_rows):
                     n += 1
-                    f.write(encode(row))
+                    f.write(encode(batch.slice(i, 1).to_pylist()[0]))
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     return run
