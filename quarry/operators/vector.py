@@ -7,6 +7,8 @@ checked), the best k are kept per task, and nothing is indexed.
 from __future__ import annotations
 
 import math
+from decimal import ROUND_HALF_UP, Decimal
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,20 +30,144 @@ def knn(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine"
 
     ``within`` names a column that must agree: candidates are then an equi-join on it.
     """
-    q = batch(queries, MAX_QUERIES)
-    both = rows.join(q, within) if within else rows.crossJoin(q)  # queries against all rows
+    if within:
+        both = _compared(rows.join(batch(queries, MAX_QUERIES), within), metric)
+    else:
+        both = _near(rows, queries, k, metric)
+    by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return both.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
+    """``knn`` for any number of queries, in batches of about half the largest: work is queries times rows, memory a batch's."""
+    groups = math.ceil(queries.count() / max(1, MAX_QUERIES // 2))
+    if groups <= 1:
+        return knn(rows, queries, k, metric)
+    of = F.pmod(F.xxhash64("query_id"), F.lit(groups))
+    return reduce(DataFrame.unionAll, [knn(rows, queries.where(of == g), k, metric) for g in range(groups)])
+
+
+def _compared(both: DataFrame, metric: str) -> DataFrame:
     score = T.cosine(F.col("embedding"), F.col("vector"))
     if metric == "l2":
         score = 1 - T.l2(F.col("embedding"), F.col("vector"))
-    both = both.select("query_id", "id", F.round(score, 6).alias("score"))
-    by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return both.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)
+    return both.select("query_id", "id", F.round(score, 6).alias("score"))
+
+
+def _plain(v: str, size: int) -> Column:
+    """Whether a vector has so many numbers, all of them of a size that products keep."""
+    fine = lambda x: x.isNotNull() & ((x == 0) | F.abs(x.cast("double")).between(1e-100, 1e100))
+    return F.coalesce((F.size(v) == size) & F.forall(v, fine), F.lit(False))
+
+
+def _near(rows: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
+    """(query_id, id, score): a superset of the k best rows of each query, with the scores of ``_compared``.
+
+    Plain vectors of the queries' length are multiplied as matrices, and each task keeps the k best of each query; the few
+    rows and queries that are odd (nulls, no numbers, other lengths) are compared one by one.
+    """
+    asked = queries.select("query_id", "vector").limit(MAX_QUERIES + 1).collect()  # a batch, of a checked number
+    if len(asked) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries in a batch")
+    rows, kind = rows.select("id", "embedding"), queries.schema["query_id"].dataType.simpleString()
+    plain, size = [], 0
+    for r in asked:
+        v = r.vector
+        if v and all(x is not None and (x == 0 or 1e-100 <= abs(x) <= 1e100) for x in v) and len(v) == (size or len(v)):
+            plain.append(r)
+            size = len(v)
+    known = {id(r) for r in plain}
+    odd = rows.sparkSession.createDataFrame([tuple(r) for r in asked if id(r) not in known], queries.select("query_id", "vector").schema)
+    if not plain:
+        return _compared(rows.crossJoin(F.broadcast(odd)), metric)
+    same = rows.sparkSession.createDataFrame([tuple(r) for r in plain], queries.select("query_id", "vector").schema)
+    fine = _plain("embedding", size)
+    sent = rows.sparkSession.sparkContext.broadcast((np.array([r.vector for r in plain], np.float64), [r.query_id for r in plain]))
+    best = rows.where(fine).withColumn("id", F.col("id").cast("long")).mapInArrow(_nearest(sent, k, metric), f"query_id {kind}, id long, score double")
+    found = best.select("query_id", F.col("id").cast(rows.schema["id"].dataType).alias("id"), F.round("score", 6).alias("score"))
+    found = found.unionAll(_compared(rows.where(~fine).crossJoin(F.broadcast(same)), metric))
+    return found.unionAll(_compared(rows.crossJoin(F.broadcast(odd)), metric)) if len(plain) < len(asked) else found
+
+
+#: Rows and queries whose products a task holds at a time.
+ROWS, QUERIES = 2048, 1024
+
+
+def _rounded(score: np.ndarray) -> np.ndarray:
+    """Scores in millionths, half up by their decimal digits, as SQL rounds them."""
+    scaled = score * 1e6
+    out = np.rint(scaled)
+    for i in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6):
+        out[i] = float(Decimal(repr(float(score[i]))).quantize(Decimal("0.000001"), ROUND_HALF_UP).scaleb(6))
+    return out
+
+
+def _running_sum(a: np.ndarray) -> np.ndarray:
+    """Sums of rows in the order of their elements, bit for bit those of a fold."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j]
+    return out
+
+
+def _nearest(sent, k: int, metric: str):
+    """The k best rows of each query in a task: near by products of matrices, then in exact scores and by least id."""
+
+    def run(batches):
+        q, names = sent.value
+        nq = np.sqrt(_running_sum(q * q))
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]  # query, id, score, millionths
+        least = np.full(len(q), -np.inf)  # what a row must reach to count
+
+        def exact(x, nx, qi, ri):
+            if metric == "l2":
+                return 1 - np.sqrt(_running_sum((x[ri] - q[qi]) ** 2))
+            under = nx[ri] * nq[qi]
+            return np.divide(_running_sum(x[ri] * q[qi]), under, out=np.zeros(len(ri)), where=under > 0)
+
+        def kept(parts):
+            qi, ids, score, key = (np.concatenate(p) for p in zip(*parts, strict=True))
+            order = np.lexsort((ids, -key, qi))
+            qi, ids, score, key = qi[order], ids[order], score[order], key[order]
+            place = np.arange(len(qi)) - np.searchsorted(qi, qi)
+            full = place == k - 1
+            least[qi[full]] = key[full] / 1e6
+            return [c[place < k] for c in (qi, ids, score, key)]
+
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            whole = np.asarray(b.column(1).flatten(), dtype=np.float64).reshape(b.num_rows, -1)
+            for r in range(0, b.num_rows, ROWS):
+                x = whole[r : r + ROWS]
+                nx = np.sqrt(_running_sum(x * x))
+                for c in range(0, len(q), QUERIES):
+                    qs, ns, top = q[c : c + QUERIES], nq[c : c + QUERIES], least[c : c + QUERIES]
+                    dot, slack = qs @ x.T, 2e-6
+                    if metric == "l2":
+                        near = 1 - np.sqrt(np.maximum(ns[:, None] ** 2 + nx[None, :] ** 2 - 2 * dot, 0))
+                        slack += 1e-6 * (nx.max() + ns.max())
+                    else:
+                        under = ns[:, None] * nx[None, :]
+                        near = np.divide(dot, under, out=np.zeros_like(dot), where=under > 0)
+                    if len(x) > k and not np.isfinite(top).all():
+                        top = np.maximum(top, np.partition(near, len(x) - k, axis=1)[:, len(x) - k])
+                    qi, ri = np.nonzero(near >= top[:, None] - slack)
+                    if len(qi):
+                        for s in range(0, len(qi), 1 << 18):
+                            a, at = qi[s : s + (1 << 18)] + c, ri[s : s + (1 << 18)]
+                            score = exact(x, nx, a, at)
+                            best = kept([best, [a, ids[r + at], score, _rounded(score)]])
+        for s in range(0, len(best[0]), 10_000):
+            qi, ids, score, _ = (c[s : s + 10_000] for c in best)
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in qi]), pa.array(ids), pa.array(score)], ["query_id", "id", "score"])
+
+    return run
 
 
 def similar(rows: DataFrame, targets: DataFrame, k: int = 5) -> DataFrame:
     """Nearest rows of given rows, without themselves: oversampled, then cut."""
     q = rows.join(small(targets), "id").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
-    near = knn(rows, q, k + 8).where("id <> query_id")
+    near = search(rows, q, k + 8).where("id <> query_id")
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return near.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)
 

@@ -305,7 +305,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
 )
 def vector_search(spark, d):
     v = A.vectors(spark, d)
-    return vector.knn(v, _vector_queries(v))
+    return vector.search(v, _vector_queries(v))
 
 
 @register(
@@ -316,7 +316,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
 )
 def vector_search_l2(spark, d):
     v = A.vectors(spark, d)
-    return vector.knn(v, _vector_queries(v), metric="l2")
+    return vector.search(v, _vector_queries(v), metric="l2")
 
 
 @register(
