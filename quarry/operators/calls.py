@@ -13,8 +13,11 @@ would do, the least path is taken.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +72,8 @@ def _tails(path: str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "/"))
 
 
-def _through_suffixes(sites: DataFrame, imports: DataFrame, defs: DataFrame) -> DataFrame:
-    """(caller_file, callee_name, suffixed): the least definition file that an import ends like, or that ends like it.
+def _offers(imports: DataFrame, defs: DataFrame) -> DataFrame:
+    """(dst, name, far, file): where an import has a name from, its own file or else the least that it ends like, or that ends like it.
 
     Imports that are spelled alike are one: each has one file a name, before any importer meets it.
     """
@@ -79,19 +82,68 @@ def _through_suffixes(sites: DataFrame, imports: DataFrame, defs: DataFrame) ->
     longer = files.select("file", F.explode(_tails("file")).alias("dst")).join(targets, "dst")
     shorter = targets.select("dst", F.explode(_tails("dst")).alias("file")).join(files, "file")
     pairs = longer.select("dst", "file").union(shorter.select("dst", "file"))
-    called = defs.join(sites.select(F.col("callee_name").alias("name")).distinct(), "name", "left_semi")
-    best = pairs.join(called, "file").groupBy("dst", F.col("name").alias("callee_name")).agg(F.min("file").alias("file"))
-    asked = sites.select("caller_file", "callee_name").distinct().join(imports.withColumnRenamed("src", "caller_file"), "caller_file")
-    return asked.join(best, ["dst", "callee_name"]).groupBy("caller_file", "callee_name").agg(F.min("file").alias("suffixed"))
-
-
-def _sees(links: DataFrame, defs: DataFrame, name: str) -> DataFrame:
-    """(caller_file, callee_name, name): the least file, of those a file is linked to, that defines a name."""
-    return (
-        links.join(defs, "file")
-        .groupBy(F.col("src").alias("caller_file"), F.col("name").alias("callee_name"))
-        .agg(F.min("file").alias(name))
-    )
+    best = F.min(F.struct((F.col("dst") != F.col("file")).alias("far"), "file")).alias("m")
+    return pairs.join(defs, "file").groupBy("dst", "name").agg(best).select("dst", "name", "m.far", "m.file")
+
+
+#: Imports, and names with their files, that a task holds; and pairs of them that it sorts at a time.
+IN_BLOCK, AT_ONCE = 100_000, 1 << 21
+
+
+def _least():
+    """(src, name, far, file): the least of what the imports (src, dst) of a file offer for a name, in a task."""
+
+    def run(imports: pd.DataFrame, offers: pd.DataFrame) -> pd.DataFrame:
+        dsts, of = np.unique(offers["dst"].to_numpy(object), return_inverse=True)
+        at = pd.Index(dsts).get_indexer(imports["dst"])
+        src, srcs = pd.factorize(imports["src"].to_numpy(object)[at >= 0])
+        order = np.argsort(src, kind="stable")
+        src, at = src[order], at[at >= 0][order]
+        name, names = pd.factorize(offers["name"].to_numpy(object))
+        files, rank = np.unique(offers["file"].to_numpy(object), return_inverse=True)
+        rank = rank + offers["far"].to_numpy(bool) * len(files)
+        by = np.argsort(of, kind="stable")
+        name, rank, starts = name[by], rank[by], np.searchsorted(of[by], np.arange(len(dsts) + 1))
+        n = starts[at + 1] - starts[at]
+        ends, width, out = np.cumsum(n), 2 * len(files), []
+
+        def first(both: np.ndarray) -> np.ndarray:
+            both = np.sort(both)
+            return both[np.r_[True, both[1:] // width != both[:-1] // width]] if len(both) else both
+
+        k = 0
+        while k < len(at):  # one number a pair: file, name and rank of what is offered
+            m = max(k + 1, int(np.searchsorted(ends, ends[k] - n[k] + AT_ONCE, "right")))
+            here = n[k:m]
+            row = np.repeat(starts[at[k:m]] - (np.cumsum(here) - here), here) + np.arange(here.sum())
+            out.append(first((np.repeat(src[k:m], here).astype(np.int64) * len(names) + name[row]) * width + rank[row]))
+            k = m
+        found = first(np.concatenate(out)) if out else np.zeros(0, np.int64)
+        key, rank = found // max(width, 1), found % max(width, 1)
+        get = lambda a, i: a[i] if len(i) else np.zeros(0, object)
+        return pd.DataFrame({
+            "src": get(srcs, key // max(len(names), 1)), "name": get(names, key % max(len(names), 1)),
+            "far": rank >= len(files), "file": get(files, rank % max(len(files), 1)),
+        })
+
+    return run
+
+
+def _sees(imports: DataFrame, offers: DataFrame) -> DataFrame:
+    """(caller_file, callee_name, seen: (far, file)): the least file that an import of a file offers for a name.
+
+    A file and each name that it could see are far more than both tables, so that they meet and are reduced within
+    a task: importers are cut into blocks, each gets the offers of what it imports once, cut by names.
+    """
+    blocks = max(1, math.ceil(imports.count() / IN_BLOCK))
+    links = imports.withColumn("i", F.pmod(F.xxhash64("src"), F.lit(blocks)))
+    asked = links.select("i", "dst").distinct()
+    met = asked.join(offers.groupBy("dst").agg(F.count(F.lit(1)).alias("n")), "dst").groupBy("i").agg(F.sum("n").alias("n"))
+    parts = max(1, math.ceil((met.agg(F.max("n")).first()[0] or 0) / IN_BLOCK))
+    left = links.select(F.col("i").alias("k"), "src", "dst", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("l"))
+    right = offers.withColumn("j", F.pmod(F.xxhash64("name"), F.lit(parts))).join(asked, "dst")
+    met = left.groupBy("k", "l").cogroup(right.groupBy("i", "j")).applyInPandas(_least(), "src string, name string, far boolean, file string")
+    return met.select(F.col("src").alias("caller_file"), F.col("name").alias("callee_name"), F.struct("far", "file").alias("seen"))
 
 
 def _exports(bindings: DataFrame, defs: DataFrame) -> DataFrame:
@@ -145,13 +197,14 @@ def resolve(calls: DataFrame, symbols: DataFrame, imports: DataFrame, bindings:
     if bindings is None:
         bindings = calls.sparkSession.createDataFrame([], BINDINGS)
     bindings = bindings.groupBy("file", "local").agg(F.min(F.struct("imported", "target", "external")).alias("m")).select("file", "local", "m.*")
-    site = ["caller_file", "callee_name", "qualifier", "owner"]
+    keys = ["caller_file", "callee_name"]
     calls = calls.withColumn("owner", owner(F.col("caller_file"), F.col("qualifier"), F.col("caller_path")))
     # what several stages read is a table of its own, which also keeps the plan of each small
-    sites = written(calls.select(*site).distinct().withColumn("_id", F.xxhash64(*site)), "call-sites")
-    rows = sites
+    asked = written(calls.select(*keys).distinct(), "call-keys")
+    called = asked.select(F.col("callee_name").alias("name")).distinct()
     defs = written(symbols.select("name", F.col("file_path").alias("file")).distinct(), "call-definitions")
     bindings = written(bindings, "call-bindings")
+    imports = written(imports.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "call-imports")
 
     methods = symbols.where((F.col("kind") == "method") & F.col("file_path").endswith(".rs") & F.contains("name_path", F.lit("/")))
     declared = (
@@ -160,44 +213,43 @@ def resolve(calls: DataFrame, symbols: DataFrame, imports: DataFrame, bindings:
         .where("n = 1")
         .drop("n")
     )
-    rows = rows.join(declared, ["callee_name", "owner"], "left")
-    here = defs.select(F.col("file").alias("caller_file"), F.col("name").alias("callee_name"), F.lit(True).alias("local"))
-    rows = rows.join(here, ["caller_file", "callee_name"], "left").withColumn("local", F.coalesce("local", F.lit(False)))
+    typed = calls.where("owner IS NOT NULL").select(*keys, "owner").distinct().join(declared, ["callee_name", "owner"])
+    typed = typed.groupBy(*keys).agg(F.collect_list(F.struct("owner", "owned")).alias("types"))
 
     exports = written(_exports(bindings, defs), "call-exports")
     bound = written(_bound(bindings, exports), "call-bound")
     space = bound.select(
         F.col("file").alias("caller_file"), F.col("local").alias("qualifier"), F.col("imported").alias("s_name"), F.col("target").alias("s_file"), F.col("inner").alias("i_file")
     )
-    rows = rows.join(space, ["caller_file", "qualifier"], "left")
+    spaces = calls.where("owner IS NULL AND qualifier IS NOT NULL").select(*keys, "qualifier").distinct().join(space, ["caller_file", "qualifier"])
     for side in "si":
         seen = exports.select(F.col("file").alias(f"{side}_file"), F.col("name").alias("callee_name"), F.col("own").alias(f"{side}_there"), F.col("again").alias(f"{side}_again"))
-        rows = rows.join(seen, [f"{side}_file", "callee_name"], "left").withColumn(f"{side}_there", F.coalesce(f"{side}_there", F.lit(False)))
-    direct = bound.select(F.col("file").alias("caller_file"), F.col("local").alias("callee_name"), F.col("goes").alias("bound"))
-    rows = rows.join(direct, ["caller_file", "callee_name"], "left")
-
-    keys = ["caller_file", "callee_name"]
-    imports = written(imports.select("src", "dst").distinct(), "call-imports")
-    rows = rows.join(_sees(imports.select("src", F.col("dst").alias("file")), defs, "imported"), keys, "left")
-    rows = rows.join(_through_suffixes(sites, imports, defs), keys, "left")
+        spaces = spaces.join(seen, [f"{side}_file", "callee_name"], "left").withColumn(f"{side}_there", F.coalesce(f"{side}_there", F.lit(False)))
+    one = F.struct("qualifier", "s_name", *[f"{side}_{x}" for side in "si" for x in ("file", "there", "again")])
+    spaces = spaces.groupBy(*keys).agg(F.collect_list(one).alias("spaces"))
 
-    rows = rows.withColumn("lang", language(F.col("caller_file")))
+    rows = asked.withColumn("lang", language(F.col("caller_file"))).withColumn("dir", _before_last(F.col("caller_file")))
     spoken = symbols.select(F.col("name").alias("callee_name"), "file_path", language(F.col("file_path")).alias("lang")).where("lang IS NOT NULL")
-    one = spoken.groupBy("callee_name", "lang").agg(F.count(F.lit(1)).alias("n"), F.min("file_path").alias("only")).where("n = 1").drop("n")
-    rows = rows.join(one, ["callee_name", "lang"], "left")
+    only = spoken.groupBy("callee_name", "lang").agg(F.count(F.lit(1)).alias("n"), F.min("file_path").alias("only")).where("n = 1").drop("n")
     by_dir = (
-        spoken.select("callee_name", "lang", "file_path", F.explode(_prefixes(F.col("file_path"))).alias("p"))
-        .groupBy("callee_name", "lang", "p.dir")
+        spoken.distinct().select("callee_name", "lang", "file_path", F.explode(_prefixes(F.col("file_path"))).alias("p"))
+        .groupBy("callee_name", "lang", F.col("p.dir").alias("up"))
         .agg(F.min("file_path").alias("file"))
     )
     near = (
-        sites.select("_id", "callee_name", language(F.col("caller_file")).alias("lang"), F.explode(_prefixes(F.col("caller_file"))).alias("p"))
-        .select("_id", "callee_name", "lang", "p.depth", "p.dir")
-        .join(by_dir, ["callee_name", "lang", "dir"])
-        .groupBy("_id")
+        rows.select("callee_name", "lang", "dir").where("lang IS NOT NULL AND dir <> ''").distinct()
+        .select("*", F.explode(_prefixes(F.concat("dir", F.lit("/")))).alias("p"))
+        .select("callee_name", "lang", "dir", "p.depth", F.col("p.dir").alias("up"))
+        .join(by_dir, ["callee_name", "lang", "up"])
+        .groupBy("callee_name", "lang", "dir")
         .agg(F.max_by("file", "depth").alias("near"))
     )
-    rows = rows.join(near, "_id", "left")
+    rows = rows.join(only, ["callee_name", "lang"], "left").join(near, ["callee_name", "lang", "dir"], "left")
+    here = defs.select(F.col("file").alias("caller_file"), F.col("name").alias("callee_name"), F.lit(True).alias("local"))
+    rows = rows.join(here, keys, "left").withColumn("local", F.coalesce("local", F.lit(False)))
+    direct = bound.select(F.col("file").alias("caller_file"), F.col("local").alias("callee_name"), F.col("goes").alias("bound"))
+    offers = written(_offers(imports, defs.join(called, "name", "left_semi")), "call-offers")
+    rows = rows.join(direct, keys, "left").join(_sees(imports, offers), keys, "left").join(typed, keys, "left").join(spaces, keys, "left")
 
     def to(when: Column, strategy: str, file, name="callee_name", declaration=None) -> tuple[Column, Column]:
         f, n, d = (F.col(x) if isinstance(x, str) else x if x is not None else F.lit(None).cast("string") for x in (file, name, declaration))
@@ -207,30 +259,47 @@ def resolve(calls: DataFrame, symbols: DataFrame, imports: DataFrame, bindings:
         )
         return when, goes
 
+    def pick(stages: list[tuple[Column, Column]], last: Column) -> Column:
+        return reduce(lambda acc, s: acc.when(*s), stages, F).otherwise(last)
+
     none = F.lit(None).cast("string")
-    namespace = F.coalesce(F.col("s_name") == "*", F.lit(False))
     has = F.col
-    stages = [
-        to(has("owned").isNotNull(), "owner_qualified", F.col("owned.file_path"), "callee_name", F.col("owned.name_path")),
-        to(has("owner").isNotNull(), "unresolved", none, none, F.concat_ws("/", "owner", "callee_name")),
-        to(has("local") & ~namespace, "same_file", "caller_file"),
-        to(namespace & has("s_there"), "import_map", "s_file"),
-        to(namespace & has("s_again").isNotNull(), "import_reexport_map", F.col("s_again.file"), F.col("s_again.name")),
-        to(~namespace & has("i_there"), "import_reexport_map", "i_file"),
-        to(~namespace & has("i_again").isNotNull(), "import_reexport_map", F.col("i_again.file"), F.col("i_again.name")),
+    # what a file and a name decide, whatever stands before the name
+    rest = pick([
         to(F.coalesce("bound.own", F.lit(False)), "import_map", F.col("bound.file"), F.col("bound.name")),
         to(has("bound").isNotNull(), "import_reexport_map", F.col("bound.file"), F.col("bound.name")),
-        to(has("imported").isNotNull(), "import_map", "imported"),
-        to(has("suffixed").isNotNull(), "import_suffix", "suffixed"),
+        to(~has("seen.far"), "import_map", "seen.file"),
+        to(has("seen").isNotNull(), "import_suffix", "seen.file"),
         to(has("only").isNotNull() & has("lang").isin(*BINDING_LANGUAGES) & (has("only") != has("caller_file")), "path_proximity", "only"),
         to(has("only").isNotNull(), "unique_name", "only"),
         to(has("near").isNotNull(), "path_proximity", "near"),
-    ]
-    last = to(F.lit(True), "unresolved", none, none)[1]
-    picked = reduce(lambda acc, s: acc.when(*s), stages, F).otherwise(last)
-    best = rows.select(*[F.col(c).alias(f"_{c}") for c in site], picked.alias("goes"))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in site])
-    return calls.join(best, same, "left").select(*[c for c in calls.columns if c != "owner"], "goes.*")
+    ], to(F.lit(True), "unresolved", none, none)[1])
+    rows = rows.select(*[F.col(c).alias(f"_{c}") for c in keys], "local", "types", "spaces", rest.alias("rest"))
+
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+    of = lambda column, key: F.get(F.filter(column, lambda x: x[key] == F.col(key)), F.lit(0))
+    both = calls.join(rows, same, "left").withColumn("owned", of("types", "owner")["owned"])
+    both = both.withColumn("space", F.when(F.col("owner").isNull(), of("spaces", "qualifier")))
+    namespace = F.coalesce(F.col("space.s_name") == "*", F.lit(False))
+    picked = pick([
+        to(has("owned").isNotNull(), "owner_qualified", F.col("owned.file_path"), "callee_name", F.col("owned.name_path")),
+        to(has("owner").isNotNull(), "unresolved", none, none, F.concat_ws("/", "owner", "callee_name")),
+        to(has("local") & ~namespace, "same_file", "caller_file"),
+        to(namespace & has("space.s_there"), "import_map", "space.s_file"),
+        to(namespace & has("space.s_again").isNotNull(), "import_reexport_map", F.col("space.s_again.file"), F.col("space.s_again.name")),
+        to(~namespace & has("space.i_there"), "import_reexport_map", "space.i_file"),
+        to(~namespace & has("space.i_again").isNotNull(), "import_reexport_map", F.col("space.i_again.file"), F.col("space.i_again.name")),
+    ], F.col("rest"))
+    return both.select(*[c for c in calls.columns if c != "owner"], picked.alias("goes")).select(*[c for c in calls.columns if c != "owner"], "goes.*")
+
+
+def naming(calls: DataFrame, bindings: DataFrame, name: str) -> DataFrame:
+    """The calls that may mean a name: those that say it, and those of a name that a clause, at first or second hand, has for it."""
+    b = bindings.select("local", F.when(F.col("imported") == "*", F.col("local")).otherwise(F.coalesce("imported", "local")).alias("to")).distinct()
+    first = b.where(F.col("to") == name).select("local").distinct()
+    second = b.join(first.withColumnRenamed("local", "to"), "to", "left_semi").select("local")
+    said = calls.sparkSession.createDataFrame([(name,)], "callee_name string").union(first).union(second).distinct()
+    return calls.join(said, "callee_name", "left_semi")
 
 
 def callers(resolved: DataFrame, name: str, file: str | None = None) -> DataFrame:

@@ -195,3 +195,29 @@ def test_callers_and_callees(spark):
     assert {tuple(r) for r in calls.callers(rows, "real").collect()} == {("a", "f", 0.95), ("b", "g", 0.25), ("c", "h", 0.9)}
     assert {tuple(r) for r in calls.callers(rows, "real", "t").collect()} == {("a", "f", 0.95)}
     assert {tuple(r) for r in calls.callees(rows, "f").collect()} == {("real", "t", 0.95)}
+
+
+def test_names_seen_through_imports_meet_within_tasks(spark, monkeypatch):
+    """Files that import much of what defines much: no row a pair leaves a task, whatever the size of blocks."""
+    monkeypatch.setattr(calls, "IN_BLOCK", 40)
+    monkeypatch.setattr(calls, "AT_ONCE", 50)
+    links = [(f"a{i}", f"m{j}") for i in range(12) for j in range(20) if (i * 7 + j * 3) % 4]
+    offers = [(f"m{j}", f"n{k}", bool((j + k) % 2), f"f{(j * 5 + k) % 9}") for j in range(18) for k in range(10) if (j + k) % 3]
+    want = {}
+    for src, dst in links:
+        for d, name, far, file in offers:
+            if d == dst:
+                want[src, name] = min(want.get((src, name), (True, "z")), (far, file))
+    found = calls._sees(spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame(offers, "dst string, name string, far boolean, file string"))
+    assert {(r.caller_file, r.callee_name): tuple(r.seen) for r in found.collect()} == want
+    assert found.count() == len(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan
+
+
+def test_calls_that_may_mean_a_name(spark):
+    """Aliases at first and second hand are kept, all other calls are dropped before anything is resolved."""
+    b = [("a.ts", "x", "mid", "b.ts", False), ("b.ts", "mid", "deep", "c.ts", False), ("a.ts", "z", "other", "b.ts", False), ("c.ts", "deep", None, "d.ts", False)]
+    made = spark.createDataFrame([(n,) for n in ("x", "mid", "deep", "z", "other", None)], "callee_name string")
+    found = calls.naming(made, spark.createDataFrame(b, calls.BINDINGS), "deep")
+    assert sorted(r.callee_name for r in found.collect()) == ["deep", "mid", "x"]
