@@ -60,10 +60,15 @@ def _calls(spark, d):
     return A.code_calls(A.edges(spark, d), A.code(spark, d))
 
 
-def _resolved(spark, d):
-    c = A.code(spark, d)
-    # the calls are derived here, and read twice: once for their sites, once for the result
-    return calls.resolve(storage.written(_calls(spark, d), "calls"), c, A.code_imports(c), A.bindings(c))
+def _resolved(spark, d, of=None, calling=None):
+    """All calls with where they go; only those of a caller, or those that may mean a name."""
+    c, k = A.code(spark, d), _calls(spark, d)
+    if of is not None:
+        k = k.where(F.col("caller_name") == of)
+    if calling is not None:
+        k = calls.naming(k, A.bindings(c), calling)
+    # the calls are derived here, and read several times: for their files and names, and for the result
+    return calls.resolve(storage.written(k, "calls"), c, A.code_imports(c), A.bindings(c))
 
 
 @register(
@@ -97,7 +102,8 @@ def _one(spark, d) -> str:
     f"WITH {_RESOLVE} SELECT caller_file, caller_name, max(confidence) AS confidence FROM res WHERE callee_name = {_ONE} OR canonical_name = {_ONE} GROUP BY 1, 2",
 )
 def get_callers(spark, d):
-    return calls.callers(_resolved(spark, d), _one(spark, d))
+    name = _one(spark, d)
+    return calls.callers(_resolved(spark, d, calling=name), name)
 
 
 @register(
@@ -106,7 +112,7 @@ def get_callers(spark, d):
 )
 def get_callers_of_file(spark, d):
     row = A.code(spark, d).where("id = 1").first()
-    return calls.callers(_resolved(spark, d), row.name, row.file_path)
+    return calls.callers(_resolved(spark, d, calling=row.name), row.name, row.file_path)
 
 
 @register(
@@ -114,7 +120,8 @@ def get_callers_of_file(spark, d):
     f"WITH {_RESOLVE} SELECT coalesce(canonical_name, callee_name) AS callee_name, resolved_file, max(confidence) AS confidence FROM res WHERE caller_name = {_ONE} GROUP BY 1, 2",
 )
 def get_callees(spark, d):
-    return calls.callees(_resolved(spark, d), _one(spark, d))
+    name = _one(spark, d)
+    return calls.callees(_resolved(spark, d, of=name), name)
 
 
 @register(
