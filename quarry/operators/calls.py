@@ -177,13 +177,12 @@ def _bound(bindings: DataFrame, exports: DataFrame) -> DataFrame:
 
 def drop_external(calls: DataFrame, bindings: DataFrame) -> DataFrame:
     """Calls but those of names that come from outside the project, at first or second hand."""
-    b = bindings.select("file", "local", "imported", "target", "external")
-    used = F.coalesce("qualifier", "callee_name")
-    first = b.select(F.col("file").alias("caller_file"), F.col("local").alias("_used"), "imported", "target", "external")
-    second = b.select(F.col("file").alias("target"), F.col("local").alias("imported"), F.col("external").alias("_outer"))
-    rows = calls.withColumn("_used", used).join(first, ["caller_file", "_used"], "left").join(second, ["target", "imported"], "left")
-    gone = F.coalesce("external", F.lit(False)) | F.coalesce("_outer", F.lit(False))
-    return rows.where(~gone).select(*calls.columns)
+    own = bindings.select("file", "local", F.coalesce("external", F.lit(False)).alias("external"))
+    outer = own.where("external").select(F.col("file").alias("target"), F.col("local").alias("imported")).distinct()
+    handed = bindings.join(outer, ["target", "imported"], "left_semi").select("file", "local")
+    # clauses are few, and joined among themselves: calls without any have no key that would bring them together
+    gone = own.where("external").select("file", "local").union(handed).toDF("caller_file", "_used").distinct()
+    return calls.withColumn("_used", F.coalesce("qualifier", "callee_name")).join(gone, ["caller_file", "_used"], "left_anti").select(*calls.columns)
 
 
 def resolve(calls: DataFrame, symbols: DataFrame, imports: DataFrame, bindings: DataFrame | None = None) -> DataFrame:

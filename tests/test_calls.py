@@ -221,3 +221,11 @@ def test_calls_that_may_mean_a_name(spark):
     made = spark.createDataFrame([(n,) for n in ("x", "mid", "deep", "z", "other", None)], "callee_name string")
     found = calls.naming(made, spark.createDataFrame(b, calls.BINDINGS), "deep")
     assert sorted(r.callee_name for r in found.collect()) == ["deep", "mid", "x"]
+
+
+def test_calls_without_clauses_do_not_meet_clauses(spark):
+    """A clause that is there twice takes or keeps a call once; calls of names without a clause have no key but their own."""
+    b = [("a.ts", "x", "one", "b.ts", False)] * 2 + [("b.ts", "one", "q", None, True), ("a.ts", "y", "two", "b.ts", False), ("a.ts", "y", "three", "c.ts", False)]
+    made = [(i, "a.ts", "f", None, n, q) for i, (n, q) in enumerate([("x", None), ("y", None), ("z", None), ("z", "x"), ("x", "z")])]
+    found = calls.drop_external(spark.createDataFrame(made, CALLS), spark.createDataFrame(b, calls.BINDINGS))
+    assert sorted(r.call_id for r in found.collect()) == [1, 2, 4]
