@@ -56,7 +56,12 @@ def safe_delete(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> Dat
     """(name, callers, importers, safe): a name may go if nothing calls it and no other file imports one of its files."""
     n = calls.groupBy(F.col("callee_name").alias("name")).agg(F.countDistinct("caller_name").alias("n"))
     files = symbols.select("name", F.col("file_path").alias("dst")).distinct()
-    users = imports.where("src <> dst").join(files, "dst").groupBy("name").agg(F.countDistinct("src").alias("m"))
+    # a name of one file has that file's importers, which are counted once a file; only names of several files meet them
+    single = files.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("dst")).where("n = 1")
+    links = imports.where("src <> dst").select("src", "dst").distinct()
+    one = single.join(links.groupBy("dst").agg(F.count(F.lit(1)).alias("m")), "dst").select("name", "m")
+    more = files.join(single.select("name"), "name", "left_anti").join(links, "dst").select("name", "src").distinct()
+    users = one.unionByName(more.groupBy("name").agg(F.count(F.lit(1)).alias("m")))
     callers, importers = (F.coalesce(c, F.lit(0)).cast("long") for c in ("n", "m"))
     rows = symbols.select("name").distinct().join(n, "name", "left").join(users, "name", "left")
     return rows.select("name", callers.alias("callers"), importers.alias("importers"), (callers + importers == 0).alias("safe"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry import adapters as A
-from quarry.operators import edits, lookup, vector
+from quarry.operators import edits, lookup, reports, vector
 from quarry.sources import scip, scripts
 from quarry.streaming import ingest
 
@@ -91,3 +91,37 @@ def test_queries_beyond_a_batch_are_searched_in_several(spark, monkeypatch):
     whole = vector.similar(rows, rows.select("id"), 3).collect()
     monkeypatch.setattr(vector, "MAX_QUERIES", 20)
     assert len(whole) == 120 and sorted(map(str, vector.similar(rows, rows.select("id"), 3).collect())) == sorted(map(str, whole))
+
+
+def _shuffled(spark, df) -> int:
+    """Rows that a collect of ``df`` writes to shuffles."""
+    sc = spark.sparkContext
+    group = f"shuffled-{id(df)}"
+    sc.setJobGroup(group, group)
+    df.collect()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup(group) for s in sc.statusTracker().getJobInfo(j).stageIds}
+    store, n = sc._jsc.sc().statusStore(), 0
+    for s in stages:
+        n += store.lastStageAttempt(s).shuffleWriteRecords()
+    return n
+
+
+def test_importers_are_counted_once_a_file(spark):
+    """Names of one file have its importers: no row a name and importer; a name of two files has those of both, once."""
+    symbols = spark.createDataFrame([(f"n{f}_{k}", f"f{f}") for f in range(2) for k in range(200)] + [("both", "f0"), ("both", "f1")], "name string, file_path string")
+    imports = spark.createDataFrame([(f"s{i}", f"f{f}") for f in range(2) for i in range(f * 50, 150)] + [("f0", "f0")], "src string, dst string")
+    calls = spark.createDataFrame([("a", "n0_1"), ("b", "n0_1"), ("b", "n0_1")], "caller_name string, callee_name string")
+    found = edits.safe_delete(calls, symbols, imports)
+    rows = {r.name: (r.callers, r.importers, r.safe) for r in found.collect()}
+    assert rows["n0_1"] == (2, 150, False) and rows["n1_7"] == (0, 100, False) and rows["both"] == (0, 150, False) and len(rows) == 401
+    assert 0 < _shuffled(spark, edits.safe_delete(calls, symbols, imports)) < 10_000
+
+
+def test_occurrences_at_gives_each_once(spark):
+    occ = [("a", 1, "x", "reference"), ("a", 1, "x", "reference"), ("b", 2, "x", "definition"), ("b", 2, "x", "definition"), ("a", 1, "y", "reference"), ("c", 3, "y", "definition")]
+    index = spark.createDataFrame(occ, "file string, line long, symbol string, role string")
+    at = spark.createDataFrame([("a", 1, "x"), ("a", 1, "x")], "file string, line long, symbol string")
+    assert [tuple(r) for r in reports.occurrences_at(index, at).collect()] == [("a", 1, "x", "b", 2)]
+    assert sorted(tuple(r) for r in reports.occurrences_at(index, at.select("file", "line")).collect()) == [("a", 1, "x", "b", 2), ("a", 1, "y", "c", 3)]
