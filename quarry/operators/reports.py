@@ -137,9 +137,11 @@ def unresolved(uses: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def occurrences_at(occurrences: DataFrame, points: DataFrame) -> DataFrame:
-    """Definitions of the symbol at each point: an index of (file, line, symbol, role) joined to itself by symbol."""
-    at = points.join(occurrences.select("file", "line", "symbol"), ["file", "line"])
-    defs = occurrences.where("role = 'definition'").select("symbol", F.col("file").alias("def_file"), F.col("line").alias("def_line"))
+    """Definitions of the symbol at each point (file, line; or file, line, symbol): an index of (file, line, symbol, role)
+    joined to itself by symbol.  Each is once in the result, as it is once in both sides, which are far less."""
+    keys = [c for c in ("file", "line", "symbol") if c in points.columns]
+    at = points.select(*keys).distinct().join(occurrences.select("file", "line", "symbol").distinct(), keys)
+    defs = occurrences.where("role = 'definition'").select("symbol", F.col("file").alias("def_file"), F.col("line").alias("def_line")).distinct()
     return at.join(defs, "symbol").select("file", "line", "symbol", "def_file", "def_line")
 
 

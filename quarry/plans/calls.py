@@ -321,8 +321,7 @@ def index_definitions(spark, d):
     occ = uses.withColumn("role", F.lit("reference")).unionByName(
         A.code(spark, d).select(F.col("file_path").alias("file"), F.col("name").alias("symbol"), "line", F.lit("definition").alias("role"))
     )
-    found = reports.occurrences_at(occ, uses.select("file", "line").distinct())
-    return found.join(uses, ["file", "line", "symbol"], "left_semi").select("file", "line", "symbol", "def_file", "def_line").distinct()
+    return reports.occurrences_at(occ, uses.select("file", "line", "symbol"))
 
 
 @register(
