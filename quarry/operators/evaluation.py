@@ -121,7 +121,7 @@ def overlaps(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def near_items(queries: DataFrame, corpus: DataFrame, least: float = 0.9) -> DataFrame:
     """(query_id, id, score): rows of the corpus (id, embedding) with a cosine to a query (query_id, vector) at or above a limit."""
-    return vector.scores(corpus, queries).where(F.col("score") >= least)
+    return vector.reaching(corpus, queries, least)
 
 
 def latency(rows: DataFrame) -> DataFrame:

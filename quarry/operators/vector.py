@@ -33,18 +33,27 @@ def knn(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine"
     if within:
         both = _compared(rows.join(batch(queries, MAX_QUERIES), within), metric)
     else:
-        both = _near(rows, queries, k, metric)
+        both = _near(rows, queries, lambda sent: _nearest(sent, k, metric), metric)
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return both.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
     """``knn`` for any number of queries, in batches of about half the largest: work is queries times rows, memory a batch's."""
+    return _batched(queries, lambda q: knn(rows, q, k, metric))
+
+
+def reaching(rows: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """(query_id, id, score): rows with a cosine to a query at or above a limit, for any number of queries, in batches."""
+    return _batched(queries, lambda q: _near(rows, q, lambda sent: _reaching(sent, least)).where(F.col("score") >= least))
+
+
+def _batched(queries: DataFrame, one) -> DataFrame:
     groups = math.ceil(queries.count() / max(1, MAX_QUERIES // 2))
     if groups <= 1:
-        return knn(rows, queries, k, metric)
+        return one(queries)
     of = F.pmod(F.xxhash64("query_id"), F.lit(groups))
-    return reduce(DataFrame.unionAll, [knn(rows, queries.where(of == g), k, metric) for g in range(groups)])
+    return reduce(DataFrame.unionAll, [one(queries.where(of == g)) for g in range(groups)])
 
 
 def _compared(both: DataFrame, metric: str) -> DataFrame:
@@ -60,10 +69,10 @@ def _plain(v: str, size: int) -> Column:
     return F.coalesce((F.size(v) == size) & F.forall(v, fine), F.lit(False))
 
 
-def _near(rows: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
-    """(query_id, id, score): a superset of the k best rows of each query, with the scores of ``_compared``.
+def _near(rows: DataFrame, queries: DataFrame, kept, metric: str = "cosine") -> DataFrame:
+    """(query_id, id, score): a superset of the rows that count for each query, with the scores of ``_compared``.
 
-    Plain vectors of the queries' length are multiplied as matrices, and each task keeps the k best of each query; the few
+    Plain vectors of the queries' length are multiplied as matrices, of which each task keeps what ``kept`` says; the few
     rows and queries that are odd (nulls, no numbers, other lengths) are compared one by one.
     """
     asked = queries.select("query_id", "vector").limit(MAX_QUERIES + 1).collect()  # a batch, of a checked number
@@ -83,7 +92,7 @@ def _near(rows: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame
     same = rows.sparkSession.createDataFrame([tuple(r) for r in plain], queries.select("query_id", "vector").schema)
     fine = _plain("embedding", size)
     sent = rows.sparkSession.sparkContext.broadcast((np.array([r.vector for r in plain], np.float64), [r.query_id for r in plain]))
-    best = rows.where(fine).withColumn("id", F.col("id").cast("long")).mapInArrow(_nearest(sent, k, metric), f"query_id {kind}, id long, score double")
+    best = rows.where(fine).withColumn("id", F.col("id").cast("long")).mapInArrow(kept(sent), f"query_id {kind}, id long, score double")
     found = best.select("query_id", F.col("id").cast(rows.schema["id"].dataType).alias("id"), F.round("score", 6).alias("score"))
     found = found.unionAll(_compared(rows.where(~fine).crossJoin(F.broadcast(same)), metric))
     return found.unionAll(_compared(rows.crossJoin(F.broadcast(odd)), metric)) if len(plain) < len(asked) else found
@@ -164,6 +173,30 @@ def _nearest(sent, k: int, metric: str):
     return run
 
 
+def _reaching(sent, least: float):
+    """The rows of a task with a cosine to a query at or above a limit: near by products of matrices, then in exact scores."""
+
+    def run(batches):
+        q, names = sent.value
+        nq, names = np.sqrt(_running_sum(q * q)), pa.array(names)
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            whole = np.asarray(b.column(1).flatten(), dtype=np.float64).reshape(b.num_rows, -1)
+            for r in range(0, b.num_rows, ROWS):
+                x = whole[r : r + ROWS]
+                nx = np.sqrt(_running_sum(x * x))
+                for c in range(0, len(q), QUERIES):
+                    under = nq[c : c + QUERIES, None] * nx[None, :]
+                    near = np.divide(q[c : c + QUERIES] @ x.T, under, out=np.zeros_like(under), where=under > 0)
+                    qi, ri = np.nonzero(near >= least - 2e-6)
+                    for s in range(0, len(qi), 1 << 18):
+                        a, at = qi[s : s + (1 << 18)] + c, ri[s : s + (1 << 18)]
+                        score = np.divide(_running_sum(x[at] * q[a]), nx[at] * nq[a], out=np.zeros(len(at)), where=nx[at] * nq[a] > 0)
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), pa.array(ids[r + at]), pa.array(score)], ["query_id", "id", "score"])
+
+    return run
+
+
 def similar(rows: DataFrame, targets: DataFrame, k: int = 5) -> DataFrame:
     """Nearest rows of given rows, without themselves: oversampled, then cut."""
     q = rows.join(small(targets), "id").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
