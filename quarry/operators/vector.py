@@ -287,14 +287,74 @@ def near_pairs(rows: DataFrame, limit: float, recall: float = RECALL) -> DataFra
     return met.select(*cols).groupBy("t", "code", "i", "j").applyInPandas(compare, "a long, b long, similarity double")
 
 
+#: Rows of a block of which two are a task's, and blocks that there are at least if they would not be tiny.
+PAIR_BLOCK, PAIR_BLOCKS = 65_536, 6
+
+
+def best_pairs(rows: DataFrame, limit: int) -> DataFrame:
+    """(a, b, similarity): the pairs of rows (id, embedding, least) that are among the ``limit`` most similar, and others.
+
+    A pair counts from the larger ``least`` of its rows. All pairs are compared, by products of matrices: each two blocks of
+    rows are a task's, which keeps its ``limit`` best by similarity and ids. Of rows with one vector only the first
+    ``limit`` + 1 by id can be in such a pair: for one with a later row there are ``limit`` of the same similarity before it.
+    """
+    ok = rows.where(
+        F.col("id").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("embedding", lambda x: x != 0)
+    ).select(F.col("id").cast("long").alias("id"), "embedding", "least")
+    first = F.row_number().over(Window.partitionBy("embedding", "least").orderBy("id"))
+    ok = written(ok.withColumn("first", first).where(F.col("first") <= limit + 1).drop("first"), "vectors-once")
+    n = ok.count()
+    g = max(1, math.ceil(n / PAIR_BLOCK), min(PAIR_BLOCKS, n // 2048))
+    met = ok.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(g)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(g - 1))))
+    met = met.select("*", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), F.size("embedding").alias("size")).drop("o")
+    return met.groupBy("i", "j", "size").applyInArrow(_best_of_blocks(limit), "a long, b long, similarity double")
+
+
+def _best_of_blocks(limit: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("id")
+        ids, block, least = (table.column(c).to_numpy() for c in ("id", "block", "least"))
+        i, j, d = (table.column(c)[0].as_py() for c in ("i", "j", "size"))
+        x = np.asarray(table.column("embedding").combine_chunks().flatten()).reshape(len(ids), d)
+        norm = np.concatenate([np.sqrt(_running_sum(x[s : s + ROWS].astype(np.float64) ** 2)) for s in range(0, len(x), ROWS)])
+        unit = np.concatenate([(x[s : s + ROWS] / norm[s : s + ROWS, None]).astype(np.float32) for s in range(0, len(x), ROWS)])
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        slack = 2e-6 + 2e-7 * d  # what single precision may be off, and the rounding
+        best, top = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)], -np.inf
+        for r in range(0, len(left), ROWS):
+            at = left[r : r + ROWS]
+            for c in range(r if i == j else 0, len(right), ROWS):
+                to = right[c : c + ROWS]
+                p, q = np.nonzero(unit[at] @ unit[to].T >= max(top, min(least[at].min(), least[to].min())) - slack)
+                for s in range(0, len(p), 1 << 18):
+                    u, v = at[p[s : s + (1 << 18)]], to[q[s : s + (1 << 18)]]
+                    keep = ids[u] < ids[v] if i == j else ids[u] != ids[v]
+                    u, v = u[keep], v[keep]
+                    sim = _rounded(_running_sum(x[u].astype(np.float64) * x[v]) / (norm[u] * norm[v])) / 1e6
+                    keep = (sim >= top) & (sim >= np.maximum(least[u], least[v]))
+                    lower, higher = np.minimum(ids[u], ids[v])[keep], np.maximum(ids[u], ids[v])[keep]
+                    best = [np.concatenate(z) for z in zip(best, (lower, higher, sim[keep]), strict=True)]
+                    order = np.lexsort((best[1], best[0], -best[2]))[:limit]
+                    best = [z[order] for z in best]
+                    top = best[2][-1] if len(order) == limit else -np.inf
+        return pa.table(dict(zip(("a", "b", "similarity"), best, strict=True)))
+
+    return run
+
+
 def duplicate_pairs(rows: DataFrame, threshold: float, limit: int, filtered: bool = False, recall: float = RECALL) -> DataFrame:
     """The most similar unordered pairs of rows of all files at or above a threshold, which structured files raise.
 
     The reference stops at the first pairs that its scan meets; here the best ones are taken, which makes the
-    result independent of order.  With ``name``, ``kind`` and ``text`` each pair has its ``reason`` (see ``noise``);
+    result independent of order: of all pairs, or, ``filtered``, of those that ``near_pairs`` finds.  With ``name``, ``kind`` and ``text`` each pair has its ``reason`` (see ``noise``);
     ``filtered`` keeps those without one.
     """
-    pairs = written(near_pairs(rows, threshold, recall), "vector-pairs")
+    if filtered:
+        pairs = written(near_pairs(rows, threshold, recall), "vector-pairs")
+    else:
+        least = T.duplicate_threshold(threshold, F.col("file_path"), F.col("file_path")).cast("double").alias("least")
+        pairs = best_pairs(rows.select("id", "embedding", least), limit).orderBy(F.col("similarity").desc(), "a", "b").limit(limit)
+        pairs = small(written(pairs, "vector-pairs"))
     more = [c for c in ("name", "kind", "text") if c in rows.columns]
     a = rows.select(F.col("id").alias("a"), F.col("file_path").alias("file_a"), *[F.col(c).alias(f"{c}_a") for c in more])
     b = rows.select(F.col("id").alias("b"), F.col("file_path").alias("file_b"), *[F.col(c).alias(f"{c}_b") for c in more])
