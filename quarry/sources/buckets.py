@@ -16,6 +16,15 @@ from pyspark.sql import functions as F
 from quarry.storage import written
 
 BUCKETS = 64
+#: Rows of a bucket in a file, about: a bucket of more is several tasks' work.
+FILE_ROWS = 20_000
+
+
+def _write(rows: DataFrame, key: str, path: str, buckets: int) -> None:
+    """Rows with their bucket, which goes to as many files as it has stretches of ``FILE_ROWS`` rows on average."""
+    files = 1 + rows.count() // (buckets * FILE_ROWS)
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(files)))
+    dealt.sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def versions(spark: SparkSession, folder: str, before: int | None) -> DataFrame | None:
@@ -59,7 +68,7 @@ def compact(spark: SparkSession, folder: str, version: int, key: str) -> None:
     rows = _last(spark, folder, version)
     if rows is not None:
         live = written(rows.where(~F.col("deleted")).drop("v"), "compacted")
-        live.repartition("bucket").sortWithinPartitions(key).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v={version}")
+        _write(live, key, f"{folder}/v={version}", BUCKETS)
         drop_before(spark, folder, version)
 
 
@@ -74,4 +83,4 @@ def merge(changes: DataFrame, folder: str, key: str, version: int, buckets: int
     if old is not None:
         old = old.where(F.col("bucket").isin(touched)).drop("v").join(changes.select(key).distinct(), key, "left_anti")
         changes = changes.unionByName(old, allowMissingColumns=True)
-    changes.repartition("bucket").sortWithinPartitions(key).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v={version}")
+    _write(changes, key, f"{folder}/v={version}", buckets)

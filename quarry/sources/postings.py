@@ -12,8 +12,12 @@ they had before, which the table of documents tells.  Of a term and document the
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,44 +40,69 @@ def prefix_tokens(*texts: Column) -> Column:
     return F.concat(*[split(c) for c in texts])
 
 
-def _counted(tokens: Column, weight: Column | float = 1.0) -> Column:
-    """(term, tf) of an array of tokens, each term once."""
-
-    def of(x: Column) -> Column:
-        runs = F.filter(F.transform(x, lambda t, i: F.struct(t.alias("term"), i.alias("i"))), lambda r: (r["i"] == 0) | (F.get(x, r["i"] - 1) != r["term"]))
-        return T.let(runs, lambda r: F.transform(r, lambda e, i: F.struct(e["term"].alias("term"), ((F.coalesce(F.get(r, i + 1)["i"], F.size(x)) - e["i"]) * weight).cast("double").alias("tf"))))
-
-    return T.let(F.sort_array(tokens), of)
+_WORD = re.compile("[a-z0-9_]+")
+
+
+def _terms(lowered: str) -> Iterator[str]:
+    """The tokens of ``functions.text.tokens`` in a text that is in lower case."""
+    for run in _WORD.findall(lowered):
+        if len(run) >= 2:
+            yield run
+            if "_" in run:
+                yield from (p for p in run.split("_") if len(p) >= 2)
+
+
+def _counted(weights: list[float]):
+    """Adds (bm25_dl, bm25, prefix_dl, prefix): each term of a row once, with its weighted frequency in all fields."""
+
+    def lists(rows: list[dict[str, float]]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+        terms = pa.array([t for r in rows for t in r], pa.string())
+        tf = pa.array([x for r in rows for x in r.values()], pa.float64())
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([terms, tf], ["term", "tf"]))
+
+    def run(batches):
+        n = len(weights)
+        for b in batches:
+            bm25, bm25_dl, plain = [], [], []
+            for texts in zip(*[b.column(i).to_pylist() for i in range(n)], strict=True) if n else [()] * b.num_rows:
+                row, length = {}, 0.0
+                for text, w in zip(texts, weights, strict=True):
+                    for t in _terms(text):
+                        row[t] = row.get(t, 0.0) + w
+                        length += w
+                bm25.append(row)
+                bm25_dl.append(length)
+            words = b.column(n).to_pylist()
+            for found in words:
+                row = {}
+                for t in found or ():
+                    row[t] = row.get(t, 0.0) + 1.0
+                plain.append(row)
+            made = {
+                "bm25_dl": pa.array(bm25_dl, pa.float64()), "bm25": lists(bm25),
+                "prefix_dl": pa.array([None if x is None else float(len(x)) for x in words], pa.float64()), "prefix": lists(plain),
+            }
+            yield pa.RecordBatch.from_arrays([*b.columns[n + 1 :], *made.values()], [*b.schema.names[n + 1 :], *made])
+
+    return run
 
 
 def entries(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
-    """(id, flags, bm25_dl, bm25, prefix_dl, prefix): a document's terms of both uses with their frequencies."""
+    """(id, flags, bm25_dl, bm25, prefix_dl, prefix): a document's terms of both uses, each once, with their frequencies."""
     flags = [F.col(c) if c in docs.columns else F.lit(None).cast("boolean").alias(c) for c in FLAGS]
     have = {f: w for f, w in fields.items() if f in docs.columns}
-    parts = F.struct(*[T.tokens(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in have])
-    per = T.let(parts, lambda x: F.struct(*[_counted(x[f], w).alias(f) for f, w in have.items()], sum((F.size(x[f]) * w for f, w in have.items()), F.lit(0.0)).alias("dl")))
-    plain = prefix_tokens(F.col("name"), F.col("name_path"), F.col("signature"))
-    return docs.select(
-        "id",
-        *flags,
-        per.alias("p"),
-        plain.alias("t"),
-    ).select(
-        "id",
-        *FLAGS,
-        F.col("p.dl").alias("bm25_dl"),
-        F.flatten(F.array(*[F.col(f"p.{f}") for f in have])).cast(_TERM).alias("bm25"),
-        F.size("t").cast("double").alias("prefix_dl"),
-        _counted(F.col("t")).cast(_TERM).alias("prefix"),
-    )
+    texts = [F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f"text_{f}") for f in have]
+    rows = docs.select(*texts, prefix_tokens(F.col("name"), F.col("name_path"), F.col("signature")).alias("words"), "id", *flags)
+    kept = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("id", *FLAGS))
+    return rows.mapInArrow(_counted(list(have.values())), f"{kept}, bm25_dl double, bm25 {_TERM}, prefix_dl double, prefix {_TERM}")
 
 
 def _postings(rows: DataFrame, deleted: bool) -> DataFrame:
-    """(use, lead, term, id, tf, dl, flags, deleted) of entries; a term of several fields is one."""
+    """(use, lead, term, id, tf, dl, flags, deleted) of entries."""
     out = []
     for use in ("bm25", "prefix"):
         each = rows.select("id", *FLAGS, F.col(f"{use}_dl").alias("dl"), F.explode(use).alias("e")).select("id", *FLAGS, "dl", "e.term", "e.tf")
-        each = each.groupBy("term", "id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"), *[F.first(c).alias(c) for c in FLAGS])
         out.append(each.withColumn("use", F.lit(use)))
     return reduce(DataFrame.unionByName, out).withColumn("lead", lead(F.col("term"))).withColumn("deleted", F.lit(deleted))
 

@@ -1,9 +1,13 @@
 """Shapes that were slow or large in round 3: all pairs by blocks, near items by products, texts and vectors in rows."""
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
 from quarry.operators import evaluation, vector
+from quarry.sources import buckets, postings
 
 
 def _plan(df):
@@ -40,3 +44,35 @@ def test_near_items_are_those_of_one_by_one(spark, monkeypatch):
     assert "MapInArrow" in _plan(found) and key(found) == want
     monkeypatch.setattr(vector, "MAX_QUERIES", 20)  # several batches, where one was refused
     assert key(evaluation.near_items(asked, rows, 0.3)) == want
+
+
+def test_terms_are_counted_in_their_row(spark):
+    """Terms of all fields once, as the column expressions count them; postings of new documents are not shuffled."""
+    texts = ["a_b cd_ef cd", "CD Über İstanbul ΑΣ x_1y", "", None, "__ a__bc snake_case_name snake", "١٢ ſoft Kelvin 名前 éa"]
+    rows = spark.createDataFrame([(i, t, texts[-1 - i], "sig " + (t or "")) for i, t in enumerate(texts)], "id long, name string, name_path string, signature string")
+    fields = {"name": 4.0, "signature": 2.5, "body": 1.0}
+    made = postings.entries(rows, fields)
+    assert "MapInArrow" in _plan(made) and "Exchange" not in _plan(postings._postings(made, False))
+    terms = lambda c: T.tokens(F.coalesce(F.col(c), F.lit("")))
+    plain = postings.prefix_tokens(F.col("name"), F.col("name_path"), F.col("signature"))
+    got = {r.id: r for r in made.collect()}
+    for r in rows.select("id", terms("name").alias("n"), terms("signature").alias("s"), plain.alias("w")).collect():
+        want = Counter()
+        for words, weight in ((r.n, 4.0), (r.s, 2.5)):
+            for x in words:
+                want[x] += weight
+        e = got[r.id]
+        assert {(x.term, x.tf) for x in e.bm25} == set(want.items()) and len(e.bm25) == len(want) and e.bm25_dl == sum(want.values())
+        assert (e.prefix_dl is None) == (r.w is None) and {(x.term, x.tf) for x in e.prefix} == set(Counter(r.w or []).items())
+        assert e.prefix_dl is None or e.prefix_dl == len(r.w)
+
+
+def test_a_large_bucket_is_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(buckets, "FILE_ROWS", 10)
+    folder, coalesce = f"file://{tmp_path}/t", "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, False)  # so few rows would be put into one task again
+    buckets.merge(spark.range(400).withColumn("deleted", F.lit(False)), folder, "id", 0, 2)
+    buckets.merge(spark.range(0, 400, 4).withColumn("deleted", F.lit(True)), folder, "id", 1, 2)
+    spark.conf.unset(coalesce)
+    assert len(list(tmp_path.glob("t/v=0/bucket=0/*.parquet"))) > 1
+    assert sorted(r.id for r in buckets.latest(spark, folder).collect()) == [i for i in range(400) if i % 4]
