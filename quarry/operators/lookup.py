@@ -415,14 +415,17 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def hashed_vectors(rows: DataFrame, size: int = 64) -> DataFrame:
     """(id, embedding): a unit vector of signed hashed tokens; stands in where no model is at hand."""
-    h = F.transform(T.tokens(F.col("text")), lambda t: F.xxhash64(t))
-    place = F.transform("h", lambda x: F.pmod(x, F.lit(size)))
-    sign = F.transform("h", lambda x: F.when(x < 0, -1.0).otherwise(1.0))
-    rows = rows.select("id", h.alias("h")).select("id", place.alias("p"), sign.alias("s"))
-    raw = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda i: F.aggregate(F.zip_with("p", "s", lambda a, b: F.when(a == i, b).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x),
-    )
-    rows = rows.select("id", raw.alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return rows.select("id", F.transform("v", lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float")).alias("embedding"))
+
+    def summed(h: Column) -> Column:
+        sign = F.transform(h, lambda x: F.when(x < 0, -1.0).otherwise(1.0))
+        signed = F.struct(F.transform(h, lambda x: F.pmod(x, F.lit(size))).alias("p"), sign.alias("s"))
+        at = lambda t, i: F.aggregate(F.zip_with(t["p"], t["s"], lambda a, b: F.when(a == i, b).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+        return T.let(signed, lambda t: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: at(t, i)))
+
+    def unit(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        return T.let(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float")))
+
+    # each step once a row: as columns of their own they would be put into each other, once an element
+    hashes = F.transform(T.tokens(F.col("text")), lambda t: F.xxhash64(t))
+    return rows.select("id", T.let(T.let(hashes, summed), unit).alias("embedding"))

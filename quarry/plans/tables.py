@@ -8,6 +8,7 @@ from quarry import adapters as A
 from quarry import storage
 from quarry.functions import text as T
 from quarry.operators import calls, edits, evaluation, fuzzy, lookup, modules, notebook, reports, telemetry, vector
+from quarry.operators.sizes import small
 from quarry.registry import register
 from quarry.sources import code, git
 from quarry.streaming import ingest
@@ -844,11 +845,12 @@ def listing_cursor(spark, d):
 )
 def hashed_embeddings(spark, d):
     """Equal texts have equal vectors, and no others: each with the least symbol of the same vector."""
-    s = A.symbols(spark, d)
-    v = lookup.hashed_vectors(s.select("id", F.concat_ws(" ", "name", "signature").alias("text")))
+    # read through an exchange: the parts are a few bytes of one file, and one task
+    s = A.symbols(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    v = storage.written(lookup.hashed_vectors(s.select("id", F.concat_ws(" ", "name", "signature").alias("text"))), "hashed")  # read for twins, and for rows
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     twin = v.groupBy("embedding").agg(F.min("id").alias("twin"))
-    return v.join(twin, "embedding").select("id", F.size("embedding").cast("long").alias("dims"), F.round(norm, 4).alias("norm"), "twin")
+    return v.join(small(storage.written(twin, "twins")), "embedding").select("id", F.size("embedding").cast("long").alias("dims"), F.round(norm, 4).alias("norm"), "twin")
 
 
 @register(

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import evaluation, vector
+from quarry.operators import evaluation, lookup, vector
 from quarry.sources import buckets, postings
 
 
@@ -76,3 +76,16 @@ def test_a_large_bucket_is_several_files(spark, tmp_path, monkeypatch):
     spark.conf.unset(coalesce)
     assert len(list(tmp_path.glob("t/v=0/bucket=0/*.parquet"))) > 1
     assert sorted(r.id for r in buckets.latest(spark, folder).collect()) == [i for i in range(400) if i % 4]
+
+
+def test_hashed_vectors_take_each_step_once(spark):
+    rows = spark.createDataFrame([(1, "a_b ring"), (2, "ring red_bolt red"), (3, ""), (4, None)], "id long, text string")
+    found = lookup.hashed_vectors(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1  # the text's tokens were made anew for each of the vector's elements
+    for r, t in zip(found.orderBy("id").collect(), rows.orderBy("id").select(F.transform(T.tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("h")).collect(), strict=True):
+        v = np.zeros(64)
+        for h in t.h or []:
+            v[h % 64] += -1.0 if h < 0 else 1.0
+        if t.h is not None:
+            assert np.allclose(r.embedding, v / (np.linalg.norm(v) or 1.0), atol=1e-6)
