@@ -352,4 +352,5 @@ def bind(clauses: DataFrame, resolved: DataFrame) -> DataFrame:
     """Bindings from module clauses and resolved imports (relative_path, raw_import, target): foreign are bare names without a file."""
     target = resolved.select(F.col("relative_path").alias("file"), F.col("raw_import").alias("module"), "target").distinct()
     foreign = F.col("target").isNull() & ~F.col("module").rlike("^[./]")
-    return clauses.join(target, ["file", "module"], "left").select("file", "local", "imported", "target", foreign.alias("external"))
+    # a merge, as in ``modules.resolve``
+    return clauses.hint("merge").join(target, ["file", "module"], "left").select("file", "local", "imported", "target", foreign.alias("external"))

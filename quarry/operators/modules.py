@@ -115,7 +115,7 @@ def extract(files: DataFrame, tests: bool = True) -> DataFrame:
 
 
 def normal(path: Column) -> Column:
-    """A path without empty parts, . and ..; what leaves the root is cut off there."""
+    """A path without empty parts, . and ..; what leaves the root is cut off there.  Most paths have none, and are not taken apart."""
     parts = F.aggregate(
         F.split(path, "/"),
         _none(),
@@ -123,7 +123,7 @@ def normal(path: Column) -> Column:
         .when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
         .otherwise(F.concat(acc, F.array(p))),
     )
-    return F.array_join(parts, "/")
+    return F.when(path.rlike(r"(?:^|/)\.{0,2}(?:/|$)"), F.array_join(parts, "/")).otherwise(path)
 
 
 def _paths(*parts) -> Column:
@@ -227,14 +227,18 @@ def _keys(files: DataFrame) -> DataFrame:
     rust = paths.select(F.regexp_extract(p, "^crates/([^/]+)/src/(.+)$", 1).alias("crate"), F.regexp_extract(p, "^crates/([^/]+)/src/(.+)$", 2).alias("rest"), p)
     rust = rust.where("rest <> ''")
     manifest = paths.select(F.regexp_extract(p, "^crates/([^/]+)/Cargo.toml$", 1).alias("crate")).where("crate <> ''")
-    named = rust.join(manifest, "crate", "left_semi").select(F.concat(F.lit("crate:"), F.replace("crate", F.lit("-"), F.lit("_")), F.lit("/"), "rest").alias("key"), "target")
+    named = rust.hint("merge").join(manifest, "crate", "left_semi").select(F.concat(F.lit("crate:"), F.replace("crate", F.lit("-"), F.lit("_")), F.lit("/"), "rest").alias("key"), "target")
     anywhere = rust.select(F.concat(F.lit("any:"), "rest").alias("key"), "target")
     several = reduce(DataFrame.unionAll, [folders, named, anywhere]).groupBy("key").agg(F.min("target").alias("target"))
     return paths.select(p.alias("key"), "target").unionAll(several)
 
 
 def resolve(imports: DataFrame, files: DataFrame, go_module: str | None = None) -> DataFrame:
-    """``imports`` (id, relative_path, raw_import) with target: the first candidate that is a file, or null."""
+    """``imports`` (id, relative_path, raw_import) with target: the first candidate that is a file, or null.
+
+    The joins are merges: texts may be many times what they are made from, so that the planner takes them for small,
+    and candidates, up to 40 an import, would be sent whole.
+    """
     lang = language(F.col("relative_path"))
     lists = candidates(F.col("raw_import"), F.col("relative_path"), go_module)
     found = reduce(lambda acc, kv: acc.when(lang == kv[0], kv[1]), lists.items(), F).otherwise(_none())
@@ -244,9 +248,9 @@ def resolve(imports: DataFrame, files: DataFrame, go_module: str | None = None)
         return F.concat(tag, normal(F.regexp_replace(key, "^(go|crate|any):", "")))
 
     asked = imports.select("id", "relative_path", "raw_import").distinct()
-    tried = asked.select("relative_path", "raw_import", F.posexplode(found).alias("at", "key")).distinct().withColumn("key", clean(F.col("key")))
-    best = tried.join(_keys(files), "key").groupBy("relative_path", "raw_import").agg(F.min_by("target", "at").alias("target"))
-    return asked.join(best, ["relative_path", "raw_import"], "left").select("id", "relative_path", "raw_import", "target")
+    tried = asked.select("relative_path", "raw_import", F.posexplode(found).alias("at", "key")).withColumn("key", clean(F.col("key")))
+    best = tried.hint("merge").join(_keys(files), "key").groupBy("relative_path", "raw_import").agg(F.min_by("target", "at").alias("target"))
+    return asked.hint("merge").join(best, ["relative_path", "raw_import"], "left").select("id", "relative_path", "raw_import", "target")
 
 
 def import_edges(files: DataFrame, go_module: str | None = None, tests: bool = True) -> DataFrame:
