@@ -124,7 +124,7 @@ def scip_hover(spark, d):
   concat('E', line) AS code, concat('look at ', name) AS message FROM o WHERE def AND line % 4 = 0""",
 )
 def scip_diagnostics(spark, d):
-    return navigation.diagnostics(_read(spark, d)[0])
+    return navigation.diagnostics(scip.occurrences(scip.read(spark, _folder(spark, d))))  # read once, so not written
 
 
 _BEGUN = "last_value(CASE WHEN {0} THEN row(name, ordinal) END IGNORE NULLS) OVER (PARTITION BY file ORDER BY line, def DESC, ordinal ROWS UNBOUNDED PRECEDING)"

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ _OCCURRENCE = pa.struct(
     [("symbol", pa.string()), *((k, pa.int32()) for k in ("start_line", "start_col", "end_line", "end_col", "roles")),
      ("docs", pa.list_(pa.string())), ("diagnostics", pa.list_(_DIAGNOSTIC))]
 )
+OCCURRENCE_FIELDS = tuple(f.name for f in _OCCURRENCE)
 _SYMBOL = pa.struct([("symbol", pa.string()), ("docs", pa.list_(pa.string())), ("display_name", pa.string())])
 _DOCUMENT = pa.schema([("path", pa.string()), ("language", pa.string()), ("occurrences", pa.list_(_OCCURRENCE)), ("symbols", pa.list_(_SYMBOL))])
 
@@ -51,23 +53,31 @@ def _varint(data, at: int) -> tuple[int, int]:
             return value, at
 
 
-def _fields(data) -> Iterator[tuple[int, int | memoryview]]:
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """(number, value) of a message: a number, or the bytes of what has a length."""
-    at = 0
-    while at < len(data):
-        tag, at = _varint(data, at)
-        if tag & 7 == 0:
+    at, end = 0, len(data)
+    while at < end:
+        tag, at = data[at], at + 1
+        if tag > 127:
+            tag, at = _varint(data, at - 1)
+        kind = tag & 7
+        if kind == 0:
             value, at = _varint(data, at)
         else:
-            size, at = _varint(data, at) if tag & 7 == 2 else ({1: 8, 5: 4}[tag & 7], at)
-            if at + size > len(data):
+            if kind == 2:
+                size, at = data[at], at + 1
+                if size > 127:
+                    size, at = _varint(data, at - 1)
+            else:
+                size = {1: 8, 5: 4}[kind]
+            if at + size > end:
                 raise IndexError("a field is longer than its message")
             value, at = data[at : at + size], at + size
         yield tag >> 3, value
 
 
 def _text(value) -> str:
-    return bytes(value).decode("utf-8", "replace")
+    return value.decode("utf-8", "replace")
 
 
 def _occurrence(data) -> dict:
@@ -78,6 +88,9 @@ def _occurrence(data) -> dict:
             if isinstance(value, int):
                 span.append(value)
                 continue
+            if value.isascii():  # every number has one byte
+                span += value
+                continue
             while at < len(value):
                 x, at = _varint(value, at)
                 span.append(x)
@@ -94,8 +107,8 @@ def _occurrence(data) -> dict:
             )
     if len(span) == 3:
         span.insert(2, span[0])
-    span = span if len(span) == 4 else [0, 0, 0, 0]
-    return out | dict(zip(("start_line", "start_col", "end_line", "end_col"), span, strict=True))
+    out["start_line"], out["start_col"], out["end_line"], out["end_col"] = span if len(span) == 4 else (0, 0, 0, 0)
+    return out
 
 
 def _symbol(data) -> dict:
@@ -164,7 +177,7 @@ def _decode(batches):
                 name = r["file"]
                 fs, path = storage.file_system(name)
                 f = fs.open_input_file(path)
-            data = memoryview(f.read_at(r["size"], r["offset"]))
+            data = f.read_at(r["size"], r["offset"])
             try:
                 if r["field"] == INDEX_DOCUMENT:
                     rows.append(_document(data))
@@ -219,8 +232,18 @@ def _put(number: int, value: int | str | bytes) -> bytes:
     return _number(number << 3 | 2) + _number(len(data)) + data
 
 
+def _span(start_line: int, start_col: int, end_line: int, end_col: int) -> bytes:
+    span = (start_line, start_col, end_col) if end_line == start_line else (start_line, start_col, end_line, end_col)
+    if 0 <= min(span) and max(span) < 128:
+        return bytes((OCC_RANGE << 3 | 2, len(span), *span))
+    return _put(OCC_RANGE, b"".join(map(_number, span)))
+
+
 def encode(document: dict) -> bytes:
-    """The field of an index that holds a document, or, without a path, its symbols as external ones."""
+    """The field of an index that holds a document, or, without a path, its symbols as external ones.
+
+    Occurrences are tuples of their fields' values, in order; symbols and roles that come again are encoded once.
+    """
     known = [
         _put(SYM_SYMBOL, s["symbol"]) + b"".join(_put(SYM_DOCS, x) for x in s["docs"] or ()) + _put(SYM_DISPLAY, s["display_name"] or "")
         for s in document["symbols"] or ()
@@ -228,16 +251,47 @@ def encode(document: dict) -> bytes:
     if document["path"] is None:
         return b"".join(_put(INDEX_EXTERNAL, x) for x in known)
     out = [_put(DOC_PATH, document["path"]), _put(DOC_LANGUAGE, document["language"] or "")]
-    for o in document["occurrences"] or ():
-        ends = (o["end_col"],) if o["end_line"] == o["start_line"] else (o["end_line"], o["end_col"])
-        span = b"".join(_number(x) for x in (o["start_line"], o["start_col"], *ends))
-        more = b"".join(_put(OCC_DOCS, x) for x in o["docs"] or ())
-        for x in o["diagnostics"] or ():
-            more += _put(OCC_DIAGNOSTICS, _put(DIAG_SEVERITY, x["severity"]) + _put(DIAG_CODE, x["code"]) + _put(DIAG_MESSAGE, x["message"]))
-        out.append(_put(DOC_OCCURRENCES, _put(OCC_RANGE, span) + _put(OCC_SYMBOL, o["symbol"]) + _put(OCC_ROLES, o["roles"]) + more))
+    seen: dict[tuple[str, int], bytes] = {}
+    for symbol, start_line, start_col, end_line, end_col, roles, docs, diagnostics in document["occurrences"] or ():
+        named = seen.get((symbol, roles))
+        if named is None:
+            named = seen[symbol, roles] = _put(OCC_SYMBOL, symbol) + _put(OCC_ROLES, roles)
+        body = _span(start_line, start_col, end_line, end_col) + named
+        if docs:
+            body += b"".join(_put(OCC_DOCS, x) for x in docs)
+        for x in diagnostics:
+            body += _put(OCC_DIAGNOSTICS, _put(DIAG_SEVERITY, x["severity"]) + _put(DIAG_CODE, x["code"]) + _put(DIAG_MESSAGE, x["message"]))
+        out.append(_put(DOC_OCCURRENCES, body))
     return _put(INDEX_DOCUMENT, b"".join([*out, *(_put(DOC_SYMBOLS, x) for x in known)]))
 
 
+def _values(column: pa.Array) -> list:
+    """The values of a column of numbers or strings."""
+    if column.null_count:
+        return column.to_pylist()
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    coded = column.dictionary_encode()
+    return list(map(coded.dictionary.to_pylist().__getitem__, _values(coded.indices)))
+
+
+def _lists(column: pa.ListArray) -> Iterator[list]:
+    """The lists of a column; empty ones cost nothing."""
+    values, at = column.flatten().to_pylist(), 0
+    for n in _values(pc.fill_null(pc.list_value_length(column), 0)):
+        yield values[at : at + n] if n else ()
+        at += n
+
+
+def _plain(row: pa.RecordBatch) -> dict:
+    """A batch of one document as ``encode`` takes it: its occurrences by columns, as objects for all values take many times as long."""
+    found = row.column(2).flatten()
+    fields = {f.name: c for f, c in zip(found.type, found.flatten(), strict=True)}
+    columns = [_lists(fields[name]) if name in ("docs", "diagnostics") else _values(fields[name]) for name in OCCURRENCE_FIELDS]
+    path, language, symbols = (row.column(i).to_pylist()[0] for i in (0, 1, 3))
+    return {"path": path, "language": language, "occurrences": zip(*columns, strict=True), "symbols": symbols}
+
+
 def _writer(folder: str):
     def run(batches):
         from pyspark import TaskContext
@@ -252,7 +306,7 @@ def _writer(folder: str):
                 # a document may be large: a batch of them is never all Python objects at once
                 for i in range(batch.num_rows):
                     n += 1
-                    f.write(encode(batch.slice(i, 1).to_pylist()[0]))
+                    f.write(encode(_plain(batch.slice(i, 1))))
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     return run
