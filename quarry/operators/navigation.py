@@ -22,20 +22,29 @@ def function_like(symbol: Column) -> Column:
     return F.contains(symbol, F.lit("()"))
 
 
+def _first(occ: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, name, symbol or null): what the place of each question says, or its file.
+
+    What a place and a file say of a name is reduced before questions meet it, so that no row multiplies.  Here and
+    below joins are merges: an index is small as files and large as rows, and the planner would send it whole.
+    """
+    named = occ.select("file", F.col("start_line").alias("line"), "ordinal", "symbol", short_name(F.col("symbol")).alias("name"))
+    here = named.groupBy("name", "file", "line").agg(F.min_by("symbol", "ordinal").alias("here"))
+    sole = named.groupBy("name", "file").agg(F.min("symbol").alias("sole"), F.max("symbol").alias("last")).where("sole = last").drop("last")
+    rows = asked.hint("merge").join(here, ["name", "file", "line"], "left").hint("merge").join(sole, ["name", "file"], "left")
+    return rows.select("query_id", "name", F.coalesce("here", "sole").alias("symbol"))
+
+
 def resolved(occ: DataFrame, known: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, name, symbol) of questions (query_id, name, file, line).
+    """(query_id, name, symbol) of questions (query_id, name, file, line), one a row.
 
     The first occurrence of the name at the place decides; else the name's only symbol in the file; else all
     symbols of that name that the index knows of.
     """
-    named = occ.select("file", F.col("start_line").alias("line"), "ordinal", "symbol", short_name(F.col("symbol")).alias("name"))
-    keys = ["query_id", "name"]
-    here = asked.join(named, ["name", "file", "line"]).groupBy(*keys).agg(F.min_by("symbol", "ordinal").alias("symbol"))
-    in_file = asked.join(named.select("name", "file", "symbol").distinct(), ["name", "file"]).groupBy(*keys)
-    only = in_file.agg(F.count(F.lit(1)).alias("n"), F.min("symbol").alias("only")).where("n = 1").drop("n")
-    first = asked.select(*keys).join(here, keys, "left").join(only, keys, "left").select(*keys, F.coalesce("symbol", "only").alias("symbol"))
+    first = _first(occ, asked)
     wide = known.select(short_name(F.col("symbol")).alias("name"), "symbol").distinct()
-    return first.where("symbol is not null").unionAll(first.where("symbol is null").drop("symbol").join(wide, "name").select(*keys, "symbol"))
+    wider = first.where("symbol is null").drop("symbol").hint("merge").join(wide, "name")
+    return first.where("symbol is not null").unionAll(wider.select("query_id", "name", "symbol"))
 
 
 def _with_ends(occ: DataFrame) -> DataFrame:
@@ -48,12 +57,31 @@ def _with_ends(occ: DataFrame) -> DataFrame:
 
 
 def definitions(occ: DataFrame, known: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, symbol, file, line, end_line, score): by symbol, and by name for questions that come to nothing."""
+    """(query_id, symbol, file, line, end_line, score): by symbol, and by name for questions that come to nothing.
+
+    Definitions are put down by what may ask for them: a symbol, a name that no place decides, a name whose question
+    comes to nothing.  Which of these a question asks for is known before it meets them, so that it is one row until
+    the last join, whose rows, as many as all answers, are not shuffled again.
+    """
     defs = _with_ends(occ).select("symbol", "file", F.col("start_line").alias("line"), F.col("body_end").alias("end_line"))
-    hits = resolved(occ, known, asked).join(defs, "symbol").select("query_id", "symbol", "file", "line", "end_line", F.lit(1.0).alias("score"))
-    rest = asked.select("query_id", "name").join(hits.select("query_id").distinct(), "query_id", "left_anti")
-    by_name = rest.join(defs.withColumn("name", short_name(F.col("symbol"))), "name")
-    return hits.unionAll(by_name.select("query_id", "symbol", "file", "line", "end_line", F.lit(0.9)))
+    defs = defs.withColumn("name", short_name(F.col("symbol")))
+    defs = defs.hint("merge").join(known.select(F.col("symbol"), F.lit(True).alias("known")).distinct(), "symbol", "left")
+    by = F.array(
+        F.struct(F.lit("symbol").alias("by"), F.col("symbol").alias("key"), F.lit(1.0).alias("score")),
+        F.when(F.col("known"), F.struct(F.lit("name").alias("by"), F.col("name").alias("key"), F.lit(1.0).alias("score"))),
+        F.struct(F.lit("rest").alias("by"), F.col("name").alias("key"), F.lit(0.9).alias("score")),
+    )
+    table = defs.select("symbol", "file", "line", "end_line", F.explode(by).alias("b")).where("b is not null").select("b.*", "symbol", "file", "line", "end_line")
+    placed = F.col("symbol").isNotNull()
+    first = _first(occ, asked).select(
+        "query_id", "name", F.when(placed, "symbol").otherwise("name").alias("by"), F.when(placed, F.col("symbol")).otherwise(F.col("name")).alias("key")
+    )
+    there = table.select("by", "key", F.lit(True).alias("hit")).distinct()
+    hits = first.hint("merge").join(there, ["by", "key"], "left")
+    some = F.max("hit").over(Window.partitionBy("query_id"))
+    asks = hits.withColumn("some", F.coalesce(some, F.lit(False))).where("hit or not some")
+    asks = asks.select("query_id", F.when(F.col("some"), F.col("by")).otherwise("rest").alias("by"), F.when(F.col("some"), F.col("key")).otherwise(F.col("name")).alias("key"))
+    return asks.hint("merge").join(table, ["by", "key"]).select("query_id", "symbol", "file", "line", "end_line", "score")
 
 
 def references(occ: DataFrame, known: DataFrame, asked: DataFrame) -> DataFrame:
@@ -102,11 +130,11 @@ def callees(occ: DataFrame, asked: DataFrame) -> DataFrame:
     first = occ.where("definition").select("file", short_name(F.col("symbol")).alias("function"), "start_line", "ordinal")
     first = first.groupBy("file", "function").agg(F.min_by("ordinal", F.struct("start_line", "ordinal")).alias("at"))
     language = F.regexp_extract("file", r"\.([A-Za-z]+)$", 1)
-    uses = asked.join(first, ["file", "function"]).join(inside, ["file", "at"]).where("name <> function and name <> ''")
+    uses = asked.hint("merge").join(first, ["file", "function"]).hint("merge").join(inside, ["file", "at"]).where("name <> function and name <> ''")
     uses = uses.where(~T.is_noise_callee(F.col("name"), language))
     uses = uses.groupBy("query_id", "name", F.col("start_line").alias("line")).agg(F.min_by("symbol", "ordinal").alias("symbol"))
     homes = occ.where("definition").groupBy("symbol").agg(F.min("file").alias("resolved_file"))
-    return uses.join(homes, "symbol", "left").select("query_id", "name", "line", "resolved_file")
+    return uses.hint("merge").join(homes, "symbol", "left").select("query_id", "name", "line", "resolved_file")
 
 
 def callers(occ: DataFrame, known: DataFrame, asked: DataFrame) -> DataFrame:
