@@ -436,7 +436,8 @@ def hybrid(
     """Names that are the query, then prefix hits, names like it, and nearest vectors; one row a symbol, diverse by file.
 
     ``semantic`` (query_id, id, score) raises what other lanes found and adds the rest; ``importance`` (node: a
-    file, score) raises by up to 5.  Names are compared once, however many symbols share them.
+    file, score) raises by up to 5.  Names are compared once, however many symbols share them.  Joins with all
+    documents are merges, as those may be many times what they are made from, and the planner would send them whole.
     """
     exact = docs.join(small(queries), F.col("name") == F.col("query")).select("query_id", "id", F.lit(100.0).alias("score"), F.lit(0).alias("lane"))
     exact = top_k(exact, k, "score", "id").drop("rank")
@@ -447,7 +448,7 @@ def hybrid(
     asked = queries.select("query_id", F.lower("query").alias("ql"))
     names = docs.select("name").distinct().join(batch(asked), F.contains(F.lower("name"), F.substring("ql", 1, 2)))
     like = names.withColumn("like", jaro_winkler(F.lower("name"), F.col("ql"))).where(F.col("like") >= fuzzy)
-    fuzzy_hits = docs.join(like, "name").select("query_id", "id", (F.col("like") * 100).alias("score"), F.lit(2).alias("lane"))
+    fuzzy_hits = docs.hint("merge").join(like, "name").select("query_id", "id", (F.col("like") * 100).alias("score"), F.lit(2).alias("lane"))
     lanes = [exact, hits, fuzzy_hits]
     if semantic is not None:
         new = semantic.where(F.col("score") > SEMANTIC_NEW)
@@ -457,10 +458,10 @@ def hybrid(
         near = semantic.where(F.col("score") > SEMANTIC_BOOST).select("query_id", "id", F.least(F.col("score") * 15, F.lit(10.0)).alias("more"))
         rows = rows.join(near, ["query_id", "id"], "left")
         rows = rows.withColumn("score", F.col("score") + F.when(F.col("lane") < 3, F.coalesce("more", F.lit(0.0))).otherwise(0.0)).drop("more")
-    rows = rows.join(docs.select("id", "file_path"), "id")
+    rows = rows.hint("merge").join(docs.select("id", "file_path"), "id")
     if importance is not None:
         top = importance.agg(F.max("score").alias("top"))
-        rows = rows.join(importance.select(F.col("node").alias("file_path"), F.col("score").alias("pr")), "file_path", "left").crossJoin(F.broadcast(top))  # one row
+        rows = rows.hint("merge").join(importance.select(F.col("node").alias("file_path"), F.col("score").alias("pr")), "file_path", "left").crossJoin(F.broadcast(top))  # one row
         boost = F.when(F.col("top") > 0, F.col("pr") / F.col("top") * IMPORTANCE_BOOST)
         rows = rows.withColumn("score", F.col("score") + F.coalesce(boost, F.lit(0.0))).drop("pr", "top")
     names = F.array(*[F.lit(x) for x in ("exact", "fts", "fuzzy", "semantic")])

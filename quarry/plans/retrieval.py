@@ -191,7 +191,7 @@ def _importance(spark, d):
         graph.pagerank(A.package_edges(spark, d)).write.parquet(folder)
         _RANKS[key] = folder
     pr = spark.read.parquet(_RANKS[key])
-    return A.documents(spark, d).select(F.col("id").alias("node"), "file_path").join(pr, "node").select(F.col("file_path").alias("node"), "score")
+    return A.documents(spark, d).select(F.col("id").alias("node"), "file_path").hint("merge").join(pr, "node").select(F.col("file_path").alias("node"), "score")
 
 
 _IMP = f"e AS ({A.PACKAGE_EDGES_SQL}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), {pagerank_steps()}, im AS (SELECT node AS id, score FROM r{graph.ROUNDS})"

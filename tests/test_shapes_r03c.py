@@ -1,9 +1,11 @@
 """Shapes that failed or were slow in round 3: joins of texts that look small, the index of occurrences, tokens of programs."""
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quarry.operators import calls, modules, navigation
+from quarry.operators import calls, modules, navigation, rank
 from quarry.sources import scip
 
 
@@ -76,3 +78,16 @@ def test_documents_are_encoded_by_columns(tmp_path, monkeypatch):
     for _, value in scip._fields(data):
         got.append(scip._document(value))
     assert got == docs
+
+
+def test_documents_of_a_hybrid_search_are_not_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"name_{i % 4}", f"f{i}.rs", "n", "s", "b") for i in range(40)], "id long, name string, file_path string, name_path string, signature string, body string")
+    queries = spark.createDataFrame([("q", "name_1")], "query_id string, query string")
+    importance = docs.selectExpr("file_path AS node", "id / 100.0D AS score")
+    plans = []
+    monkeypatch.setattr(rank, "written", lambda df, name: plans.append(_plan(df)) or df)
+    got = rank.hybrid(docs, queries, 5, importance=importance).collect()
+    whole = next(p for p in plans if "jaro" in p or "like" in p)
+    for key in ("name", "id", "file_path"):
+        assert re.search(rf"SortMergeJoin \[{key}#", whole), key
+    assert [r.id for r in got] == [37, 33, 29, 25, 21]
