@@ -10,41 +10,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry import storage
 from quarry.functions import text as T
 
+#: Names and files are told apart by so many buckets where places are looked at: what is sent to all tasks is as many numbers at most.
+BUCKETS = 1 << 20
+
 
 def short_name(symbol: Column) -> Column:
     """The last part of a symbol's descriptor, without the marks that end it."""
-    return F.regexp_extract(F.regexp_replace(symbol, r"[^\p{L}\p{N}_]+$", ""), r"[^/.#]*$", 0)
+    plain = F.regexp_replace(symbol, r"[^\p{L}\p{N}_]+$", "")
+    for mark in "/.#":  # a pattern for the last part tries every character of the others
+        plain = F.substring_index(plain, mark, -1)
+    return plain
 
 
 def function_like(symbol: Column) -> Column:
     return F.contains(symbol, F.lit("()"))
 
 
-def _first(occ: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, name, symbol or null): what the place of each question says, or its file.
-
-    What a place and a file say of a name is reduced before questions meet it, so that no row multiplies.  Here and
-    below joins are merges: an index is small as files and large as rows, and the planner would send it whole.
-    """
-    named = occ.select("file", F.col("start_line").alias("line"), "ordinal", "symbol", short_name(F.col("symbol")).alias("name"))
-    here = named.groupBy("name", "file", "line").agg(F.min_by("symbol", "ordinal").alias("here"))
-    sole = named.groupBy("name", "file").agg(F.min("symbol").alias("sole"), F.max("symbol").alias("last")).where("sole = last").drop("last")
-    rows = asked.hint("merge").join(here, ["name", "file", "line"], "left").hint("merge").join(sole, ["name", "file"], "left")
-    return rows.select("query_id", "name", F.coalesce("here", "sole").alias("symbol"))
-
+def _first(occ: DataFrame, asked: DataFrame, marked: DataFrame | None = None) -> DataFrame:
+    """(query_id, name, symbol or null, marked): what the place of each question (query_id, name, file, line) says, or its file.
 
-def resolved(occ: DataFrame, known: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, name, symbol) of questions (query_id, name, file, line), one a row.
+    A name's only symbol in a file is also what each of its places there says, so that questions meet a row a name and
+    file.  Only those whose name has several symbols in the file meet places, and only of such names and files, found by
+    a hash: a bounded set of buckets is sent to all tasks, whatever the number of questions.  Both steps are written, and
+    their shuffles go.  ``marked`` (symbol) has the symbols that the last column marks.
 
-    The first occurrence of the name at the place decides; else the name's only symbol in the file; else all
-    symbols of that name that the index knows of.
+    Here and below joins are merges: an index is small as files and large as rows, and the planner would send it whole.
     """
-    first = _first(occ, asked)
-    wide = known.select(short_name(F.col("symbol")).alias("name"), "symbol").distinct()
-    wider = first.where("symbol is null").drop("symbol").hint("merge").join(wide, "name")
-    return first.where("symbol is not null").unionAll(wider.select("query_id", "name", "symbol"))
+    given = None if marked is None else marked.select("symbol", F.lit(True).alias("marked")).distinct()
+    mark = lambda rows: rows.withColumn("marked", F.lit(False)) if given is None else rows.hint("merge").join(given, "symbol", "left")
+    named = occ.select(short_name(F.col("symbol")).alias("name"), "file", F.col("start_line").alias("line"), "ordinal", "symbol")
+    sole = mark(named.select("name", "file", "symbol").distinct()).groupBy("name", "file")
+    sole = sole.agg(F.min("symbol").alias("symbol"), F.max("marked").alias("marked"), (F.count("*") > 1).alias("several"))
+    rows = asked.select("query_id", "name", "file", "line").hint("merge").join(sole, ["name", "file"], "left")
+    several = F.coalesce("several", F.lit(False))
+    place = [F.when(several, F.col(c)).alias(c) for c in ("file", "line")]
+    rows = storage.written(rows.select("query_id", "name", *place, F.when(~several, F.col("symbol")).alias("symbol"), "marked", several.alias("several")), "questions", free=True)
+    settled, rest = rows.where("not several"), rows.where("several").select("query_id", "name", "file", "line")
+    if not rest.isEmpty():
+        bucket = F.pmod(F.xxhash64("name", "file"), F.lit(BUCKETS)).alias("bucket")
+        near = named.select("*", bucket).join(F.broadcast(rest.select(bucket).distinct()), "bucket", "left_semi")
+        here = near.groupBy("name", "file", "line").agg(F.min_by("symbol", "ordinal").alias("symbol"))
+        found = mark(rest.hint("merge").join(here, ["name", "file", "line"], "left")).select("query_id", "name", "symbol", "marked")
+        settled = settled.select("query_id", "name", "symbol", "marked").unionAll(storage.written(found, "questions-of-places", free=True))
+    return settled.select("query_id", "name", "symbol", F.coalesce("marked", F.lit(False)).alias("marked"))
 
 
 def _with_ends(occ: DataFrame) -> DataFrame:
@@ -85,14 +96,23 @@ def definitions(occ: DataFrame, known: DataFrame, asked: DataFrame) -> DataFrame
 
 
 def references(occ: DataFrame, known: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, symbol, file, line, kind, score): every occurrence, and by name for questions that come to nothing."""
+    """(query_id, symbol, file, line, kind, score) of questions (query_id, name, file, line), one a row.
+
+    Every occurrence of the symbol that the question's place or file says, else of all known symbols of its name; by
+    name, if none of these occurs.  What a name comes to is settled a symbol, so that occurrences meet questions once.
+    """
+    there = occ.select("symbol").distinct().withColumn("name", short_name(F.col("symbol")))
+    there = there.hint("merge").join(known.select("symbol", F.lit(True).alias("known")).distinct(), "symbol", "left")
+    sure = F.max("known").over(Window.partitionBy("name")).isNotNull()
+    there = there.withColumn("sure", sure).where("known or not sure").select("name", "symbol", "sure")
+    first = _first(occ, asked)
+    wider = first.where("symbol is null").select("query_id", "name").hint("merge").join(there, "name").select("query_id", "symbol", "sure")
+    asks = first.where("symbol is not null").select("query_id", "symbol", F.lit(True).alias("sure")).unionAll(wider)
     rows = occ.select("symbol", "file", F.col("start_line").alias("line"), "definition")
-    kind = F.when(F.col("definition"), "definition").otherwise("reference")
-    hits = resolved(occ, known, asked).join(rows, "symbol")
-    hits = hits.select("query_id", "symbol", "file", "line", kind.alias("kind"), F.when(F.col("definition"), 1.0).otherwise(0.8).alias("score"))
-    rest = asked.select("query_id", "name").join(hits.select("query_id").distinct(), "query_id", "left_anti")
-    by_name = rest.join(rows.withColumn("name", short_name(F.col("symbol"))), "name")
-    return hits.unionAll(by_name.select("query_id", "symbol", "file", "line", F.lit("reference"), F.lit(0.7)))
+    hits = asks.hint("merge").join(rows, "symbol")
+    own = F.col("sure") & F.col("definition")
+    score = F.when(~F.col("sure"), 0.7).when(F.col("definition"), 1.0).otherwise(0.8)
+    return hits.select("query_id", "symbol", "file", "line", F.when(own, "definition").otherwise("reference").alias("kind"), score.alias("score"))
 
 
 def hover(occ: DataFrame, known: DataFrame, points: DataFrame) -> DataFrame:
