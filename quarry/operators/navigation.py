@@ -68,30 +68,33 @@ def _with_ends(occ: DataFrame) -> DataFrame:
 
 
 def definitions(occ: DataFrame, known: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, symbol, file, line, end_line, score): by symbol, and by name for questions that come to nothing.
+    """(query_id, symbol, file, line, end_line, score) of questions (query_id, name, file, line), one a row.
 
-    Definitions are put down by what may ask for them: a symbol, a name that no place decides, a name whose question
-    comes to nothing.  Which of these a question asks for is known before it meets them, so that it is one row until
-    the last join, whose rows, as many as all answers, are not shuffled again.
+    The definitions of the symbol that the question's place or file says; if it has none, all of the name.  If neither
+    says one, the definitions of the known symbols of that name, or, if these have none, all of the name.
+
+    Definitions are put down by what may ask for them: a symbol, a name that no place decides, a name whose symbol is
+    not defined.  Which of these a question asks for is known before it meets them, so that it is one row until the
+    last join, whose rows, as many as all answers, are not shuffled again.
     """
     defs = _with_ends(occ).select("symbol", "file", F.col("start_line").alias("line"), F.col("body_end").alias("end_line"))
     defs = defs.withColumn("name", short_name(F.col("symbol")))
     defs = defs.hint("merge").join(known.select(F.col("symbol"), F.lit(True).alias("known")).distinct(), "symbol", "left")
+    sure = F.max("known").over(Window.partitionBy("name"))
+    key = lambda by, c, score: F.struct(F.lit(by).alias("by"), F.col(c).alias("key"), score.alias("score"))
     by = F.array(
-        F.struct(F.lit("symbol").alias("by"), F.col("symbol").alias("key"), F.lit(1.0).alias("score")),
-        F.when(F.col("known"), F.struct(F.lit("name").alias("by"), F.col("name").alias("key"), F.lit(1.0).alias("score"))),
-        F.struct(F.lit("rest").alias("by"), F.col("name").alias("key"), F.lit(0.9).alias("score")),
+        key("symbol", "symbol", F.lit(1.0)),
+        F.when(F.col("known"), key("name", "name", F.lit(1.0))).when(F.col("sure").isNull(), key("name", "name", F.lit(0.9))),
+        key("rest", "name", F.lit(0.9)),
     )
-    table = defs.select("symbol", "file", "line", "end_line", F.explode(by).alias("b")).where("b is not null").select("b.*", "symbol", "file", "line", "end_line")
+    table = defs.withColumn("sure", sure).select("symbol", "file", "line", "end_line", F.explode(by).alias("b"))
+    table = table.where("b is not null").select("b.*", "symbol", "file", "line", "end_line")
     placed = F.col("symbol").isNotNull()
-    first = _first(occ, asked).select(
-        "query_id", "name", F.when(placed, "symbol").otherwise("name").alias("by"), F.when(placed, F.col("symbol")).otherwise(F.col("name")).alias("key")
+    asks = _first(occ, asked, occ.where("definition")).select(
+        "query_id",
+        F.when(~placed, "name").when(F.col("marked"), "symbol").otherwise("rest").alias("by"),
+        F.when(placed & F.col("marked"), F.col("symbol")).otherwise(F.col("name")).alias("key"),
     )
-    there = table.select("by", "key", F.lit(True).alias("hit")).distinct()
-    hits = first.hint("merge").join(there, ["by", "key"], "left")
-    some = F.max("hit").over(Window.partitionBy("query_id"))
-    asks = hits.withColumn("some", F.coalesce(some, F.lit(False))).where("hit or not some")
-    asks = asks.select("query_id", F.when(F.col("some"), F.col("by")).otherwise("rest").alias("by"), F.when(F.col("some"), F.col("key")).otherwise(F.col("name")).alias("key"))
     return asks.hint("merge").join(table, ["by", "key"]).select("query_id", "symbol", "file", "line", "end_line", "score")
 
 

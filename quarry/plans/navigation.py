@@ -29,15 +29,15 @@ _FOLDERS: dict[tuple[str, str], str] = {}
 
 
 def _occurrences(spark, d):
+    """(file, line, name, symbol, roles) of all definitions and uses, once each and by file, and the symbols."""
     c = A.code(spark, d)
     mark = F.when(F.col("kind") == "class", "#").otherwise("().")
     s = c.select("name", F.col("file_path").alias("file"), "line", F.concat(F.lit("q q q 1 "), "file_path", F.lit("/"), "name", mark).alias("symbol")).distinct()
     t = s.groupBy("name").agg(F.min("symbol").alias("symbol"))
-    defs = s.select("file", "line", F.lit(0).alias("col"), F.when(F.col("line") % 7 == 0, F.col("line") + 2).otherwise(F.col("line")).alias("end_line"), "name", "symbol", F.lit(1).alias("roles"))
-    at = F.col("call_id") % 60
     refs = A.code_calls(A.edges(spark, d), c).join(t, F.col("callee_name") == t["name"])
-    refs = refs.select(F.col("caller_file").alias("file"), at.alias("line"), F.lit(4).alias("col"), at.alias("end_line"), "name", "symbol", F.lit(0).alias("roles"))
-    return defs.unionAll(refs).distinct(), s
+    refs = refs.select(F.col("caller_file").alias("file"), (F.col("call_id") % 60).alias("line"), "name", "symbol", F.lit(0).alias("roles"))
+    # a file is one document in the end, so that its rows are shuffled once, and made distinct where they meet
+    return s.select("file", "line", "name", "symbol", F.lit(1).alias("roles")).unionAll(refs).repartition("file").distinct(), s
 
 
 def _folder(spark, d):
@@ -45,15 +45,16 @@ def _folder(spark, d):
     key = (spark.sparkContext.applicationId, d)
     if key not in _FOLDERS:
         occ, s = _occurrences(spark, d)
-        line = F.col("line")
+        line, defines = F.col("line"), F.col("roles") == 1
+        col, end = F.when(defines, 0).otherwise(4), F.when(defines & (line % 7 == 0), line + 2).otherwise(line)
         found = F.struct(
             F.concat(F.lit("E"), line).alias("code"), F.concat(F.lit("look at "), "name").alias("message"), (line % 5).cast("int").alias("severity")
         )
-        found = F.when((F.col("roles") == 1) & (line % 4 == 0), F.array(found.cast("struct<code:string,message:string,severity:int>")))
+        found = F.when(defines & (line % 4 == 0), F.array(found.cast("struct<code:string,message:string,severity:int>")))
         row = F.struct(
-            line.cast("int").alias("start_line"), F.col("col").alias("start_col"), "symbol", F.col("end_line").cast("int").alias("end_line"),
-            (F.col("col") + F.length("name")).alias("end_col"), "roles",
-            F.when((line % 6 == 0) & (F.col("roles") == 0), F.array(F.concat(F.lit("call of "), "name"))).otherwise(F.array().cast("array<string>")).alias("docs"),
+            line.cast("int").alias("start_line"), col.alias("start_col"), "symbol", end.cast("int").alias("end_line"),
+            (col + F.length("name")).alias("end_col"), "roles",
+            F.when((line % 6 == 0) & ~defines, F.array(F.concat(F.lit("call of "), "name"))).otherwise(F.array().cast("array<string>")).alias("docs"),
             F.coalesce(found, F.array().cast("array<struct<code:string,message:string,severity:int>>")).alias("diagnostics"),
         )
         docs = F.when(line % 2 == 0, F.array(F.concat(F.lit("about "), "name"), F.lit("more"))).otherwise(F.array().cast("array<string>"))
@@ -61,19 +62,21 @@ def _folder(spark, d):
         rows = occ.groupBy(F.col("file").alias("path")).agg(F.sort_array(F.collect_list(row)).alias("occurrences"))
         rows = rows.join(known.withColumnRenamed("file", "path"), "path", "left").withColumn("language", F.regexp_extract("path", r"\.([a-z]+)$", 1))
         folder = storage.new_folder(spark, "index-files")
-        scip.write(rows, folder)
+        with storage.freed(spark):
+            scip.write(rows, folder)
         _FOLDERS[key] = folder
     return _FOLDERS[key]
 
 
 def _read(spark, d):
-    docs = storage.written(scip.read(spark, _folder(spark, d)), "index-documents")  # each question reads it several times
+    docs = storage.written(scip.read(spark, _folder(spark, d)), "index-documents", free=True)  # each question reads it several times
     return scip.occurrences(docs), scip.symbols(docs)
 
 
 def _asked(occ):
+    """Each use is a question: the index has it once, and a name's uses have one symbol."""
     name = navigation.short_name(F.col("symbol"))
-    rows = occ.where("not definition").select(name.alias("name"), "file", F.col("start_line").alias("line")).distinct()
+    rows = occ.where("not definition").select(name.alias("name"), "file", F.col("start_line").alias("line"))
     kind = F.col("line") % 3
     return rows.select(
         F.concat_ws(":", "file", "line", "name").alias("query_id"), "name",

@@ -2,6 +2,7 @@
 
 import time
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from quarry import storage
@@ -22,6 +23,26 @@ def _asked(spark, *rows):
     return spark.createDataFrame(list(rows), "query_id string, name string, file string, line int")
 
 
+def _shuffled(spark, run) -> int:
+    """Rows that ``run`` writes to shuffles."""
+    sc = spark.sparkContext
+    group = f"shuffled-r04-{id(run)}"
+    sc.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    written = 0
+    for s in {s for j in sc.statusTracker().getJobIdsForGroup(group) for s in sc.statusTracker().getJobInfo(j).stageIds}:
+        try:
+            written += sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteRecords()
+        except Py4JJavaError as e:  # a stage that was skipped, which Spark forgets first
+            if "NoSuchElementException" not in str(e.java_exception):
+                raise
+    return written
+
+
 def _index(spark):
     """Names with one and with several symbols in a file, known and not, defined and not."""
     rows = [
@@ -65,6 +86,30 @@ def test_occurrences_of_references_are_not_broadcast(spark, tmp_path):
     assert found.count() == n and {(r.kind, r.score) for r in found.collect()} == {("definition", 1.0), ("reference", 0.8)}
 
 
+def test_definitions_by_place_file_and_name(spark):
+    occ, known = _index(spark)
+    got = sorted((r.query_id, r.symbol, r.file, r.line, r.score) for r in navigation.definitions(occ, known, _asked(spark, *QUESTIONS)).collect())
+    one = ("x a/one().", "a.rs", 1, 1.0)
+    want = [("sole", *one), ("wide", *one), ("same", *one), ("same", "x b/one().", "b.rs", 4, 1.0)]
+    want += [(q, "x b/two().", "b.rs", 3, 1.0) for q in ("place", "first", "elsewhere in the file", "no file")]
+    want += [("external", "x b/out().", "b.rs", 9, 0.9), ("no known one", "x b/out().", "b.rs", 9, 0.9)]  # no definition of far
+    assert got == sorted(want)
+
+
+def test_questions_are_shuffled_twice(spark):
+    """By name and file, and by what they ask for: they had been shuffled six times, with all that an index has of places."""
+    n = 6000
+    occ = spark.range(n).selectExpr(
+        "concat('f', id % 5, '.rs') AS file", "cast(id AS int) AS ordinal", "concat('x f', id % 5, '/n', id % 20, '().') AS symbol", "cast(id AS int) AS start_line",
+        "cast(id AS int) AS end_line", "id < 20 AS definition",
+    )
+    known = occ.select("symbol", F.array().cast("array<string>").alias("docs")).distinct()
+    asked = occ.selectExpr("concat(file, ':', start_line) AS query_id", "concat('n', ordinal % 20) AS name", "file", "start_line AS line")
+    got = []
+    assert _shuffled(spark, lambda: got.extend(navigation.definitions(occ, known, asked).collect())) < 3 * n
+    assert len({r.query_id for r in got}) == len(got) == n and {r.score for r in got} == {1.0}
+
+
 def test_shuffles_of_a_written_step_go(spark):
     jvm, key = spark._jvm, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     every = lambda: {f.getName() for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())}
